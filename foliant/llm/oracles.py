@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from foliant.llm.chat_format import CONTROL, END, START
 from foliant.llm.quality_rules import RULES, STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -52,7 +55,33 @@ m_taken AS (SELECT *, (greatest(0, least(start + size, floor(target)) - start) +
 SELECT {select} FROM m_taken"""
 
 
+def chat_sql() -> str:
+    control = "|".join(re.escape(c) for c in CONTROL)
+    count = lambda c, what: f"len(regexp_extract_all({c}, '{what}'))"
+    longer = lambda c: f"length({c}) + {count(c, chr(92) * 2)} + {count(f'replace({c}, chr(92), chr(92) || chr(92))', control)}"
+    return rf"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_text,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+  sum({len(START) + len(END) + 1} + {longer("role")} + {count("role", chr(92) + "n")} + {longer("text")})::BIGINT AS formatted_chars FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole"""
+
+
+def line_sql(source: str = "documents", select: str = "doc_id, len(all_lines)::BIGINT AS n_lines, (len(all_lines) - len(kept_lines))::BIGINT AS n_dropped, sha256(array_to_string(kept_lines, chr(10))) AS kept_sha256") -> str:
+    return rf"""
+WITH l_rows AS (SELECT *, row_number() OVER () AS l_row, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM {source}),
+l_lines AS (SELECT l_row, doc_id, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS i FROM l_rows),
+l_keys AS (SELECT *, translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l_lines),
+l_heavy AS (SELECT key, max(doc_id) AS last_doc FROM l_keys WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT l_row) >= 3),
+l_kept AS (SELECT l_row, list(line ORDER BY i) AS kept_lines FROM l_keys LEFT JOIN l_heavy USING (key) WHERE NOT coalesce(doc_id < last_doc, false) GROUP BY l_row),
+l_done AS (SELECT r.*, coalesce(kept_lines, []) AS kept_lines FROM l_rows r LEFT JOIN l_kept USING (l_row))
+SELECT {select} FROM l_done"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_sql(),
     "op5_quality_rules": quality_sql(),
+    "op7_line_dedup": line_sql(),
     "op10_mixing": mixing_sql(),
 }

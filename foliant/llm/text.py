@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Regular expressions that read alike in Java and RE2.
-SPACE = r"[\x20\x09-\x0D]"
+SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
