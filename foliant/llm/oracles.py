@@ -72,15 +72,26 @@ def line_sql(source: str = "documents", select: str = "doc_id, len(all_lines)::B
     return rf"""
 WITH l_rows AS (SELECT *, row_number() OVER () AS l_row, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM {source}),
 l_lines AS (SELECT l_row, doc_id, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS i FROM l_rows),
-l_keys AS (SELECT *, translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l_lines),
+l_keys AS (SELECT *, translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l_lines),
 l_heavy AS (SELECT key, max(doc_id) AS last_doc FROM l_keys WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT l_row) >= 3),
 l_kept AS (SELECT l_row, list(line ORDER BY i) AS kept_lines FROM l_keys LEFT JOIN l_heavy USING (key) WHERE NOT coalesce(doc_id < last_doc, false) GROUP BY l_row),
 l_done AS (SELECT r.*, coalesce(kept_lines, []) AS kept_lines FROM l_rows r LEFT JOIN l_kept USING (l_row))
 SELECT {select} FROM l_done"""
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN d ON p.html = d.html"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_sql(),
+    "op3_warc": WARC_SQL,
     "op5_quality_rules": quality_sql(),
     "op7_line_dedup": line_sql(),
     "op10_mixing": mixing_sql(),

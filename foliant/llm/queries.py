@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, decontam, jaccard_join, line_dedup, mixing, quality_rules
+from foliant.llm import chat_format, decontam, jaccard_join, line_dedup, mixing, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", chat_format.digests(F.col("formatted"), F.col("loss_mask")).alias("d")).select("conv_id", "d.*")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return read.select(
+        warc.page_number(F.col("record_id")).alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        warc.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -46,6 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op3_warc": op3_warc,
     "op5_quality_rules": op5_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontam": op8_decontam,
