@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, decontam, jaccard_join, line_dedup, mixing, quality_rules, warc
+from foliant.llm import chat_format, decontam, jaccard_join, line_dedup, mixing, pii, quality_rules, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", chat_format.digests(F.col("formatted"), F.col("loss_mask")).alias("d")).select("conv_id", "d.*")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(table(spark, sf_dir, "pages"))
     return read.select(
@@ -37,6 +41,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    counts = [pii.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans")), 256).alias("base_sha256"), pii.joined(F.col("all_spans")).alias("spans"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.report(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -57,8 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_url_filter": op2_url_filter,
     "op3_warc": op3_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontam": op8_decontam,
     "op9_jaccard_join": op9_jaccard_join,
