@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, decontam, jaccard_join, line_dedup, mixing, pii, quality_rules, url_filter, warc
+from foliant.llm import chat_format, decontam, jaccard_join, line_dedup, mixing, ngram_lm, pii, quality_rules, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    found = ngram_lm.classify(table(spark, sf_dir, "documents"), trusted)
+    return found.select("doc_id", "lang", "bytes", F.round("bits_per_byte", 6).alias("bits_per_byte"), F.round("perplexity", 6).alias("perplexity"), "threshold", "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
     "op3_warc": op3_warc,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
