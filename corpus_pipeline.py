@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm import decontam, jaccard_join, line_dedup, mixing, quality_rules
 from foliant.llm.storage import keep
@@ -21,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents or more hold stay in the one of the largest doc_id."""
-    return line_dedup.dedup(docs)
+    """Lines that three documents or more hold stay in the one of the largest doc_id; ``n_chars`` follows the text."""
+    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
