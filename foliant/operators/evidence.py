@@ -73,7 +73,8 @@ def entity_matches(questions: DataFrame, names: DataFrame, longest: int = 5, tex
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
     rows = questions.select("question_id", words.alias("w"))
     grams = rows.select("question_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("name")))))).alias("g")).select("question_id", "g.*")
-    hits = grams.join(names.select(F.lower("name").alias("name")).distinct(), "name")
+    plain = F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " "))
+    hits = grams.join(names.select(plain.alias("name")).distinct(), "name")
     inside = Window.partitionBy("question_id").orderBy(F.desc("n"), "at")
     ranked = hits.withColumn("rank", F.row_number().over(inside))
     a, b = ranked.alias("a"), ranked.alias("b")

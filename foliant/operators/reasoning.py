@@ -30,7 +30,7 @@ def line_fit(bars: DataFrame, near: float = 12.0, tilt: float = 0.06) -> DataFra
     refs = bars.filter("printed > 0").select("figure_id", "length", "printed")
     a, b = refs.select("figure_id", F.col("length").alias("la"), F.col("printed").alias("pa")), refs.select("figure_id", F.col("length").alias("lb"), F.col("printed").alias("pb"))
     longest = bars.groupBy("figure_id").agg(F.max("length").alias("longest"))
-    lines = a.join(b, "figure_id").filter("pa < pb").withColumn("slope", (F.col("lb") - F.col("la")) / (F.col("pb") - F.col("pa"))).withColumn("intercept", F.col("la") - F.col("slope") * F.col("pa"))
+    lines = a.join(b, "figure_id").filter("pa < pb").withColumn("slope", F.try_divide(F.col("lb") - F.col("la"), F.col("pb") - F.col("pa"))).withColumn("intercept", F.col("la") - F.col("slope") * F.col("pa"))
     lines = lines.join(longest, "figure_id").filter((F.col("slope") > 0) & (F.abs("intercept") <= tilt * F.col("longest")))
     votes = lines.join(refs, "figure_id").withColumn("ok", F.abs(F.col("length") - (F.col("slope") * F.col("printed") + F.col("intercept"))) <= near)
     counted = votes.groupBy("figure_id", "slope", "intercept", "pa", "pb").agg(F.count_if("ok").alias("inliers")).filter("inliers >= 2")

@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 # SQL fragments
 
-TIER_CASE = "CASE source_class " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in vocab.RELIABILITY.items()) + " ELSE 0.5 END"
+TIER_CASE = "(CASE source_class " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in vocab.RELIABILITY.items()) + " ELSE 0.5 END)::DOUBLE"
 TIER_LIST = "[" + ", ".join(f"'{t}'" for t in V.TIERS) + "]"
 SOURCE_TIER = f"coalesce({TIER_LIST}[TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]+)', 1) AS INT) % {len(V.TIERS)} + 1], 'unknown')"
 UNITS = "|".join(vocab.UNIT_NOUNS)
@@ -123,7 +123,7 @@ def link_edges(spark, sf):
     return link_extract(spark, sf).groupBy(F.col("link").alias("object_id")).agg(F.count("*").alias("sources"))
 
 
-@query("wikilinks", r"SELECT item_id, list_distinct([x FOR x IN [trim(y) FOR y IN regexp_extract_all(t, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)]])[1] AS first_link FROM (SELECT item_id, '[[' || text || '|alias]] and [[' || item_id || ']]' AS t FROM benchmark)")
+@query("wikilinks", r"SELECT item_id, trim(regexp_extract(t, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS first_link FROM (SELECT item_id, '[[' || text || '|alias]] and [[' || item_id || ']]' AS t FROM benchmark)")
 def wikilinks(spark, sf):
     t = F.concat(F.lit("[["), F.col("text"), F.lit("|alias]] and [["), F.col("item_id").cast("string"), F.lit("]]"))
     return V.table(spark, sf, "benchmark").select("item_id", C.wikilinks(t)[0].alias("first_link"))
@@ -551,8 +551,8 @@ def cosine_topk(spark, sf):
     return vector.cosine_topk(e, asked, 10).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-VECTOR0 = "v0 AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS cosine FROM embeddings ORDER BY round(cosine, 9) DESC, vec_id LIMIT 30)"
-FUSED = f"{POOL}, {VECTOR0}, lx AS (SELECT doc_id, norm FROM norm JOIN c USING (doc_id) ORDER BY round(0.8 * norm + 0.2 * reliability, 9) DESC, doc_id LIMIT 30), f AS (SELECT doc_id, norm, greatest(cosine, 0) AS vec FROM lx FULL JOIN v0 USING (doc_id))"
+VECTOR0 = "v9 AS (SELECT a.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id = 0), v0 AS (SELECT * FROM v9 ORDER BY round(cosine, 9) DESC, doc_id LIMIT 30)"
+FUSED = f"{POOL}, {VECTOR0}, lx AS (SELECT doc_id, norm FROM norm JOIN c USING (doc_id) ORDER BY round(0.8 * norm + 0.2 * reliability, 9) DESC, doc_id LIMIT 30), f AS (SELECT doc_id, norm, CASE WHEN cosine IS NOT NULL THEN greatest(cosine, 0) END AS vec FROM lx FULL JOIN v0 USING (doc_id))"
 
 
 def _channels(spark, sf):
@@ -683,13 +683,13 @@ QUESTIONS = ("How long did the war last?", "What percentage of the garrison fell
 CUES = (("duration", r"\bhow\s+long\b"), ("percentage", r"\bpercent(age)?\b"), ("date_ordering", r"\bwhich\s+(came|happened|occurred)\s+first\b"), ("sorting", r"\b(most|least|highest|lowest)\b"), ("total", r"\btotal\b"), ("conflict_detection", r"\bdo\s+(the\s+)?sources\s+(disagree|differ|conflict)\b"), ("entity_trace", r"\bwho\s+(wielded|held|commanded|ruled)\b"))
 
 
-@query("operation_detect", f"WITH q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {q!r})' for i, q in enumerate(QUESTIONS))}) t(question_id, question)), k AS (SELECT * FROM (VALUES {', '.join(f'({o!r}, {p!r})' for o, p in CUES)}) t(operation, cue)) SELECT question_id, operation FROM q JOIN k ON regexp_matches(question, '(?i)' || cue)")
+@query("operation_detect", f"WITH q AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))}) t(question_id, question)), k AS (SELECT * FROM (VALUES {', '.join(f"('{o}', '{p}')" for o, p in CUES)}) t(operation, cue)) SELECT question_id, operation FROM q JOIN k ON regexp_matches(question, '(?i)' || cue)")
 def operation_detect(spark, sf):
     q = spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, question string")
     return evidence.matched_cues(q, list(CUES))
 
 
-@query("entity_match", "WITH q AS (SELECT n_nationkey AS question_id, 'Who rules ' || n_name || ' and ' || r_name || '?' AS question FROM nation JOIN region ON n_regionkey = r_regionkey), names AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(r_name) FROM region) SELECT question_id, name FROM q JOIN names ON contains(' ' || trim(regexp_replace(lower(question), '[^a-z0-9_]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(name, '[^a-z0-9_]+', ' ', 'g')) || ' ')")
+@query("entity_match", "WITH q AS (SELECT n_nationkey AS question_id, 'Who rules ' || n_name || ' and ' || r_name || '?' AS question FROM nation JOIN region ON n_regionkey = r_regionkey), names AS (SELECT DISTINCT trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS name FROM (SELECT n_name AS x FROM nation UNION SELECT r_name FROM region)) SELECT question_id, name FROM q JOIN names ON contains(' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || name || ' ')")
 def entity_match(spark, sf):
     n, r = V.table(spark, sf, "nation"), V.table(spark, sf, "region")
     q = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("question_id"), F.concat(F.lit("Who rules "), "n_name", F.lit(" and "), "r_name", F.lit("?")).alias("question"))
