@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import vocab
+from foliant.session import ship
 
 WORD = r"(?i)[a-z][a-z'-]{1,}"
 #: Queries broadcast at once.
@@ -35,6 +36,7 @@ def tfidf(counted: DataFrame, words: DataFrame, key: str) -> DataFrame:
 
 def gram_matrix(weights: DataFrame, index: dict[str, int], key: str) -> np.ndarray:
     """A'A over documents, summed per task: its size is that of the vocabulary, not of the corpus."""
+    ship(weights.sparkSession)
     v = len(index)
     rows = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("w"))
 
@@ -114,6 +116,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     shuffled is bounded by tasks * queries * k.  Vectors of another length than a query raise.
     """
     spark = vectors.sparkSession
+    ship(spark)
     kind = dict(vectors.dtypes)[key]
     total = queries.count()
     n = -(-total // BLOCK)

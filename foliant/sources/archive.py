@@ -18,6 +18,7 @@ from foliant.functions import vocab
 from foliant.operators import facts as facts_of
 from foliant.operators import graph
 from foliant.operators.chunking import chunk
+from foliant.session import ship
 from foliant.sources.parsers import parse
 
 CHUNKS = "chunk_id string, document_id string, content string, content_type string, page_start int, page_end int, section_path array<string>, char_start bigint, char_end bigint, table_ids array<string>, figure_ids array<string>, ocr_confidence double, source_format string, source_class string"
@@ -80,6 +81,7 @@ def _arrow(schema: str) -> pa.Schema:
 
 def parsed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """document_id, chunks, tables, figures, pages, warnings: each file parsed and cut once, failures as warnings."""
+    ship(documents.sparkSession)
     chunk_type, table_type, figure_type = (pa.list_(pa.struct(list(_arrow(s)))) for s in (CHUNKS, TABLES, FIGURES))
     schema = f"document_id string, chunks array<struct<{_struct(CHUNKS)}>>, tables array<struct<{_struct(TABLES)}>>, figures array<struct<{_struct(FIGURES)}>>, warnings array<string>"
 
