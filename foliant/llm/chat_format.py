@@ -21,9 +21,11 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import ship
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 #: Strings that templates in use give a meaning; fixed values.
@@ -127,6 +129,7 @@ FORMATTED = "fingerprint string, layout string, n_turns bigint, formatted string
 
 def format_records(record: Column, layouts=None) -> Column:
     """A struct of ``FORMATTED`` for a column of JSON records."""
+    ship(SparkSession.active())
     known = registry(layouts)
 
     @F.pandas_udf(FORMATTED)
@@ -169,6 +172,7 @@ def records_of_turns(turns: DataFrame) -> DataFrame:
 
 def digests(formatted: Column, mask: Column) -> Column:
     """Turn count and digests, read back from formatted strings and their masks."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     def run(texts: pd.Series, masks: pd.Series) -> pd.DataFrame:

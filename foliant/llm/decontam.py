@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.tokens import MARK_BYTES, runs, slices, text_bytes, word_hashes
+from foliant.session import ship
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
@@ -96,6 +97,7 @@ class SeedIndex:
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
     """Broadcast seed indexes over all items, each of about ``block_words`` words."""
     spark = benchmark.sparkSession
+    ship(spark)
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter("text != ''")
     total = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     n = -(-total // block_words)

@@ -79,12 +79,22 @@ def block_words(total: int) -> int:
     return max(LEAST_BLOCK, min(LARGEST_BLOCK, -(-total // SLOTS)))
 
 
+def _quotients(g: int, n: int) -> list[int]:
+    """The continued fraction of g / n: the smaller its terms, the more evenly the multiples of g spread."""
+    out = []
+    while g:
+        out.append(n // g)
+        n, g = g, n % g
+    return out
+
+
 def lattice_step(n: int) -> int:
-    """The step next to n over the golden ratio that shares no factor with n."""
-    g = max(1, round(n * 0.6180339887498949))
-    while gcd(g, n) != 1:
-        g += 1
-    return g
+    """The step near n over the golden ratio, without a factor of n, whose multiples spread most evenly."""
+    if n < 3:
+        return 1
+    near = round(n * 0.6180339887498949)
+    steps = [g for g in range(max(2, near - 256), min(n, near + 257)) if gcd(g, n) == 1] or [1]
+    return min(steps, key=lambda g: (max(_quotients(g, n)), abs(g - near)))
 
 
 def schedule(goal: DataFrame, block: int) -> DataFrame:

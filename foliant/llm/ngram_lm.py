@@ -9,8 +9,10 @@ discounts from counts of counts, context totals and the interpolation are joins
 log-probabilities per document.  They are broadcast when counted to be at most ``BROADCAST_ROWS``;
 beyond it (very many languages) documents' n-gram counts are joined with them.
 
-A document is kept if its bits are at most its language's threshold, 2 * q99 - q50 of the trusted
-documents' quantiles of bits per byte, times its bytes, plus ``OPENING``.  Languages without trusted text use the model and threshold of all
+A document is kept if its bits are at most its language's threshold times its bytes, plus ``OPENING``.
+The threshold comes from quantiles of the trusted documents' bits per byte: the larger of
+2 * q99 - q50 and ``MEDIANS`` * q50, as the model has seen those documents and few of them make a
+narrow q99; a passage in another language must not cost a clean document its place.  Languages without trusted text use the model and threshold of all
 trusted text.
 
 Defined results: a null or empty text has 0 bytes, perplexity 1 and is not kept; a null language is
@@ -39,6 +41,8 @@ HELD = 24
 POOL = "*"
 #: Bits a text may have over its threshold, whatever its length: few bytes say little about a text.
 OPENING = 32.0
+#: A threshold is at least so many times the median.
+MEDIANS = 1.5
 
 _CLASS = np.full(256, 30, np.uint32)
 _CLASS[128:] = 31
@@ -218,7 +222,7 @@ def _joined_scores(docs: DataFrame, logp: DataFrame) -> DataFrame:
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
-    """key, threshold: 2 * q99 - q50 of the trusted documents' bits per byte, per language and for all, in thousandths."""
+    """key, threshold, per language and for all, from the trusted documents' bits per byte in thousandths."""
     good = scored.filter("trusted AND bytes > 0").select("key", F.round(1000 * F.col("bits") / F.col("bytes")).cast("bigint").alias("at"))
     both = good.groupBy("key", "at").agg(F.count("*").alias("n"))
     both = both.unionByName(both.groupBy("at").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "at", "n"))
@@ -226,7 +230,7 @@ def thresholds(scored: DataFrame) -> DataFrame:
     upto = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     share = both.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole))
     q = lambda x: F.min(F.when(F.col("share") >= x, F.col("at")))
-    return share.groupBy("key").agg(((2 * q(0.99) - q(0.5)) / 1000).alias("threshold"))
+    return share.groupBy("key").agg((F.greatest(2 * q(0.99) - q(0.5), MEDIANS * q(0.5)) / 1000).alias("threshold"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:

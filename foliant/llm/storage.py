@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.session import ship
+
 _LOCAL_BASE: list[str] = []
 
 
@@ -33,6 +35,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.storage import new_path
+from foliant.session import ship
 
 MIN_REVISIT = 1000
 #: Archives are closed once they hold this much, compressed; the dictionary's size, and the sample it is trained on.
@@ -114,6 +115,7 @@ def write(pages: DataFrame, path: str, dictionary: bytes) -> int:
             close(parts, nth)
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["records"])
 
+    ship(pages.sparkSession)
     return pages.mapInArrow(run, "records bigint").agg(F.sum("records")).first()[0] or 0
 
 
@@ -199,6 +201,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
     return files.mapInArrow(run, RECORDS)
 
