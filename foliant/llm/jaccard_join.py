@@ -283,8 +283,8 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a string, b string")
 
 
-def _forest(sigs: list, sets: list[np.ndarray]):
-    """Links that span the components of a group of sets, from counts of common shingles."""
+def _near(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of a group's sets link, from counts of common shingles."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
@@ -297,8 +297,14 @@ def _forest(sigs: list, sets: list[np.ndarray]):
         who = owner[at : at + size]
         common[np.ix_(who, who)] += 1
     near = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
-    left = np.ones(m, bool)
-    for k in range(m):
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _forest(near: np.ndarray):
+    """Links that span the components."""
+    left = np.ones(len(near), bool)
+    for k in range(len(near)):
         if left[k]:
             left[k], edge = False, [k]
             while edge:
@@ -306,41 +312,58 @@ def _forest(sigs: list, sets: list[np.ndarray]):
                 new = np.flatnonzero(near[at] & left)
                 left[new] = False
                 edge += new.tolist()
-                for x in new:
-                    yield sigs[at], sigs[x]
+                for x in new.tolist():
+                    yield at, x
+
 
+def verified_groups(of: DataFrame, sets: DataFrame) -> DataFrame:
+    """From groups (set, comp): rows (a, b, null) that span their links, and rows (a, null, n) that count each set's.
 
-def verified_groups(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): spanning links inside the groups that stars join, each group cut in blocks and compared by pairs of blocks."""
-    of = components(stars).select(F.col("node").alias("set"), F.col("root").alias("comp"))
+    A group is cut in blocks that are compared by pairs; a pair of blocks counts links across it, a block with itself those inside.
+    """
     blocks = of.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = of.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     spread = placed.select("set", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("set", F.concat_ws(":", "comp", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    dealt = sets.join(spread, "set").select("task", "sig", "data").repartition("task").sortWithinPartitions("task")
-
-    def links(sigs, sets):
-        a, b = zip(*found, strict=True) if (found := list(_forest(sigs, sets))) else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+    spread = spread.select("set", "own", F.concat_ws(":", "comp", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    dealt = sets.join(spread, "set").select("task", "own", "sig", "data").repartition("task").sortWithinPartitions("task")
+
+    def links(task, own, sigs, sets):
+        near = _near(sets)
+        _, i, j = task.rsplit(":", 2)
+        counted = near if i == j else near & (np.array(own)[:, None] != np.array(own)[None, :])
+        n = counted.sum(1)
+        some = np.flatnonzero(n).tolist()
+        edges = list(_forest(near))
+        a = [sigs[x] for x, _ in edges] + [sigs[x] for x in some]
+        b = [sigs[y] for _, y in edges] + [None] * len(some)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([None] * len(edges) + n[some].tolist(), pa.int64())], names=["a", "b", "n"])
 
     def run(batches):
-        now, sigs, sets = None, [], []
+        now, own, sigs, sets = None, [], [], []
         for batch in batches:
-            for task, sig, data in zip(batch["task"].to_pylist(), batch["sig"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            for task, block, sig, data in zip(*(batch[c].to_pylist() for c in ("task", "own", "sig", "data")), strict=True):
                 if task != now and sets:
-                    yield links(sigs, sets)
-                    sigs, sets = [], []
+                    yield links(now, own, sigs, sets)
+                    own, sigs, sets = [], [], []
                 now = task
+                own.append(block)
                 sigs.append(sig)
                 sets.append(np.frombuffer(data, np.uint64))
         if sets:
-            yield links(sigs, sets)
+            yield links(now, own, sigs, sets)
+
+    return dealt.mapInArrow(run, "a string, b string, n bigint")
+
 
-    return dealt.mapInArrow(run, "a string, b string")
+def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs that no group compares already."""
+    side = lambda c: of.select(F.col("set").alias(c), F.col("comp").alias(f"comp_{c}"))
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return met.filter("comp_a IS NULL OR comp_b IS NULL OR comp_a != comp_b").select("a", "b")
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, component_id: the set's size and signature and the smallest doc_id reachable by links."""
+    """doc_id, n, sig, component_id, n_links: the set's size and signature, the smallest doc_id reachable by links, and how many other sets it links with."""
     spark = docs.sparkSession
     scanned = keep(scan(docs), "shingles")
     own = scanned.filter("part IS NULL").select("doc_id", "n", "sig")
@@ -354,15 +377,20 @@ def join(docs: DataFrame) -> DataFrame:
     classes = keep(own.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("set", _short_of_sig()), "classes")
     nodes = close.select(F.col("a").alias("set")).union(close.select("b")).union(stars.select("a")).union(stars.select("b")).distinct()
     sets = keep(full_sets(docs, classes, keep(nodes, "nodes")), "sets")
-    links = verified_pairs(close, sets).unionByName(verified_groups(stars, sets))
-    roots = components(links)
+    groups = keep(components(stars).select(F.col("node").alias("set"), F.col("root").alias("comp")), "groups")
+    single = keep(verified_pairs(_apart(close, groups), sets), "links")
+    inside = keep(verified_groups(groups, sets), "group_links")
+    roots = components(single.unionByName(inside.filter("b IS NOT NULL").select("a", "b")))
+    one = F.lit(1).cast("bigint").alias("n")
+    ends = single.select("a", one).unionByName(single.select(F.col("b").alias("a"), one)).unionByName(inside.filter("b IS NULL").select("a", "n"))
+    degree = ends.groupBy(F.col("a").alias("sig")).agg(F.sum("n").alias("n_links"))
     linked = roots.join(classes.select(F.col("sig").alias("node"), "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = linked.join(least, "root").select(F.col("node").alias("sig"), "component_id")
-    known = classes.join(named, "sig", "left").filter("copies > 1 OR component_id IS NOT NULL").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
+    known = classes.join(named, "sig", "left").filter("copies > 1 OR component_id IS NOT NULL").join(degree, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"), "n_links")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["sig", "salt"], "left")
-    return out.select("doc_id", "n", "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n", "sig", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def _short_of_sig():

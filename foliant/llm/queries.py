@@ -64,7 +64,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = jaccard_join.join(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

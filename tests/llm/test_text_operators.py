@@ -136,21 +136,25 @@ def linked(rows):
             x = root[x]
         return x
 
+    degree = defaultdict(set)
     for i, j in combinations(range(len(rows)), 2):
         if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
             root[find(i)] = find(j)
+            if sets[i] != sets[j]:
+                degree[sets[i]].add(sets[j])
+                degree[sets[j]].add(sets[i])
     least = {}
     for k, (d, _) in enumerate(rows):
         if d is not None:
             least[find(k)] = min(least.get(find(k), d), d)
-    return [(d, len(sets[k]), least.get(find(k)) if sets[k] else d) for k, (d, _) in enumerate(rows)]
+    return [(d, len(sets[k]), least.get(find(k)) if sets[k] else d, len(degree[sets[k]])) for k, (d, _) in enumerate(rows)]
 
 
 def test_jaccard_join(docs):
     want = linked(X.plain_rows(docs))
-    got = jaccard_join.join(docs).select("doc_id", "n", "component_id").collect()
+    got = jaccard_join.join(docs).select("doc_id", "n", "component_id", "n_links").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
-    assert sum(c != d for d, _, c in want) > 15
+    assert sum(c != d for d, _, c, _ in want) > 15
 
 
 def test_jaccard_join_of_frequent_shingles(spark, monkeypatch):
@@ -167,7 +171,7 @@ def test_jaccard_join_of_frequent_shingles(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = jaccard_join.join(docs).select("doc_id", "n", "component_id").collect()
+    got = jaccard_join.join(docs).select("doc_id", "n", "component_id", "n_links").collect()
     assert sorted(map(tuple, got)) == sorted(linked(rows))
 
 
@@ -178,7 +182,7 @@ def test_jaccard_of_empty(spark):
 
 def test_one_per_group(docs):
     out = jaccard_join.one_per_group(docs)
-    gone = {d for d, _, c in linked(X.plain_rows(docs)) if d is not None and c is not None and c < d}
+    gone = {d for d, _, c, _ in linked(X.plain_rows(docs)) if d is not None and c is not None and c < d}
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter(d for d, _ in X.plain_rows(docs) if d not in gone)
 
