@@ -53,3 +53,16 @@ def test_cosine_rejects_other_dimensions(spark):
     asked = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "query_id bigint, embedding array<double>")
     with pytest.raises(PythonException):
         vector.cosine_topk(rows, asked, 1).collect()
+
+
+def test_repository_works_without_its_llm_folders(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(catalog.__file__).parents[2]
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "spark-warehouse"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin"})
