@@ -1,4 +1,4 @@
-"""python -m foliant {ingest,ask,search,facts} STORE …"""
+"""python -m foliant {ingest,ask,search,conflicts,evaluate,stats} STORE …"""
 
 from __future__ import annotations
 
@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from foliant.functions import columns as C
 from foliant.operators import facts, lexical
 from foliant.plans.ask import Investigator
+from foliant.plans.service import Service
 from foliant.sources.archive import Archive
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="foliant", description=__doc__)
-    parser.add_argument("command", choices=("ingest", "ask", "search", "conflicts", "stats"))
+    parser.add_argument("command", choices=("ingest", "ask", "search", "conflicts", "evaluate", "stats"))
     parser.add_argument("store")
-    parser.add_argument("what", nargs="*", help="a folder to ingest, a question or words to search for")
+    parser.add_argument("what", nargs="*", help="a folder to ingest, a question, words to search for or a file of golden questions")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("foliant").getOrCreate()
     archive = Archive(spark, args.store)
@@ -33,6 +34,8 @@ def main() -> None:
         lexical.reranked(pool, chunks.select("chunk_id", "reliability", "content"), 10).show(truncate=100)
     elif args.command == "conflicts":
         facts.conflict_positions(archive.table("facts")).show(truncate=False)
+    elif args.command == "evaluate":
+        Service(archive).evaluate(args.what[0]).orderBy("level", "category", "status").show(100, truncate=False)
     else:
         archive.statistics().show()
 
