@@ -15,6 +15,10 @@ The threshold comes from quantiles of the trusted documents' bits per byte: the
 narrow q99; a passage in another language must not cost a clean document its place.  Languages without trusted text use the model and threshold of all
 trusted text.
 
+Texts are read where they lie and are not shuffled: the ids of trusted documents are broadcast when
+counted to be at most ``TRUSTED_IDS``; beyond it, or for ids that are no integers, documents are
+joined with them, which shuffles their texts once.
+
 Defined results: a null or empty text has 0 bytes, perplexity 1 and is not kept; a null language is
 one of its own; rows that repeat are scored alike; trusted ids that repeat count once; without any
 trusted text the model is uniform and everything with text is kept; an empty table gives an empty
@@ -36,6 +40,8 @@ ORDER, BITS = 4, 5
 CODES = 1 << (ORDER * BITS)
 PARTS = 16
 BROADCAST_ROWS = 8_000_000
+#: Trusted ids that are broadcast, 8 bytes each.
+TRUSTED_IDS = 8_000_000
 #: Languages a task counts at once, before it sends what it has.
 HELD = 24
 POOL = "*"
@@ -84,8 +90,25 @@ def _by_language(batch):
         yield key, np.flatnonzero(names == key)
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """key, code, n, from (key, trusted, text): n-grams of all documents, n of trusted ones."""
+def marked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
+    """``rows`` with ``trusted`` and None; or, for few integer ids, without it and a broadcast of them, sorted."""
+    if dict(rows.dtypes)["doc_id"] in ("bigint", "int") and ids.count() <= TRUSTED_IDS:
+        held = np.sort(ids.toPandas()["trusted_id"].to_numpy(np.int64))
+        return rows, rows.sparkSession.sparkContext.broadcast(held)
+    return rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id"), None
+
+
+def _flags(batch, shipped) -> np.ndarray:
+    if shipped is None:
+        return batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
+    held, ids = shipped.value, batch["doc_id"]
+    values = ids.fill_null(0).to_numpy().astype(np.int64)
+    at = np.minimum(np.searchsorted(held, values), max(len(held) - 1, 0))
+    return (held[at] == values if len(held) else np.zeros(len(values), bool)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def counts(docs: DataFrame, shipped=None) -> DataFrame:
+    """key, code, n, from (doc_id, key, text) and what ``marked`` gave: n-grams of all documents, n of trusted ones."""
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
@@ -104,7 +127,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 # the upper half counts how often trusted text has a code, plus one mark for any text
                 sums = held.setdefault(key, np.zeros(CODES, np.uint64))
                 own = batch.take(pa.array(rows))
-                trusted = own["trusted"].to_numpy(zero_copy_only=False).astype(bool)
+                trusted = _flags(own, shipped)
                 for good in (True, False):
                     data, bounds = text_bytes(own["text"].filter(pa.array(trusted == good)))
                     for lo, hi in slices(bounds):
@@ -131,7 +154,7 @@ def counts(docs: DataFrame) -> DataFrame:
         key = pa.array([at[0]], pa.string()).take(pa.array(np.zeros(len(some), np.int64)))
         return pa.RecordBatch.from_arrays([key, pa.array(some + at[1] * (CODES // PARTS), pa.int64()), pa.array((sums[some] >> np.uint64(1)).astype(np.int64))], names=["key", "code", "n"])
 
-    shares = docs.select("key", "trusted", "text").mapInArrow(run, "key string, part int, data binary")
+    shares = docs.select("doc_id", "key", "text", *(["trusted"] if shipped is None else [])).mapInArrow(run, "key string, part int, data binary")
     return shares.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(add, "key string, code bigint, n bigint")
 
 
@@ -164,9 +187,9 @@ def log_probabilities(grams: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def scores(docs: DataFrame, logp: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted, bytes, bits, from (doc_id, lang, key, trusted, text)."""
+    """doc_id, lang, key, bytes, bits, from (doc_id, lang, key, text)."""
     kind, lang = dict(docs.dtypes)["doc_id"], dict(docs.dtypes)["lang"]
-    chosen = docs.select("doc_id", "lang", "key", "trusted", "text")
+    chosen = docs.select("doc_id", "lang", "key", "text")
     rows = logp.count()
     if rows > BROADCAST_ROWS:
         return _joined_scores(chosen, logp)
@@ -191,9 +214,9 @@ def scores(docs: DataFrame, logp: DataFrame) -> DataFrame:
                 for lo, hi in slices(bounds):
                     sums = np.concatenate([[0.0], np.cumsum(dense[key][codes(data, bounds[lo : hi + 1])])])
                     bits[rows[lo:hi]] = -np.diff(sums[bounds[lo : hi + 1] - bounds[lo]])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["key"], batch["trusted"], pa.array(n), pa.array(bits)], names=["doc_id", "lang", "key", "trusted", "bytes", "bits"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["key"], pa.array(n), pa.array(bits)], names=["doc_id", "lang", "key", "bytes", "bits"])
 
-    return chosen.mapInArrow(run, f"doc_id {kind}, lang {lang}, key string, trusted boolean, bytes bigint, bits double")
+    return chosen.mapInArrow(run, f"doc_id {kind}, lang {lang}, key string, bytes bigint, bits double")
 
 
 def _joined_scores(docs: DataFrame, logp: DataFrame) -> DataFrame:
@@ -212,18 +235,18 @@ def _joined_scores(docs: DataFrame, logp: DataFrame) -> DataFrame:
                     found, n = np.unique(own[bounds[t] - bounds[lo] : bounds[t + 1] - bounds[lo]], return_counts=True)
                     found, n = (found, n) if len(found) else (np.zeros(1, np.uint32), np.zeros(1, np.int64))
                     same = pa.array(np.full(len(found), t, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rid + t, np.int64)), *(batch[c].take(same) for c in ("doc_id", "lang", "key", "trusted")), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["rid", "doc_id", "lang", "key", "trusted", "code", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rid + t, np.int64)), *(batch[c].take(same) for c in ("doc_id", "lang", "key")), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["rid", "doc_id", "lang", "key", "code", "n"])
             rid += len(batch)
 
-    asked = keep(docs.mapInArrow(run, f"rid bigint, doc_id {kind}, lang {lang}, key string, trusted boolean, code bigint, n bigint"), "ngrams")
+    asked = keep(docs.mapInArrow(run, f"rid bigint, doc_id {kind}, lang {lang}, key string, code bigint, n bigint"), "ngrams")
     met = asked.join(logp, ["key", "code"], "left")
-    summed = met.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("doc_id", "lang", "key", "trusted")], F.sum("n").alias("bytes"), F.sum(-F.col("n") * F.coalesce("logp", F.lit(0.0))).alias("bits"))
-    return summed.select("doc_id", "lang", "key", "trusted", "bytes", "bits")
+    summed = met.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("doc_id", "lang", "key")], F.sum("n").alias("bytes"), F.sum(-F.col("n") * F.coalesce("logp", F.lit(0.0))).alias("bits"))
+    return summed.select("doc_id", "lang", "key", "bytes", "bits")
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
-    """key, threshold, per language and for all, from the trusted documents' bits per byte in thousandths."""
-    good = scored.filter("trusted AND bytes > 0").select("key", F.round(1000 * F.col("bits") / F.col("bytes")).cast("bigint").alias("at"))
+    """key, threshold, per language and for all, from the scores of trusted documents' bits per byte in thousandths."""
+    good = scored.filter("bytes > 0").select("key", F.round(1000 * F.col("bits") / F.col("bytes")).cast("bigint").alias("at"))
     both = good.groupBy("key", "at").agg(F.count("*").alias("n"))
     both = both.unionByName(both.groupBy("at").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "at", "n"))
     whole = Window.partitionBy("key")
@@ -236,9 +259,9 @@ def thresholds(scored: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, bytes, bits_per_byte, perplexity, threshold, kept for every row of ``docs``."""
     ids = trusted_ids.select(F.col("doc_id").alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
+    ids = keep(ids, "trusted")
     rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _language())
-    rows = rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id")
-    found = keep(counts(rows), "counts")
+    found = keep(counts(*marked(rows, ids)), "counts")
     grams = found.filter("n > 0")
     pooled = grams.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "code", "n")
     known = grams.select("key").distinct().withColumn("known", F.lit(True))
@@ -247,7 +270,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     keyed = rows.join(keep(known, "known"), "key", "left").withColumn("key", F.when(F.col("known"), F.col("key")).otherwise(F.lit(POOL)))
     scored = keep(scores(keyed, logp), "scores")
     per = F.col("bits") / F.greatest("bytes", F.lit(1))
-    limits = thresholds(scored)
+    limits = thresholds(scored.join(ids, scored["doc_id"] == ids["trusted_id"], "left_semi"))
     out = scored.join(limits, "key", "left").withColumn("bits_per_byte", per)
     kept = (F.col("bytes") > 0) & F.coalesce(F.col("bits") <= F.col("threshold") * F.col("bytes") + OPENING, F.lit(True))
     return out.select("doc_id", "lang", "bytes", "bits_per_byte", F.pow(F.lit(2.0), "bits_per_byte").alias("perplexity"), "threshold", kept.alias("kept"))

@@ -380,6 +380,7 @@ def code_list(text):
 @pytest.mark.parametrize("bound", [ngram_lm.BROADCAST_ROWS, 0])
 def test_kneser_ney_against_the_textbook(spark, monkeypatch, bound):
     monkeypatch.setattr(ngram_lm, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(ngram_lm, "TRUSTED_IDS", bound)
     rows = [(k, t, "en" if k % 2 else "fr", "pad") for k, t in enumerate(X.texts()[:40])] + [(500, "no model here", None, "pad")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, key string")
     trusted = spark.createDataFrame([(k,) for k in range(10, 30)] + [(11,), (None,)], "doc_id bigint")
