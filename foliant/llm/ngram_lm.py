@@ -93,7 +93,7 @@ def _by_language(batch):
 def marked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
     """``rows`` with ``trusted`` and None; or, for few integer ids, without it and a broadcast of them, sorted."""
     if dict(rows.dtypes)["doc_id"] in ("bigint", "int") and ids.count() <= TRUSTED_IDS:
-        held = np.sort(ids.toPandas()["trusted_id"].to_numpy(np.int64))
+        held = np.sort(ids.toArrow()["trusted_id"].to_numpy().astype(np.int64))
         return rows, rows.sparkSession.sparkContext.broadcast(held)
     return rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id"), None
 
@@ -170,9 +170,9 @@ def _discounts(grams: DataFrame) -> DataFrame:
 def log_probabilities(grams: DataFrame, asked: DataFrame) -> DataFrame:
     """key, code, logp (base 2) of the asked (key, code), under the model that trusted counts (key, code, n) give."""
     unit = 1 << BITS
-    orders = {ORDER: grams}
+    orders = {ORDER: keep(grams, f"order{ORDER}")}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many units stand before an n-gram
-        orders[k] = orders[k + 1].groupBy("key", (F.col("code") % unit**k).alias("code")).agg(F.count("*").alias("n"))
+        orders[k] = keep(orders[k + 1].groupBy("key", (F.col("code") % unit**k).alias("code")).agg(F.count("*").alias("n")), f"order{k}")
     out = asked.select("key", "code").withColumn("p", F.lit(1.0 / unit))
     for k in range(1, ORDER + 1):
         cut = _discounts(orders[k])
@@ -182,7 +182,7 @@ def log_probabilities(grams: DataFrame, asked: DataFrame) -> DataFrame:
         out = out.withColumn("at", F.col("code") % unit**k).withColumn("context", F.expr(f"at div {unit}"))
         out = out.join(own, ["key", "at"], "left").join(contexts, ["key", "context"], "left")
         p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("rest", F.lit(0.0)) + F.col("mass") * F.col("p")) / F.col("total"))
-        out = out.select("key", "code", p.alias("p"))
+        out = keep(out.select("key", "code", p.alias("p")), f"p{k}")  # short plans: each order would repeat those below it
     return out.select("key", "code", F.log2("p").alias("logp"))
 
 
@@ -193,10 +193,13 @@ def scores(docs: DataFrame, logp: DataFrame) -> DataFrame:
     rows = logp.count()
     if rows > BROADCAST_ROWS:
         return _joined_scores(chosen, logp)
-    table: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for key, part in logp.toPandas().groupby("key"):
-        table[key] = part["code"].to_numpy(np.int64), part["logp"].to_numpy(np.float64)
+    held = logp.orderBy("key", "code").toArrow()
+    names, starts = np.unique(held["key"].to_numpy(), return_index=True) if rows else (np.zeros(0, object), np.zeros(0, int))
+    ends = [*starts[1:].tolist(), rows]
+    at, value = held["code"].to_numpy(), held["logp"].to_numpy()
+    table = {str(k): (at[a:z].astype(np.int32), value[a:z]) for k, a, z in zip(names, starts.tolist(), ends, strict=False)}
     shipped = chosen.sparkSession.sparkContext.broadcast(table)
+    del held, at, value, table
 
     def run(batches):
         dense: dict[str, np.ndarray] = {}
