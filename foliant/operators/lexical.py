@@ -67,8 +67,11 @@ def reranked(pool: DataFrame, quality: DataFrame, limit: int, key: str = "chunk_
 
 def phrase(chunks: DataFrame, terms: list[str], key: str = "chunk_id", text: str = "content") -> DataFrame:
     """key, hits: where the terms stand side by side."""
-    own = tokens(F.col(text))
-    wanted = F.array(*[F.lit(t) for t in terms])
-    rows = chunks.select(key, own.alias("t")).filter(F.size("t") >= len(terms))
-    starts = F.filter(F.sequence(F.lit(1), F.size("t") - len(terms) + 1), lambda i: F.slice(F.col("t"), i, len(terms)) == wanted)
-    return rows.filter(F.array_contains("t", terms[0])).select(key, F.size(starts).cast("bigint").alias("hits")).filter("hits > 0")
+
+    def hits(t: Column) -> Column:
+        same = lambda x, i: F.reduce(F.array(*[F.get(t, i + k) == F.lit(w) for k, w in enumerate(terms)]), x == terms[0], lambda a, b: a & F.coalesce(b, F.lit(False)))
+        return F.size(F.filter(t, same)).cast("bigint")
+
+    # a lambda variable holds the tokens, which would else be cut anew for each of them
+    once = F.transform(F.array(tokens(F.col(text))), hits)[0]
+    return chunks.filter(F.contains(F.lower(text), F.lit(terms[0]))).select(key, once.alias("hits")).filter("hits > 0")
