@@ -1,81 +1,94 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, per language.
-
-Units are bytes folded to 32 classes (letters, digits, space, line end, marks, symbols, bytes of other
-scripts); the order is 4, so a language has at most 2**20 n-grams and every n-gram a dense code.  One
-scan counts the n-grams of trusted documents and marks those of all documents; tasks send packed
-shares, summed by (language, part).  From the sums on, everything is tables: continuation counts,
-discounts from counts of counts, context totals and the interpolation are joins and aggregations on
-(language, code), sharded by Spark, over the n-grams that documents ask for.  A second scan adds up
-log-probabilities per document.  They are broadcast when counted to be at most ``BROADCAST_ROWS``;
-beyond it (very many languages) documents' n-gram counts are joined with them.
-
-A document is kept if its bits are at most its language's threshold times its bytes, plus ``OPENING``.
-The threshold comes from quantiles of the trusted documents' bits per byte: the larger of
-2 * q99 - q50 and ``MEDIANS`` * q50, as the model has seen those documents and few of them make a
-narrow q99; a passage in another language must not cost a clean document its place.  Languages without trusted text use the model and threshold of all
-trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text's words, per language.
+
+Units are words (A-Z lower-cased, 64-bit hashes seeded by language) and a text's two ends; the order is
+2.  An interpolated model written with back-off weights makes a text's log-probability a plain sum: each
+n-gram it holds adds ``value``, which is 0 for n-grams that trusted text lacks,
+
+    word w:      log p(w) - log p(unknown) + log backoff(w)
+    pair (a, b): log p(b | a) - log backoff(a) - log p(b)
+
+and every word adds log p(unknown).  Trusted text gives counts by (a, b); continuation counts, discounts
+from counts of counts, context totals and the interpolation are aggregations and joins over them, and all
+of it grows with the corpus: nothing is broadcast but trusted ids, when counted to be few.
+
+Scoring is a sharded join of n-grams with their values, in ``ROUNDS`` rounds over ranges of the hash, so
+that a round's tables are a part of the whole.  A task asks once for each n-gram of a group of texts;
+requests go to the shard of their hash, which streams them past its part of the model; answers return to
+their group and are added up by document.  A frequent n-gram is asked for once a group, not once a
+document, so no shard is hot whatever its frequency.
+
+Half of the trusted documents, by a hash of the id, train the model; the other half, which it has not
+seen, give each language its threshold on bits per word, the larger of 2 * q99 - q50 and ``MEDIANS`` *
+q50: few documents make a narrow q99, and a passage in another language must not cost a clean document
+its place.  A document is kept if its bits are at most threshold * (words + 1) + ``OPENING``.  Languages
+without training text use the model and threshold of all trusted text.
 
 Texts are read where they lie and are not shuffled: the ids of trusted documents are broadcast when
 counted to be at most ``TRUSTED_IDS``; beyond it, or for ids that are no integers, documents are
-joined with them, which shuffles their texts once.
+joined with them, which shuffles their texts.
 
-Defined results: a null or empty text has 0 bytes, perplexity 1 and is not kept; a null language is
-one of its own; rows that repeat are scored alike; trusted ids that repeat count once; without any
-trusted text the model is uniform and everything with text is kept; an empty table gives an empty
-result; other columns are not read.
+Defined results: a null or empty text, or one without words, has 0 words, 0 bits, perplexity 1 and is not
+kept; a null language is one of its own; rows that repeat are scored alike; trusted ids that repeat count
+once; without any trusted text nothing is measured and every text but null and empty ones is kept; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.storage import keep
-from foliant.llm.tokens import slices, text_bytes
+from foliant.llm.storage import keep, keep_while
+from foliant.llm.tokens import U, mix, slices, text_bytes, word_hashes
 
-ORDER, BITS = 4, 5
-CODES = 1 << (ORDER * BITS)
-PARTS = 16
-BROADCAST_ROWS = 8_000_000
+#: Rounds are 2**ROUND_BITS ranges of the hash.
+ROUND_BITS = 2
+#: Words that are asked for together, and n-grams of the model that a shard aims for.
+GROUP_WORDS, SHARD_ROWS = 1 << 20, 1 << 18
 #: Trusted ids that are broadcast, 8 bytes each.
 TRUSTED_IDS = 8_000_000
-#: Languages a task counts at once, before it sends what it has.
-HELD = 24
+#: Languages whose few figures are broadcast.
+LANGUAGES = 100_000
 POOL = "*"
-#: Bits a text may have over its threshold, whatever its length: few bytes say little about a text.
-OPENING = 32.0
+#: Bits a text may have over its threshold, whatever its length: few words say little about a text.
+OPENING = 48.0
 #: A threshold is at least so many times the median.
-MEDIANS = 1.5
-
-_CLASS = np.full(256, 30, np.uint32)
-_CLASS[128:] = 31
-for _c in range(26):
-    _CLASS[65 + _c] = _CLASS[97 + _c] = _c
-_CLASS[48:58] = 26
-_CLASS[[32, 9, 11, 12, 13]] = 27
-_CLASS[10] = 28
-for _c in ".,;:!?'\"()-":
-    _CLASS[ord(_c)] = 29
-
-
-def codes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The 4-gram code that ends at each byte of the texts; line ends stand before a text."""
-    data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
-    unit = _CLASS[data]
-    out = unit.copy()
-    starts = bounds[:-1][bounds[:-1] < len(data)]
-    for back in range(1, ORDER):
-        before = np.full(len(unit), 28, np.uint32)
-        before[back:] = unit[:-back]
-        for k in range(back):
-            at = starts + k
-            inside = at < np.append(starts[1:], len(data)) if len(starts) else at < 0
-            before[at[inside]] = 28
-        out |= before << np.uint32(BITS * back)
-    return out
+MEDIANS = 1.1
+#: Where a group's own row sorts: after all answers.
+LAST = 1 << 30
+
+_LEFT, _RIGHT, _START, _END = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25), U(0x6C62272E07BB0142), U(0x27D4EB2F165667C5)
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _LEFT + mix(b * _RIGHT))
+
+
+def units(data: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units of texts, start and end among them, and the text each belongs to."""
+    hashes, at = word_hashes(data, bounds)
+    per = np.diff(at)
+    text = np.repeat(np.arange(len(per)), per + 2)
+    out = np.empty(len(text), np.uint64)
+    first = at[:-1] - at[0] + 2 * np.arange(len(per))
+    out[np.arange(len(hashes)) + 2 * np.repeat(np.arange(len(per)), per) + 1] = mix(hashes ^ np.repeat(seeds, per))
+    out[first], out[first + per + 1] = mix(seeds ^ _START), mix(seeds ^ _END)
+    return out, text
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of their bytes, so that the many zero ones vanish."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def _language(c="lang"):
@@ -83,13 +96,6 @@ def _language(c="lang"):
     return F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c)))
 
 
-def _by_language(batch):
-    """(language, row numbers) of a batch."""
-    names = batch["key"].to_numpy(zero_copy_only=False)
-    for key in dict.fromkeys(names.tolist()):
-        yield key, np.flatnonzero(names == key)
-
-
 def marked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
     """``rows`` with ``trusted`` and None; or, for few integer ids, without it and a broadcast of them, sorted."""
     if dict(rows.dtypes)["doc_id"] in ("bigint", "int") and ids.count() <= TRUSTED_IDS:
@@ -107,149 +113,208 @@ def _flags(batch, shipped) -> np.ndarray:
     return (held[at] == values if len(held) else np.zeros(len(values), bool)) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def counts(docs: DataFrame, shipped=None) -> DataFrame:
-    """key, code, n, from (doc_id, key, text) and what ``marked`` gave: n-grams of all documents, n of trusted ones."""
+def _seeds(column) -> np.ndarray:
+    return column.to_numpy().view(np.uint64)
 
-    def run(batches):
-        held: dict[str, np.ndarray] = {}
 
-        def packed():
-            rows = [(key, p, zstandard.compress(part.tobytes(), 1)) for key, sums in held.items() for p, part in enumerate(sums.reshape(PARTS, -1)) if part.any()]
-            held.clear()
-            if rows:
-                keys, parts, data = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["key", "part", "data"])
+def _mine(hashes: np.ndarray, turn: int) -> np.ndarray:
+    return hashes >> U(64 - ROUND_BITS) == U(turn)
 
-        for batch in batches:
-            for key, rows in _by_language(batch):
-                if key not in held and len(held) >= HELD:
-                    yield from packed()
-                # the upper half counts how often trusted text has a code, plus one mark for any text
-                sums = held.setdefault(key, np.zeros(CODES, np.uint64))
-                own = batch.take(pa.array(rows))
-                trusted = _flags(own, shipped)
-                for good in (True, False):
-                    data, bounds = text_bytes(own["text"].filter(pa.array(trusted == good)))
-                    for lo, hi in slices(bounds):
-                        found = np.bincount(codes(data, bounds[lo : hi + 1]), minlength=CODES).astype(np.uint64)
-                        sums += found * np.uint64(2) if good else np.uint64(0)
-                        sums |= (found > 0).astype(np.uint64)
-        yield from packed()
-
-    def add(batches):
-        now, sums = None, None
-        for batch in batches:
-            for key, part, data in zip(batch["key"].to_pylist(), batch["part"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                if (key, part) != now:
-                    if now:
-                        yield unpacked(now, sums)
-                    now, sums = (key, part), np.zeros(CODES // PARTS, np.uint64)
-                new = np.frombuffer(zstandard.decompress(data), np.uint64)
-                sums = ((sums >> np.uint64(1)) + (new >> np.uint64(1)) << np.uint64(1)) | ((sums | new) & np.uint64(1))
-        if now:
-            yield unpacked(now, sums)
 
-    def unpacked(at, sums):
-        some = np.flatnonzero(sums)
-        key = pa.array([at[0]], pa.string()).take(pa.array(np.zeros(len(some), np.int64)))
-        return pa.RecordBatch.from_arrays([key, pa.array(some + at[1] * (CODES // PARTS), pa.int64()), pa.array((sums[some] >> np.uint64(1)).astype(np.int64))], names=["key", "code", "n"])
+def counts(rows: DataFrame, shipped, turn: int) -> DataFrame:
+    """seed, a, b, n: pairs of this round in trusted texts, from (doc_id, seed, text) and what ``marked`` gave."""
+
+    def run(batches):
+        for batch in batches:
+            own = batch.filter(pa.array(_flags(batch, shipped)))
+            data, bounds = text_bytes(own["text"])
+            seeds = _seeds(own["seed"])
+            for lo, hi in slices(bounds):
+                seq, text = units(data, bounds[lo : hi + 1], seeds[lo:hi])
+                a, b, of = seq[:-1], seq[1:], text[:-1]
+                some = np.flatnonzero(of == text[1:])
+                h = pair(a[some], b[some])
+                inside = _mine(h, turn)
+                some = some[inside]
+                _, first, n = np.unique(h[inside], return_index=True, return_counts=True)
+                at = some[first]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (seeds[lo:hi][of[at]], a[at], b[at])] + [pa.array(n.astype(np.int64))], names=["seed", "a", "b", "n"])
 
-    shares = docs.select("doc_id", "key", "text", *(["trusted"] if shipped is None else [])).mapInArrow(run, "key string, part int, data binary")
-    return shares.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(add, "key string, code bigint, n bigint")
+    shares = rows.select("doc_id", "seed", "text", *(["trusted"] if shipped is None else [])).mapInArrow(run, "seed bigint, a bigint, b bigint, n bigint")
+    return shares.groupBy("a", "b").agg(F.first("seed").alias("seed"), F.sum("n").alias("n")).select("seed", "a", "b", "n")
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
-    """key, d1, d2, d3 of one order, from its counts of counts."""
-    of = grams.groupBy("key").agg(*[F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    """seed, d1, d2, d3 of one order, from its counts of counts."""
+    of = grams.groupBy("seed").agg(*[F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     usual = lambda k: F.least(F.greatest(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.1)), F.lit(float(k)))
     full = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    return of.select("key", *[F.when(full, usual(k)).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)])
-
-
-def log_probabilities(grams: DataFrame, asked: DataFrame) -> DataFrame:
-    """key, code, logp (base 2) of the asked (key, code), under the model that trusted counts (key, code, n) give."""
-    unit = 1 << BITS
-    orders = {ORDER: keep(grams, f"order{ORDER}")}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many units stand before an n-gram
-        orders[k] = keep(orders[k + 1].groupBy("key", (F.col("code") % unit**k).alias("code")).agg(F.count("*").alias("n")), f"order{k}")
-    out = asked.select("key", "code").withColumn("p", F.lit(1.0 / unit))
-    for k in range(1, ORDER + 1):
-        cut = _discounts(orders[k])
-        seen = orders[k].join(cut, "key").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        contexts = seen.groupBy("key", F.expr(f"code div {unit}").alias("context")).agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        own = seen.select("key", F.col("code").alias("at"), (F.col("n") - F.col("d")).alias("rest"))
-        out = out.withColumn("at", F.col("code") % unit**k).withColumn("context", F.expr(f"at div {unit}"))
-        out = out.join(own, ["key", "at"], "left").join(contexts, ["key", "context"], "left")
-        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("rest", F.lit(0.0)) + F.col("mass") * F.col("p")) / F.col("total"))
-        out = keep(out.select("key", "code", p.alias("p")), f"p{k}")  # short plans: each order would repeat those below it
-    return out.select("key", "code", F.log2("p").alias("logp"))
-
-
-def scores(docs: DataFrame, logp: DataFrame) -> DataFrame:
-    """doc_id, lang, key, bytes, bits, from (doc_id, lang, key, text)."""
-    kind, lang = dict(docs.dtypes)["doc_id"], dict(docs.dtypes)["lang"]
-    chosen = docs.select("doc_id", "lang", "key", "text")
-    rows = logp.count()
-    if rows > BROADCAST_ROWS:
-        return _joined_scores(chosen, logp)
-    held = logp.orderBy("key", "code").toArrow()
-    names, starts = np.unique(held["key"].to_numpy(), return_index=True) if rows else (np.zeros(0, object), np.zeros(0, int))
-    ends = [*starts[1:].tolist(), rows]
-    at, value = held["code"].to_numpy(), held["logp"].to_numpy()
-    table = {str(k): (at[a:z].astype(np.int32), value[a:z]) for k, a, z in zip(names, starts.tolist(), ends, strict=False)}
-    shipped = chosen.sparkSession.sparkContext.broadcast(table)
-    del held, at, value, table
+    return of.select("seed", *[F.when(full, usual(k)).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)])
 
-    def run(batches):
-        dense: dict[str, np.ndarray] = {}
+
+def _cut():
+    return F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def _few(languages: DataFrame) -> DataFrame:
+    """A kept table with a row a language, to be broadcast if counted to have at most ``LANGUAGES``."""
+    return F.broadcast(languages) if languages.count() <= LANGUAGES else languages
+
+
+def vocabulary(grams: DataFrame, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(w, seed, p, backoff, total) by unit, and (seed, unknown) by language, from all pairs and their discounts.
+
+    ``p`` is null for units that nothing precedes, ``backoff`` and ``total`` for those that nothing follows.
+    """
+    follows = keep(grams.groupBy(F.col("b").alias("w")).agg(F.first("seed").alias("seed"), F.count("*").alias("n")), "follows")
+    low, cut = _few(keep(_discounts(follows), "discounts1")), _few(cut)
+    per = follows.join(low, "seed").groupBy("seed").agg(F.sum("n").alias("all"), F.sum(_cut()).alias("mass"), F.count("*").alias("types"))
+    per = keep(per.select("seed", "all", (F.col("mass") / F.col("all") / (F.col("types") + 1)).alias("unknown")), "languages")
+    uni = follows.join(low, "seed").join(_few(per), "seed").select("w", "seed", ((F.col("n") - _cut()) / F.col("all") + F.col("unknown")).alias("p"))
+    contexts = grams.join(cut, "seed").groupBy(F.col("a").alias("w")).agg(F.first("seed").alias("other"), F.sum("n").alias("total"), F.sum(_cut()).alias("mass"))
+    both = uni.join(contexts, "w", "full").select("w", F.coalesce("seed", "other").alias("seed"), "p", (F.col("mass") / F.col("total")).alias("backoff"), "total")
+    return keep(both, "vocabulary"), per
+
+
+def values(grams: DataFrame, cut: DataFrame, words: DataFrame, per: DataFrame, turn: int) -> DataFrame:
+    """h, v of the n-grams of this round."""
+    left = words.select(F.col("w").alias("a"), "backoff", "total")
+    right = words.select(F.col("w").alias("b"), F.col("p"))
+    met = grams.join(cut, "seed").select("a", "b", (F.col("n") - _cut()).alias("rest")).join(left, "a").join(right, "b")
+    two = met.select("a", "b", F.log2((F.col("rest") / F.col("total") + F.col("backoff") * F.col("p")) / (F.col("backoff") * F.col("p"))).alias("v"))
+
+    def name(batches):
         for batch in batches:
-            n, bits = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for key, rows in _by_language(batch):
-                if key not in dense:
-                    if len(dense) >= HELD:
-                        dense.clear()
-                    dense[key] = np.zeros(CODES)
-                    at, value = shipped.value.get(key, (np.zeros(0, np.int64), np.zeros(0)))
-                    dense[key][at] = value
-                data, bounds = text_bytes(batch["text"].take(pa.array(rows)))
-                n[rows] = np.diff(bounds)
-                for lo, hi in slices(bounds):
-                    sums = np.concatenate([[0.0], np.cumsum(dense[key][codes(data, bounds[lo : hi + 1])])])
-                    bits[rows[lo:hi]] = -np.diff(sums[bounds[lo : hi + 1] - bounds[lo]])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["key"], pa.array(n), pa.array(bits)], names=["doc_id", "lang", "key", "bytes", "bits"])
-
-    return chosen.mapInArrow(run, f"doc_id {kind}, lang {lang}, key string, bytes bigint, bits double")
-
-
-def _joined_scores(docs: DataFrame, logp: DataFrame) -> DataFrame:
-    """As ``scores``, by a join of the documents' n-gram counts."""
-    kind, lang = dict(docs.dtypes)["doc_id"], dict(docs.dtypes)["lang"]
+            h = pair(_seeds(batch["a"]), _seeds(batch["b"]))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["v"]], names=["h", "v"])
+
+    zero = F.lit(0.0)
+    one = words.filter(F.shiftrightunsigned("w", 64 - ROUND_BITS) == turn).join(per, "seed", "left")
+    one = one.select(F.col("w").alias("h"), (F.coalesce(F.log2(F.col("p") / F.col("unknown")), zero) + F.coalesce(F.log2("backoff"), zero)).alias("v"))
+    return two.mapInArrow(name, "h bigint, v double").unionByName(one)
+
+
+PARCEL = "slice bigint, shard int, data binary, reps binary"
+
+
+def _groups(batches) -> Iterator[tuple]:
+    """Texts in groups of about ``GROUP_WORDS``: their batch rows, units, and the text each unit belongs to."""
+    held: list[tuple] = []
+    size = texts = 0
+    for batch in batches:
+        data, bounds = text_bytes(batch["text"])
+        seeds = _seeds(batch["seed"])
+        for lo, hi in slices(bounds):
+            seq, text = units(data, bounds[lo : hi + 1], seeds[lo:hi])
+            held.append((batch.select(["doc_id", "lang", "key", "sig"]).slice(lo, hi - lo), seq, text + texts))
+            size, texts = size + len(seq), texts + hi - lo
+            if size >= GROUP_WORDS:
+                yield pa.Table.from_batches([x[0] for x in held]).combine_chunks(), *(np.concatenate([x[k] for x in held]) for k in (1, 2))
+                held, size, texts = [], 0, 0
+    if held:
+        yield pa.Table.from_batches([x[0] for x in held]).combine_chunks(), *(np.concatenate([x[k] for x in held]) for k in (1, 2))
+
+
+def requests(docs: DataFrame, turn: int, shard_bits: int, row: str) -> DataFrame:
+    """What each group of texts asks of each shard, and a row for itself: which document holds what was asked."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        rid = TaskContext.get().partitionId() << 40
+        number = TaskContext.get().partitionId() << 32
+        fields = ("doc_id", "lang", "key", "sig")
+        for rows, seq, text in _groups(batches):
+            number += 1
+            beside = text[:-1] == text[1:]
+            h, of = np.concatenate([seq, pair(seq[:-1][beside], seq[1:][beside])]), np.concatenate([text, text[:-1][beside]])
+            inside = _mine(h, turn)
+            h, of = h[inside], of[inside]
+            order = np.argsort(h, kind="stable")
+            h, of = h[order], of[order].astype(np.uint32)
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            asked, reps = h[first], np.diff(np.append(first, len(h))).astype(np.uint32)
+            cuts = np.searchsorted(asked, np.arange(1, 1 << shard_bits, dtype=np.uint64) * U(1 << (64 - ROUND_BITS - shard_bits)) + (U(turn) << U(64 - ROUND_BITS)))
+            sent = [(k, x) for k, x in enumerate(np.split(asked, cuts)) if len(x)]
+            words = np.bincount(text, minlength=len(rows)) - 2
+            own = pa.StructArray.from_arrays([*(rows[c].combine_chunks() if not isinstance(rows[c], pa.Array) else rows[c] for c in fields), pa.array(words.astype(np.int64))], [*fields, "words"])
+            lists = pa.ListArray.from_arrays(pa.array([0] * (len(sent) + 1) + [len(rows)], pa.int32()), own)
+            data = [packed(np.diff(x, prepend=U(0))) for _, x in sent] + [packed(of)]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(data), pa.int64()), pa.array([k for k, _ in sent] + [LAST], pa.int32()), pa.array(data, pa.binary()), pa.array([b""] * len(sent) + [packed(reps)], pa.binary()), lists], names=["slice", "shard", "data", "reps", "rows"])
+
+    return docs.select("doc_id", "lang", "key", "sig", "seed", "text").mapInArrow(run, f"{PARCEL}, rows array<struct<{row}, words bigint>>")
+
+
+def _shards(model: DataFrame, parts: int, shard_bits: int) -> DataFrame:
+    """The model, a row a shard and Arrow batch: slice -1, hashes and values."""
+
+    def run(batches):
+        for batch in batches:
+            shard = batch["shard"].to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([int(shard[lo])], pa.int32()), pa.array([batch["h"].to_numpy()[lo:hi].tobytes()], pa.binary()), pa.array([batch["v"].to_numpy()[lo:hi].tobytes()], pa.binary())], names=["slice", "shard", "data", "reps"])
+
+    shard = F.shiftrightunsigned("h", 64 - ROUND_BITS - shard_bits).bitwiseAND((1 << shard_bits) - 1).cast("int")
+    return model.select("h", "v", shard.alias("shard")).repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, PARCEL)
+
+
+def answers(asked: DataFrame, model: DataFrame, parts: int, shard_bits: int) -> DataFrame:
+    """The values, as 32-bit floats in the order asked, of each request."""
+
+    def run(batches):
+        at, found, held, value = None, [], None, None
         for batch in batches:
-            data, bounds = text_bytes(batch["text"])
-            for lo, hi in slices(bounds):
-                own = codes(data, bounds[lo : hi + 1])
-                for t in range(lo, hi):
-                    found, n = np.unique(own[bounds[t] - bounds[lo] : bounds[t + 1] - bounds[lo]], return_counts=True)
-                    found, n = (found, n) if len(found) else (np.zeros(1, np.uint32), np.zeros(1, np.int64))
-                    same = pa.array(np.full(len(found), t, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rid + t, np.int64)), *(batch[c].take(same) for c in ("doc_id", "lang", "key")), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["rid", "doc_id", "lang", "key", "code", "n"])
-            rid += len(batch)
-
-    asked = keep(docs.mapInArrow(run, f"rid bigint, doc_id {kind}, lang {lang}, key string, code bigint, n bigint"), "ngrams")
-    met = asked.join(logp, ["key", "code"], "left")
-    summed = met.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("doc_id", "lang", "key")], F.sum("n").alias("bytes"), F.sum(-F.col("n") * F.coalesce("logp", F.lit(0.0))).alias("bits"))
-    return summed.select("doc_id", "lang", "key", "bytes", "bits")
-
-
-def thresholds(scored: DataFrame) -> DataFrame:
-    """key, threshold, per language and for all, from the scores of trusted documents' bits per byte in thousandths."""
-    good = scored.filter("bytes > 0").select("key", F.round(1000 * F.col("bits") / F.col("bytes")).cast("bigint").alias("at"))
+            for k in range(len(batch)):
+                number, shard, data, reps = (batch[c][k].as_py() for c in ("slice", "shard", "data", "reps"))
+                if shard != at:
+                    at, found, held = shard, [], None
+                if number < 0:
+                    found.append((np.frombuffer(data, np.uint64), np.frombuffer(reps, np.float64)))
+                    continue
+                if held is None:
+                    h, v = (np.concatenate([x[j] for x in found]) if found else np.zeros(0, (np.uint64, np.float64)[j]) for j in (0, 1))
+                    order = np.argsort(h)
+                    held, value = h[order], v[order]
+                wanted = np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+                out = np.zeros(len(wanted), np.float32)
+                if len(held):
+                    place = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                    same = held[place] == wanted
+                    out[same] = value[place[same]]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int32()), pa.array([packed(out)], pa.binary()), pa.array([b""], pa.binary())], names=["slice", "shard", "data", "reps"])
+
+    both = _shards(model, parts, shard_bits).unionByName(asked.filter(F.col("shard") < LAST).select("slice", "shard", "data", "reps"))
+    return both.repartition(parts, "shard").sortWithinPartitions("shard", "slice").mapInArrow(run, PARCEL)
+
+
+def sums(asked: DataFrame, answered: DataFrame, row: str, parts: int) -> DataFrame:
+    """doc_id, lang, key, sig, words and the sum of this round's values, a row a document."""
+
+    def run(batches):
+        at, found = None, []
+        for batch in batches:
+            for k in range(len(batch)):
+                number, shard = batch["slice"][k].as_py(), batch["shard"][k].as_py()
+                if number != at:
+                    at, found = number, []
+                if shard != LAST:
+                    found.append(unpacked(batch["data"][k].as_py(), np.float32))
+                    continue
+                rows = batch["rows"].slice(k, 1).flatten()
+                of, reps = (unpacked(batch[c][k].as_py(), np.uint32) for c in ("data", "reps"))
+                got = np.repeat(np.concatenate(found) if found else np.zeros(0, np.float32), reps).astype(np.float64)
+                total = np.bincount(of, weights=got, minlength=len(rows))
+                fields = ("doc_id", "lang", "key", "sig", "words")
+                yield pa.RecordBatch.from_arrays([*(rows.field(c) if not rows.offset else pa.array(rows.to_pylist(), rows.type).field(c) for c in fields), pa.array(total)], names=[*fields, "gain"])
+
+    both = asked.filter(F.col("shard") == LAST).unionByName(answered, allowMissingColumns=True)
+    return both.repartition(parts, "slice").sortWithinPartitions("slice", "shard").mapInArrow(run, f"{row}, words bigint, gain double")
+
+
+def thresholds(good: DataFrame) -> DataFrame:
+    """key, threshold, per language and for all, from scored documents' bits per unit in thousandths."""
+    good = good.filter("words > 0").select("key", F.round(1000 * F.col("bits") / (F.col("words") + 1)).cast("bigint").alias("at"))
     both = good.groupBy("key", "at").agg(F.count("*").alias("n"))
     both = both.unionByName(both.groupBy("at").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "at", "n"))
     whole = Window.partitionBy("key")
@@ -259,21 +324,59 @@ def thresholds(scored: DataFrame) -> DataFrame:
     return share.groupBy("key").agg((F.greatest(2 * q(0.99) - q(0.5), MEDIANS * q(0.5)) / 1000).alias("threshold"))
 
 
+def score(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """doc_id, lang, key, sig, words, bits for every row of ``docs``, under the model of the texts of ``training`` ids (trusted_id)."""
+    kinds = dict(docs.dtypes)
+    row = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, key string, sig bigint"
+    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _language())
+    learnt = rows.join(training, rows["doc_id"] == training["trusted_id"], "left_semi").select("key").distinct()
+    known = keep(learnt.withColumn("known", F.lit(True)), "known")
+    seed = F.xxhash64("key")
+    keyed = rows.join(known, "key", "left").withColumn("key", F.when(F.col("known"), F.col("key")).otherwise(F.lit(POOL))).drop("known").withColumn("seed", seed).withColumn("sig", F.xxhash64("text"))
+    strange = keep(rows.select("key").distinct().join(known, "key", "left_anti"), "strange")
+    train, shipped = marked(rows.withColumn("seed", seed), training)
+    if not strange.isEmpty():  # all trusted text once more, as the model of languages that have none
+        train = train.unionByName(train.withColumn("seed", F.xxhash64(F.lit(POOL))))
+    turns = range(1 << ROUND_BITS)
+    grams = [keep_while(lambda turn=turn: counts(train, shipped, turn), f"pairs{turn}") for turn in turns]
+    every = grams[0]
+    for more in grams[1:]:
+        every = every.unionByName(more)
+    cut = keep(_discounts(every), "discounts")
+    words, per = vocabulary(every, cut)
+    size = (every.count() + words.count()) >> ROUND_BITS
+    shard_bits = min(20, max(4, (size // SHARD_ROWS).bit_length()))
+    parts = max(1 << shard_bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    gains, cut, near = [], _few(cut), _few(per)
+    for turn in turns:
+
+        def one_round(turn=turn):
+            asked = keep(requests(keyed, turn, shard_bits, row), f"asked{turn}")
+            return sums(asked, answers(asked, values(grams[turn], cut, words, near, turn), parts, shard_bits), row, parts), asked
+
+        gains.append(keep_while(one_round, f"gains{turn}"))
+    gained = gains[0]
+    for more in gains[1:]:
+        gained = gained.unionByName(more)
+    # rows of one id, language and text have one score; each round has as many of them
+    summed = gained.groupBy("doc_id", "lang", "key", "sig", "words").agg(F.sum("gain").alias("gain"), F.count("*").alias("n"))
+    copies = F.expr(f"n div {len(turns)}")
+    out = summed.withColumn("seed", seed).join(near, "seed", "left")
+    bits = F.when(F.col("words") > 0, F.coalesce(-(F.col("gain") / F.col("n") * F.lit(len(turns)) + (F.col("words") + 1) * F.log2("unknown")), F.lit(0.0))).otherwise(0.0)
+    return out.select("doc_id", "lang", "key", "sig", "words", bits.alias("bits"), F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("_")).drop("_")
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """doc_id, lang, bytes, bits_per_byte, perplexity, threshold, kept for every row of ``docs``."""
+    """doc_id, lang, words, bits_per_word, perplexity, threshold, kept for every row of ``docs``."""
     ids = trusted_ids.select(F.col("doc_id").alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
-    ids = keep(ids, "trusted")
-    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _language())
-    found = keep(counts(*marked(rows, ids)), "counts")
-    grams = found.filter("n > 0")
-    pooled = grams.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "code", "n")
-    known = grams.select("key").distinct().withColumn("known", F.lit(True))
-    own = found.join(known, "key", "left").select(F.when(F.col("known"), F.col("key")).otherwise(F.lit(POOL)).alias("key"), "code").distinct()
-    logp = keep(log_probabilities(grams.unionByName(pooled), own), "logp")
-    keyed = rows.join(keep(known, "known"), "key", "left").withColumn("key", F.when(F.col("known"), F.col("key")).otherwise(F.lit(POOL)))
-    scored = keep(scores(keyed, logp), "scores")
-    per = F.col("bits") / F.greatest("bytes", F.lit(1))
-    limits = thresholds(scored.join(ids, scored["doc_id"] == ids["trusted_id"], "left_semi"))
-    out = scored.join(limits, "key", "left").withColumn("bits_per_byte", per)
-    kept = (F.col("bytes") > 0) & F.coalesce(F.col("bits") <= F.col("threshold") * F.col("bytes") + OPENING, F.lit(True))
-    return out.select("doc_id", "lang", "bytes", "bits_per_byte", F.pow(F.lit(2.0), "bits_per_byte").alias("perplexity"), "threshold", kept.alias("kept"))
+    ids = keep(ids.withColumn("fold", F.pmod(F.xxhash64("trusted_id"), F.lit(2))), "trusted")
+    scored = keep(score(docs, ids.filter("fold = 0").drop("fold")), "scores")
+    held = ids.filter("fold = 1")
+    limits = keep(thresholds(scored.join(held, scored["doc_id"] == held["trusted_id"], "left_semi")), "limits")
+    pooled = limits.filter(F.col("key") == POOL).first()
+    per = F.col("bits") / (F.col("words") + 1)
+    out = scored.join(_few(limits), "key", "left")
+    out = out.withColumn("threshold", F.coalesce("threshold", F.lit(pooled["threshold"] if pooled else None).cast("double"))).withColumn("bits_per_word", per)
+    good = (F.col("words") > 0) & (F.col("bits") <= F.col("threshold") * (F.col("words") + 1) + OPENING)
+    kept = F.when(F.col("threshold").isNull(), F.col("sig") != F.xxhash64(F.lit(""))).otherwise(good)
+    return out.select("doc_id", "lang", "words", "bits_per_word", F.pow(F.lit(2.0), "bits_per_word").alias("perplexity"), "threshold", kept.alias("kept"))

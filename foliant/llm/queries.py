@@ -40,7 +40,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
     found = ngram_lm.classify(table(spark, sf_dir, "documents"), trusted)
-    return found.select("doc_id", "lang", "bytes", F.round("bits_per_byte", 6).alias("bits_per_byte"), F.round("perplexity", 6).alias("perplexity"), "threshold", "kept")
+    return found.select("doc_id", "lang", "words", F.round("bits_per_word", 4).alias("bits_per_word"), F.round("perplexity", 2).alias("perplexity"), "threshold", "kept")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

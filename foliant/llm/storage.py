@@ -6,6 +6,7 @@ Cutting lineage goes through Parquet in the folder the cluster names in
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,19 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_while(make, label: str) -> DataFrame:
+    """As ``keep`` of what ``make`` returns, alone or before tables that it kept for it; those, and the shuffles, go once it is written."""
+    made = make()
+    df, *used = made if isinstance(made, tuple) else (made,)
+    spark, out = df.sparkSession, keep(df, label)
+    for path in {f.rsplit("/", 1)[0] for t in used for f in t.inputFiles()}:
+        drop_path(spark, path)
+    del made, df, used
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path with the file system that owns it."""
     jvm = spark.sparkContext._jvm

@@ -340,60 +340,64 @@ def test_disclosing_terms_are_found_and_copies_prove_nothing(spark):
 # Kneser-Ney
 
 
-def kneser_ney(counts):
-    """log2 probabilities by the textbook, over codes of 5 bits and order 4."""
-    orders = {4: dict(counts)}
-    for k in (3, 2, 1):
-        orders[k] = dict(Counter(c % 32**k for c in orders[k + 1]))
-
-    def cuts(c):
-        n = Counter(c.values())
-        if min(n[1], n[2], n[3]) == 0:
-            return 0.5, 1.0, 1.5
-        y = n[1] / (n[1] + 2 * n[2])
-        return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k) for k in (1, 2, 3))
-
-    off = {k: cuts(c) for k, c in orders.items()}
-    by = {k: defaultdict(list) for k in orders}
-    for k, c in orders.items():
-        for code, n in c.items():
-            by[k][code // 32].append(n)
-
-    def p(k, code):
-        if k == 0:
-            return 1 / 32
-        own = by[k].get(code // 32)
-        if not own:
-            return p(k - 1, code % 32 ** (k - 1))
-        d = lambda n: off[k][min(n, 3) - 1]
-        n = orders[k].get(code, 0)
-        return (max(n - d(n), 0) if n else 0) / sum(own) + sum(map(d, own)) / sum(own) * p(k - 1, code % 32 ** (k - 1))
-
-    return lambda code: float(np.log2(p(4, code)))
-
-
-def code_list(text):
-    unit = [28] * 3 + [int(ngram_lm._CLASS[b]) for b in (text or "").encode()]
-    return [((unit[i] * 32 + unit[i + 1]) * 32 + unit[i + 2]) * 32 + unit[i + 3] for i in range(len(unit) - 3)]
-
-
-@pytest.mark.parametrize("bound", [ngram_lm.BROADCAST_ROWS, 0])
-def test_kneser_ney_against_the_textbook(spark, monkeypatch, bound):
-    monkeypatch.setattr(ngram_lm, "BROADCAST_ROWS", bound)
-    monkeypatch.setattr(ngram_lm, "TRUSTED_IDS", bound)
-    rows = [(k, t, "en" if k % 2 else "fr", "pad") for k, t in enumerate(X.texts()[:40])] + [(500, "no model here", None, "pad")]
+def kneser_ney(texts):
+    """log2 p(b | a) of the interpolated modified model of word pairs, told from its definition."""
+    pairs = Counter(p for t in texts for p in pairs_of(t))
+    follows = Counter(b for _, b in pairs)
+
+    def discounts(counts):
+        n = [sum(1 for x in counts.values() if x == k) for k in (1, 2, 3, 4)]
+        if not (n[0] and n[1] and n[2]):
+            return [0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k) for k in (1, 2, 3)]
+
+    high, low = discounts(pairs), discounts(follows)
+    cut = lambda d, n: d[min(n, 3) - 1]
+    total = sum(follows.values())
+    unknown = sum(cut(low, n) for n in follows.values()) / total / (len(follows) + 1)
+    context, mass = Counter(), Counter()
+    for (a, _), n in pairs.items():
+        context[a] += n
+        mass[a] += cut(high, n)
+
+    def logp(a, b):
+        p = unknown + ((follows[b] - cut(low, follows[b])) / total if b in follows else 0)
+        if a in context:
+            n = pairs.get((a, b), 0)
+            p = ((n - cut(high, n)) if n else 0) / context[a] + mass[a] / context[a] * p
+        return float(np.log2(p))
+
+    return logp
+
+
+def pairs_of(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    return list(zip([0, *words], [*words, 1], strict=True))
+
+
+@pytest.mark.parametrize(("ids", "group", "shard"), [(ngram_lm.TRUSTED_IDS, ngram_lm.GROUP_WORDS, ngram_lm.SHARD_ROWS), (0, 500, 50)])
+def test_kneser_ney_against_the_textbook(spark, monkeypatch, ids, group, shard):
+    for name, value in (("TRUSTED_IDS", ids), ("GROUP_WORDS", group), ("SHARD_ROWS", shard)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    rows = [(k, t, "en" if k % 2 else "fr", "pad") for k, t in enumerate(X.texts()[:40])] + [(500, "no model here", None, "pad"), (None, "w1 the w2", "en", "pad"), (7, "w1 of", "en", "pad"), (7, "w1 of", "en", "pad")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, key string")
-    trusted = spark.createDataFrame([(k,) for k in range(10, 30)] + [(11,), (None,)], "doc_id bigint")
-    got = {r.doc_id: r for r in ngram_lm.classify(docs, trusted).collect()}
+    training = spark.createDataFrame([(k,) for k in range(10, 30)], "trusted_id bigint")
+    got = ngram_lm.score(docs, training).collect()
     assert len(got) == len(rows)
-    for lang in ("en", "fr", None):
-        train = [c for k, t, own, _ in rows if 10 <= k < 30 and (own == lang or lang is None) for c in code_list(t)]
-        model = kneser_ney(Counter(train))
-        for k, t, own, _ in rows:
-            if own == lang and t:
-                want = -sum(map(model, code_list(t))) / len(t.encode())
-                assert got[k].bits_per_byte == pytest.approx(want, abs=1e-9)
-    assert not got[0].kept and not got[1].kept
+    models = {lang: kneser_ney([t for k, t, own, _ in rows if k is not None and 10 <= k < 30 and (own == lang or lang is None)]) for lang in ("en", "fr", None)}
+    want = sorted((-1 if k is None else k, len(pairs_of(t)) - 1, -sum(models[own](*p) for p in pairs_of(t)) if len(pairs_of(t)) > 1 else 0.0) for k, t, own, _ in rows)
+    have = sorted((-1 if r.doc_id is None else r.doc_id, r.words, r.bits) for r in got)
+    for w, h in zip(want, have, strict=True):
+        assert w[:2] == h[:2] and h[2] == pytest.approx(w[2], rel=1e-5, abs=1e-3)
+
+
+def test_kneser_ney_sums_to_one():
+    texts = ["a b a c", "a b b", "c a b a a", "d a b"]
+    logp = kneser_ney(texts)
+    seen = {w for t in texts for w in t.split()} | {1}
+    for a in (0, "a", "never"):
+        assert sum(2 ** logp(a, b) for b in [*seen, "unknown"]) == pytest.approx(1)
 
 
 def test_kneser_ney_separates_junk(spark):
