@@ -167,14 +167,14 @@ def vocabulary(grams: DataFrame, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``p`` is null for units that nothing precedes, ``backoff`` and ``total`` for those that nothing follows.
     """
-    follows = keep(grams.groupBy(F.col("b").alias("w")).agg(F.first("seed").alias("seed"), F.count("*").alias("n")), "follows")
+    follows = keep_while(lambda: grams.groupBy(F.col("b").alias("w")).agg(F.first("seed").alias("seed"), F.count("*").alias("n")), "follows")
     low, cut = _few(keep(_discounts(follows), "discounts1")), _few(cut)
     per = follows.join(low, "seed").groupBy("seed").agg(F.sum("n").alias("all"), F.sum(_cut()).alias("mass"), F.count("*").alias("types"))
     per = keep(per.select("seed", "all", (F.col("mass") / F.col("all") / (F.col("types") + 1)).alias("unknown")), "languages")
     uni = follows.join(low, "seed").join(_few(per), "seed").select("w", "seed", ((F.col("n") - _cut()) / F.col("all") + F.col("unknown")).alias("p"))
     contexts = grams.join(cut, "seed").groupBy(F.col("a").alias("w")).agg(F.first("seed").alias("other"), F.sum("n").alias("total"), F.sum(_cut()).alias("mass"))
     both = uni.join(contexts, "w", "full").select("w", F.coalesce("seed", "other").alias("seed"), "p", (F.col("mass") / F.col("total")).alias("backoff"), "total")
-    return keep(both, "vocabulary"), per
+    return keep_while(lambda: both, "vocabulary"), per
 
 
 def values(grams: DataFrame, cut: DataFrame, words: DataFrame, per: DataFrame, turn: int) -> DataFrame:
@@ -352,7 +352,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
 
         def one_round(turn=turn):
             asked = keep(requests(keyed, turn, shard_bits, row), f"asked{turn}")
-            return sums(asked, answers(asked, values(grams[turn], cut, words, near, turn), parts, shard_bits), row, parts), asked
+            return sums(asked, answers(asked, values(grams[turn], cut, words, near, turn), parts, shard_bits), row, parts), asked, grams[turn]
 
         gains.append(keep_while(one_round, f"gains{turn}"))
     gained = gains[0]
