@@ -1,19 +1,19 @@
 """PII by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
 Protected entities are the values that the patterns find.  A term is a word within ``REACH`` words of
-an entity on its line.  Over the corpus, with document counts,
+an entity on its line.  Over the corpus, with counts of distinct texts (copies of a text count once),
 
-    PMI(t, e) = log2(N c(t, e) / (c(t) c(e)))        IC(e) = log2(N / c(e))
+    PMI(t, e) = log2(N p(e | t) / c(e))        p(e | t) = (c(t, e) + S c(e) / N) / (c(t) + S)
+    IC(e) = log2(N / c(e))
 
-say how much a term tells about an entity, and how much there is to tell.  Terms with
-``PMI >= DISCLOSURE * IC``, seen beside the entity in ``SUPPORT`` documents and as many different
-surroundings (copies of a text prove nothing), disclose it: they become spans of kind ``term`` where
-they stand beside it.  ``sanitise`` generalises spans to their kind and removes terms.
+say how much a term tells about an entity, and how much there is to tell; ``S``, ``SMOOTHING``, adds
+texts that hold the entity no more often than all do, so few texts say less than many.  Terms with
+``PMI >= DISCLOSURE * IC`` disclose the entity: they become spans of kind ``term`` where they stand
+beside it.  ``sanitise`` generalises spans to their kind and removes terms.
 
-Counts cover all documents.  Entities and their surroundings are gathered in one scan and written to
-the shared folder; document counts of the terms in question come from a second one, in blocks of
-``BLOCK_TERMS`` broadcast terms, as many as there are (none: no second scan).  Joins on entities are
-salted.
+Counts cover all documents.  One scan gathers entities and terms and writes them to the shared folder;
+a second counts all words.  No term over ``most(c(e))`` can pass, whatever it shares with the entity,
+so frequent words go before terms meet entities.
 
 Defined results: a null text is empty and has no spans; rows that repeat, or share a doc_id, are
 documents of their own; spans of one kind never overlap, those of different kinds may; an empty table
@@ -23,8 +23,8 @@ text.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,9 @@ from foliant.llm.storage import keep
 from foliant.llm.tokens import MARK_BYTES, slices, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, SUPPORT, DISCLOSURE = 5, 3, 0.8
-BLOCK_TERMS, SALTS = 1_000_000, 16
+REACH, DISCLOSURE, SMOOTHING, SALTS = 5, 0.8, 2.0, 16
+#: Slots of the bitmap of copied texts, words a task holds before it adds them up, and frequent words that are broadcast.
+SLOTS, HELD, OFTEN = 1 << 24, 1 << 21, 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,7 +47,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\x00-\x20!-/:-@\[-`{-~\x7f]{3,}")
+#: Separators are those of ``MARK_BYTES``, so that terms are words that are counted.
+_TERM = re.compile(r"[^\x09-\x0d\x20!-/:-@\[-`{-~]{3,}")
 
 
 def _emails(text: str):
@@ -92,106 +94,159 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    """One hash per word, as the words of whole texts are hashed."""
-    data, bounds = text_bytes(pa.array(words, pa.large_string()))
-    return word_hashes(data, bounds, MARK_BYTES)[0].view(np.int64)
+def text_hash(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def surroundings(text: str, spans) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, hash of the surroundings): terms beside the spans, on their lines."""
-    out = []
-    for kind, a, z, value in spans:
+def beside(text: str, spans) -> list[tuple[str, int, int]]:
+    """(term, start, end): the terms within ``REACH`` words of a span on its line, but for those in spans."""
+    taken = np.zeros(len(text) + 1, bool)
+    for _, a, z, _ in spans:
+        taken[a:z] = True
+    out = set()
+    for _, a, z, _ in spans:
         low = max(text.rfind("\n", 0, a) + 1, a - 40 * REACH)
         stop = text.find("\n", z)
         high = min(len(text) if stop < 0 else stop, z + 40 * REACH)
-        before, after = list(_TERM.finditer(text, low, a))[-REACH:], list(_TERM.finditer(text, z, high))[:REACH]
-        around = zlib.crc32("\n".join(m[0] for m in before + after).encode())
-        for m in before + after:
-            if not any(m.start() < e and s < m.end() for _, s, e, _ in spans):
-                out.append((f"{kind}:{value}", m[0], m.start(), m.end(), around))
-    return out
+        near = list(_TERM.finditer(text, low, a))[-REACH:] + list(_TERM.finditer(text, z, high))[:REACH]
+        out |= {(m[0], m.start(), m.end()) for m in near if not taken[m.start() : m.end()].any()}
+    return sorted(out, key=lambda x: x[1:])
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    """One hash per word, as the words of whole texts are hashed."""
+    data, bounds = text_bytes(pa.array(words, pa.large_string()))
+    return word_hashes(data, bounds, MARK_BYTES)[0].view(np.int64)
 
 
-SCANNED = "rid bigint, doc_id {}, spans array<struct<kind:string,start:bigint,end:bigint>>, near array<struct<entity:string,term:bigint,start:bigint,end:bigint,around:bigint>>"
+SCANNED = "rid bigint, doc_id {}, h bigint, spans array<struct<kind:string,start:bigint,end:bigint>>, entities array<string>, terms array<struct<term:bigint,start:bigint,end:bigint>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, spans, near for every row."""
+    """rid, doc_id, hash of the text, spans, entities, terms that may disclose them, for every row."""
     kind = dict(docs.dtypes)["doc_id"]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("around", pa.int64())]))
+    term_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         from pyspark import TaskContext
 
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            spans, near = [], []
+            hashes, spans, entities, terms = [], [], [], []
             for text in batch["text"]:
                 text = text.as_py() or ""
                 found = find(text)
-                beside = surroundings(text, found) if found else []
-                terms = _hashes([x[1] for x in beside]).tolist() if beside else []
+                near = beside(text, found) if found else []
+                hashes.append(text_hash(text.encode()))
                 spans.append([{"kind": k, "start": a, "end": z} for k, a, z, _ in found])
-                near.append([{"entity": x[0], "term": t, "start": x[2], "end": x[3], "around": x[4]} for x, t in zip(beside, terms, strict=True)])
+                entities.append(sorted({f"{k}:{value}" for k, _, _, value in found}))
+                terms.append([{"term": t, "start": x[1], "end": x[2]} for x, t in zip(near, _hashes([x[0] for x in near]).tolist() if near else [], strict=True)])
             rids = pa.array(np.arange(rid, rid + len(batch)), pa.int64())
             rid += len(batch)
-            yield pa.RecordBatch.from_arrays([rids, batch["doc_id"], pa.array(spans, span_type), pa.array(near, near_type)], names=["rid", "doc_id", "spans", "near"])
+            yield pa.RecordBatch.from_arrays([rids, batch["doc_id"], pa.array(hashes, pa.int64()), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.string())), pa.array(terms, term_type)], names=["rid", "doc_id", "h", "spans", "entities", "terms"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCANNED.format(kind))
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """term, n: in how many rows of ``docs`` each of ``terms`` occurs."""
-    spark = docs.sparkSession
-    terms = keep(terms.select("term").distinct(), "terms")
-    n_blocks = -(-terms.count() // block_terms)
-    out = spark.createDataFrame([], "term bigint, n bigint")
-    for b in range(n_blocks):
-        held = np.array(sorted(r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == b).collect()), np.int64)
-        shipped = spark.sparkContext.broadcast(held)
-
-        def run(batches, shipped=shipped):
-            held = shipped.value
-            counts = np.zeros(len(held), np.int64)
-            for batch in batches:
-                data, bounds = text_bytes(batch["text"])
-                for lo, hi in slices(bounds):
-                    words, cuts = word_hashes(data, bounds[lo : hi + 1], MARK_BYTES)
-                    at = np.minimum(np.searchsorted(held, words.view(np.int64)), len(held) - 1)
-                    hit = np.flatnonzero(held[at] == words.view(np.int64))
-                    if hit.size:
-                        row = np.searchsorted(cuts, hit, "right") - 1
-                        pairs = np.unique(np.stack([row, at[hit]]), axis=1)
-                        np.add.at(counts, pairs[1], 1)
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(held[some]), pa.array(counts[some])], names=["term", "n"])
-
-        out = out.unionByName(docs.select("text").mapInArrow(run, "term bigint, n bigint"))
-    return out.groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term, pmi, ic: the pairs over the disclosure threshold."""
-    near = scanned.select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term", "x.around")
-    pairs = near.groupBy("entity", "term", "rid").agg(F.min("around").alias("around")).groupBy("entity", "term")
-    pairs = keep(pairs.agg(F.count("*").alias("both"), F.countDistinct("around").alias("ways")).filter((F.col("both") >= support) & (F.col("ways") >= support)), "pairs")
-    n = scanned.count()
-    entities = near.select("entity", "rid").distinct().groupBy("entity").agg(F.count("*").alias("c_entity"))
-    terms = document_counts(docs, pairs).withColumnRenamed("n", "c_term")
-    pmi = F.log2(F.lit(float(max(n, 1))) * F.col("both") / (F.col("c_term") * F.col("c_entity")))
-    ic = F.log2(F.lit(float(max(n, 1))) / F.col("c_entity"))
-    judged = pairs.join(entities, "entity").join(terms, "term").select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
-    return judged.filter((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
+def document_counts(docs: DataFrame, scanned: DataFrame, held: int = HELD) -> DataFrame:
+    """term, n: in how many distinct texts of ``docs`` each word occurs.
+
+    Words of texts that have no copy are added up by each task; the others, told by a bitmap of fixed size that may take a few
+    more for copies, go by the hash of their text, which keeps one of each.
+    """
+    slots = scanned.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()["slot"]
+    copied = np.zeros(SLOTS, bool)
+    copied[slots.to_numpy()] = True
+    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(copied).tobytes())
+    names, lists = ["h", "terms", "term", "n"], pa.list_(pa.int64())
+
+    def run(batches):
+        bits = np.frombuffer(shipped.value, np.uint8)
+        kept, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+
+        def merged():
+            terms, n = (np.concatenate([kept[k], *(x[k] for x in waiting)]) for k in (0, 1))
+            found, at = np.unique(terms, return_inverse=True)
+            return found, np.bincount(at, n, len(found)).astype(np.int64)
+
+        def told(terms, n):
+            none = pa.nulls(len(terms))
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(lists), pa.array(terms), pa.array(n)], names=names)
+
+        for batch in batches:
+            data, bounds = text_bytes(batch["text"])
+            for lo, hi in slices(bounds):
+                words, cuts = word_hashes(data, bounds[lo : hi + 1], MARK_BYTES)
+                words, row = words.view(np.int64), np.repeat(np.arange(hi - lo), np.diff(cuts))
+                order = np.lexsort((words, row))
+                words, row = words[order], row[order]
+                new = np.ones(len(words), bool)
+                new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
+                words, row = words[new], row[new]
+                hashes = np.array([text_hash(data[a:z].tobytes()) for a, z in zip(bounds[lo:hi].tolist(), bounds[lo + 1 : hi + 1].tolist(), strict=True)], np.int64)
+                slot = hashes % SLOTS
+                twin = (bits[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
+                waiting.append(np.unique(words[~twin[row]], return_counts=True))
+                if twin.any():
+                    ends = np.searchsorted(row, np.arange(hi - lo + 1))
+                    at = np.flatnonzero(twin)
+                    none = pa.nulls(len(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array([words[ends[k] : ends[k + 1]] for k in at], lists), none.cast(pa.int64()), none.cast(pa.int64())], names=names)
+                if sum(len(x[0]) for x in waiting) >= held:
+                    kept, waiting = merged(), []
+                    if len(kept[0]) >= held:
+                        yield told(*kept)
+                        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if waiting or len(kept[0]):
+            yield told(*merged())
+
+    counted = keep(docs.select("text").mapInArrow(run, "h bigint, terms array<bigint>, term bigint, n bigint"), "counted")
+    once = counted.filter("h IS NOT NULL").groupBy("h").agg(F.first("terms").alias("terms")).select(F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("n"))
+    return counted.filter("h IS NULL").select("term", "n").unionByName(once).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def most(c_entity, n: float, disclosure: float = DISCLOSURE):
+    """The largest count of a term that can disclose an entity of ``c_entity`` documents."""
+    power = F.pow if isinstance(c_entity, Column) else pow
+    return (c_entity + SMOOTHING * c_entity / n) * power(n / c_entity, 1 - disclosure) - SMOOTHING
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """h, entity, term, pmi, ic: the pairs over the disclosure threshold, for each text that holds both."""
+    n = float(max(scanned.select("h").distinct().count(), 1))
+    met = scanned.select("h", F.explode("entities").alias("entity")).distinct()
+    sizes = keep(met.groupBy("entity").agg(F.count("*").alias("c_entity")), "sizes")
+    largest = sizes.agg(F.max("c_entity")).first()[0]
+    if largest is None:
+        return docs.sparkSession.createDataFrame([], "h bigint, entity string, term bigint, pmi double, ic double")
+    met = met.join(sizes, "entity").filter(F.col("c_entity") < n)
+    # entities of one text alone are told alike: the first stands for them
+    single = met.filter("c_entity = 1").groupBy("h").agg(F.min("entity").alias("entity")).withColumn("c_entity", F.lit(1).cast("bigint"))
+    met = keep(single.unionByName(met.filter("c_entity > 1").select("h", "entity", "c_entity")), "met")
+
+    counts = keep(document_counts(docs, scanned).withColumnRenamed("n", "c_term"), "counts")
+    limit = most(float(largest), n, disclosure)
+    often = counts.filter(F.col("c_term") > limit).orderBy(F.desc("c_term"), "term").limit(OFTEN).select("term")
+    near = scanned.select("h", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+    near = near.join(F.broadcast(often), "term", "left_anti").distinct().join(counts.filter(F.col("c_term") <= limit), "term")
+    pairs = keep(near.join(met, "h").filter(F.col("c_term") <= most(F.col("c_entity"), n, disclosure) + 1e-6), "pairs")
+
+    both = pairs.groupBy("entity", "term", "c_entity", "c_term").agg(F.count("*").alias("both"))
+    rate = (F.col("both") + SMOOTHING * F.col("c_entity") / n) / (F.col("c_term") + SMOOTHING)
+    ic = F.log2(n / F.col("c_entity"))
+    judged = both.select("entity", "term", (F.log2(rate) + ic).alias("pmi"), ic.alias("ic")).filter((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).join(judged, ["entity", "term", "salt"]).select("h", "entity", "term", "pmi", "ic")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """rid, doc_id, spans (base), all_spans (with terms), by start, then kind."""
     scanned = keep(scan(docs), "pii")
-    told = keep(disclosing(docs, scanned), "disclosing").select("entity", "term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    near = scanned.select("rid", F.explode("near").alias("x")).select("rid", "x.*").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    extra = near.join(told, ["entity", "term", "salt"], "left_semi").groupBy("rid").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("extra"))
+    told = keep(disclosing(docs, scanned), "disclosing").groupBy("h").agg(F.collect_set("term").alias("told")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = scanned.filter(F.size("terms") > 0).select("rid", "h", "terms", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")).join(told, ["h", "salt"])
+    marked = F.filter("terms", lambda t: F.array_contains("told", t["term"]))
+    extra = held.select("rid", F.transform(marked, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))).alias("extra"))
     order = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
     keyed = F.transform(F.concat("spans", F.coalesce("extra", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))), lambda s: F.struct(s["start"], order[s["kind"]].alias("k"), s["kind"].alias("kind"), s["end"].alias("end")))
     placed = F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
