@@ -1,6 +1,10 @@
 """What a review found missing, each told on the smallest table that shows it."""
 
-from foliant.llm import pii
+import random
+
+import numpy as np
+
+from foliant.llm import pii, url_filter
 
 
 def marked(found, kind="term"):
@@ -31,3 +35,22 @@ def test_words_are_counted_once_for_copies(spark, monkeypatch):
     for held in (pii.HELD, 4):
         got = {r.term: r.n for r in pii.document_counts(docs, pii.scan(docs), held).collect()}
         assert [got[h] for h in pii._hashes(names).tolist()] == [1, 2, 52, 1] and len(got) == 53
+
+
+def test_rules_alone_say_nothing_of_other_urls(spark):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9)))
+    hosts = [("example.com", "/de/"), ("x.net", "/"), ("x.org", "/fr/"), ("example.net", "/en/"), ("com", "/"), ("org", "/en/")]
+    urls = [f"http://{name()}.{h}{p}{name()}" for h, p in hosts for _ in range(150)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    open_ones = [r for r in url_filter.judge(pages).collect() if r.rule is None]
+    assert len(open_ones) == 300 and all(r.verdict == "allow" for r in open_ones)
+
+
+def test_what_other_rules_foretell_is_learnt():
+    rng = random.Random(4)
+    rows = [(f"http://h{k % 6}/{'?a=1&b=2&c=3' if k % 2 else ''}", f"h{k % 6}", "/", k % 2, f"h{k % 6}/") for k in range(600)]
+    rng.shuffle(rows)
+    u, h, p, y, rule = (list(x) for x in zip(*rows, strict=True))
+    model = url_filter.fit_rules(u, h, p, np.array(y, float), rule)
+    assert (model.score(["http://q/?a=1&b=2&c=3", "http://q/"], ["q", "q"], ["/", "/"]) >= 0.5).tolist() == [True, False]
