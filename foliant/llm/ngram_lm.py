@@ -18,10 +18,10 @@ their group and are added up by document.  A frequent n-gram is asked for once a
 document, so no shard is hot whatever its frequency.
 
 Half of the trusted documents, by a hash of the id, train the model; the other half, which it has not
-seen, give each language its threshold on bits per word, the larger of 2 * q99 - q50 and ``MEDIANS`` *
-q50: few documents make a narrow q99, and a passage in another language must not cost a clean document
-its place.  A document is kept if its bits are at most threshold * (words + 1) + ``OPENING``.  Languages
-without training text use the model and threshold of all trusted text.
+seen, give each language its threshold, the ``QUANTILE`` of bits per word.  Fewer than ``LEAST_HELD``
+documents have no such quantile but their largest; their language takes its own median times the pooled
+quantile of bits per word over their language's median.  A document is kept if its bits per word are at
+most the threshold.  Languages without training text use the model and threshold of all trusted text.
 
 Texts are read where they lie and are not shuffled: the ids of trusted documents are broadcast when
 counted to be at most ``TRUSTED_IDS``; beyond it, or for ids that are no integers, documents are
@@ -55,10 +55,8 @@ TRUSTED_IDS = 8_000_000
 #: Languages whose few figures are broadcast.
 LANGUAGES = 100_000
 POOL = "*"
-#: Bits a text may have over its threshold, whatever its length: few words say little about a text.
-OPENING = 48.0
-#: A threshold is at least so many times the median.
-MEDIANS = 1.1
+#: The share of held-out documents that a threshold keeps, and how many it takes to tell it.
+QUANTILE, LEAST_HELD = 0.99, 100
 #: Where a group's own row sorts: after all answers.
 LAST = 1 << 30
 
@@ -312,16 +310,25 @@ def sums(asked: DataFrame, answered: DataFrame, row: str, parts: int) -> DataFra
     return both.repartition(parts, "slice").sortWithinPartitions("slice", "shard").mapInArrow(run, f"{row}, words bigint, gain double")
 
 
-def thresholds(good: DataFrame) -> DataFrame:
-    """key, threshold, per language and for all, from scored documents' bits per unit in thousandths."""
-    good = good.filter("words > 0").select("key", F.round(1000 * F.col("bits") / (F.col("words") + 1)).cast("bigint").alias("at"))
-    both = good.groupBy("key", "at").agg(F.count("*").alias("n"))
-    both = both.unionByName(both.groupBy("at").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "at", "n"))
+def _quantiles(rows: DataFrame) -> DataFrame:
+    """key, held, median, high, from counts n of documents by (key, at)."""
     whole = Window.partitionBy("key")
     upto = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = both.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole))
+    share = rows.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole))
     q = lambda x: F.min(F.when(F.col("share") >= x, F.col("at")))
-    return share.groupBy("key").agg((F.greatest(2 * q(0.99) - q(0.5), MEDIANS * q(0.5)) / 1000).alias("threshold"))
+    return share.groupBy("key").agg(F.sum("n").alias("held"), q(0.5).alias("median"), q(QUANTILE).alias("high"))
+
+
+def thresholds(good: DataFrame) -> DataFrame:
+    """key, threshold, per language and for all, from scored documents' bits per unit in thousandths."""
+    good = good.filter("words > 0").select("key", F.round(1000 * F.col("bits") / (F.col("words") + 1)).cast("bigint").alias("at"))
+    counts = keep(good.groupBy("key", "at").agg(F.count("*").alias("n")), "held")
+    own = _quantiles(counts.unionByName(counts.groupBy("at").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "at", "n")))
+    of = own.filter(F.col("key") != POOL).select("key", "median")
+    excess = counts.join(_few(of), "key").select(F.round(1000 * F.col("at") / F.col("median")).cast("bigint").alias("at"), "n")
+    pooled = _quantiles(excess.groupBy("at").agg(F.sum("n").alias("n")).withColumn("key", F.lit(POOL))).select((F.col("high") / 1000).alias("excess"))
+    enough = (F.col("held") >= LEAST_HELD) | (F.col("key") == POOL)
+    return own.crossJoin(F.broadcast(pooled)).select("key", (F.when(enough, F.col("high")).otherwise(F.col("median") * F.col("excess")) / 1000).alias("threshold"))
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -377,6 +384,6 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     per = F.col("bits") / (F.col("words") + 1)
     out = scored.join(_few(limits), "key", "left")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(pooled["threshold"] if pooled else None).cast("double"))).withColumn("bits_per_word", per)
-    good = (F.col("words") > 0) & (F.col("bits") <= F.col("threshold") * (F.col("words") + 1) + OPENING)
+    good = (F.col("words") > 0) & (F.round(1000 * per) <= 1000 * F.col("threshold"))
     kept = F.when(F.col("threshold").isNull(), F.col("sig") != F.xxhash64(F.lit(""))).otherwise(good)
     return out.select("doc_id", "lang", "words", "bits_per_word", F.pow(F.lit(2.0), "bits_per_word").alias("perplexity"), "threshold", kept.alias("kept"))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from foliant.llm import pii, url_filter
+from foliant.llm import ngram_lm, pii, url_filter
 
 
 def marked(found, kind="term"):
@@ -54,3 +54,11 @@ def test_what_other_rules_foretell_is_learnt():
     u, h, p, y, rule = (list(x) for x in zip(*rows, strict=True))
     model = url_filter.fit_rules(u, h, p, np.array(y, float), rule)
     assert (model.score(["http://q/?a=1&b=2&c=3", "http://q/"], ["q", "q"], ["/", "/"]) >= 0.5).tolist() == [True, False]
+
+
+def test_thresholds_are_the_quantile_of_held_out_documents(spark):
+    rows = [("a", 9, 10.0 * (5 + k / 100)) for k in range(1, 201)] + [("b", 9, 80.0)] * 3 + [("c", 0, 0.0)]
+    good = spark.createDataFrame(rows, "key string, words bigint, bits double")
+    got = {r.key: r.threshold for r in ngram_lm.thresholds(good).collect()}
+    assert got["a"] == 6.98  # the 198th of 200, 5 + 198 / 100
+    assert abs(got["b"] - 8 * round(6.98 / 6, 3)) < 0.01 and set(got) == {"a", "b", ngram_lm.POOL}
