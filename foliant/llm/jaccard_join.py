@@ -77,7 +77,7 @@ def _short(signature: bytes) -> int:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, sig) for documents and (part, counts) for a task's share of the sketch."""
+    """Rows (doc_id, n, sig, text_hash) for documents and (part, counts) for a task's share of the sketch."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -89,16 +89,16 @@ def scan(docs: DataFrame) -> DataFrame:
                 n[row], sig[row] = len(shingles), _signature(shingles).hex()
                 sketch[shingles >> np.uint64(64 - SKETCH_BITS)] += 1
             none = pa.nulls(len(batch))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(sig, pa.string()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(sig, pa.string()), batch["text_hash"], none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         parts = sketch.reshape(PARTS, -1)
         packed = [(k, zstandard.compress(parts[k].tobytes(), 1)) for k in range(PARTS) if parts[k].any()]
         if packed:
             none = pa.nulls(len(packed))
-            yield pa.RecordBatch.from_arrays([none.cast(doc_type), none.cast(pa.int64()), none.cast(pa.string()), pa.array([k for k, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none.cast(doc_type), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.int64()), pa.array([k for k, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names=names)
 
-    names = ["doc_id", "n", "sig", "part", "counts"]
+    names = ["doc_id", "n", "sig", "text_hash", "part", "counts"]
     doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sig string, part int, counts binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, n bigint, sig string, text_hash bigint, part int, counts binary")
 
 
 def frequency_classes(scanned: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -364,9 +364,14 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n, sig, component_id, n_links: the set's size and signature, the smallest doc_id reachable by links, and how many other sets it links with."""
+    return grouped(docs).drop("text_hash", "root")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """As ``join``, with the text's hash and the component's root, null for sets without links or copies."""
     spark = docs.sparkSession
     scanned = keep(scan(docs), "shingles")
-    own = scanned.filter("part IS NULL").select("doc_id", "n", "sig")
+    own = scanned.filter("part IS NULL").select("doc_id", "n", "sig", "text_hash")
     byte_classes, bound, total = frequency_classes(scanned)
     shipped = spark.sparkContext.broadcast(byte_classes)
     shards = max(16, -(-(total // 4) // SHARD))
@@ -386,11 +391,11 @@ def join(docs: DataFrame) -> DataFrame:
     degree = ends.groupBy(F.col("a").alias("sig")).agg(F.sum("n").alias("n_links"))
     linked = roots.join(classes.select(F.col("sig").alias("node"), "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("node").alias("sig"), "component_id")
-    known = classes.join(named, "sig", "left").filter("copies > 1 OR component_id IS NOT NULL").join(degree, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"), "n_links")
+    named = linked.join(least, "root").select(F.col("node").alias("sig"), "root", "component_id")
+    known = classes.join(named, "sig", "left").filter("copies > 1 OR component_id IS NOT NULL").join(degree, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), F.coalesce("component_id", "rep").alias("component_id"), "n_links")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["sig", "salt"], "left")
-    return out.select("doc_id", "n", "sig", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    return out.select("doc_id", "n", "sig", "text_hash", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def _short_of_sig():
@@ -401,7 +406,28 @@ def _short_of_sig():
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component; rows that share it all but one go."""
+    """The rows of ``docs`` whose doc_id is in no row of a component with a smaller one: ids are chosen, not rows (see ``one_row_per_group``)."""
     found = keep(join(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     left = docs.join(found, docs["doc_id"] == found["gone"], "left_anti")
     return left
+
+
+def one_row_per_group(docs: DataFrame) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (null last), then signature, text and other columns.  Rows without words all stay.
+
+    Rows are known by doc_id and the 64-bit hash of their text; only rows that repeat both are shuffled.
+    """
+    rows = keep(grouped(docs).filter("root IS NOT NULL").groupBy("root", "doc_id", "sig", "text_hash").agg(F.count("*").alias("copies")), "grouped")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig", "text_hash")
+    best = rows.groupBy("root").agg(F.min(first).alias("best"))
+    stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.sig") == F.col("sig")) & (F.col("best.text_hash") == F.col("text_hash"))
+    judged = keep(rows.join(best, "root").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), stays.alias("stays"), "copies"), "judged")
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_hash"))
+    again = judged.filter("stays AND copies > 1").drop("stays", "copies")
+    left = docs.join(judged.filter("NOT stays OR copies > 1"), same, "left_anti")
+    if again.isEmpty():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = docs.join(again, same, "left_semi").select(row.alias("row"), F.xxhash64("text").alias("h"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("order"))
+    one = repeated.groupBy(F.col("row.doc_id").alias("id"), "h").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return left.unionByName(one)

@@ -1,10 +1,13 @@
 """What a review found missing, each told on the smallest table that shows it."""
 
 import random
+from collections import Counter
 
+import corpus_pipeline
+import fixtures as X
 import numpy as np
-
 from foliant.llm import ngram_lm, pii, url_filter
+from test_text_operators import deduped, linked, shingles
 
 
 def marked(found, kind="term"):
@@ -62,3 +65,38 @@ def test_thresholds_are_the_quantile_of_held_out_documents(spark):
     got = {r.key: r.threshold for r in ngram_lm.thresholds(good).collect()}
     assert got["a"] == 6.98  # the 198th of 200, 5 + 198 / 100
     assert abs(got["b"] - 8 * round(6.98 / 6, 3)) < 0.01 and set(got) == {"a", "b", ngram_lm.POOL}
+
+
+def survivors(rows):
+    """One row of each group of linked rows, told from its definition; rows are (doc_id, text)."""
+    ids = [(k, t) for k, (_, t) in enumerate(rows)]
+    group = [c if shingles(t) else (c, None) for (_, t), (_, _, c, _) in zip(rows, linked(ids), strict=True)]
+    held = {}
+    for (d, t), g in zip(rows, group, strict=True):
+        held.setdefault(g, []).append((d is None, d or 0, d, t))
+    return [(rs, min(r[:2] for r in rs)) for rs in held.values()]
+
+
+def test_near_duplicates_choose_rows_and_not_ids(spark):
+    docs = X.documents(spark)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    got, groups = X.plain_rows(out), survivors(X.plain_rows(docs))
+    assert out.columns == docs.columns and len(got) == len(groups)
+    assert Counter(d for d, _ in got) == Counter(next(r[2] for r in rs if r[:2] == best) for rs, best in groups)
+    assert any(t == "another text of the same id entirely" for _, t in got) and all(d is not None for d, _ in got)
+
+
+def test_pipeline_with_repeated_rows_and_ids(spark, tmp_path):
+    docs = X.documents(spark)
+    spark.createDataFrame([(1, "never seen words of nothing else at all")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    results = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.keep(stage(spark, docs, str(tmp_path)), "test")
+        results.append(docs)
+    rows = X.plain_rows(results[0])
+    cut = [(d, t if n == 0 else kept) for (d, t), (_, _, n, kept) in zip(rows, deduped(rows), strict=True)]
+    groups = survivors(cut)
+    left = X.plain_rows(results[2])
+    assert len(left) == len(groups) < len(cut) and len(set(cut)) < len(cut)
+    assert Counter(d for d, _ in left) == Counter(next(r[2] for r in rs if r[:2] == best) for rs, best in groups)
+    assert results[4].count() == results[3].count() == len(left)
