@@ -1,15 +1,15 @@
 """PII by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
-Protected entities are the values that the patterns find.  A term is a word within ``REACH`` words of
-an entity on its line.  Over the corpus, with counts of distinct texts (copies of a text count once),
+Protected entities are the values that the patterns find.  A term is a word of
+a text that holds an entity, wherever it stands.  Over the corpus, with counts of distinct texts (copies of a text count once),
 
     PMI(t, e) = log2(N p(e | t) / c(e))        p(e | t) = (c(t, e) + S c(e) / N) / (c(t) + S)
     IC(e) = log2(N / c(e))
 
 say how much a term tells about an entity, and how much there is to tell; ``S``, ``SMOOTHING``, adds
 texts that hold the entity no more often than all do, so few texts say less than many.  Terms with
-``PMI >= DISCLOSURE * IC`` disclose the entity: they become spans of kind ``term`` where they stand
-beside it.  ``sanitise`` generalises spans to their kind and removes terms.
+``PMI >= DISCLOSURE * IC`` disclose the entity: they become spans of kind ``term`` wherever they
+stand in texts that hold it.  ``sanitise`` generalises spans to their kind and removes terms.
 
 Counts cover all documents.  One scan gathers entities and terms and writes them to the shared folder;
 a second counts all words.  No term over ``most(c(e))`` can pass, whatever it shares with the entity,
@@ -36,7 +36,7 @@ from foliant.llm.storage import keep
 from foliant.llm.tokens import MARK_BYTES, slices, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, DISCLOSURE, SMOOTHING, SALTS = 5, 0.8, 2.0, 16
+DISCLOSURE, SMOOTHING, SALTS = 0.8, 2.0, 16
 #: Slots of the bitmap of copied texts, words a task holds before it adds them up, and frequent words that are broadcast.
 SLOTS, HELD, OFTEN = 1 << 24, 1 << 21, 100_000
 
@@ -98,19 +98,13 @@ def text_hash(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def beside(text: str, spans) -> list[tuple[str, int, int]]:
-    """(term, start, end): the terms within ``REACH`` words of a span on its line, but for those in spans."""
-    taken = np.zeros(len(text) + 1, bool)
+def terms_of(text: str, spans) -> list[tuple[str, int, int]]:
+    """(term, start, end): the terms of a text that holds spans, but for those in spans."""
+    taken = np.zeros(len(text) + 1, np.int64)
     for _, a, z, _ in spans:
-        taken[a:z] = True
-    out = set()
-    for _, a, z, _ in spans:
-        low = max(text.rfind("\n", 0, a) + 1, a - 40 * REACH)
-        stop = text.find("\n", z)
-        high = min(len(text) if stop < 0 else stop, z + 40 * REACH)
-        near = list(_TERM.finditer(text, low, a))[-REACH:] + list(_TERM.finditer(text, z, high))[:REACH]
-        out |= {(m[0], m.start(), m.end()) for m in near if not taken[m.start() : m.end()].any()}
-    return sorted(out, key=lambda x: x[1:])
+        taken[a + 1 : z + 1] = 1
+    before = np.cumsum(taken)
+    return [(m[0], m.start(), m.end()) for m in _TERM.finditer(text) if before[m.start()] == before[m.end()]]
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -137,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 text = text.as_py() or ""
                 found = find(text)
-                near = beside(text, found) if found else []
+                near = terms_of(text, found) if found else []
                 hashes.append(text_hash(text.encode()))
                 spans.append([{"kind": k, "start": a, "end": z} for k, a, z, _ in found])
                 entities.append(sorted({f"{k}:{value}" for k, _, _, value in found}))
@@ -283,8 +277,8 @@ def replaced(text: Column, found: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with sanitised texts.  Equal texts have equal patterns, and terms beside an entity disclose it wherever
-    they stand, so texts are matched to their spans by a 128-bit hash."""
+    """``docs`` with sanitised texts.  Equal texts have equal patterns, and terms disclose an entity in every text
+    that holds it, so texts are matched to their spans by a 128-bit hash."""
     key = lambda c: F.md5(F.coalesce(c, F.lit("")))
     distinct = keep(docs.select(key(F.col("text")).alias("doc_id"), "text"), "texts")
     found = spans(distinct).filter(F.size("all_spans") > 0).groupBy("doc_id").agg(F.first("all_spans").alias("all_spans"))

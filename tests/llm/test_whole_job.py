@@ -100,3 +100,10 @@ def test_pipeline_with_repeated_rows_and_ids(spark, tmp_path):
     assert len(left) == len(groups) < len(cut) and len(set(cut)) < len(cut)
     assert Counter(d for d, _ in left) == Counter(next(r[2] for r in rs if r[:2] == best) for rs, best in groups)
     assert results[4].count() == results[3].count() == len(left)
+
+
+def test_terms_disclose_wherever_they_stand_in_the_document(spark):
+    plain = [(1000 + k, f"plain words that say nothing of number w{k}") for k in range(400)]
+    card = "Zanzibar\nal@x.org\nplain words that say nothing of plain words zanzibar that\nsay zanzibar"
+    found = spans_of(spark, plain + [(0, card)])
+    assert [card[s.start : s.end] for r in found.filter("doc_id = 0").collect() for s in r.all_spans if s.kind == "term"] == ["Zanzibar", "zanzibar", "zanzibar"]
