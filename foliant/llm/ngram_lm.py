@@ -1,21 +1,27 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text's words, per language.
 
-Units are words (A-Z lower-cased, 64-bit hashes seeded by language) and a text's two ends; the order is
-2.  An interpolated model written with back-off weights makes a text's log-probability a plain sum: each
-n-gram it holds adds ``value``, which is 0 for n-grams that trusted text lacks,
-
-    word w:      log p(w) - log p(unknown) + log backoff(w)
-    pair (a, b): log p(b | a) - log backoff(a) - log p(b)
-
-and every word adds log p(unknown).  Trusted text gives counts by (a, b); continuation counts, discounts
-from counts of counts, context totals and the interpolation are aggregations and joins over them, and all
-of it grows with the corpus: nothing is broadcast but trusted ids, when counted to be few.
-
-Scoring is a sharded join of n-grams with their values, in ``ROUNDS`` rounds over ranges of the hash, so
-that a round's tables are a part of the whole.  A task asks once for each n-gram of a group of texts;
-requests go to the shard of their hash, which streams them past its part of the model; answers return to
-their group and are added up by document.  A frequent n-gram is asked for once a group, not once a
-document, so no shard is hot whatever its frequency.
+Units are words (A-Z lower-cased, 64-bit hashes seeded by language), ``order - 1`` marks before a text and
+one after it; the order is a parameter, 3 by default.  The model is nothing but counts, in tables sharded by
+the hash of the n-gram, all of which grow with the corpus:
+
+    grams, order m     of the highest order its occurrences, below it its distinct predecessors
+                       (occurrences, for those that start with a mark, which have but one predecessor)
+    contexts, order m  the sum of the counts of what follows, and how many of them are 1, 2, and 3 or more
+    languages          per order the counts of counts, which give the discounts; units and their sum
+
+*Learning* goes order by order from the highest: groups of trusted texts send each shard their distinct
+n-grams with counts; a shard adds them up and tells the shards of the order below.  Every sum is taken
+per group or shard before it is sent, so a frequent n-gram is one row of each sender.  Single words are
+added up last.  ``ROUNDS`` ranges of the word before the last one bound what a round holds.
+
+*Scoring* is a join of the n-grams of all documents with those counts.  Documents go in ``BLOCKS`` blocks by
+their hash, each read and cut to words once.  A task asks once for each n-gram of a group of texts;
+requests go to the shard of their hash, which looks them up and answers; answers meet their group again,
+where each word's probability is interpolated from the counts.  No n-gram makes a shard hot, as it
+is asked for once a group.  Requests, answers and model are packed arrays of sorted hashes, cut to
+``log2(trusted characters) + SPARE_BITS`` bits: an n-gram that the model lacks is taken for another one
+with a probability of 2**-SPARE_BITS at most, whatever the size.  Nothing is broadcast but trusted ids
+and languages, when counted to be few.
 
 Half of the trusted documents, by a hash of the id, train the model; the other half, which it has not
 seen, give each language its threshold, the ``QUANTILE`` of bits per word.  Fewer than ``LEAST_HELD``
@@ -23,10 +29,6 @@ documents have no such quantile but their largest; their language takes its own
 quantile of bits per word over their language's median.  A document is kept if its bits per word are at
 most the threshold.  Languages without training text use the model and threshold of all trusted text.
 
-Texts are read where they lie and are not shuffled: the ids of trusted documents are broadcast when
-counted to be at most ``TRUSTED_IDS``; beyond it, or for ids that are no integers, documents are
-joined with them, which shuffles their texts.
-
 Defined results: a null or empty text, or one without words, has 0 words, 0 bits, perplexity 1 and is not
 kept; a null language is one of its own; rows that repeat are scored alike; trusted ids that repeat count
 once; without any trusted text nothing is measured and every text but null and empty ones is kept; an
@@ -36,6 +38,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,113 +49,131 @@ from pyspark.sql import functions as F
 from foliant.llm.storage import keep, keep_while
 from foliant.llm.tokens import U, mix, slices, text_bytes, word_hashes
 
-#: Rounds are 2**ROUND_BITS ranges of the hash.
-ROUND_BITS = 2
-#: Words that are asked for together, and n-grams of the model that a shard aims for.
-GROUP_WORDS, SHARD_ROWS = 1 << 20, 1 << 18
-#: Trusted ids that are broadcast, 8 bytes each.
-TRUSTED_IDS = 8_000_000
-#: Languages whose few figures are broadcast.
-LANGUAGES = 100_000
+ORDER = 3
+#: Ranges of learning, and blocks of documents that are scored one after the other.
+ROUND_BITS, BLOCKS = 2, 4
+#: Units that are asked for together, and trusted characters to a shard of the model.
+GROUP_WORDS, SHARD_CHARS = 1 << 20, 1 << 22
+SPARE_BITS = 16
+#: Trusted ids and languages that are broadcast.
+TRUSTED_IDS, LANGUAGES = 2_000_000, 100_000
 POOL = "*"
 #: The share of held-out documents that a threshold keeps, and how many it takes to tell it.
 QUANTILE, LEAST_HELD = 0.99, 100
-#: Where a group's own row sorts: after all answers.
-LAST = 1 << 30
 
 _LEFT, _RIGHT, _START, _END = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25), U(0x6C62272E07BB0142), U(0x27D4EB2F165667C5)
+#: Rows of the model have no slice, parcels to be added up slice 0, requests that of their group.
+MODEL, PARCEL, ASK, OWN = -1, 0, 1000, 1001
+LAST = 1 << 30
+ROWS = "dest int, shard int, kind int, slice bigint, data array<binary>"
+FIELDS = ("doc_id", "lang", "key", "sig", "seed")
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The order, the bits that tell a shard, and the bits of a hash that are compared."""
+
+    order: int
+    shard_bits: int
+    width: int
+
+    def cut(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> U(64 - self.width)
+
+    def parts(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """shard, from, to of sorted whole keys."""
+        ends = np.searchsorted(keys >> U(64 - self.shard_bits), np.arange((1 << self.shard_bits) + 1, dtype=np.uint64))
+        return ((k, int(a), int(z)) for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < z)
+
+    @property
+    def shards(self) -> int:
+        return 1 << self.shard_bits
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _LEFT + mix(b * _RIGHT))
 
 
-def units(data: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The units of texts, start and end among them, and the text each belongs to."""
+def marks(seeds: np.ndarray, order: int) -> list[np.ndarray]:
+    """What stands before a text, per language."""
+    return [mix(seeds ^ mix(_START + U(k))) for k in range(order - 1)]
+
+
+def units(data: np.ndarray, bounds: np.ndarray, seeds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The units of texts, marks among them, and the text each belongs to."""
     hashes, at = word_hashes(data, bounds)
     per = np.diff(at)
-    text = np.repeat(np.arange(len(per)), per + 2)
+    text = np.repeat(np.arange(len(per)), per + order)
     out = np.empty(len(text), np.uint64)
-    first = at[:-1] - at[0] + 2 * np.arange(len(per))
-    out[np.arange(len(hashes)) + 2 * np.repeat(np.arange(len(per)), per) + 1] = mix(hashes ^ np.repeat(seeds, per))
-    out[first], out[first + per + 1] = mix(seeds ^ _START), mix(seeds ^ _END)
+    first = at[:-1] - at[0] + order * np.arange(len(per))
+    out[np.arange(len(hashes)) + order * np.repeat(np.arange(len(per)), per) + order - 1] = mix(hashes ^ np.repeat(seeds, per))
+    for k, mark in enumerate(marks(seeds, order)):
+        out[first + k] = mark
+    out[first + per + order - 1] = mix(seeds ^ _END)
     return out, text
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers by planes of their bytes, so that the many zero ones vanish."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+def keys_of(seq: np.ndarray, order: int) -> list[np.ndarray]:
+    """The hashes of the n-grams of each order, by where they start."""
+    out = [seq]
+    for _ in range(order - 1):
+        out.append(pair(out[-1][:-1], out[-1][1:]))
+    return out
 
 
-def unpacked(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+def key_of(columns: list[np.ndarray]) -> np.ndarray:
+    """The hash of one n-gram a row, from its units."""
+    return columns[0] if len(columns) == 1 else pair(key_of(columns[:-1]), key_of(columns[1:]))
 
 
-def _language(c="lang"):
-    """A key that tells null from every string."""
-    return F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c)))
+def whole(text: np.ndarray, m: int) -> np.ndarray:
+    """Whether the n-gram of order ``m`` that starts at a unit lies within one text."""
+    return text[: len(text) - m + 1] == text[m - 1 :]
 
 
-def marked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
-    """``rows`` with ``trusted`` and None; or, for few integer ids, without it and a broadcast of them, sorted."""
-    if dict(rows.dtypes)["doc_id"] in ("bigint", "int") and ids.count() <= TRUSTED_IDS:
-        held = np.sort(ids.toArrow()["trusted_id"].to_numpy().astype(np.int64))
-        return rows, rows.sparkSession.sparkContext.broadcast(held)
-    return rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id"), None
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of their bytes, so that the many zero ones vanish."""
+    return zstandard.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1) if len(values) else b""
 
 
-def _flags(batch, shipped) -> np.ndarray:
-    if shipped is None:
-        return batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
-    held, ids = shipped.value, batch["doc_id"]
-    values = ids.fill_null(0).to_numpy().astype(np.int64)
-    at = np.minimum(np.searchsorted(held, values), max(len(held) - 1, 0))
-    return (held[at] == values if len(held) else np.zeros(len(values), bool)) & ids.is_valid().to_numpy(zero_copy_only=False)
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
-def _seeds(column) -> np.ndarray:
-    return column.to_numpy().view(np.uint64)
+def steps(values: np.ndarray) -> bytes:
+    """Sorted numbers by their differences."""
+    return packed(np.diff(values, prepend=U(0)))
 
 
-def _mine(hashes: np.ndarray, turn: int) -> np.ndarray:
-    return hashes >> U(64 - ROUND_BITS) == U(turn)
+def stepped(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-def counts(rows: DataFrame, shipped, turn: int) -> DataFrame:
-    """seed, a, b, n: pairs of this round in trusted texts, from (doc_id, seed, text) and what ``marked`` gave."""
+def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple:
+    """Sorted distinct keys, where each first stood, and the columns added up by key."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), *columns
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+    return sorted_keys[first], order[first], *(np.add.reduceat(c[order], first) for c in columns)
 
-    def run(batches):
-        for batch in batches:
-            own = batch.filter(pa.array(_flags(batch, shipped)))
-            data, bounds = text_bytes(own["text"])
-            seeds = _seeds(own["seed"])
-            for lo, hi in slices(bounds):
-                seq, text = units(data, bounds[lo : hi + 1], seeds[lo:hi])
-                a, b, of = seq[:-1], seq[1:], text[:-1]
-                some = np.flatnonzero(of == text[1:])
-                h = pair(a[some], b[some])
-                inside = _mine(h, turn)
-                some = some[inside]
-                _, first, n = np.unique(h[inside], return_index=True, return_counts=True)
-                at = some[first]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (seeds[lo:hi][of[at]], a[at], b[at])] + [pa.array(n.astype(np.int64))], names=["seed", "a", "b", "n"])
 
-    shares = rows.select("doc_id", "seed", "text", *(["trusted"] if shipped is None else [])).mapInArrow(run, "seed bigint, a bigint, b bigint, n bigint")
-    return shares.groupBy("a", "b").agg(F.first("seed").alias("seed"), F.sum("n").alias("n")).select("seed", "a", "b", "n")
+def _grouped(columns: list[list[bytes]]) -> list[np.ndarray]:
+    """Parcels' columns, one after the other."""
+    return [np.concatenate([unpacked(p[k]) for p in columns]) for k in range(len(columns[0]))]
 
 
-def _discounts(grams: DataFrame) -> DataFrame:
-    """seed, d1, d2, d3 of one order, from its counts of counts."""
-    of = grams.groupBy("seed").agg(*[F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    usual = lambda k: F.least(F.greatest(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.1)), F.lit(float(k)))
-    full = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    return of.select("seed", *[F.when(full, usual(k)).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["dest", "shard", "kind", "slice", "data"])
 
 
-def _cut():
-    return F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+def _language(c="lang"):
+    """A key that tells null from every string."""
+    return F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c)))
 
 
 def _few(languages: DataFrame) -> DataFrame:
@@ -160,161 +181,311 @@ def _few(languages: DataFrame) -> DataFrame:
     return F.broadcast(languages) if languages.count() <= LANGUAGES else languages
 
 
-def vocabulary(grams: DataFrame, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(w, seed, p, backoff, total) by unit, and (seed, unknown) by language, from all pairs and their discounts.
-
-    ``p`` is null for units that nothing precedes, ``backoff`` and ``total`` for those that nothing follows.
-    """
-    follows = keep_while(lambda: grams.groupBy(F.col("b").alias("w")).agg(F.first("seed").alias("seed"), F.count("*").alias("n")), "follows")
-    low, cut = _few(keep(_discounts(follows), "discounts1")), _few(cut)
-    per = follows.join(low, "seed").groupBy("seed").agg(F.sum("n").alias("all"), F.sum(_cut()).alias("mass"), F.count("*").alias("types"))
-    per = keep(per.select("seed", "all", (F.col("mass") / F.col("all") / (F.col("types") + 1)).alias("unknown")), "languages")
-    uni = follows.join(low, "seed").join(_few(per), "seed").select("w", "seed", ((F.col("n") - _cut()) / F.col("all") + F.col("unknown")).alias("p"))
-    contexts = grams.join(cut, "seed").groupBy(F.col("a").alias("w")).agg(F.first("seed").alias("other"), F.sum("n").alias("total"), F.sum(_cut()).alias("mass"))
-    both = uni.join(contexts, "w", "full").select("w", F.coalesce("seed", "other").alias("seed"), "p", (F.col("mass") / F.col("total")).alias("backoff"), "total")
-    return keep_while(lambda: both, "vocabulary"), per
-
-
-def values(grams: DataFrame, cut: DataFrame, words: DataFrame, per: DataFrame, turn: int) -> DataFrame:
-    """h, v of the n-grams of this round."""
-    left = words.select(F.col("w").alias("a"), "backoff", "total")
-    right = words.select(F.col("w").alias("b"), F.col("p"))
-    met = grams.join(cut, "seed").select("a", "b", (F.col("n") - _cut()).alias("rest")).join(left, "a").join(right, "b")
-    two = met.select("a", "b", F.log2((F.col("rest") / F.col("total") + F.col("backoff") * F.col("p")) / (F.col("backoff") * F.col("p"))).alias("v"))
-
-    def name(batches):
-        for batch in batches:
-            h = pair(_seeds(batch["a"]), _seeds(batch["b"]))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["v"]], names=["h", "v"])
-
-    zero = F.lit(0.0)
-    one = words.filter(F.shiftrightunsigned("w", 64 - ROUND_BITS) == turn).join(per, "seed", "left")
-    one = one.select(F.col("w").alias("h"), (F.coalesce(F.log2(F.col("p") / F.col("unknown")), zero) + F.coalesce(F.log2("backoff"), zero)).alias("v"))
-    return two.mapInArrow(name, "h bigint, v double").unionByName(one)
-
-
-PARCEL = "slice bigint, shard int, data binary, reps binary"
-
-
-def _groups(batches) -> Iterator[tuple]:
-    """Texts in groups of about ``GROUP_WORDS``: their batch rows, units, and the text each unit belongs to."""
+def _groups(batches, fields: tuple[str, ...], order: int) -> Iterator[tuple]:
+    """Texts in groups of about ``GROUP_WORDS`` units: the fields of their rows, units, and the text each unit belongs to."""
     held: list[tuple] = []
     size = texts = 0
+
+    def whole_group():
+        rows = pa.Table.from_batches([x[0] for x in held]).combine_chunks().to_batches()[0]
+        return rows, *(np.concatenate([x[k] for x in held]) for k in (1, 2))
+
     for batch in batches:
         data, bounds = text_bytes(batch["text"])
-        seeds = _seeds(batch["seed"])
+        seeds = batch["seed"].to_numpy().view(np.uint64)
         for lo, hi in slices(bounds):
-            seq, text = units(data, bounds[lo : hi + 1], seeds[lo:hi])
-            held.append((batch.select(["doc_id", "lang", "key", "sig"]).slice(lo, hi - lo), seq, text + texts))
+            seq, text = units(data, bounds[lo : hi + 1], seeds[lo:hi], order)
+            held.append((batch.select(list(fields)).slice(lo, hi - lo), seq, text + texts))
             size, texts = size + len(seq), texts + hi - lo
             if size >= GROUP_WORDS:
-                yield pa.Table.from_batches([x[0] for x in held]).combine_chunks(), *(np.concatenate([x[k] for x in held]) for k in (1, 2))
+                yield whole_group()
                 held, size, texts = [], 0, 0
     if held:
-        yield pa.Table.from_batches([x[0] for x in held]).combine_chunks(), *(np.concatenate([x[k] for x in held]) for k in (1, 2))
+        yield whole_group()
 
 
-def requests(docs: DataFrame, turn: int, shard_bits: int, row: str) -> DataFrame:
-    """What each group of texts asks of each shard, and a row for itself: which document holds what was asked."""
+# Learning: counts of trusted text, order by order
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        fields = ("doc_id", "lang", "key", "sig")
-        for rows, seq, text in _groups(batches):
-            number += 1
-            beside = text[:-1] == text[1:]
-            h, of = np.concatenate([seq, pair(seq[:-1][beside], seq[1:][beside])]), np.concatenate([text, text[:-1][beside]])
-            inside = _mine(h, turn)
-            h, of = h[inside], of[inside]
-            order = np.argsort(h, kind="stable")
-            h, of = h[order], of[order].astype(np.uint32)
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            asked, reps = h[first], np.diff(np.append(first, len(h))).astype(np.uint32)
-            cuts = np.searchsorted(asked, np.arange(1, 1 << shard_bits, dtype=np.uint64) * U(1 << (64 - ROUND_BITS - shard_bits)) + (U(turn) << U(64 - ROUND_BITS)))
-            sent = [(k, x) for k, x in enumerate(np.split(asked, cuts)) if len(x)]
-            words = np.bincount(text, minlength=len(rows)) - 2
-            own = pa.StructArray.from_arrays([*(rows[c].combine_chunks() if not isinstance(rows[c], pa.Array) else rows[c] for c in fields), pa.array(words.astype(np.int64))], [*fields, "words"])
-            lists = pa.ListArray.from_arrays(pa.array([0] * (len(sent) + 1) + [len(rows)], pa.int32()), own)
-            data = [packed(np.diff(x, prepend=U(0))) for _, x in sent] + [packed(of)]
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(data), pa.int64()), pa.array([k for k, _ in sent] + [LAST], pa.int32()), pa.array(data, pa.binary()), pa.array([b""] * len(sent) + [packed(reps)], pa.binary()), lists], names=["slice", "shard", "data", "reps", "rows"])
-
-    return docs.select("doc_id", "lang", "key", "sig", "seed", "text").mapInArrow(run, f"{PARCEL}, rows array<struct<{row}, words bigint>>")
-
-
-def _shards(model: DataFrame, parts: int, shard_bits: int) -> DataFrame:
-    """The model, a row a shard and Arrow batch: slice -1, hashes and values."""
+def occurrences(train: DataFrame, plan: Plan, turn: int) -> DataFrame:
+    """Parcels of the highest order: units, count and language of the distinct n-grams of a group, by shard."""
+    n, top = plan.order, 2 * plan.order
 
     def run(batches):
+        for rows, seq, text in _groups(batches, ("seed",), n):
+            seeds = rows["seed"].to_numpy().view(np.uint64)
+            mine = whole(text, n)
+            mine &= seq[n - 2 : n - 2 + len(mine)] >> U(64 - ROUND_BITS) == U(turn)
+            at = np.flatnonzero(mine)
+            keys, first, count = summed(keys_of(seq, n)[-1][at], np.ones(len(at), np.uint64))
+            at = at[first]
+            known, language = np.unique(seeds[text[at]], return_inverse=True)
+            columns = [*(seq[at + k] for k in range(n)), count, language.astype(np.uint64)]
+            out = [(k, k, top, PARCEL, [*(packed(c[a:z]) for c in columns), packed(known)]) for k, a, z in plan.parts(keys)]
+            if out:
+                yield _batch(out)
+
+    return train.select("seed", "text").mapInArrow(run, ROWS)
+
+
+def _languages(plan: Plan, seeds: np.ndarray, m: int, count: np.ndarray) -> list[tuple]:
+    """Parcels of the counts of counts of one order; of order 1 the sum and number too."""
+    known, language = np.unique(seeds, return_inverse=True)
+    table = np.zeros((4 * plan.order + 2, len(known)), np.uint64)
+    for k in range(1, 5):
+        table[4 * (m - 1) + k - 1] = np.bincount(language[count == U(k)], minlength=len(known))
+    if m == 1:
+        np.add.at(table[-2], language, count)
+        table[-1] = np.bincount(language, minlength=len(known))
+    return [(k, k, 0, PARCEL, [packed(known[a:z]), *(packed(c[a:z]) for c in table)]) for k, a, z in plan.parts(known)]
+
+
+def _told(plan: Plan, m: int, grams: list[list[bytes]], contexts: list[list[bytes]]) -> Iterator[tuple]:
+    """The model's rows of order ``m`` in one shard, and parcels for the order below, from all its parcels."""
+    if contexts:
+        keys, *columns = _grouped(contexts)
+        keys, _, *columns = summed(keys, *columns)
+        yield from ((k, k, 2 * m + 1, MODEL, [steps(plan.cut(keys[a:z])), *(packed(c[a:z]) for c in columns)]) for k, a, z in plan.parts(keys))
+    if not grams:
+        return
+    parts = [[unpacked(x) for x in p] for p in grams]
+    *columns, count = (np.concatenate([p[k] for p in parts]) for k in range(m + 1))
+    seeds = np.concatenate([p[m + 2][p[m + 1].astype(np.int64)] for p in parts])
+    keys, first, count = summed(key_of(columns), count)
+    columns, seeds = [c[first] for c in columns], seeds[first]
+    yield from ((k, k, 2 * m, MODEL, [steps(plan.cut(keys[a:z])), packed(count[a:z])]) for k, a, z in plan.parts(keys))
+    yield from _languages(plan, seeds, m, count)
+    if m == 1:
+        return
+    marked = np.zeros(len(keys), bool)
+    for mark in marks(seeds, plan.order):
+        marked |= columns[1] == mark
+    tails, first, types = summed(key_of(columns[1:]), np.where(marked, count, U(1)))
+    known, language = np.unique(seeds[first], return_inverse=True)
+    sent = [*(c[first] for c in columns[1:]), types, language.astype(np.uint64)]
+    yield from ((k, k, 2 * m - 2, PARCEL, [*(packed(c[a:z]) for c in sent), packed(known)]) for k, a, z in plan.parts(tails))
+    one, two = count == U(1), count == U(2)
+    heads, _, *sums = summed(key_of(columns[:-1]), count, *(x.astype(np.uint64) for x in (one, two, ~one & ~two)))
+    yield from ((k, k, 2 * m - 1, PARCEL, [packed(c[a:z]) for c in (heads, *sums)]) for k, a, z in plan.parts(heads))
+
+
+def exchanged(rows: DataFrame, plan: Plan) -> DataFrame:
+    return rows.repartitionById(plan.shards, "dest").sortWithinPartitions("dest", "slice", "kind")
+
+
+def reduced(parcels: DataFrame, plan: Plan, m: int) -> DataFrame:
+    """The model's rows of order ``m`` (0: languages) and parcels for lower orders; other rows pass."""
+
+    def told(held):
+        grams, contexts = held.get(2 * m, []), held.get(2 * m + 1, [])
+        if m:
+            rows = list(_told(plan, m, grams, contexts))
+        else:
+            keys, *columns = _grouped(grams) if grams else [np.zeros(0, np.uint64)]
+            keys, _, *columns = summed(keys, *columns)
+            rows = [(k, k, 0, MODEL, [steps(plan.cut(keys[a:z])), *(packed(c[a:z]) for c in columns)]) for k, a, z in plan.parts(keys)]
+        return [_batch([r]) for r in rows]
+
+    def run(batches):
+        at, held = None, {}
         for batch in batches:
-            shard = batch["shard"].to_numpy()
-            edges = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else [0]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([int(shard[lo])], pa.int32()), pa.array([batch["h"].to_numpy()[lo:hi].tobytes()], pa.binary()), pa.array([batch["v"].to_numpy()[lo:hi].tobytes()], pa.binary())], names=["slice", "shard", "data", "reps"])
+            dest, kind, part = (batch[c].to_numpy() for c in ("dest", "kind", "slice"))
+            mine = (part == PARCEL) & ((kind == 2 * m) | (kind == 2 * m + 1) & (m > 0))
+            if not mine.all():
+                yield batch.filter(pa.array(~mine))
+            for k in np.flatnonzero(mine).tolist():
+                if dest[k] != at:
+                    yield from told(held)
+                    at, held = dest[k], {}
+                held.setdefault(int(kind[k]), []).append(batch["data"][k].as_py())
+        yield from told(held)
 
-    shard = F.shiftrightunsigned("h", 64 - ROUND_BITS - shard_bits).bitwiseAND((1 << shard_bits) - 1).cast("int")
-    return model.select("h", "v", shard.alias("shard")).repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, PARCEL)
+    return exchanged(parcels, plan).mapInArrow(run, ROWS)
 
 
-def answers(asked: DataFrame, model: DataFrame, parts: int, shard_bits: int) -> DataFrame:
-    """The values, as 32-bit floats in the order asked, of each request."""
+def learn(train: DataFrame, plan: Plan) -> DataFrame:
+    """The model, packed and sharded, of (seed, text)."""
 
-    def run(batches):
-        at, found, held, value = None, [], None, None
-        for batch in batches:
-            for k in range(len(batch)):
-                number, shard, data, reps = (batch[c][k].as_py() for c in ("slice", "shard", "data", "reps"))
-                if shard != at:
-                    at, found, held = shard, [], None
-                if number < 0:
-                    found.append((np.frombuffer(data, np.uint64), np.frombuffer(reps, np.float64)))
-                    continue
-                if held is None:
-                    h, v = (np.concatenate([x[j] for x in found]) if found else np.zeros(0, (np.uint64, np.float64)[j]) for j in (0, 1))
-                    order = np.argsort(h)
-                    held, value = h[order], v[order]
-                wanted = np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
-                out = np.zeros(len(wanted), np.float32)
-                if len(held):
-                    place = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
-                    same = held[place] == wanted
-                    out[same] = value[place[same]]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int32()), pa.array([packed(out)], pa.binary()), pa.array([b""], pa.binary())], names=["slice", "shard", "data", "reps"])
+    def one_round(turn):
+        rows = occurrences(train, plan, turn)
+        for m in range(plan.order, 1, -1):
+            rows = reduced(rows, plan, m)
+        return rows
+
+    told = [keep_while(lambda turn=turn: one_round(turn), f"round{turn}") for turn in range(1 << ROUND_BITS)]
+    rows = told[0]
+    for more in told[1:]:
+        rows = rows.unionByName(more)
+    return keep_while(lambda: (reduced(reduced(rows, plan, 1), plan, 0), *told), "model")
+
+
+# Scoring: documents' n-grams meet the counts
+
+
+def requests(docs: DataFrame, plan: Plan, row: str) -> DataFrame:
+    """What each group of texts asks of each shard, and a row for itself that goes along."""
+    n = plan.order
 
-    both = _shards(model, parts, shard_bits).unionByName(asked.filter(F.col("shard") < LAST).select("slice", "shard", "data", "reps"))
-    return both.repartition(parts, "shard").sortWithinPartitions("shard", "slice").mapInArrow(run, PARCEL)
+    def run(batches):
+        from pyspark import TaskContext
 
+        number = (TaskContext.get().partitionId() + 1) << 32
+        for rows, seq, text in _groups(batches, FIELDS, n):
+            number += 1
+            asked = [np.unique(rows["seed"].to_numpy().view(np.uint64)), *(np.unique(k[whole(text, m + 1)]) for m, k in enumerate(keys_of(seq, n)))]
+            lists: dict[int, list[bytes]] = {}
+            for level, keys in enumerate(asked):
+                for k, a, z in plan.parts(keys):
+                    lists.setdefault(k, [b""] * len(asked))[level] = steps(np.unique(plan.cut(keys[a:z])))
+            known, at = np.unique(seq, return_inverse=True)
+            out = [*((k, k, ASK, number, data) for k, data in lists.items()), (number % plan.shards, LAST, OWN, number, [steps(known), packed(at), packed(np.bincount(text, minlength=len(rows)))])]
+            own = pa.StructArray.from_arrays([rows[c] for c in FIELDS], list(FIELDS))
+            batch = _batch(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array([0] * len(out) + [len(rows)], pa.int32()), own)], names=[*batch.schema.names, "rows"])
+
+    return docs.select(*FIELDS, "text").mapInArrow(run, f"{ROWS}, rows array<struct<{row}, seed: bigint>>")
+
+
+def _looked_up(wanted: np.ndarray, table: list[np.ndarray], wide: int) -> list[np.ndarray]:
+    """The columns of the wanted keys, 0 where the table lacks them."""
+    out = [np.zeros(len(wanted), np.uint64) for _ in range(wide)]
+    if len(wanted) and table and len(table[0]):
+        keys, *columns = table
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        same = keys[place] == wanted
+        for o, c in zip(out, columns, strict=True):
+            o[same] = c[place[same]]
+    return out
+
+
+def wide(plan: Plan) -> list[tuple[int, int]]:
+    """Kind and columns of what answers each list of a request: languages, then order by order grams and contexts."""
+    out = [[(0, 4 * plan.order + 2)]]
+    for m in range(1, plan.order + 1):
+        out.append([(2 * m, 1)] + [(2 * m + 1, 4)] * (m < plan.order))
+    return out
+
+
+def answers(asked: DataFrame, model: DataFrame, plan: Plan) -> DataFrame:
+    """What the shards answer to each request, list by list; groups' own rows pass."""
+    form = wide(plan)
 
-def sums(asked: DataFrame, answered: DataFrame, row: str, parts: int) -> DataFrame:
-    """doc_id, lang, key, sig, words and the sum of this round's values, a row a document."""
+    def run(batches):
+        at, rows, tables = None, {}, None
+        for batch in batches:
+            dest, kind = batch["dest"].to_numpy(), batch["kind"].to_numpy()
+            own = kind == OWN
+            if own.any():
+                yield batch.filter(pa.array(own))
+            for k in np.flatnonzero(~own).tolist():
+                if dest[k] != at:
+                    at, rows, tables = dest[k], {}, None
+                data = batch["data"][k].as_py()
+                if kind[k] != ASK:
+                    rows.setdefault(int(kind[k]), []).append(data)
+                    continue
+                if tables is None:
+                    tables = {}
+                    for what, parts in rows.items():
+                        columns = [np.concatenate([stepped(p[0]) for p in parts]), *(np.concatenate([unpacked(p[c]) for p in parts]) for c in range(1, len(parts[0])))]
+                        order = np.argsort(columns[0], kind="stable")
+                        tables[what] = [c[order] for c in columns]
+                    rows = {}
+                out = []
+                for asked_keys, tabs in zip(data, form, strict=True):
+                    wanted = stepped(asked_keys)
+                    got = [c for what, n in tabs for c in _looked_up(wanted, tables.get(what, []), n)]
+                    out.append(packed(np.concatenate(got)))
+                one = _batch([(0, batch["shard"][k].as_py(), ASK, batch["slice"][k].as_py(), out)])
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.nulls(1, batch.schema.field("rows").type)], names=batch.schema.names)
+
+    both = asked.unionByName(model, allowMissingColumns=True)
+    return exchanged(both, plan).mapInArrow(run, asked.schema)
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What n-grams of count 0, 1, 2 and more lose, from the counts of counts 1 to 4, a column a language."""
+    n = counts.astype(np.float64)
+    full = (n[:3] > 0).all(axis=0)
+    out = np.zeros((4, n.shape[1]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = n[0] / (n[0] + 2 * n[1])
+        for k in (1, 2, 3):
+            out[k] = np.where(full, np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0.1, k), 0.5 * k)
+    return out
+
+
+def bits_of(seq: np.ndarray, text: np.ndarray, language: np.ndarray, texts: int, found: list[np.ndarray], plan: Plan) -> np.ndarray:
+    """-log2 p of each text, from the answers: of languages, then of the distinct n-grams of each order."""
+    n = plan.order
+    at = []
+    for m, keys in enumerate(keys_of(seq, n), 1):
+        inside = whole(text, m)
+        place = np.zeros(len(keys), np.int64)
+        place[inside] = np.unique(plan.cut(keys[inside]), return_inverse=True)[1]
+        at.append(place)
+    start = np.flatnonzero(whole(text, n))
+    end, lang = start + n - 1, language[text[start]]
+    table = found[0]
+    all_, types = table[-2].astype(np.float64), table[-1].astype(np.float64)
+    lost = [discounts(table[4 * m : 4 * m + 4]) for m in range(n)]
+    seen = table[:2].astype(np.float64)
+    mass = lost[0][1] * seen[0] + lost[0][2] * seen[1] + lost[0][3] * (types - seen[0] - seen[1])
+    sure = np.maximum(all_, 1)
+    unknown = mass / sure / (types + 1)
+
+    def left(m, count):
+        return count.astype(np.float64) - lost[m - 1][np.minimum(count, 3).astype(np.int64), lang]
+
+    p = left(1, found[1][0][at[0][end]]) / sure[lang] + unknown[lang]
+    p = np.where(all_[lang] > 0, p, 1.0)
+    for m in range(2, n + 1):
+        first = end - m + 1
+        total, *classes = (c[at[m - 2][first]].astype(np.float64) for c in found[m - 1][1:])
+        rest = sum(lost[m - 1][k][lang] * c for k, c in enumerate(classes, 1))
+        some = np.maximum(total, 1)
+        p = np.where(total > 0, left(m, found[m][0][at[m - 1][first]]) / some + rest / some * p, p)
+    return np.bincount(text[start], weights=-np.log2(p), minlength=texts)
+
+
+def sums(answered: DataFrame, plan: Plan, row: str) -> DataFrame:
+    """doc_id, lang, key, sig, words, bits of every document."""
+    form = wide(plan)
 
     def run(batches):
         at, found = None, []
         for batch in batches:
             for k in range(len(batch)):
-                number, shard = batch["slice"][k].as_py(), batch["shard"][k].as_py()
+                number = batch["slice"][k].as_py()
                 if number != at:
                     at, found = number, []
-                if shard != LAST:
-                    found.append(unpacked(batch["data"][k].as_py(), np.float32))
+                data = batch["data"][k].as_py()
+                if batch["kind"][k].as_py() == ASK:
+                    found.append(data)
                     continue
-                rows = batch["rows"].slice(k, 1).flatten()
-                of, reps = (unpacked(batch[c][k].as_py(), np.uint32) for c in ("data", "reps"))
-                got = np.repeat(np.concatenate(found) if found else np.zeros(0, np.float32), reps).astype(np.float64)
-                total = np.bincount(of, weights=got, minlength=len(rows))
-                fields = ("doc_id", "lang", "key", "sig", "words")
-                yield pa.RecordBatch.from_arrays([*(rows.field(c) if not rows.offset else pa.array(rows.to_pylist(), rows.type).field(c) for c in fields), pa.array(total)], names=[*fields, "gain"])
-
-    both = asked.filter(F.col("shard") == LAST).unionByName(answered, allowMissingColumns=True)
-    return both.repartition(parts, "slice").sortWithinPartitions("slice", "shard").mapInArrow(run, f"{row}, words bigint, gain double")
+                rows = pa.RecordBatch.from_struct_array(batch["rows"].slice(k, 1).flatten())
+                known, place, size = stepped(data[0]), unpacked(data[1]), unpacked(data[2]).astype(np.int64)
+                seq, text = known[place.astype(np.int64)], np.repeat(np.arange(len(rows)), size)
+                tables = []
+                for level, tabs in enumerate(form):
+                    columns = sum(c for _, c in tabs)
+                    tables.append(np.concatenate([unpacked(f[level]).reshape(columns, -1) for f in found], axis=1))
+                language = np.unique(plan.cut(rows["seed"].to_numpy().view(np.uint64)), return_inverse=True)[1]
+                words = size - plan.order
+                bits = np.where(words > 0, bits_of(seq, text, language, len(rows), tables, plan), 0.0)
+                yield pa.RecordBatch.from_arrays([*(rows[c] for c in FIELDS[:4]), pa.array(words), pa.array(bits)], names=[*FIELDS[:4], "words", "bits"])
+                found = []
+
+    parts = max(plan.shards, int(answered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = answered.repartition(parts, "slice").sortWithinPartitions("slice", "shard")
+    return ordered.mapInArrow(run, f"{row}, words bigint, bits double")
 
 
 def _quantiles(rows: DataFrame) -> DataFrame:
     """key, held, median, high, from counts n of documents by (key, at)."""
-    whole = Window.partitionBy("key")
-    upto = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = rows.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole))
+    whole_key = Window.partitionBy("key")
+    upto = whole_key.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = rows.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole_key))
     q = lambda x: F.min(F.when(F.col("share") >= x, F.col("at")))
     return share.groupBy("key").agg(F.sum("n").alias("held"), q(0.5).alias("median"), q(QUANTILE).alias("high"))
 
@@ -331,53 +502,36 @@ def thresholds(good: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(pooled)).select("key", (F.when(enough, F.col("high")).otherwise(F.col("median") * F.col("excess")) / 1000).alias("threshold"))
 
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang, key, sig, words, bits for every row of ``docs``, under the model of the texts of ``training`` ids (trusted_id)."""
     kinds = dict(docs.dtypes)
     row = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, key string, sig bigint"
     rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _language())
-    learnt = rows.join(training, rows["doc_id"] == training["trusted_id"], "left_semi").select("key").distinct()
-    known = keep(learnt.withColumn("known", F.lit(True)), "known")
+    ids = F.broadcast(training) if training.count() <= TRUSTED_IDS else training
     seed = F.xxhash64("key")
-    keyed = rows.join(known, "key", "left").withColumn("key", F.when(F.col("known"), F.col("key")).otherwise(F.lit(POOL))).drop("known").withColumn("seed", seed).withColumn("sig", F.xxhash64("text"))
-    strange = keep(rows.select("key").distinct().join(known, "key", "left_anti"), "strange")
-    train, shipped = marked(rows.withColumn("seed", seed), training)
-    if not strange.isEmpty():  # all trusted text once more, as the model of languages that have none
+    train = keep(rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left_semi").select("key", seed.alias("seed"), "text"), "train")
+    known = keep(train.select("key").distinct().withColumn("known", F.lit(True)), "known")
+    near = _few(known)
+    if not rows.select("key").distinct().join(near, "key", "left_anti").isEmpty():  # all trusted text once more, for languages that have none
         train = train.unionByName(train.withColumn("seed", F.xxhash64(F.lit(POOL))))
-    turns = range(1 << ROUND_BITS)
-    grams = [keep_while(lambda turn=turn: counts(train, shipped, turn), f"pairs{turn}") for turn in turns]
-    every = grams[0]
-    for more in grams[1:]:
-        every = every.unionByName(more)
-    cut = keep(_discounts(every), "discounts")
-    words, per = vocabulary(every, cut)
-    size = (every.count() + words.count()) >> ROUND_BITS
-    shard_bits = min(20, max(4, (size // SHARD_ROWS).bit_length()))
-    parts = max(1 << shard_bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    gains, cut, near = [], _few(cut), _few(per)
-    for turn in turns:
-
-        def one_round(turn=turn):
-            asked = keep(requests(keyed, turn, shard_bits, row), f"asked{turn}")
-            return sums(asked, answers(asked, values(grams[turn], cut, words, near, turn), parts, shard_bits), row, parts), asked, grams[turn]
-
-        gains.append(keep_while(one_round, f"gains{turn}"))
-    gained = gains[0]
-    for more in gains[1:]:
-        gained = gained.unionByName(more)
-    # rows of one id, language and text have one score; each round has as many of them
-    summed = gained.groupBy("doc_id", "lang", "key", "sig", "words").agg(F.sum("gain").alias("gain"), F.count("*").alias("n"))
-    copies = F.expr(f"n div {len(turns)}")
-    out = summed.withColumn("seed", seed).join(near, "seed", "left")
-    bits = F.when(F.col("words") > 0, F.coalesce(-(F.col("gain") / F.col("n") * F.lit(len(turns)) + (F.col("words") + 1) * F.log2("unknown")), F.lit(0.0))).otherwise(0.0)
-    return out.select("doc_id", "lang", "key", "sig", "words", bits.alias("bits"), F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("_")).drop("_")
-
-
-def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    chars = train.agg(F.sum(F.length("text"))).first()[0] or 0
+    shard_bits = min(20, max(4, (chars // SHARD_CHARS).bit_length()))
+    plan = Plan(order, shard_bits, min(64, chars.bit_length() + SPARE_BITS + 2))
+    model = learn(train, plan)
+    keyed = rows.join(near, "key", "left").withColumn("key", F.when(F.col("known"), F.col("key")).otherwise(F.lit(POOL))).withColumn("seed", seed).withColumn("sig", F.xxhash64("text"))
+    block = F.pmod(F.xxhash64("doc_id", "sig"), F.lit(BLOCKS))
+    scored = [keep_while(lambda k=k: sums(answers(requests(keyed.filter(block == k), plan, row), model, plan), plan, row), f"block{k}") for k in range(BLOCKS)]
+    out = scored[0]
+    for more in scored[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang, words, bits_per_word, perplexity, threshold, kept for every row of ``docs``."""
     ids = trusted_ids.select(F.col("doc_id").alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
     ids = keep(ids.withColumn("fold", F.pmod(F.xxhash64("trusted_id"), F.lit(2))), "trusted")
-    scored = keep(score(docs, ids.filter("fold = 0").drop("fold")), "scores")
+    scored = score(docs, ids.filter("fold = 0").drop("fold"), order)
     held = ids.filter("fold = 1")
     limits = keep(thresholds(scored.join(held, scored["doc_id"] == held["trusted_id"], "left_semi")), "limits")
     pooled = limits.filter(F.col("key") == POOL).first()

@@ -340,64 +340,75 @@ def test_disclosing_terms_are_found_and_copies_prove_nothing(spark):
 # Kneser-Ney
 
 
-def kneser_ney(texts):
-    """log2 p(b | a) of the interpolated modified model of word pairs, told from its definition."""
-    pairs = Counter(p for t in texts for p in pairs_of(t))
-    follows = Counter(b for _, b in pairs)
+def grams_of(text, order):
+    """Each position's word with the ``order - 1`` units before it."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    seq = [*range(order - 1), *words, "</s>"]
+    return list(zip(*(seq[k:] for k in range(order)), strict=False))
+
+
+def kneser_ney(texts, order):
+    """log2 p(last word | those before) of the interpolated modified model, told from its definition."""
+    counts = {order: Counter(g for t in texts for g in grams_of(t, order))}
+    for m in range(order - 1, 0, -1):  # distinct predecessors; occurrences of what a mark starts
+        counts[m] = Counter()
+        for g, n in counts[m + 1].items():
+            counts[m][g[1:]] += n if isinstance(g[1], int) else 1
 
-    def discounts(counts):
-        n = [sum(1 for x in counts.values() if x == k) for k in (1, 2, 3, 4)]
+    def discounts(of):
+        n = [sum(1 for x in of.values() if x == k) for k in (1, 2, 3, 4)]
         if not (n[0] and n[1] and n[2]):
             return [0.5, 1.0, 1.5]
         y = n[0] / (n[0] + 2 * n[1])
         return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k) for k in (1, 2, 3)]
 
-    high, low = discounts(pairs), discounts(follows)
-    cut = lambda d, n: d[min(n, 3) - 1]
-    total = sum(follows.values())
-    unknown = sum(cut(low, n) for n in follows.values()) / total / (len(follows) + 1)
+    lost = {m: discounts(counts[m]) for m in counts}
+    cut = lambda m, n: lost[m][min(n, 3) - 1]
+    total = sum(counts[1].values())
+    unknown = sum(cut(1, n) for n in counts[1].values()) / total / (len(counts[1]) + 1)
     context, mass = Counter(), Counter()
-    for (a, _), n in pairs.items():
-        context[a] += n
-        mass[a] += cut(high, n)
-
-    def logp(a, b):
-        p = unknown + ((follows[b] - cut(low, follows[b])) / total if b in follows else 0)
-        if a in context:
-            n = pairs.get((a, b), 0)
-            p = ((n - cut(high, n)) if n else 0) / context[a] + mass[a] / context[a] * p
+    for m in range(2, order + 1):
+        for g, n in counts[m].items():
+            context[g[:-1]] += n
+            mass[g[:-1]] += cut(m, n)
+
+    def logp(gram):
+        p = unknown
+        for m in range(1, order + 1):
+            g = gram[order - m :]
+            n = counts[m].get(g, 0)
+            if m == 1:
+                p += (n - cut(1, n)) / total if n else 0
+            elif g[:-1] in context:
+                p = ((n - cut(m, n)) if n else 0) / context[g[:-1]] + mass[g[:-1]] / context[g[:-1]] * p
         return float(np.log2(p))
 
     return logp
 
 
-def pairs_of(text):
-    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
-    return list(zip([0, *words], [*words, 1], strict=True))
-
-
-@pytest.mark.parametrize(("ids", "group", "shard"), [(ngram_lm.TRUSTED_IDS, ngram_lm.GROUP_WORDS, ngram_lm.SHARD_ROWS), (0, 500, 50)])
-def test_kneser_ney_against_the_textbook(spark, monkeypatch, ids, group, shard):
-    for name, value in (("TRUSTED_IDS", ids), ("GROUP_WORDS", group), ("SHARD_ROWS", shard)):
+@pytest.mark.parametrize(("order", "ids", "group", "shard"), [(2, ngram_lm.TRUSTED_IDS, ngram_lm.GROUP_WORDS, ngram_lm.SHARD_CHARS), (3, 0, 500, 50), (3, ngram_lm.TRUSTED_IDS, ngram_lm.GROUP_WORDS, ngram_lm.SHARD_CHARS), (4, 0, 500, 500)])
+def test_kneser_ney_against_the_textbook(spark, monkeypatch, order, ids, group, shard):
+    for name, value in (("TRUSTED_IDS", ids), ("GROUP_WORDS", group), ("SHARD_CHARS", shard)):
         monkeypatch.setattr(ngram_lm, name, value)
     rows = [(k, t, "en" if k % 2 else "fr", "pad") for k, t in enumerate(X.texts()[:40])] + [(500, "no model here", None, "pad"), (None, "w1 the w2", "en", "pad"), (7, "w1 of", "en", "pad"), (7, "w1 of", "en", "pad")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, key string")
     training = spark.createDataFrame([(k,) for k in range(10, 30)], "trusted_id bigint")
-    got = ngram_lm.score(docs, training).collect()
+    got = ngram_lm.score(docs, training, order).collect()
     assert len(got) == len(rows)
-    models = {lang: kneser_ney([t for k, t, own, _ in rows if k is not None and 10 <= k < 30 and (own == lang or lang is None)]) for lang in ("en", "fr", None)}
-    want = sorted((-1 if k is None else k, len(pairs_of(t)) - 1, -sum(models[own](*p) for p in pairs_of(t)) if len(pairs_of(t)) > 1 else 0.0) for k, t, own, _ in rows)
+    models = {lang: kneser_ney([t for k, t, own, _ in rows if k is not None and 10 <= k < 30 and (own == lang or lang is None)], order) for lang in ("en", "fr", None)}
+    want = sorted((-1 if k is None else k, len(g) - 1, -sum(map(models[own], g)) if len(g) > 1 else 0.0) for k, t, own, _ in rows for g in [grams_of(t, order)])
     have = sorted((-1 if r.doc_id is None else r.doc_id, r.words, r.bits) for r in got)
     for w, h in zip(want, have, strict=True):
-        assert w[:2] == h[:2] and h[2] == pytest.approx(w[2], rel=1e-5, abs=1e-3)
+        assert w[:2] == h[:2] and h[2] == pytest.approx(w[2], rel=1e-9)
 
 
-def test_kneser_ney_sums_to_one():
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_sums_to_one(order):
     texts = ["a b a c", "a b b", "c a b a a", "d a b"]
-    logp = kneser_ney(texts)
-    seen = {w for t in texts for w in t.split()} | {1}
-    for a in (0, "a", "never"):
-        assert sum(2 ** logp(a, b) for b in [*seen, "unknown"]) == pytest.approx(1)
+    logp = kneser_ney(texts, order)
+    seen = {w for t in texts for w in t.split()} | {"</s>"}
+    for a in [(0, 1), (1, "a"), ("a", "b"), ("never", "a"), ("never", "never")]:
+        assert sum(2 ** logp((*a, b)[-order:]) for b in [*seen, "unknown"]) == pytest.approx(1)
 
 
 def test_kneser_ney_separates_junk(spark):
