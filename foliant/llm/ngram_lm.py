@@ -51,7 +51,7 @@ from foliant.llm.tokens import U, mix, slices, text_bytes, word_hashes
 
 ORDER = 3
 #: Ranges of learning, and blocks of documents that are scored one after the other.
-ROUND_BITS, BLOCKS = 2, 4
+ROUND_BITS, BLOCKS = 2, 8
 #: Units that are asked for together, and trusted characters to a shard of the model.
 GROUP_WORDS, SHARD_CHARS = 1 << 20, 1 << 22
 SPARE_BITS = 16
@@ -151,11 +151,17 @@ def stepped(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple:
     """Sorted distinct keys, where each first stood, and the columns added up by key."""
     if not len(keys):
         return keys, np.zeros(0, np.int64), *columns
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_keys = keys[order]
     first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
     return sorted_keys[first], order[first], *(np.add.reduceat(c[order], first) for c in columns)
@@ -304,7 +310,7 @@ def reduced(parcels: DataFrame, plan: Plan, m: int) -> DataFrame:
 
 
 def learn(train: DataFrame, plan: Plan) -> DataFrame:
-    """The model, packed and sharded, of (seed, text)."""
+    """The model, packed and sharded, of a kept table (seed, text), which goes."""
 
     def one_round(turn):
         rows = occurrences(train, plan, turn)
@@ -316,7 +322,7 @@ def learn(train: DataFrame, plan: Plan) -> DataFrame:
     rows = told[0]
     for more in told[1:]:
         rows = rows.unionByName(more)
-    return keep_while(lambda: (reduced(reduced(rows, plan, 1), plan, 0), *told), "model")
+    return keep_while(lambda: (reduced(reduced(rows, plan, 1), plan, 0), *told, train), "model")
 
 
 # Scoring: documents' n-grams meet the counts
@@ -332,11 +338,11 @@ def requests(docs: DataFrame, plan: Plan, row: str) -> DataFrame:
         number = (TaskContext.get().partitionId() + 1) << 32
         for rows, seq, text in _groups(batches, FIELDS, n):
             number += 1
-            asked = [np.unique(rows["seed"].to_numpy().view(np.uint64)), *(np.unique(k[whole(text, m + 1)]) for m, k in enumerate(keys_of(seq, n)))]
+            asked = [distinct(rows["seed"].to_numpy().view(np.uint64)), *(distinct(k[whole(text, m + 1)]) for m, k in enumerate(keys_of(seq, n)))]
             lists: dict[int, list[bytes]] = {}
             for level, keys in enumerate(asked):
                 for k, a, z in plan.parts(keys):
-                    lists.setdefault(k, [b""] * len(asked))[level] = steps(np.unique(plan.cut(keys[a:z])))
+                    lists.setdefault(k, [b""] * len(asked))[level] = steps(distinct(plan.cut(keys[a:z])))
             known, at = np.unique(seq, return_inverse=True)
             out = [*((k, k, ASK, number, data) for k, data in lists.items()), (number % plan.shards, LAST, OWN, number, [steps(known), packed(at), packed(np.bincount(text, minlength=len(rows)))])]
             own = pa.StructArray.from_arrays([rows[c] for c in FIELDS], list(FIELDS))
@@ -516,7 +522,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame
         train = train.unionByName(train.withColumn("seed", F.xxhash64(F.lit(POOL))))
     chars = train.agg(F.sum(F.length("text"))).first()[0] or 0
     shard_bits = min(20, max(4, (chars // SHARD_CHARS).bit_length()))
-    plan = Plan(order, shard_bits, min(64, chars.bit_length() + SPARE_BITS + 2))
+    plan = Plan(order, shard_bits, min(64, chars.bit_length() + SPARE_BITS))
     model = learn(train, plan)
     keyed = rows.join(near, "key", "left").withColumn("key", F.when(F.col("known"), F.col("key")).otherwise(F.lit(POOL))).withColumn("seed", seed).withColumn("sig", F.xxhash64("text"))
     block = F.pmod(F.xxhash64("doc_id", "sig"), F.lit(BLOCKS))

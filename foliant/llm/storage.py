@@ -47,12 +47,29 @@ def keep_while(make, label: str) -> DataFrame:
     made = make()
     df, *used = made if isinstance(made, tuple) else (made,)
     spark, out = df.sparkSession, keep(df, label)
-    for path in {f.rsplit("/", 1)[0] for t in used for f in t.inputFiles()}:
-        drop_path(spark, path)
+    for table in used:
+        drop_table(table)
     del made, df, used
+    forget(spark)
+    return out
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffles of queries that nothing refers to any more.
+
+    The listener bus refers to the last query until it hears of another one, hence the small query.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete what ``keep`` wrote for a table, or for those that it is a union of; of other tables nothing."""
+    base = shared_base(table.sparkSession).split(":", 1)[-1].replace("//", "/")
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/foliant-" in path and base.rstrip("/") in path.replace("//", "/"):
+            drop_path(table.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
