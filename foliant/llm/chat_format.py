@@ -1,9 +1,13 @@
 """Chat formatting: records of any known layout to canonical turns and one training string.
 
-A record is a JSON object.  ``fingerprint`` hashes the sorted set of its nested field paths; the
-registry maps fingerprints to declarative mappings (which path holds the turns, or which paths hold
-which role), so a layout is known by its shape alone and a new one is one more entry.  Records of no
-known shape come back with ``layout`` null and no turns.
+A record is a JSON object.  ``fingerprint`` hashes the sorted set of its nested field paths, those that
+some layout names; the registry maps fingerprints to declarative mappings (which path holds the turns, or
+which paths hold which role), so a layout is known by its shape alone and a new one is one more entry.
+Fields that no layout names (ids, weights, dates) change nothing.  The mapping is checked while it is
+applied: a record whose items differ in shape, or whose field is no scalar, fits no layout.  Records that
+fit none, and texts that are no JSON, come back with ``layout`` null and no turns, whatever their keys
+hold (dots and brackets are escaped in paths), and however deep they are.  Halves of surrogate pairs that
+stand alone, which UTF-8 can't hold, become U+FFFD.
 
 The template marks turns and escapes control strings inside texts with a backslash after their first
 character, backslashes being doubled first; ``read_back`` undoes both exactly.  The loss mask covers
@@ -49,34 +53,73 @@ LAYOUTS: dict[str, tuple[dict, dict]] = {
 }
 
 
-def paths(value, prefix: str = "") -> set[str]:
-    """Nested field paths; list items share the path ``[]``."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths(v, f"{prefix}.{k}" if prefix else k)} or {prefix + "{}"}
-    if isinstance(value, list):
-        return {p for v in value for p in paths(v, prefix + "[]")} or {prefix + "[]"}
-    return {prefix}
+#: What an empty list and an empty object leave as a path.
+_EMPTY = {list: "[]", dict: "{}"}
 
 
-def fingerprint(record) -> str:
-    return hashlib.sha256("\n".join(sorted(paths(record))).encode()).hexdigest()
+def _name(key: str) -> str:
+    """A key as part of a path: those that look like more than one part don't."""
+    return re.sub(r"([\\.\[\]{}])", r"\\\1", key)
+
+
+def paths(value) -> set[str]:
+    """Nested field paths; list items share the path ``[]``.  Depth is bounded by memory alone."""
+    out, left = set(), [("", value)]
+    while left:
+        prefix, value = left.pop()
+        if isinstance(value, (dict, list)) and not value:
+            out.add(prefix + _EMPTY[type(value)])
+        elif isinstance(value, dict):
+            left += [(f"{prefix}.{_name(k)}" if prefix else _name(k), v) for k, v in value.items()]
+        elif isinstance(value, list):
+            left += [(prefix + "[]", v) for v in value]
+        else:
+            out.add(prefix)
+    return out
+
+
+def fingerprint(record, named: frozenset[str] | None = None) -> str:
+    """The hash of a record's field paths, or of those among them that layouts name."""
+    found = paths(record) if named is None else paths(record) & named
+    return hashlib.sha256("\n".join(sorted(found)).encode("utf-8", "backslashreplace")).hexdigest()
+
+
+def named_paths(layouts=None) -> frozenset[str]:
+    return frozenset().union(*(paths(sample) for sample, _ in (layouts or LAYOUTS).values()))
 
 
 def registry(layouts=None) -> dict[str, tuple[str, dict]]:
     return {fingerprint(sample): (name, mapping) for name, (sample, mapping) in (layouts or LAYOUTS).items()}
 
 
-def _at(record, path: str):
+class Misfit(ValueError):
+    """A record whose paths are those of a layout and whose values are not."""
+
+
+def _plain(value) -> str:
+    """A scalar as text that UTF-8 can hold: halves of surrogate pairs that stand alone are replaced."""
+    if isinstance(value, (dict, list)):
+        raise Misfit("a field is no scalar")
+    text = "" if value is None else str(value)
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _at(record, path: str) -> str:
     for part in path.split("."):
+        if not isinstance(record, dict) or part not in record:
+            raise Misfit(f"no field {path}")
         record = record[part]
-    return "" if record is None else str(record)
+    return _plain(record)
 
 
 def canonical(record, mapping: dict) -> list[tuple[str, str]]:
-    """(role, text) pairs of a record under a mapping."""
+    """(role, text) pairs of a record under a mapping; ``Misfit`` where a value is not what the mapping says."""
     if "list" in mapping:
+        items = record.get(mapping["list"]) if isinstance(record, dict) else None
+        if not isinstance(items, list):
+            raise Misfit(f"{mapping['list']} is no list")
         names = mapping.get("aliases", {})
-        turns = [(_at(t, mapping["role"]), _at(t, mapping["text"])) for t in record[mapping["list"]]]
+        turns = [(_at(t, mapping["role"]), _at(t, mapping["text"])) for t in items]
         return [(names.get(role, role), text) for role, text in turns]
     out = []
     for role, path in mapping["paths"]:
@@ -85,6 +128,20 @@ def canonical(record, mapping: dict) -> list[tuple[str, str]]:
     return out
 
 
+def read_record(text: str | None, known: dict, named: frozenset[str]) -> tuple[str, str | None, list[tuple[str, str]]]:
+    """fingerprint, layout and turns of one JSON record; no layout and no turns where none fits."""
+    try:
+        value = json.loads(text or "null")
+    except (ValueError, RecursionError):
+        value = None
+    mark = fingerprint(value, named)
+    name, mapping = known.get(mark, (None, None))
+    try:
+        return mark, name, canonical(value, mapping) if mapping else []
+    except Misfit:
+        return mark, None, []
+
+
 def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
 
@@ -130,21 +187,15 @@ FORMATTED = "fingerprint string, layout string, n_turns bigint, formatted string
 def format_records(record: Column, layouts=None) -> Column:
     """A struct of ``FORMATTED`` for a column of JSON records."""
     ship(SparkSession.active())
-    known = registry(layouts)
+    known, named = registry(layouts), named_paths(layouts)
 
     @F.pandas_udf(FORMATTED)
     def run(records: pd.Series) -> pd.DataFrame:
         rows = []
         for text in records:
-            try:
-                value = json.loads(text or "null")
-            except ValueError:
-                value = None
-            mark = fingerprint(value)
-            name, mapping = known.get(mark, (None, None))
-            turns = canonical(value, mapping) if mapping else []
+            mark, name, turns = read_record(text, known, named)
             formatted, mask = render(turns)
-            rows.append((mark, name, len(turns), formatted if mapping else None, [{"start": a, "end": b} for a, b in mask]))
+            rows.append((mark, name, len(turns), None if name is None else formatted, [{"start": a, "end": b} for a, b in mask]))
         return pd.DataFrame(rows, columns=["fingerprint", "layout", "n_turns", "formatted", "loss_mask"])
 
     return run(record)

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import re
 import struct
 
@@ -62,6 +63,28 @@ def test_layouts_by_fingerprint(spark):
     assert len({r.fingerprint for r in found[:6]}) == 6
 
 
+def test_records_that_fit_no_layout_or_nearly(spark):
+    turn = {"role": "user", "content": "x"}
+    strange = [
+        {"messages": [{"role": "user"}, {"content": "x"}]},
+        {"messages": [turn, "x"]},
+        {"messages": [turn, {"role": "user", "content": ["x"]}]},
+        {"messages": {"role": "user", "content": "x"}},
+        {"data.question": "q", "data.answer": "a"},
+        {"messages[]": turn, "messages": [turn, []]},
+        {"messages": [turn], "prompt": "p", "completion": "c"},
+        [turn],
+        {"messages": []},
+    ]
+    texts = [json.dumps(r) for r in strange] + ["[" * 100_000, '{"a":' * 50_000 + "1" + "}" * 50_000, '{"prompt": ' + "1" * 10_000 + ', "completion": ""}', '{"\\ud800": 1}']
+    more = {"messages": [{**turn, "weight": 1, "id": {"n": [1, "2"]}}], "source": None, "tags": []}
+    known = [json.dumps(more), '{"prompt": "\\ud800 \\ud83d\\ude00", "completion": 7}', json.dumps({"prompt": "long " * 200_000, "completion": None})]
+    found = spark.createDataFrame([(t,) for t in texts + known], "r string").select(chat_format.format_records(F.col("r")).alias("f")).select("f.*").collect()
+    assert [(r.layout, r.n_turns, r.formatted) for r in found[: len(texts)]] == [(None, 0, None)] * len(texts)
+    turns = [chat_format.read_back(r.formatted) for r in found[len(texts) :]]
+    assert turns == [[("user", "x")], [("user", "\ufffd \U0001f600"), ("assistant", "7")], [("user", "long " * 200_000), ("assistant", "")]]
+
+
 def test_conversations_with_nulls_ties_and_odd_roles(spark):
     rows = [(1, 0, None, None, "x"), (1, 0, "user", "b", "x"), (1, None, "human", "first", "x"), (2, 0, "user", "u", "x"), (2, 1, "assistant", "a", "x"), (2, 1, "assistant", "a", "x"), (None, 0, "gpt", "long " * 50_000, "x"), (3, 0, "system", "s", "x"), (3, 1, "user", "u", "x"), (3, 2, "assistant", "a", "x")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string")
@@ -164,6 +187,43 @@ def test_cut_archives_are_told():
     assert list(warc.split_archive(data + b"rubbish!!"))[-1][2].startswith("frame")
 
 
+def test_long_archives_are_read_in_linear_time():
+    import time
+
+    one = archive(response(1, b"one" * 50))
+    frame = one[len(warc.archive_head(b"GET html body " * 40)) :]
+    took = []
+    for n in (4_000, 40_000):
+        began = time.time()
+        assert sum(e is None for _, _, e in warc.split_archive(one + frame * (n - 1))) == n
+        took.append(time.time() - began)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_frames_of_every_form_end_where_they_say():
+    rng = random.Random(4)
+    texts = [b"", b"x", b"a" * 400_000, rng.randbytes(300_000), b"ab" * 200 + rng.randbytes(70_000)]
+    for level in (1, 3, 19):
+        for checksum in (False, True):
+            for sized in (False, True):
+                packer = zstandard.ZstdCompressor(level=level, write_checksum=checksum, write_content_size=sized)
+                frames = [packer.compress(t) for t in texts]
+                data, at = memoryview(b"".join(frames)), 0
+                for frame in frames:
+                    assert warc.frame_end(data, at) == at + len(frame)
+                    assert all(warc.frame_end(memoryview(frame)[:cut], 0) > cut for cut in (len(frame) - 1, len(frame) // 2))
+                    at += len(frame)
+
+
+URLS = ["http://x/a%2Fb?q=%26&r=%", "http://é.org/ü?x=%C3%A9", " http://x/ ", "http://x/\ta", "a\r\nb%0d", "\x85x\xa0", "", "http://x/a b"]
+
+
+@pytest.mark.parametrize("url", URLS)
+def test_target_uris_come_back(url):
+    fields, _, wrong = warc.parse_record(warc.record_bytes(1, url, "response", b"x", hashlib.sha1(b"x").hexdigest(), 1))
+    assert wrong is None and warc.target_of(fields) == url
+
+
 def test_archives_with_copies_nulls_and_long_pages(spark):
     big, mid = "<p>é</p>" * 300_000, "x" * 1000
     rows = [(1, "http://a", mid, "p"), (2, None, mid, "p"), (3, "http://c", mid, "p"), (3, "http://c", mid, "p"), (4, "u", "y" * 999, "p"), (5, "u", "y" * 999, "p"), (6, "u", None, "p"), (7, "u", "", "p"), (8, "u v\r\n", big, "p"), (9, "u", big, "p"), (None, "u", mid, "p")]
