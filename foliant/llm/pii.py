@@ -79,7 +79,7 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
         out += [("email", a, z, text[a:z].lower()) for a, z in _emails(text)]
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
                 out.append(("ip", m.start(), m.end(), m[0]))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
