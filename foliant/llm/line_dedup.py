@@ -5,33 +5,43 @@ points or more are referenced by documents; ``reference_counts`` holds, exactly,
 refer to a key and the largest of their ids.  Keys that ``MIN_DOCS`` documents hold lose their lines
 everywhere but in that largest document.
 
-Each shard of the key space has a cuckoo filter of the keys that must drop.  Line references meet the
-filter of their shard (filters travel with the rows, so a task holds one at a time) and only those
-that pass, a few false ones among them, go on to the exact table.  Cuckoo filters can forget:
-``LineIndex`` inserts and deletes documents by writing reference deltas, and deleting what was
-inserted gives the index back as it was.
+Keys are two 64-bit hashes of their bytes, computed for whole Arrow columns in time linear in the text,
+one scan for all.  Each shard of the key space has cuckoo filters of the keys that must drop.  References
+meet the filters of their shard (filters travel with the rows, so a task holds one shard's at a time) and
+only those that pass, a few false ones among them, go on to the exact table.  There are as many shards as
+keep a shard under ``SHARD_KEYS`` dropping keys, and as many salts as keep a task under ``TASK_REFS``
+references, so both grow with the input.
 
-Hot keys: counts are combined before the shuffle, filters and counts are copied to ``SALTS`` salts
-when they meet the references.
+``LineIndex`` is the incremental form: it keeps references, counts and filters as tables.  Inserting or
+deleting documents changes the counts of the keys they touch, and keys whose count crosses ``MIN_DOCS``
+are inserted into, or deleted from, the stored filters of their shards; a full filter gets a larger one
+beside it.  Deleting what was inserted gives the index back as it was.
+
+Hot keys: counts are combined before the shuffle, filters and counts are copied to the salts when they
+meet the references.
 
 Defined results: a null or empty text is one empty line and stays; each row is a document of its
 own, so rows that repeat count as so many, and rows that share the largest doc_id all keep theirs;
-an empty table gives an empty result; other columns pass through ``dedup`` unread.
+rows without a doc_id count and lose nothing; an empty table gives an empty result; other columns pass
+through ``dedup`` unread.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.storage import keep
-from foliant.llm.text import SPACE_CHARS, ascii_lower
+from foliant.llm.storage import drop_table, keep, keep_while
+from foliant.llm.tokens import BYTE_TABLES, SPACE_BYTES, U, mix, powers, slices, text_bytes
+from foliant.session import ship
 
 MIN_KEY, MIN_DOCS = 20, 3
-SHARDS, SALTS = 64, 8
-#: Cuckoo filter: slots per bucket, kicks before it grows, how full it may get.
+#: The least shards and salts, dropping keys to a shard, references to a task.
+SHARDS, SALTS, SHARD_KEYS, TASK_REFS = 64, 4, 1 << 18, 1 << 22
+#: Cuckoo filter: slots per bucket, kicks before it is full, how full it may get.
 SLOTS, KICKS, LOAD = 4, 200, 0.84
 
 
@@ -63,34 +73,50 @@ class CuckooFilter:
         mark, a, b = self._places(keys)
         return (self.table[a] == mark[:, None]).any(1) | (self.table[b] == mark[:, None]).any(1)
 
-    def insert(self, keys) -> bool:
-        """False when a key found no place; the caller then builds a larger filter."""
-        rng = np.random.default_rng(7)
-        for mark, a, b in zip(*self._places(keys), strict=True):
-            for at in (a, b):
+    def _fill(self, mark: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Puts marks into free slots of their buckets, all at once; which of them found none."""
+        order = np.argsort(at, kind="stable")
+        held = at[order]
+        rank = np.arange(len(held)) - np.searchsorted(held, held, "left")
+        free = SLOTS - np.count_nonzero(self.table[held], axis=1)
+        fits = rank < free
+        slots = np.argsort(self.table[held[fits]] != 0, axis=1, kind="stable")
+        self.table[held[fits], slots[np.arange(len(slots)), rank[fits]]] = mark[order][fits]
+        return order[~fits]
+
+    def insert(self, keys) -> np.ndarray:
+        """Which of the keys, by their position, found no place."""
+        mark, a, b = self._places(keys)
+        left = self._fill(mark, a)
+        left = left[self._fill(mark[left], b[left])]
+        rng, lost = np.random.default_rng(7), []
+        for k in left.tolist():
+            moved, at, path = mark[k], b[k], []
+            for _ in range(KICKS):
                 if (free := np.flatnonzero(self.table[at] == 0)).size:
-                    self.table[at, free[0]] = mark
+                    self.table[at, free[0]] = moved
                     break
+                slot = int(rng.integers(SLOTS))
+                path.append((at, slot, self.table[at, slot]))
+                moved, self.table[at, slot] = self.table[at, slot], moved
+                at = np.uint64(at ^ (self._mix(moved) & np.uint64(len(self.table) - 1)))
             else:
-                at = a
-                for _ in range(KICKS):
-                    slot = rng.integers(SLOTS)
-                    mark, self.table[at, slot] = self.table[at, slot], mark
-                    at = np.uint64(at ^ (self._mix(mark) & np.uint64(len(self.table) - 1)))
-                    if (free := np.flatnonzero(self.table[at] == 0)).size:
-                        self.table[at, free[0]] = mark
-                        break
-                else:
-                    return False
-        return True
-
-    def delete(self, keys) -> None:
-        """Forgets keys that were inserted."""
-        for mark, a, b in zip(*self._places(keys), strict=True):
+                for at, slot, held in reversed(path):
+                    self.table[at, slot] = held
+                lost.append(k)
+        return np.array(lost, np.int64)
+
+    def delete(self, keys) -> np.ndarray:
+        """Forgets keys; which of them, by their position, it did not hold."""
+        lost = []
+        for k, (mark, a, b) in enumerate(zip(*self._places(keys), strict=True)):
             for at in (a, b):
                 if (held := np.flatnonzero(self.table[at] == mark)).size:
                     self.table[at, held[0]] = 0
                     break
+            else:
+                lost.append(k)
+        return np.array(lost, np.int64)
 
     def to_bytes(self) -> bytes:
         return self.table.tobytes()
@@ -101,83 +127,155 @@ class CuckooFilter:
         out.table = np.frombuffer(data, np.uint16).reshape(-1, SLOTS).copy()
         return out
 
-    @classmethod
-    def build(cls, keys) -> CuckooFilter:
-        size = len(keys)
-        while not (out := cls(size)).insert(keys):
-            size = 2 * len(out.table) * SLOTS
-        return out
 
+class Filters:
+    """A shard's filters: a larger one is added when the last is full."""
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
+    def __init__(self, parts: list[CuckooFilter] | None = None):
+        self.parts = parts or []
 
+    def contains(self, keys) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for part in self.parts:
+            out |= part.contains(keys)
+        return out
 
-def _hashed_lines(text: Column) -> Column:
-    """Per line, a struct of two hashes of its key; null where the key is short."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    pair = lambda k: F.struct(F.xxhash64(k).alias("k1"), F.xxhash64(F.lit(1), k).alias("k2"))
-    return F.transform(F.transform(lines, line_key), lambda k: F.when(F.length(k) >= MIN_KEY, pair(k)))
+    def insert(self, keys: np.ndarray) -> None:
+        if self.parts:
+            keys = keys[self.parts[-1].insert(keys)]
+        while len(keys):
+            size = 2 * self.parts[-1].table.size if self.parts else 0
+            self.parts.append(CuckooFilter(max(size, len(keys))))
+            keys = keys[self.parts[-1].insert(keys)]
+
+    def delete(self, keys: np.ndarray) -> None:
+        for part in reversed(self.parts):
+            keys = keys[part.delete(keys)]
+
+
+def lines_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines of texts ``data[bounds[i]:bounds[i + 1]]``: start, end, and the text of each; two hashes of its
+    key, 0 where that is short; ``long``, where it isn't."""
+    lo = bounds[0]
+    data, bounds = data[lo : bounds[-1]], bounds - lo
+    breaks = np.flatnonzero(data == 10)
+    starts, ends = np.sort(np.concatenate([bounds[:-1], breaks + 1])), np.sort(np.concatenate([breaks, bounds[1:]]))
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(breaks, bounds)) + 1)
+    solid = np.flatnonzero(~SPACE_BYTES[data])
+    a, z = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+    some = np.flatnonzero(a <= z)
+    a, z = solid[a[some]], solid[z[some]] + 1
+    points = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+    enough = points[z] - points[a] >= MIN_KEY
+    some, a, z = some[enough], a[enough], z[enough]
+    up, back = powers(len(data))
+    hashes = np.zeros((2, len(starts)), np.uint64)
+    for k, table in enumerate(BYTE_TABLES):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up[: len(data)], out=total[1:])
+        hashes[k, some] = mix((total[z] - total[a]) * back[a] + (z - a).astype(np.uint64))
+    long = np.zeros(len(starts), bool)
+    long[some] = True
+    return starts, ends, text, hashes, long
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """doc_id, shard, k1, k2: each key of ``MIN_KEY`` code points once for every row that holds it."""
-    held = F.array_distinct(F.filter(_hashed_lines(F.col("text")), lambda k: k.isNotNull()))
-    rows = docs.select("doc_id", F.explode(held).alias("k"))
-    return rows.select("doc_id", F.pmod(F.col("k.k2"), F.lit(SHARDS)).cast("int").alias("shard"), "k.k1", "k.k2")
+    """doc_id, k1, k2: each key of ``MIN_KEY`` code points once for every row that holds it."""
+
+    def run(batches):
+        for batch in batches:
+            data, bounds = text_bytes(batch["text"])
+            for lo, hi in slices(bounds):
+                _, _, text, (k1, k2), long = lines_of(data, bounds[lo : hi + 1])
+                text, k1, k2 = text[long], k1[long], k2[long]
+                order = np.lexsort((k2, k1, text))
+                text, k1, k2 = text[order], k1[order], k2[order]
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+                ids = batch["doc_id"].take(pa.array(text[new] + lo))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(k1[new].view(np.int64)), pa.array(k2[new].view(np.int64))], names=["doc_id", "k1", "k2"])
+
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint")
 
 
 def reference_counts(refs: DataFrame) -> DataFrame:
-    """shard, k1, k2, n_docs, last_doc: the exact table."""
-    return refs.groupBy("shard", "k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    """k1, k2, n_docs, last_doc: the exact table."""
+    return refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+
+
+def shard_of(shards: int) -> Column:
+    return F.pmod("k2", F.lit(shards)).cast("int").alias("shard")
+
+
+def shards_for(keys: int) -> int:
+    """A power of two of shards, each of ``SHARD_KEYS`` keys at most on average."""
+    return SHARDS << max(0, (max(keys, 1) - 1) // (SHARDS * SHARD_KEYS)).bit_length()
 
 
-def filters(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """shard, data: one cuckoo filter per shard of the keys that ``min_docs`` documents hold."""
+FILTERS = "shard int, data array<binary>"
+
+
+def changed_filters(stored: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """``FILTERS`` rows of the shards that ``changes`` (shard, k1, add) touch: keys inserted where ``add``, else deleted."""
+    rows = changes.select("shard", "k1", "add", F.lit(None).cast("array<binary>").alias("data"))
+    if stored is not None:
+        touched = stored.join(changes.select("shard").distinct(), "shard", "left_semi")
+        rows = rows.unionByName(touched.select("shard", F.lit(None).cast("bigint").alias("k1"), F.lit(None).cast("boolean").alias("add"), "data"))
+
+    def run(batches):
+        shard, held, keys = None, [], ([], [])
+
+        def made():
+            filters = Filters([CuckooFilter.from_bytes(x) for x in held])
+            for k, change in enumerate((filters.delete, filters.insert)):
+                if keys[k]:
+                    change(np.concatenate(keys[k]))
+            return pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int32()), pa.array([[x.to_bytes() for x in filters.parts]], pa.list_(pa.binary()))], names=["shard", "data"])
 
-    def build(batches):
-        shard, keys = None, []
         for batch in batches:
             shards = batch["shard"].to_numpy()
-            k1 = batch["k1"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    if shard is not None and shards[lo] != shard:
-                        yield _filter_row(shard, keys)
-                        keys = []
-                    shard = shards[lo]
-                    keys.append(k1[lo:hi])
+                if hi == lo:
+                    continue
+                if shards[lo] != shard:
+                    if shard is not None:
+                        yield made()
+                    shard, held, keys = shards[lo], [], ([], [])
+                part = batch.slice(lo, hi - lo)
+                own = part["data"].is_valid().to_numpy(zero_copy_only=False)
+                held += [x for k in np.flatnonzero(own).tolist() for x in part["data"][k].as_py()]
+                k1, add = part["k1"].fill_null(0).to_numpy(), part["add"].fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+                for k, mine in enumerate((~own & ~add, ~own & add)):
+                    if mine.any():
+                        keys[k].append(k1[mine])
         if shard is not None:
-            yield _filter_row(shard, keys)
+            yield made()
 
-    held = counts.filter(F.col("n_docs") >= min_docs).select("shard", "k1")
-    return held.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, data binary")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FILTERS)
 
 
-def _filter_row(shard, keys) -> pa.RecordBatch:
-    data = CuckooFilter.build(np.concatenate(keys)).to_bytes()
-    return pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int32()), pa.array([data], pa.binary())], names=["shard", "data"])
-
-
-def passing(refs: DataFrame, made: DataFrame) -> DataFrame:
-    """The references that the filter of their shard lets through: all that must drop, few others."""
-    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    shipped = made.select("shard", spread, F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("k1"), F.lit(None).cast("bigint").alias("k2"), "data")
-    asked = refs.select("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "k1", "k2", F.lit(None).cast("binary").alias("data"))
+def passing(refs: DataFrame, made: DataFrame, shards: int, salts: int = SALTS) -> DataFrame:
+    """The references that the filters of their shard let through: all that must drop, few others."""
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    none = F.lit(None).cast("bigint")
+    shipped = made.select("shard", spread, none.alias("doc_id"), none.alias("k1"), none.alias("k2"), "data")
+    asked = refs.select(shard_of(shards), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "k1", "k2", F.lit(None).cast("array<binary>").alias("data"))
     both = shipped.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())
 
     def probe(batches):
         now, current = None, None
         for batch in batches:
-            shards = batch["shard"].to_numpy()
+            shard = batch["shard"].to_numpy()
             has_data = batch["data"].is_valid().to_numpy(zero_copy_only=False)
             k1 = batch["k1"].fill_null(0).to_numpy()
-            cuts = sorted({0, len(shards), *(np.flatnonzero(np.diff(shards)) + 1), *np.flatnonzero(has_data), *(np.flatnonzero(has_data) + 1)})
+            cuts = sorted({0, len(shard), *(np.flatnonzero(np.diff(shard)) + 1).tolist(), *np.flatnonzero(has_data).tolist(), *(np.flatnonzero(has_data) + 1).tolist()})
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if has_data[lo]:
-                    now, current = shards[lo], CuckooFilter.from_bytes(batch["data"][int(lo)].as_py())
-                elif shards[lo] == now:
+                    now, current = shard[lo], Filters([CuckooFilter.from_bytes(x) for x in batch["data"][lo].as_py()])
+                elif shard[lo] == now:
                     hit = np.flatnonzero(current.contains(k1[lo:hi])) + lo
                     if hit.size:
                         yield batch.take(pa.array(hit)).select(["doc_id", "k1", "k2"])
@@ -185,70 +283,121 @@ def passing(refs: DataFrame, made: DataFrame) -> DataFrame:
     return both.mapInArrow(probe, "doc_id bigint, k1 bigint, k2 bigint")
 
 
-def drops(refs: DataFrame, counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, gone: the keys, as an array of (k1, k2), that each document must drop."""
-    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    heavy = counts.filter(F.col("n_docs") >= min_docs)
-    candidates = passing(refs, filters(counts, min_docs)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+def drops(refs: DataFrame, heavy: DataFrame, made: DataFrame, shards: int, salts: int = SALTS) -> DataFrame:
+    """doc_id, gone: the keys, as an array of (k1, k2), that each document must drop; ``heavy`` are counts that suffice."""
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    candidates = passing(refs, made, shards, salts).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     exact = candidates.join(heavy.select("k1", "k2", "last_doc", spread), ["k1", "k2", "salt"])
     return exact.filter("doc_id < last_doc").groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
 
 
+def without(text: Column, gone: Column) -> Column:
+    """``text`` without its lines whose keys are among ``gone``, and how many those are; null where ``gone`` is.
+
+    Linear in the text but for sorting its lines' keys.
+    """
+    ship(SparkSession.active())
+
+    @F.pandas_udf("t string, d bigint")
+    def run(texts: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
+        out: list[tuple] = []
+        for text, g1, g2 in zip(texts, first, second, strict=True):
+            if g1 is None:
+                out.append((None, None))
+                continue
+            raw = text.encode()
+            starts, ends, _, (k1, k2), long = lines_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            keys = np.rec.fromarrays([np.asarray(g1, np.int64), np.asarray(g2, np.int64)])
+            mine = np.rec.fromarrays([k1.view(np.int64), k2.view(np.int64)])
+            drop = long & np.isin(mine, keys)
+            out.append((b"\n".join([raw[a:z] for a, z in zip(starts[~drop].tolist(), ends[~drop].tolist(), strict=True)]).decode(), int(drop.sum())))
+        return pd.DataFrame(out, columns=["t", "d"])
+
+    return run(F.when(gone.isNotNull(), F.coalesce(text, F.lit(""))), F.transform(gone, lambda k: k["k1"]), F.transform(gone, lambda k: k["k2"]))
+
+
 def rewritten(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cut, and ``line_n`` and ``line_dropped`` counts."""
+    """``docs`` as ``row``, with ``n`` lines and ``cut``: the text without lines, and how many went; null where none do."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
     met = row.join(gone.select(F.col("doc_id").alias("id"), "gone"), "id", "left")
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    marked = F.filter(F.arrays_zip(lines.alias("line"), _hashed_lines(text).alias("k")), lambda z: z["k"].isNull() | ~F.array_contains(F.col("gone"), z["k"]))
-    cut = F.when(F.col("gone").isNull(), F.struct(text.alias("t"), F.lit(0).cast("bigint").alias("d"))).otherwise(
-        F.transform(F.array(marked), lambda m: F.struct(F.array_join(F.transform(m, lambda z: z["line"]), "\n").alias("t"), (F.size(lines) - F.size(m)).cast("bigint").alias("d")))[0]
-    )
     n = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
-    return met.select("row", n.alias("n"), cut.alias("cut"))
+    return met.select("row", n.alias("n"), without(F.col("row.text"), F.col("gone")).alias("cut"))
+
+
+def to_drop(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, gone: what each document must drop, kept."""
+    refs = keep(references(docs), "line_refs")
+    salts = max(SALTS, -(-refs.count() // (SHARDS * TASK_REFS)))
+    heavy = keep_while(lambda: reference_counts(refs).filter(F.col("n_docs") >= min_docs), "line_counts")
+    shards = shards_for(heavy.count())
+    made = keep_while(lambda: changed_filters(None, heavy.select(shard_of(shards), "k1", F.lit(True).alias("add"))), "line_filters")
+    return keep_while(lambda: (drops(refs, heavy, made, shards, salts), refs, heavy, made), "line_drops")
+
+
+def _reported(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    out = rewritten(docs.select("doc_id", "text"), gone)
+    return out.select("row.doc_id", F.col("n").alias("n_lines"), F.coalesce("cut.d", F.lit(0)).cast("bigint").alias("n_dropped"), F.coalesce("cut.t", "row.text", F.lit("")).alias("kept_text"))
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` without its repeated lines; texts that lose none stay as they were, null too."""
-    refs = references(docs)
-    counts = keep(reference_counts(refs), "line_counts")
-    out = rewritten(docs, drops(refs, counts, min_docs))
+    out = rewritten(docs, to_drop(docs, min_docs))
     return out.select(*[(F.when(F.col("cut.d") > 0, F.col("cut.t")).otherwise(F.col("row.text")) if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text."""
-    refs = references(docs)
-    counts = keep(reference_counts(refs), "line_counts")
-    out = rewritten(docs.select("doc_id", "text"), drops(refs, counts, min_docs))
-    return out.select("row.doc_id", F.col("n").alias("n_lines"), F.col("cut.d").alias("n_dropped"), F.col("cut.t").alias("kept_text"))
+    return _reported(docs, to_drop(docs, min_docs))
 
 
 class LineIndex:
-    """An incremental index: reference and count tables in the shared folder, filters made from them.
+    """An incremental index in the shared folder: references, counts, and the filters of keys that must drop.
 
-    ``insert`` and ``delete`` write new versions; only shards' keys that the documents touch change
-    their counts.  ``last_doc`` after a deletion comes from the references that are left.
+    ``insert`` adds references; ``delete`` marks ids as deleted, and references of an id count again only if it
+    is inserted once more.  Either one renews the counts of the keys that it touches and changes the filters by the keys whose
+    count crosses ``min_docs``; filters of other shards stay as they are.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.refs = spark.createDataFrame([], "doc_id bigint, shard int, k1 bigint, k2 bigint")
-        self.counts = spark.createDataFrame([], "shard int, k1 bigint, k2 bigint, n_docs bigint, last_doc bigint")
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, shards: int = SHARDS):
+        self.min_docs, self.shards = min_docs, shards
+        self.refs = spark.createDataFrame([], "doc_id bigint, k1 bigint, k2 bigint")
+        self.counts = spark.createDataFrame([], "k1 bigint, k2 bigint, n_docs bigint, last_doc bigint")
+        self.filters = spark.createDataFrame([], FILTERS)
+
+    def _change(self, renewed: DataFrame, touched: DataFrame) -> None:
+        """New counts for touched keys, and the filters by the keys that cross."""
+        renewed = keep(renewed, "line_renewed")
+        now = F.coalesce(renewed["n_docs"], F.lit(0)) >= self.min_docs
+        before = F.coalesce(self.counts["n_docs"], F.lit(0)) >= self.min_docs
+        both = touched.join(renewed, ["k1", "k2"], "left").select("k1", "k2", now.alias("now")).join(self.counts, ["k1", "k2"], "left").select("k1", "k2", "now", before.alias("before"))
+        crossed = keep(both.filter("now != before").select(shard_of(self.shards), "k1", F.col("now").alias("add")), "line_crossed")
+        old_counts, old_filters = self.counts, self.filters
+        rest = old_filters.join(crossed.select("shard").distinct(), "shard", "left_anti")
+        self.filters = keep_while(lambda: rest.unionByName(changed_filters(old_filters, crossed)), "line_filters")
+        self.counts = keep_while(lambda: old_counts.join(touched, ["k1", "k2"], "left_anti").unionByName(renewed), "line_counts")
+        for old in (old_counts, old_filters, renewed, crossed, touched):
+            drop_table(old)
 
     def insert(self, docs: DataFrame) -> None:
-        new = keep(references(docs), "line_refs_new")
-        self.refs = keep(self.refs.unionByName(new), "line_refs")
-        self.counts = keep(self.counts.unionByName(reference_counts(new)).groupBy("shard", "k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")), "line_counts")
+        new = keep(references(docs), "line_refs")
+        touched = keep(new.select("k1", "k2").distinct(), "line_touched")
+        held = self.counts.join(touched, ["k1", "k2"], "left_semi")
+        renewed = held.unionByName(reference_counts(new)).groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        self._change(renewed, touched)
+        self.refs = self.refs.unionByName(new)
 
     def delete(self, ids: DataFrame) -> None:
         """Takes the documents whose ``doc_id`` is in ``ids`` out of the index."""
-        ids = ids.select("doc_id").distinct()
-        touched = keep(self.refs.join(ids, "doc_id", "left_semi").select("shard", "k1", "k2").distinct(), "line_touched")
-        self.refs = keep(self.refs.join(ids, "doc_id", "left_anti"), "line_refs")
-        renewed = reference_counts(self.refs.join(touched, ["shard", "k1", "k2"], "left_semi"))
-        self.counts = keep(self.counts.join(touched, ["shard", "k1", "k2"], "left_anti").unionByName(renewed), "line_counts")
-
-    def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept_text of indexed documents under the index as it is."""
-        out = rewritten(docs.select("doc_id", "text"), drops(references(docs), self.counts, min_docs))
-        return out.select("row.doc_id", F.col("n").alias("n_lines"), F.col("cut.d").alias("n_dropped"), F.col("cut.t").alias("kept_text"))
+        ids = keep(ids.select("doc_id").distinct(), "line_deleted")
+        touched = keep(self.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), "line_touched")
+        old = self.refs
+        self.refs = keep(old.join(ids, "doc_id", "left_anti"), "line_refs")
+        self._change(reference_counts(self.refs.join(touched, ["k1", "k2"], "left_semi")), touched)
+        for table in (old, ids):
+            drop_table(table)
+
+    def apply(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept_text of indexed documents, through the stored filters."""
+        heavy = self.counts.filter(F.col("n_docs") >= self.min_docs)
+        return _reported(docs, keep(drops(references(docs), heavy, self.filters, self.shards), "line_drops"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.session import ship
 
 _LOCAL_BASE: list[str] = []
+#: Seconds that Spark's cleaner has to drop shuffles before the next query writes its own.
+SETTLE = 0.4
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -62,6 +65,7 @@ def forget(spark: SparkSession) -> None:
     spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(SETTLE)
 
 
 def drop_table(table: DataFrame) -> None:

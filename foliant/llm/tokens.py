@@ -16,6 +16,10 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * U(2) + U(1)
 _BYTE[65:91] = _BYTE[97:123]
+_OTHER = np.random.default_rng(20240301).integers(1, 1 << 63, 256, np.uint64) * U(2) + U(1)
+_OTHER[65:91] = _OTHER[97:123]
+#: Two random values a byte, A-Z like a-z, for two independent hashes.
+BYTE_TABLES = (_BYTE, _OTHER)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE = 1 << 20
@@ -33,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
         size = max(n, SLICE + 1)
         for k, base in enumerate((_BASE, _BACK)):
@@ -74,7 +78,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = S
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, back = _powers(len(data))
+    up, back = powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     hashes = mix((total[last] - total[first]) * back[first] + (last - first).astype(np.uint64))
