@@ -1,12 +1,17 @@
 """WARC archives compressed with Zstandard: a dictionary in a leading skippable frame, a frame per record.
 
-``write`` packs records, one partition at a time, into ``.warc.zst`` files of bounded size in the
-shared folder, through the file system that owns it; a file is written under a temporary name and
-then renamed, and what it holds depends on the rows alone, so a repeated attempt does no harm.
+``write`` packs records, one partition at a time and in a fixed order of its rows, into ``.warc.zst``
+files of bounded size in the shared folder, through the file system that owns it; a file is written under a
+temporary name and then renamed, so a repeated attempt writes the same files again.
 ``read`` opens any such files with Spark's binary source and yields records: it loads the dictionary
-from the skippable frame (itself compressed or not), decodes one frame per record and checks the
+from the skippable frame (itself compressed or not), finds the end of each frame by its block headers, so
+that the time is linear in the archive, decodes one frame per record and checks the
 version line, mandatory headers, Content-Length against the bytes that follow, the closing blank
-lines and the payload digest; a record that fails comes back with ``error`` set.
+lines and the payload digest; a record that fails comes back with ``error`` set.  An archive is one
+binary value of Spark's: ``write`` closes them at ``ARCHIVE_BYTES``, others must be under 2 GB.
+
+Target URIs are written as they are, in UTF-8.  One that a header line can't hold (controls, spaces at an
+end) is percent-escaped and marked by a header of its own, and read back unescaped.
 
 Records whose payloads are equal and of ``MIN_REVISIT`` bytes or more are stored once, by the largest
 page_id; the others become revisit records that refer to it.
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from urllib.parse import quote, unquote
 
@@ -54,10 +60,26 @@ def train_dictionary(pages: DataFrame) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES] or b" " * 8
 
 
+#: Characters that end a header line or vanish at its ends.
+_UNHEADED = re.compile(r"[\x00-\x1f\x7f]|^[\x20]|[\x20]$")
+ESCAPED = "X-Target-URI-Escaped"
+
+
+def target_fields(url: str) -> list[tuple[str, str]]:
+    if _UNHEADED.search(url):
+        return [("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=")), (ESCAPED, "percent")]
+    return [("WARC-Target-URI", url)]
+
+
+def target_of(fields: dict) -> str:
+    url = fields.get("warc-target-uri", "")
+    return unquote(url) if ESCAPED.lower() in fields else url
+
+
 def record_bytes(page_id, url: str, kind: str, payload: bytes, digest: str, size: int, refers_to=None) -> bytes:
     name = lambda x: f"<urn:foliant:page:{'null' if x is None else x}>"
     sha1 = base64.b32encode(bytes.fromhex(digest)).decode()
-    head = [("WARC-Type", kind), ("WARC-Record-ID", name(page_id)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%")), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Length", str(size))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", name(page_id)), ("WARC-Date", "1970-01-01T00:00:00Z"), *target_fields(url), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Length", str(size))]
     if kind == "revisit":
         head += [("WARC-Refers-To", name(refers_to)), ("WARC-Profile", PROFILE)]
         payload = b""
@@ -74,10 +96,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html, refers_to: null for responses."""
     key = F.when(F.octet_length("html") >= min_bytes, F.sha2("html", 256))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("key", key)
-    same = rows.filter("key IS NOT NULL").groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    long = rows.filter("key IS NOT NULL")
+    same = long.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
     salted = same.select("key", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
-    return met.select("page_id", "url", "html", F.when(F.col("last") != F.coalesce("page_id", F.col("last") - 1), F.col("last")).alias("refers_to"))
+    met = long.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+    told = met.select("page_id", "url", "html", F.when(F.col("last") != F.coalesce("page_id", F.col("last") - 1), F.col("last")).alias("refers_to"))
+    return told.unionByName(rows.filter("key IS NULL").select("page_id", "url", "html", F.lit(None).cast(told.schema["refers_to"].dataType).alias("refers_to")))
 
 
 def write(pages: DataFrame, path: str, dictionary: bytes) -> int:
@@ -116,29 +140,49 @@ def write(pages: DataFrame, path: str, dictionary: bytes) -> int:
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["records"])
 
     ship(pages.sparkSession)
-    return pages.mapInArrow(run, "records bigint").agg(F.sum("records")).first()[0] or 0
+    ordered = pages.sortWithinPartitions("page_id", "url", F.xxhash64("html"), "refers_to")
+    return ordered.mapInArrow(run, "records bigint").agg(F.sum("records")).first()[0] or 0
 
 
 RECORDS = "archive string, offset bigint, type string, record_id string, target_uri string, payload_digest string, payload_length bigint, refers_to string, payload binary, error string"
 
 
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the Zstandard frame that starts at ``at`` ends, by its header and block headers; over the end of data if it is cut."""
+    flags = data[at + 4] if at + 4 < len(data) else 0
+    single = flags >> 5 & 1
+    at += 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + ((single, 2, 4, 8)[flags >> 6])
+    while at + 3 <= len(data):
+        head = int.from_bytes(data[at : at + 3], "little")
+        at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
+        if head & 1:
+            return at + 4 * (flags >> 2 & 1)
+    return len(data) + 1
+
+
 def split_archive(data: bytes):
     """(offset, record bytes or None, error) of each frame."""
-    at, dictionary = 0, None
+    at, decoder, view = 0, zstandard.ZstdDecompressor(), memoryview(data)
     while at + 8 <= len(data):
         magic, size = struct.unpack_from("<II", data, at)
-        if magic == SKIPPABLE and at == 0:
-            held = data[8 : 8 + size]
-            if held[:4] == struct.pack("<I", FRAME):
-                held = zstandard.ZstdDecompressor().decompressobj().decompress(held)
-            dictionary = zstandard.ZstdCompressionDict(held)
-            at += 8 + size
-        elif 0x184D2A50 <= magic <= 0x184D2A5F:
+        if 0x184D2A50 <= magic <= 0x184D2A5F:
+            if at + 8 + size > len(data):
+                yield at, None, "frame: it ends early"
+                return
+            if magic == SKIPPABLE and at == 0:
+                held = data[8 : 8 + size]
+                if held[:4] == struct.pack("<I", FRAME):
+                    held = zstandard.ZstdDecompressor().decompressobj().decompress(held)
+                decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held))
             at += 8 + size
         elif magic == FRAME:
-            reader = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj() if dictionary else zstandard.ZstdDecompressor().decompressobj()
+            end = frame_end(view, at)
+            if end > len(data):
+                yield at, None, "frame: it ends early"
+                return
             try:
-                record = reader.decompress(memoryview(data)[at:])
+                reader = decoder.decompressobj()
+                record = reader.decompress(view[at:end])
             except zstandard.ZstdError as e:
                 yield at, None, f"frame: {e}"
                 return
@@ -146,7 +190,7 @@ def split_archive(data: bytes):
                 yield at, None, "frame: it ends early"
                 return
             yield at, record, None
-            at = len(data) - len(reader.unused_data)
+            at = end
         else:
             yield at, None, "frame: no known magic number"
             return
@@ -158,7 +202,7 @@ def parse_record(record: bytes) -> tuple[dict, bytes, str | None]:
     """Headers by lower-case name, payload and what is wrong, if anything."""
     head, gap, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
+    fields = {k.strip(" \t").lower(): v.strip(" \t") for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
     if not gap or not lines[0].startswith("WARC/1."):
         return fields, b"", "version: no WARC/1.x record"
     if missing := [x for x in ("warc-type", "warc-record-id", "warc-date", "content-length") if x not in fields]:
@@ -193,7 +237,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     except ValueError:
                         digest, wrong = None, wrong or "digest: it is not base 32"
                     length = fields.get("x-payload-length") or str(len(payload))
-                    rows.append((name.as_py(), at, fields.get("warc-type"), fields.get("warc-record-id"), unquote(fields.get("warc-target-uri", "")), digest, int(length) if length.isdigit() else None, fields.get("warc-refers-to"), payload, wrong))
+                    rows.append((name.as_py(), at, fields.get("warc-type"), fields.get("warc-record-id"), target_of(fields), digest, int(length) if length.isdigit() else None, fields.get("warc-refers-to"), payload, wrong))
                     size += len(payload)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
