@@ -2,11 +2,14 @@
 
 Targets are water-filled: sources share ``share`` of all words by weight, no source takes over
 ``most`` times its words, and what it can't take is shared again.  Each source's documents, in the
-order of a keyed hash, form a line of words that is passed twice and cut in equal blocks.  A
-golden-ratio lattice orders the slots of the mix: the points v(i) = i*g mod N, with g/N next to the
-golden ratio, run through 0..N-1 once; the cumulative weights map v to a source, and the slots of a
-source, ranked by i, take its blocks in order.  A source thus gets exactly the slots it is due and
-they are spread evenly over the mix.
+order of a keyed hash, form a line of words that is passed twice and cut in equal blocks.  Van der
+Corput points order the slots of the mix: with n slots due and 2**k >= n, slot i has the point that is
+i's k bits reversed; the cumulative weights map points under n to a source (others are left out), and the
+slots of a source, ranked by i, take its blocks in order.  A source thus gets exactly the slots it is due
+and they are spread evenly over the mix.
+
+``mixture`` returns the mix itself: the pieces of documents that stand in each slot, in order.  What is taken
+of a document, and the first slot that holds it, are sums over those rows.
 
 Prefix sums and ranks are computed in two levels (sums per hash bucket, then inside the bucket), so
 a source with a third of all rows never meets in one task.
@@ -18,8 +21,6 @@ places, which gives the same rows; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ MOST = 2
 SEED = "mix"
 #: Slots the schedule aims for, and the smallest and largest block in words.
 SLOTS, LEAST_BLOCK, LARGEST_BLOCK = 1 << 20, 16, 1 << 16
-#: Hex digits of the hash that make a bucket of a source's documents; slots per bucket of the schedule.
-BUCKET_DIGITS, SLOT_BUCKET = 3, 1 << 14
+#: Documents a bucket of a source's line aims for, the least hex digits of the hash that tell it, slots per bucket of the schedule.
+BUCKET_DOCS, BUCKET_DIGITS, SLOT_BUCKET = 1 << 16, 3, 1 << 14
 
 
 def _source_key() -> Column:
@@ -43,7 +44,7 @@ def _source_key() -> Column:
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, the source's key and the place of the document in its shuffle."""
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size")).select("*", _source_key().alias("key"), F.md5(F.concat_ws("-", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"))
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("sig")).select("*", _source_key().alias("key"), F.md5(F.concat_ws("-", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -65,11 +66,19 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(first * F.col("weight"), F.col("cap").cast("double")))).select("key", "source", "source_size", "weight", "target")
 
 
-def lines(sized: DataFrame) -> DataFrame:
+def bucket_digits(rows: int) -> int:
+    """Hex digits that cut ``rows`` documents of one source to buckets of about ``BUCKET_DOCS``; they change no result."""
+    digits = BUCKET_DIGITS
+    while rows >> 4 * digits > BUCKET_DOCS:
+        digits += 1
+    return digits
+
+
+def lines(sized: DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame:
     """``sized`` with ``start``, the words before a document on its source's line."""
-    bucketed = sized.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
+    bucketed = sized.withColumn("bucket", F.substring("place", 1, digits))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "size", "sig").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("key", "bucket").agg(F.sum("size").alias("n")).select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     return bucketed.join(offsets, ["key", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("offset", "bucket", "place")
 
@@ -79,24 +88,6 @@ def block_words(total: int) -> int:
     return max(LEAST_BLOCK, min(LARGEST_BLOCK, -(-total // SLOTS)))
 
 
-def _quotients(g: int, n: int) -> list[int]:
-    """The continued fraction of g / n: the smaller its terms, the more evenly the multiples of g spread."""
-    out = []
-    while g:
-        out.append(n // g)
-        n, g = g, n % g
-    return out
-
-
-def lattice_step(n: int) -> int:
-    """The step near n over the golden ratio, without a factor of n, whose multiples spread most evenly."""
-    if n < 3:
-        return 1
-    near = round(n * 0.6180339887498949)
-    steps = [g for g in range(max(2, near - 256), min(n, near + 257)) if gcd(g, n) == 1] or [1]
-    return min(steps, key=lambda g: (max(_quotients(g, n)), abs(g - near)))
-
-
 def schedule(goal: DataFrame, block: int) -> DataFrame:
     """key, slot, rank: the slots of the mix and the block of its source's line that each takes."""
     spark = goal.sparkSession
@@ -104,14 +95,12 @@ def schedule(goal: DataFrame, block: int) -> DataFrame:
     n = due.agg(F.sum("due")).first()[0] or 0
     if not n:
         return spark.createDataFrame([], "key string, slot bigint, rank bigint")
-    if n >= 1 << 31:
-        raise ValueError("more than 2^31 slots: raise the block size")
-    back = pow(lattice_step(n), -1, n) if n > 1 else 0
+    bits = max(1, (n - 1).bit_length())
     starts = due.withColumn("low", F.sum("due").over(Window.orderBy("key")) - F.col("due"))
     chunks = starts.select("key", "low", "due", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(due - 1) div {SLOT_BUCKET}"))).alias("c"))
     chunks = chunks.repartition("key", "c")
     points = chunks.select("key", F.explode(F.sequence(F.expr(f"low + c * {SLOT_BUCKET}"), F.expr(f"low + least(due, (c + 1) * {SLOT_BUCKET}) - 1"))).alias("v"))
-    slots = points.select("key", F.expr(f"(v * {back}L) % {n}L").alias("slot")).withColumn("part", F.expr(f"slot div {SLOT_BUCKET}"))
+    slots = points.select("key", F.conv(F.reverse(F.lpad(F.bin("v"), bits, "0")), 2, 10).cast("bigint").alias("slot")).withColumn("part", F.expr(f"slot div {SLOT_BUCKET}"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("key", "part").orderBy("slot")
     offsets = slots.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -119,20 +108,44 @@ def schedule(goal: DataFrame, block: int) -> DataFrame:
 
 
 def pieces(lined: DataFrame, goal: DataFrame, block: int, most: int = MOST) -> DataFrame:
-    """key, start, rank, words: what of a document each block of its source's line holds, up to the target."""
+    """key, start, doc_id, rank, position, first_word, words: what of a document each block of its source's line holds, up to the target."""
     ends = goal.select("key", "source_size", F.floor("target").alias("end"))
-    laid = lined.filter("size > 0").join(ends, "key").select("key", "start", "size", "end", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: p * F.col("source_size"))).alias("shift"))
-    laid = laid.select("key", "start", (F.col("start") + F.col("shift")).alias("a"), F.least(F.col("start") + F.col("shift") + F.col("size"), F.col("end")).alias("z")).filter("a < z")
-    cut = laid.select("*", F.explode(F.expr(f"sequence(a div {block}, (z - 1) div {block})")).alias("rank"))
-    return cut.select("key", "start", "rank", F.expr(f"least(z, (rank + 1) * {block}) - greatest(a, rank * {block})").alias("words"))
+    laid = lined.filter("size > 0").join(ends, "key").select("key", "start", "doc_id", "size", "end", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: p * F.col("source_size"))).alias("shift"))
+    laid = laid.select("key", "start", "doc_id", (F.col("start") + F.col("shift")).alias("a"), F.least(F.col("start") + F.col("shift") + F.col("size"), F.col("end")).alias("z")).filter("a < z")
+    cut = laid.select("*", F.explode(F.expr(f"sequence(a div {block}, (z - 1) div {block})")).alias("rank")).withColumn("from", F.expr(f"greatest(a, rank * {block})"))
+    return cut.select("key", "start", "doc_id", "rank", F.expr(f"from - rank * {block}").alias("position"), F.expr("from - a").alias("first_word"), F.expr(f"least(z, (rank + 1) * {block}) - from").alias("words"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken, the words that the mix takes of each document."""
+def _scheduled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents on their lines, targets, and the rows of the mix."""
     sized = keep(sizes(docs), "sizes")
     goal = keep(targets(sized), "targets")
     block = block_words(int(goal.agg(F.sum("target")).first()[0] or 0))
-    lined = lines(sized)
-    used = pieces(lined, goal, block).join(schedule(goal, block), ["key", "rank"]).groupBy("key", "start").agg(F.sum("words").alias("taken")).withColumn("some", F.lit(1))
+    lined = lines(sized, bucket_digits(sized.count()))
+    return lined, goal, pieces(lined, goal, block).join(schedule(goal, block), ["key", "rank"])
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """slot, position, source, block, doc_id, first_word, words: the mix.  Its text reads by slot, then position: a row
+    is the ``words`` words of a document from ``first_word`` on (from 0), and begins ``position`` words into its slot's block."""
+    _, goal, placed = _scheduled(docs)
+    return placed.join(goal.select("key", "source"), "key").select("slot", "position", "source", F.col("rank").alias("block"), "doc_id", "first_word", "words")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, sig, size, source, source_size, target, of every document; taken, the words that the mix takes of it; first_slot, null where it takes none."""
+    lined, goal, placed = _scheduled(docs)
+    used = placed.groupBy("key", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).withColumn("some", F.lit(1))
     out = lined.withColumn("some", F.when(F.col("size") > 0, 1).otherwise(0)).join(used, ["key", "start", "some"], "left").join(goal.select("key", "source_size", "target"), "key")
-    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return out.select("doc_id", "sig", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` with size, target, taken and first_slot beside their columns (their own of these names give way); rows that share doc_id and text may swap theirs."""
+    added = ["size", "target", "taken", "first_slot"]
+    same = Window.partitionBy("id", "sig").orderBy(F.lit(0))
+    key = F.when(F.col("doc_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("doc_id").cast("string"))).alias("id")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key, F.xxhash64("text").alias("sig")).withColumn("nth", F.row_number().over(same))
+    told = keep(mix(docs).select(key, "sig", *added), "mix").withColumn("nth", F.row_number().over(same))
+    met = rows.join(told, ["id", "sig", "nth"])
+    return met.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in added], *added)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 from foliant.llm.chat_format import CONTROL, END, START
+from foliant.llm.decontam import SUBSTITUTIONS, WINDOW
+from foliant.llm.mixing import LARGEST_BLOCK, LEAST_BLOCK, SLOTS
 from foliant.llm.quality_rules import RULES, STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -40,9 +42,9 @@ q_verdict AS (SELECT *, NOT base_failed AND {rules} AS kept FROM q_judged)
 SELECT {select} FROM q_verdict"""
 
 
-def mixing_sql(source: str = "documents", select: str = "doc_id, size, source_size, target, taken") -> str:
+def mixing_sql(source: str = "documents", select: str = "doc_id, size, source_size, target, taken, first_slot") -> str:
     return rf"""
-WITH m_sized AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix-' || coalesce(doc_id::VARCHAR, '')) AS place FROM {source}),
+WITH m_sized AS (SELECT *, row_number() OVER () AS m_row, len({WORDS})::BIGINT AS size, md5('mix-' || coalesce(doc_id::VARCHAR, '')) AS place FROM {source}),
 m_sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM m_sized GROUP BY source),
 m_caps AS (SELECT *, [3, 1, 2][((nth - 1) % 3 + 1)::BIGINT] AS weight, 2 * source_size AS cap FROM m_sources),
 m_levels AS (
@@ -51,7 +53,17 @@ m_levels AS (
 m_targets AS (SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM m_levels WHERE level <= ratio ORDER BY ratio, nth LIMIT 1) * weight, cap::DOUBLE)) AS target FROM m_levels),
 m_lines AS (SELECT s.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM m_sized s JOIN m_targets t ON s.source IS NOT DISTINCT FROM t.source),
-m_taken AS (SELECT *, (greatest(0, least(start + size, floor(target)) - start) + greatest(0, least(start + source_size + size, floor(target)) - start - source_size))::BIGINT AS taken FROM m_lines)
+m_block AS (SELECT greatest({LEAST_BLOCK}, least({LARGEST_BLOCK}, ceil(coalesce(floor(sum(target)), 0) / {SLOTS})))::BIGINT AS b FROM m_targets),
+m_due AS (SELECT source, due, (sum(due) OVER (ORDER BY source IS NOT NULL, source) - due)::BIGINT AS low, (sum(due) OVER ())::BIGINT AS n
+  FROM (SELECT source, ceil(floor(target) / b)::BIGINT AS due FROM m_targets, m_block) WHERE due > 0),
+m_points AS (SELECT source, unnest(range(low, low + due)) AS v, greatest(1, length(ltrim(bin(n - 1), '0'))) AS bits FROM m_due),
+m_slots AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM (SELECT source, ('0b' || reverse(lpad(bin(v), bits::INTEGER, '0')))::BIGINT AS slot FROM m_points)),
+m_laid AS (SELECT m_row, source, start + pass * source_size AS a, least(start + pass * source_size + size, floor(target))::BIGINT AS z FROM m_lines, (VALUES (0), (1)) AS p(pass) WHERE size > 0),
+m_pieces AS (SELECT m_row, source, a, z, b, unnest(range(a // b, (z - 1) // b + 1)) AS rank FROM m_laid, m_block WHERE a < z),
+m_used AS (SELECT m_row, sum(least(z, (p.rank + 1) * b) - greatest(a, p.rank * b))::BIGINT AS taken, min(slot) AS first_slot
+  FROM m_pieces p JOIN m_slots s ON p.rank = s.rank AND p.source IS NOT DISTINCT FROM s.source GROUP BY m_row),
+m_taken AS (SELECT l.*, coalesce(u.taken, 0)::BIGINT AS taken, u.first_slot FROM m_lines l LEFT JOIN m_used u USING (m_row))
 SELECT {select} FROM m_taken"""
 
 
@@ -81,6 +93,43 @@ l_done AS (SELECT r.*, coalesce(kept_lines, []) AS kept_lines FROM l_rows r LEFT
 SELECT {select} FROM l_done"""
 
 
+def jaccard_sql(source: str = "documents", select: str = "doc_id, n_shingles, component_id, n_links") -> str:
+    """Links of whole sets by counted common shingles, and components by reachability."""
+    return rf"""
+WITH RECURSIVE j_words AS (SELECT *, row_number() OVER () AS j_row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {source}),
+j_sets AS (SELECT * EXCLUDE (w), CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS shingles FROM j_words),
+j_rows AS (SELECT * EXCLUDE (shingles), len(shingles)::BIGINT AS n_shingles, CASE WHEN len(shingles) > 0 THEN md5(array_to_string(shingles, chr(10))) END AS sig, shingles FROM j_sets),
+j_classes AS (SELECT sig, any_value(n_shingles) AS n, min(doc_id) AS rep, any_value(shingles) AS shingles FROM j_rows WHERE sig IS NOT NULL GROUP BY sig),
+j_tokens AS (SELECT sig, n, unnest(shingles) AS token FROM j_classes),
+j_links AS (SELECT x.sig AS a, y.sig AS b FROM j_tokens x JOIN j_tokens y ON x.token = y.token AND x.sig <> y.sig AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.sig, y.sig HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+j_reach AS (SELECT sig, sig AS other FROM j_classes UNION SELECT r.sig, l.b FROM j_reach r JOIN j_links l ON r.other = l.a),
+j_least AS (SELECT r.sig, min(rep) AS component_id FROM j_reach r JOIN j_classes c ON r.other = c.sig GROUP BY r.sig),
+j_degree AS (SELECT a AS sig, count(*)::BIGINT AS n_links FROM j_links GROUP BY a),
+j_done AS (SELECT r.*, coalesce(l.component_id, doc_id) AS component_id, coalesce(d.n_links, 0)::BIGINT AS n_links FROM j_rows r LEFT JOIN j_least l ON r.sig = l.sig LEFT JOIN j_degree d ON r.sig = d.sig)
+SELECT {select} FROM j_done"""
+
+
+def decontam_sql(source: str = "documents", select: str = "doc_id, item_id, matched_words, item_words, first_word") -> str:
+    """All alignments of a document and an item, by counted equal words; those with enough of them in a window."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+')"
+    least = WINDOW - SUBSTITUTIONS
+    return rf"""
+WITH b_items AS (SELECT item_id, row_number() OVER () AS b_item, {words} AS w FROM benchmark),
+b_words AS (SELECT item_id, b_item, len(w)::BIGINT AS m, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS spot FROM b_items),
+b_docs AS (SELECT *, row_number() OVER () AS b_row, {words} AS w FROM {source}),
+b_places AS (SELECT * FROM (SELECT b_row, len(w)::BIGINT AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM b_docs) WHERE word IN (SELECT word FROM b_words)),
+b_aligned AS (SELECT b_row, b_item, place - spot AS shift, any_value(item_id) AS item_id, any_value(m) AS m, any_value(n) AS n, list(spot ORDER BY spot) AS hits
+  FROM b_places JOIN b_words USING (word) GROUP BY b_row, b_item, place - spot HAVING count(*) >= least({least}, any_value(m))),
+b_found AS (SELECT *, len(hits)::BIGINT AS matched_words, greatest(shift, 0)::BIGINT AS first_word FROM b_aligned
+  WHERE least(m, n - shift) - greatest(0, -shift) >= least({WINDOW}, m)
+    AND CASE WHEN m < {WINDOW} THEN len(hits) = m ELSE len(list_filter(range(1, len(hits) - {least - 2}), lambda k: hits[k + {least - 1}] - hits[k] < {WINDOW})) > 0 END),
+b_best AS (SELECT * FROM b_found QUALIFY row_number() OVER (PARTITION BY b_row, b_item ORDER BY matched_words DESC, first_word) = 1),
+b_done AS (SELECT d.* EXCLUDE (w), f.item_id, f.matched_words, f.m AS item_words, f.first_word FROM b_docs d LEFT JOIN b_best f USING (b_row))
+SELECT {select} FROM b_done"""
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
@@ -94,5 +143,19 @@ ORACLES: dict[str, str] = {
     "op3_warc": WARC_SQL,
     "op5_quality_rules": quality_sql(),
     "op7_line_dedup": line_sql(),
+    "op8_decontam": decontam_sql() + " WHERE matched_words IS NOT NULL",
+    "op9_jaccard_join": jaccard_sql(),
     "op10_mixing": mixing_sql(),
 }
+
+
+def pipeline_sql() -> str:
+    """The five stages, each over what the one before it keeps."""
+    own = "doc_id, text, lang, source, n_chars"
+    cut = "CASE WHEN len(kept_lines) < len(all_lines) THEN array_to_string(kept_lines, chr(10)) ELSE text END"
+    return f"""
+WITH s_good AS (SELECT {own} FROM ({quality_sql(select=f"{own}, kept")}) WHERE kept),
+s_lines AS ({line_sql("s_good", f"doc_id, {cut} AS text, lang, source, length({cut})::BIGINT AS n_chars")}),
+s_near AS (SELECT {own} FROM ({jaccard_sql("s_lines", f"{own}, sig, component_id")}) QUALIFY sig IS NULL OR row_number() OVER (PARTITION BY sig IS NULL, component_id ORDER BY doc_id, sig) = 1),
+s_clean AS (SELECT {own} FROM ({decontam_sql("s_near", f"{own}, matched_words")}) WHERE matched_words IS NULL)
+SELECT * FROM ({mixing_sql("s_clean", f"{own}, size, target, taken, first_slot")})"""

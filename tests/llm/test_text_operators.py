@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,27 +100,78 @@ def test_line_dedup_keeps_columns(spark, docs):
 def test_line_index_is_reversible(spark):
     docs = X.documents(spark, repeat=False).select("doc_id", "text")
     first, second = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    state = lambda index: (sorted(map(tuple, index.counts.collect())), sorted(map(tuple, index.refs.collect())))
     index = line_dedup.LineIndex(spark)
     index.insert(first)
-    before = sorted(map(tuple, index.counts.collect()))
+    before = state(index)
     index.insert(second)
     assert sorted(map(tuple, index.apply(docs).collect())) == sorted(deduped(X.plain_rows(docs)))
+    held = heavy_in_filters(index)
+    assert held and held == {tuple(r) for r in index.counts.filter("n_docs >= 3").select("k1", "k2").collect()}
     index.delete(second.select("doc_id"))
-    assert sorted(map(tuple, index.counts.collect())) == before
+    assert state(index) == before
+    assert sorted(map(tuple, index.apply(first).collect())) == sorted(deduped(X.plain_rows(first)))
+    index.delete(first.select("doc_id"))
+    assert state(index) == ([], []) and not heavy_in_filters(index)
+    assert not any(np.frombuffer(x, np.uint16).any() for r in index.filters.collect() for x in r.data)
+
+
+def heavy_in_filters(index):
+    """The counted keys that the stored filters hold."""
+    parts = {r.shard: line_dedup.Filters([line_dedup.CuckooFilter.from_bytes(x) for x in r.data]) for r in index.filters.collect()}
+    assert len(parts) == index.filters.count()
+    return {(r.k1, r.k2) for r in index.counts.collect() if (f := parts.get(r.k2 % index.shards)) and f.contains(np.array([r.k1]))[0]}
 
 
 def test_cuckoo_filter_holds_and_forgets():
     rng = np.random.default_rng(1)
     keys = rng.integers(-(2**62), 2**62, 5000)
-    made = line_dedup.CuckooFilter.build(keys)
+    made = line_dedup.CuckooFilter(len(keys))
+    assert not len(made.insert(keys))
     assert made.contains(keys).all()
     assert made.contains(rng.integers(-(2**62), 2**62, 20_000)).mean() < 0.01
     again = line_dedup.CuckooFilter.from_bytes(made.to_bytes())
-    again.delete(keys[:2500])
+    assert not len(again.delete(keys[:2500]))
     assert again.contains(keys[2500:]).all()
     assert again.contains(keys[:2500]).mean() < 0.02
 
 
+def test_full_filters_grow_and_lose_nothing():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(2**62), 2**62, 20_000)
+    filters = line_dedup.Filters([line_dedup.CuckooFilter(100)])
+    for part in np.split(keys, 10):
+        filters.insert(part)
+    assert len(filters.parts) > 2 and filters.contains(keys).all()
+    filters.delete(keys[:15_000])
+    assert filters.contains(keys[15_000:]).all() and filters.contains(keys[:15_000]).mean() < 0.02
+    filters.delete(keys[15_000:])
+    assert not any(part.table.any() for part in filters.parts)
+
+
+def test_lines_of_slices_and_texts(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["\n", "\n", " ", "\t", "Ab", "é", "a line that is long enough", "\r"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    data, bounds = line_dedup.text_bytes(pa.array(texts))
+    starts, ends, text, (k1, k2), long = line_dedup.lines_of(data, bounds[50:251])
+    lines = [(i, x) for i, t in enumerate(texts[50:250]) for x in t.split("\n")]
+    raw = data[bounds[50] : bounds[250]].tobytes()
+    assert [(i, raw[a:z].decode()) for i, a, z in zip(text.tolist(), starts.tolist(), ends.tolist(), strict=True)] == lines
+    assert long.tolist() == [len(key(x)) >= 20 for _, x in lines]
+    pairs = {(key(x), a, b) for (_, x), a, b in zip(lines, k1.tolist(), k2.tolist(), strict=True) if len(key(x)) >= 20}
+    assert len(pairs) == len({k for k, _, _ in pairs}) == len({a for _, a, _ in pairs}) == len({b for _, _, b in pairs})
+
+
+def test_line_dedup_is_linear_in_dropped_lines(spark):
+    import time
+
+    long = "\n".join(f"a line of some length, number {k}" for k in range(200_000))
+    docs = spark.createDataFrame([(k, long) for k in range(3)], "doc_id bigint, text string")
+    began = time.time()
+    assert sorted((r.n_lines, r.n_dropped) for r in line_dedup.report(docs).collect()) == [(200_000, 0), (200_000, 200_000), (200_000, 200_000)]
+    assert time.time() - began < 60
+
+
 # n-gram Jaccard join
 
 
@@ -282,13 +335,42 @@ def test_mixing_meets_its_targets(spark, docs):
 def test_schedule_is_even(spark):
     goal = spark.createDataFrame([("a", 6000.0), ("b", 3000.0), ("c", 1000.0)], "key string, target double")
     rows = sorted((r.slot, r.key, r["rank"]) for r in mixing.schedule(goal, 10).collect())
-    assert [s for s, _, _ in rows] == list(range(1000))
+    assert len({s for s, _, _ in rows}) == len(rows) == 1000 and 0 <= rows[0][0] and rows[-1][0] < 1024
     for name, share in (("a", 0.6), ("b", 0.3), ("c", 0.1)):
         seen = np.cumsum([k == name for _, k, _ in rows])
         assert np.abs(seen - share * np.arange(1, 1001)).max() < 8
         assert [r for _, k, r in rows if k == name] == list(range(seen[-1]))
 
 
+def test_the_schedule_makes_the_mix(spark, docs, monkeypatch):
+    rows = sorted((r.slot, r.position, r.doc_id is None, r.doc_id or 0, r.first_word, r.words, r.source, r.block) for r in mixing.mixture(docs).collect())
+    size = {}
+    for d, t in X.plain_rows(docs):
+        size.setdefault((d is None, d or 0), []).append(len(words(t)))
+    filled = Counter()
+    for slot, position, none, d, first, n, source, block in rows:
+        assert position == filled[slot] and n > 0 and first + n <= max(size[none, d])
+        filled[slot] += n
+    blocks = {slot: (source, block) for slot, *_, source, block in rows}
+    for source in {x for x, _ in blocks.values()}:  # a source's blocks come in order, all but the last full
+        own = [filled[s] for s in sorted(blocks) if blocks[s][0] == source]
+        assert [blocks[s][1] for s in sorted(blocks) if blocks[s][0] == source] == list(range(len(own)))
+        assert set(own[:-1]) <= {mixing.block_words(sum(filled.values()))}
+    whole = mixing.mix(docs)
+    assert whole.agg(F.sum("taken")).first()[0] == sum(filled.values())
+    assert whole.agg(F.min("first_slot")).first()[0] == rows[0][0]
+    real = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda goal, block: real(goal, block).filter("slot % 2 = 0"))
+    assert mixing.mix(docs).agg(F.sum("taken")).first()[0] < sum(filled.values())
+
+
+def test_mixed_keeps_rows_and_columns(spark, docs):
+    out = mixing.mixed(docs)
+    assert Counter(X.plain_rows(out)) == Counter(X.plain_rows(docs))
+    assert out.columns == [c for c in docs.columns if c != "size"] + ["size", "target", "taken", "first_slot"]
+    assert mixing.mixed(X.empty(spark)).count() == 0
+    assert [mixing.bucket_digits(n) for n in (0, 1 << 28, (1 << 28) + 4096, 1 << 36)] == [3, 3, 4, 5]
+
 # PII
 
 
@@ -314,6 +396,11 @@ def test_pii_patterns_against_regular_expressions():
         assert [s[:3] for s in pii.find(t)] == base_spans(t)
 
 
+def test_addresses_with_long_runs_of_zeros():
+    zeros = "0" * 5000
+    assert [x[:3] for x in pii.find(f"{zeros}.1.2.3 {zeros}255.{zeros}.0.{zeros}9 {zeros}256.1.1.1")] == [("ip", 0, 5006), ("ip", 5007, 5007 + 15_008)]
+
+
 def test_pii_is_linear_in_long_runs():
     import time
 
