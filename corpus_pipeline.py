@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, jaccard_join, line_dedup, mixing, quality_rules
+from foliant.llm import decontam, jaccard_join, line_dedup, mixing, oracles, quality_rules
 from foliant.llm.storage import keep
 
 
@@ -37,8 +37,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document that is left."""
-    return mixing.mix(docs)
+    """The documents that are left, with what the mix takes of each and the first slot that holds it."""
+    return mixing.mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -49,8 +49,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixed),
 ]
 
-#: The spaced seeds and the Jaccard join are no plain SQL on whole tables; tests hold ``run`` against a brute-force version.
-ORACLE_SQL: str | None = None
+#: The stages in SQL, which counts all common shingles and words, so it is for small tables.
+ORACLE_SQL: str | None = oracles.pipeline_sql()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
