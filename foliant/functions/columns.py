@@ -45,6 +45,13 @@ def mentions(text: Column, name: Column) -> Column:
     return F.contains(fold(text), fold(name))
 
 
+def alike(a: Column, b: Column) -> Column:
+    """Whether two names are one but for case and punctuation, or one holds the other."""
+    bare = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
+    x, y = bare(a), bare(b)
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+
+
 # ids and provenance
 
 

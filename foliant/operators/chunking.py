@@ -1,7 +1,8 @@
 """Structure-aware chunks: a fold over a document's blocks.
 
 Headings end a chunk and begin a section; tables and figures stand alone; prose is packed up to a
-target and hands on the tail of its last block as overlap.  Sections' headings are bound in front.
+target and hands on the tail of its last block as overlap.  Sections' headings are bound in front; a chunk
+belongs to the section of its last block, so a tail that is carried past a heading goes with what follows.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ def chunk(document: str, blocks: list[dict], target: int = vocab.CHUNK_TARGET, o
     """Chunks of one document's blocks, in order."""
     out: list[dict] = []
     pending: list[dict] = []
-    section, offset = 0, 0
+    section, offset, current = 0, 0, []
 
     def emit(parts: list[dict]) -> None:
         nonlocal offset
         body = "\n\n".join(b["text"].strip() for b in parts if b["text"].strip())
         if not body:
             return
-        path = parts[0]["section_path"]
+        path = parts[-1]["section_path"] or current
         head = " > ".join(path)
         content = body if not head or body.startswith(head) else f"{head}\n\n{body}"
         pages = [b["page"] for b in parts if b["page"] is not None]
@@ -48,6 +49,8 @@ def chunk(document: str, blocks: list[dict], target: int = vocab.CHUNK_TARGET, o
 
     for block in blocks:
         kind = block["content_type"]
+        if kind != "heading":  # a chunk that a heading ends is still of the section before it
+            current = block["section_path"] or current
         if kind == "heading":
             close(carry=True)
             section += 1

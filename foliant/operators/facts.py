@@ -78,6 +78,13 @@ def best(facts: DataFrame) -> DataFrame:
     return of.groupBy(*KEY).agg(F.min_by(F.struct("value_key", "value_text", "reliability", "documents"), pick).alias("b"), F.count("*").alias("values")).select(*KEY, "b.*", "values")
 
 
+def ranked(facts: DataFrame) -> DataFrame:
+    """``groups`` with their rank, the value to believe first, the number of values, and the gap to the next one's reliability."""
+    order = Window.partitionBy(*KEY).orderBy(F.desc("reliability"), F.desc("documents"), F.desc("rows"), "ord")
+    gap = F.round(F.col("reliability") - F.lead("reliability").over(order), 6)
+    return groups(facts).withColumns({"rank": F.row_number().over(order), "values": F.count("*").over(Window.partitionBy(*KEY)), "gap": gap})
+
+
 def conflict_positions(facts: DataFrame) -> DataFrame:
     """Per conflict its positions, best first, the gap between the top two, and whether that decides it."""
     ranked = groups(facts).withColumn("gap", F.col("reliability") - F.lead("reliability").over(Window.partitionBy(*KEY).orderBy(F.desc("reliability"), "ord")))
@@ -111,6 +118,11 @@ def inverse_lookup(facts: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.join(wanted.select("attribute", "wanted_key").distinct(), ["attribute", "wanted_key"]).select("attribute", "wanted_key", "subject_id").distinct()
 
 
+def naming(facts: DataFrame, attributes: list[str], subject_id: str) -> DataFrame:
+    """Facts of other subjects whose value under one of the attributes is, or lists, a subject."""
+    return facts.filter(F.col("attribute").isin(attributes) & (F.col("subject_id") != subject_id) & F.array_contains(C.hop_targets(F.col("value_text")), subject_id))
+
+
 def two_hop(facts: DataFrame, bridge: str, target: str) -> DataFrame:
     """subject –bridge→ other subject –target→ value, over all subjects."""
     first = facts.filter(F.col("attribute") == bridge).select("subject_id", F.explode(C.hop_targets(F.col("value_text"))).alias("via")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
@@ -38,33 +38,56 @@ def typed_edges(base: DataFrame) -> DataFrame:
     return parts.select("subject_name", "chunk_id", "document_id", "page", F.explode(targets).alias("raw"), "predicate", F.lit("infobox").alias("method"), F.lit(0.9).alias("confidence"))
 
 
+def _stated(base: DataFrame) -> DataFrame:
+    rows = link_edges(base).unionByName(typed_edges(base))
+    return rows.withColumns({"subject_id": C.entity_id(F.col("subject_name")), "object_id": C.entity_id(F.col("raw"))}).filter("object_id != ''")
+
+
+def entities(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The entities that chunks name or are about."""
+    base = _base(chunks, documents)
+    ord_ = F.struct("document_id", "chunk_id")
+    return collect_entities(_stated(base).select("raw", ord_.alias("ord")).unionByName(base.select(F.col("subject_name").alias("raw"), ord_.alias("ord"))))
+
+
 def build(chunks: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
-    """entities, edges and mentions of a set of chunks."""
+    """entities, edges and mentions of a set of chunks; edges and mentions belong to their chunk."""
     base = _base(chunks, documents)
-    stated = link_edges(base).unionByName(typed_edges(base))
-    stated = stated.withColumns({"subject_id": C.entity_id(F.col("subject_name")), "object_id": C.entity_id(F.col("raw"))}).filter("object_id != ''")
+    stated = _stated(base)
     unique = ["subject_id", "predicate", "object_id", "chunk_id"]
     edges = stated.filter("subject_id != object_id").groupBy(*unique).agg(F.max_by(F.struct("document_id", "page", "method", "confidence"), "confidence").alias("e")).select(*unique, "e.*")
-    ord_ = F.struct("document_id", "chunk_id")
-    named = stated.select("raw", ord_.alias("ord")).unionByName(base.select(F.col("subject_name").alias("raw"), ord_.alias("ord")))
-    mentions = stated.select(F.col("object_id").alias("entity_id"), "chunk_id").unionByName(base.select(C.entity_id(F.col("subject_name")).alias("entity_id"), "chunk_id")).distinct()
-    return {"entities": collect_entities(named), "edges": edges, "mentions": mentions}
+    named = stated.select(F.col("object_id").alias("entity_id"), "chunk_id", "document_id")
+    mentions = named.unionByName(base.select(C.entity_id(F.col("subject_name")).alias("entity_id"), "chunk_id", "document_id")).distinct()
+    return {"entities": entities(chunks, documents), "edges": edges, "mentions": mentions}
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, predicates: list[str] | None = None) -> DataFrame:
-    """node, direction, predicate, other, method, confidence: one hop either way."""
+def neighbours(edges: DataFrame, nodes: DataFrame, predicates: list[str] | None = None, entities: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """node, direction, predicate, other, method, confidence: one hop either way; with ``entities`` the other's name and
+    type too; with ``limit`` the first so many of a node, stated edges before links, then by confidence."""
     kept = edges.filter(F.col("predicate").isin(predicates)) if predicates else edges
     out = kept.select(F.col("subject_id").alias("node"), F.lit("out").alias("direction"), "predicate", F.col("object_id").alias("other"), "method", "confidence")
     into = kept.select(F.col("object_id").alias("node"), F.lit("in").alias("direction"), "predicate", F.col("subject_id").alias("other"), "method", "confidence")
-    return out.unionByName(into).join(nodes.select("node").distinct(), "node", "left_semi")
+    found = out.unionByName(into).join(nodes.select("node").distinct(), "node", "left_semi")
+    if limit is not None:
+        order = Window.partitionBy("node").orderBy(F.col("method") != "infobox", F.desc("confidence"), F.desc("direction"), "predicate", "other")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    if entities is not None:
+        found = found.join(entities.select(F.col("entity_id").alias("other"), "name", "entity_type"), "other", "left")
+    return found
 
 
 def walk(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
-    """start, node, hops: what is reached along edge directions, at its least distance."""
-    step = edges.select(F.col("subject_id").alias("node"), F.col("object_id").alias("next")).distinct()
-    front = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
-    seen = front
+    """start, node, hops: what is reached along edge directions, at its least distance.
+
+    A hop's new pairs are persisted, so the next one doesn't walk them again; all but what is returned are released.
+    """
+    step = edges.select(F.col("subject_id").alias("node"), F.col("object_id").alias("next")).distinct().persist()
+    seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)).persist()
+    front = seen
     for hop in range(1, hops + 1):
-        front = front.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.unionByName(front)
+        reached = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
+        new = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)).persist()
+        if new.isEmpty():
+            break
+        front, seen = new, seen.unionByName(new)
     return seen

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import vocab
 
 TOKEN = r"[\p{L}\p{N}_'-]+"
+#: Asked terms that are matched inside the scan's own projection; more meet the tokens in a join.
+TERMS = 10_000
+
+
+def _folds() -> tuple[str, str]:
+    """Latin letters with marks and the letters without, by Unicode's own decomposition; then marks that stand alone, which go."""
+    plain = {chr(c): x for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(x := "".join(y for y in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(y))) == 1 and x != chr(c)}
+    return "".join(plain) + "".join(map(chr, range(0x300, 0x370))), "".join(plain.values())
+
+
+ACCENTED, PLAIN = _folds()
+
+
+def folded(text: Column) -> Column:
+    """Lower-case, without diacritics; only texts beyond ASCII pay for it."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0), lambda t: F.length(t) > 1)
+    return F.filter(F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0), lambda t: F.length(t) > 1)
 
 
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,20 +44,28 @@ def lengths(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return chunks.select(key, F.size(tokens(F.col(text))).cast("bigint").alias("len"))
 
 
+def occurrences(chunks: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """key, len, term, tf of the wanted terms.  Few terms are matched where the text is read, so only hits leave the scan."""
+    few = [r.term for r in wanted.limit(TERMS + 1).collect()]
+    if len(few) <= TERMS:
+        cut = lambda t: F.struct(F.size(t).cast("bigint").alias("len"), F.filter(t, lambda x: x.isin(few) if few else F.lit(False)).alias("found"))
+        # a lambda variable holds the tokens, which would else be cut anew for each use
+        each = chunks.select(key, F.transform(F.array(tokens(F.col(text))), cut)[0].alias("x")).filter(F.size("x.found") > 0).select(key, "x.len", F.explode("x.found").alias("term"))
+        return each.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    each = chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return each.join(lengths(chunks, key, text), key)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content", every: bool = False) -> DataFrame:
     """query_id, key, score for a frame of queries (query_id, term); repeated terms count again.
 
-    Only the queries' terms leave the scan: the set of asked terms is matched inside the text's own
-    projection, so the shuffle carries hits and not the corpus.  ``every`` keeps chunks that have all
-    terms of a query.
+    ``every`` keeps chunks that have all terms of a query.
     """
-    wanted = queries.select("term").distinct()
-    hits = chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
-    size = lengths(chunks, key, text)
-    whole = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    hits = occurrences(chunks, queries.select("term").distinct(), key, text)
+    whole = lengths(chunks, key, text).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    met = hits.join(df, "term").join(size, key).join(F.broadcast(whole)).join(asked, "term")
+    met = hits.join(df, "term").join(F.broadcast(whole)).join(asked, "term")
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (vocab.BM25_K1 + 1) / (F.col("tf") + vocab.BM25_K1 * (1 - vocab.BM25_B + vocab.BM25_B * F.col("len") / F.col("avg_len")))
     scored = met.groupBy("query_id", key).agg(F.sum(F.col("times") * part).alias("score"), F.count("*").alias("matched"))
@@ -75,3 +103,11 @@ def phrase(chunks: DataFrame, terms: list[str], key: str = "chunk_id", text: str
     # a lambda variable holds the tokens, which would else be cut anew for each of them
     once = F.transform(F.array(tokens(F.col(text))), hits)[0]
     return chunks.filter(F.contains(F.lower(text), F.lit(terms[0]))).select(key, once.alias("hits")).filter("hits > 0")
+
+
+def query_terms(text: str) -> tuple[list[str], list[list[str]]]:
+    """The terms of a question as the tokeniser would cut them, and its phrases: hyphenated words, part by part."""
+    low = unicodedata.normalize("NFD", text.lower())
+    found = [t for t in re.findall(r"[\w'-]+", "".join(c for c in low if not unicodedata.combining(c))) if len(t) > 1]
+    phrases = [[x for x in t.split("-") if x] for t in found if "-" in t.strip("-")]
+    return list(dict.fromkeys(found)), phrases

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from foliant.session import ship
 WORD = r"(?i)[a-z][a-z'-]{1,}"
 #: Queries broadcast at once.
 BLOCK = 4096
+#: Subspace iteration: dimensions beyond those asked for, passes; rows of a partial sum that travel together, cells handled at once.
+SPARE, PASSES, ROWS, CELLS = 16, 4, 256, 20_000
 
 
 def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,63 +37,102 @@ def tfidf(counted: DataFrame, words: DataFrame, key: str) -> DataFrame:
     return counted.join(words, "term").select(key, "term", ((0.5 + 0.5 * F.col("c") / F.col("most")) * F.col("idf")).alias("weight"))
 
 
-def gram_matrix(weights: DataFrame, index: dict[str, int], key: str) -> np.ndarray:
-    """A'A over documents, summed per task: its size is that of the vocabulary, not of the corpus."""
-    ship(weights.sparkSession)
-    v = len(index)
-    rows = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("w"))
+def cells(weights: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """key, w: a document's TF-IDF row, sparse, with columns numbered by the vocabulary's order."""
+    at = words.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("i"))  # at most the vocabulary's cap of rows
+    return weights.join(F.broadcast(at), "term").groupBy(key).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("weight").cast("double").alias("weight"))).alias("w"))
+
+
+def _sparse(column: pa.Array):
+    """Pieces of a batch's rows: row numbers, columns and weights of their cells, ``CELLS`` or one row at a time."""
+    ends = np.cumsum(pa.compute.list_value_length(column).to_numpy())
+    flat = column.flatten()
+    i, w = flat.field("i").to_numpy(), flat.field("weight").to_numpy()
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    lo = 0
+    while lo < len(ends):
+        start = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + CELLS, "right")))
+        yield lo, hi, row[start : ends[hi - 1]] - lo, i[start : ends[hi - 1]], w[start : ends[hi - 1]]
+        lo = hi
+
+
+def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by number."""
+    out = np.zeros((n, rows.shape[1]))
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
+        out[at[order][first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
+def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """A'(A Q): each task sends a matrix of the basis' size, vocabulary by dimensions, however many documents it read."""
+    shipped = rows.sparkSession.sparkContext.broadcast(basis)
+    size, wide = basis.shape
 
     def run(batches):
-        total = np.zeros((v, v))
+        q = shipped.value
+        total = np.zeros(q.shape)
         for batch in batches:
-            for cells in batch["w"].to_pylist():
-                at = np.array([index[c["term"]] for c in cells])
-                w = np.array([c["weight"] for c in cells])
-                total[np.ix_(at, at)] += np.outer(w, w)
-        some = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([total[k].tobytes() for k in some], pa.binary())], names=["i", "data"])
-
-    parts = rows.select("w").mapInArrow(run, "i bigint, data binary")
+            for lo, hi, row, i, w in _sparse(batch["w"]):
+                y = _added(row, w[:, None] * q[i], hi - lo)
+                total += _added(i, w[:, None] * y[row], len(q))
+        if total.any():
+            parts = [total[k : k + ROWS] for k in range(0, len(total), ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in pdf["data"])
-        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "data": [total.tobytes()]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "data": [sum(np.frombuffer(x) for x in pdf["data"]).tobytes()]})
 
-    out = np.zeros((v, v))
-    for i, data in parts.groupBy("i").applyInPandas(add, "i bigint, data binary").collect():  # one row per vocabulary term
-        out[i] = np.frombuffer(data)
+    out = np.zeros((size, wide))
+    for part, data in rows.select("w").mapInArrow(run, "part bigint, data binary").groupBy("part").applyInPandas(add, "part bigint, data binary").collect():  # a vocabulary by dimensions
+        out[part * ROWS : part * ROWS + ROWS] = np.frombuffer(data).reshape(-1, wide)
+    shipped.unpersist()
     return out
 
 
+def components(rows: DataFrame, size: int, k: int) -> np.ndarray:
+    """The ``k`` right singular vectors of the largest singular values, by subspace iteration from a seeded start."""
+    wide = min(size, k + SPARE)
+    basis = np.eye(size) if wide == size else np.linalg.qr(np.random.default_rng(7).standard_normal((size, wide)))[0]
+    for _ in range(0 if wide == size else PASSES):
+        basis = np.linalg.qr(gram_times(rows, basis))[0]
+    small = basis.T @ gram_times(rows, basis)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    parts = basis @ vectors[:, np.argsort(values)[::-1][:k]]
+    return parts * np.sign(parts[np.abs(parts).argmax(0), np.arange(k)])
+
+
 def lsa(docs: DataFrame, key: str, text: str, dimensions: int = vocab.LSA_DIMENSIONS, cap: int = vocab.VOCABULARY) -> tuple[DataFrame, dict[str, int], np.ndarray, np.ndarray]:
     """Unit vectors (key, embedding), the vocabulary, its idf and the components: right singular vectors of the TF-IDF matrix."""
+    ship(docs.sparkSession)
     counted = terms(docs, key, text)
     n = docs.count()
     words = vocabulary(counted, n, cap)
-    held = words.collect()  # at most ``cap`` rows
+    held = words.orderBy(F.desc("df"), "term").collect()  # at most ``cap`` rows
     index = {r.term: k for k, r in enumerate(held)}
     idf = np.array([r.idf for r in held])
-    weights = tfidf(counted, words, key)
     if not index:
         return docs.select(key, F.array().cast("array<float>").alias("embedding")), index, idf, np.zeros((0, 0))
-    k = max(1, min(dimensions, len(index) - 1, n - 1))
-    values, vectors = np.linalg.eigh(gram_matrix(weights, index, key))
-    parts = vectors[:, np.argsort(values)[::-1][:k]]
-    parts = parts * np.sign(parts[np.abs(parts).argmax(0), np.arange(k)])
-    shipped = docs.sparkSession.sparkContext.broadcast((index, parts))
+    fixed = docs.sparkSession.createDataFrame([(r.term, r.df, r.idf) for r in held], "term string, df bigint, idf double")
+    rows = cells(tfidf(counted, fixed.select("term", "idf"), key), fixed, key).persist()
+    parts = components(rows, len(index), max(1, min(dimensions, len(index) - 1, n - 1)))
+    rows.unpersist()
+    shipped = docs.sparkSession.sparkContext.broadcast(parts)
 
     def project(batches):
-        index, parts = shipped.value
+        q = shipped.value
         for batch in batches:
-            out = np.zeros((len(batch), parts.shape[1]))
-            for row, cells in enumerate(batch["w"].to_pylist()):
-                for c in cells:
-                    out[row] += c["weight"] * parts[index[c["term"]]]
+            out = np.zeros((len(batch), q.shape[1]))
+            for lo, hi, row, i, w in _sparse(batch["w"]):
+                out[lo:hi] = _added(row, w[:, None] * q[i], hi - lo)
             norm = np.linalg.norm(out, axis=1, keepdims=True)
-            out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(out.astype(np.float32).tolist(), pa.list_(pa.float32()))], names=[key, "embedding"])
+            out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch[key], flat], names=[key, "embedding"])
 
-    rows = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("w"))
     return rows.mapInArrow(project, f"{key} {dict(docs.dtypes)[key]}, embedding array<float>"), index, idf, parts
 
 

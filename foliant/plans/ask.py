@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
 from foliant.functions import vocab
-from foliant.operators import lexical, prose, temporal
+from foliant.operators import evidence, facts, figures, graph, prose, retrieval, temporal
 from foliant.plans import language as W
-from foliant.sources.adapters import NullModel
+from foliant.sources.adapters import NullModel, NullVision
 from foliant.sources.archive import Archive, Settings
 
-
-def _has(pattern: str, text: str) -> bool:
-    return re.search(pattern, text, re.I) is not None
+#: Passages that a search step reads, that prose is looked for in, and that a model is shown.
+PASSAGES, PROSE_PASSAGES, SHOWN = 6, 12, 10
+#: Edge predicates that say what an attribute says.
+PREDICATES_OF: dict[str, list[str]] = {}
+for _label, _attribute in vocab.ATTRIBUTES.items():
+    if _label in vocab.PREDICATES:
+        PREDICATES_OF.setdefault(_attribute, []).append(vocab.PREDICATES[_label])
 
 
 @dataclass
@@ -37,6 +41,7 @@ class Question:
     analysis: str | None = None
     operands: list[tuple[str, str]] = field(default_factory=list)
     expects_conflict: bool = False
+    answer_type: str = "value"
 
 
 def spans(text: str, phrases) -> list[tuple[int, int, str]]:
@@ -51,32 +56,32 @@ def spans(text: str, phrases) -> list[tuple[int, int, str]]:
 
 def analyse(text: str, names: dict[str, str]) -> Question:
     """A typed question; ``names`` maps lower-case surface forms to entity ids."""
-    q = Question(text, expects_conflict=_has(W.CONFLICT, text))
+    q = Question(text, expects_conflict=W.said("settled", text) is not None)
     who = spans(text, [n for n in names if len(n) > 2 and n not in W.PHRASES])
     q.entities = list(dict.fromkeys(names[n] for _, _, n in who))
     masked = text
     for a, z, _ in who:
         masked = masked[:a] + "\0" * (z - a) + masked[z:]
-    said = [(a, _sibling(text, W.PHRASES[p])) for a, _, p in spans(masked, W.PHRASES)]
-    q.attributes = list(dict.fromkeys(a for _, a in said))
-    numeric = [(at, a) for at, a in said if a in vocab.NUMERIC_ATTRIBUTES]
+    told = [(at, attribute) for at, _, phrase in spans(masked, W.PHRASES) for attribute in _meant(text, W.PHRASES[phrase])]
+    q.attributes = list(dict.fromkeys(a for _, a in told))
+    numeric = [(at, a) for at, a in told if a in vocab.NUMERIC_ATTRIBUTES]
     pairs = _bound(numeric, [(a, names[n]) for a, _, n in who])
-    q.calculation = next((kind for pattern, kind in W.ARITHMETIC if _has(pattern, text)), None)
-    bridge = next((b for pattern, b in W.BRIDGES if _has(pattern, masked.replace("\0", "x"))), None)
+    q.calculation = next((kind for kind in ("percentage", "ratio", "difference", "total", "average") if W.said(kind, text)), None)
+    bridge = W.bridge(masked.replace("\0", "x"))
     target = next((a for a in q.attributes if a != bridge), None)
     single = numeric[0][1] if len({a for _, a in numeric}) == 1 else None
     if q.calculation and len(pairs) > 1:
-        q.intent, q.operands = "calculation", _ordered(text, q.calculation, pairs, names)
-    elif _has(W.SORTING, text) and len(q.entities) <= 1 and single:
+        q.intent, q.operands = "calculation", _ordered(text, q.calculation, pairs, numeric, [(a, names[n]) for a, _, n in who])
+    elif W.said("ranking", text) and len(q.entities) <= 1 and single:
         q.intent, q.analysis = "analysis", f"superlative:{single}"
-    elif _has(W.DURATION, text) and q.entities:
+    elif W.said("duration", text) and q.entities:
         q.intent, q.analysis, q.operands = "analysis", "duration", [(q.entities[0], "began"), (q.entities[0], "ended")]
-    elif _has(W.ORDERING, text) and len(q.entities) > 1:
+    elif W.said("order", text) and len(q.entities) > 1:
         when = next((a for a in q.attributes if a in W.TIME_ATTRIBUTES), "began")
         q.intent, q.analysis, q.operands = "analysis", "ordering", [(e, when) for e in q.entities]
-    elif _has(W.COMPARISON, text) and len(q.entities) > 1 and single:
+    elif W.said("comparison", text) and len(q.entities) > 1 and single:
         q.intent, q.analysis, q.operands = "analysis", "comparison", [(e, single) for e in q.entities]
-    elif _has(W.EXPLANATION, text) and _has(W.PRESENCE, text) and len(q.entities) > 1:
+    elif W.said("objection", text) and W.said("presence", text) and len(q.entities) > 1:
         q.intent = "temporal_check"
     elif bridge and target and q.entities:
         q.intent, q.bridge, q.attributes = "relation_hop", bridge, [target]
@@ -90,13 +95,27 @@ def analyse(text: str, names: dict[str, str]) -> Question:
         q.intent = "attribute_lookup"
     elif q.attributes:
         q.intent = "inverse_hop"
+    q.answer_type = _answer_type(text, (q.attributes or [None])[0])
     return q
 
 
-def _sibling(text: str, attribute: str) -> str:
-    other = W.SIBLINGS.get(attribute)
-    wrong = _has(W.PLACE_OPENER, text) and attribute in W.TIME_ATTRIBUTES or _has(W.TIME_OPENER, text) and attribute in W.PLACE_ATTRIBUTES
-    return other if other and wrong else attribute
+def _answer_type(text: str, attribute: str | None) -> str:
+    first = text.lower().split()[:2]
+    if first in (["how", "many"], ["how", "much"]) or attribute in vocab.NUMERIC_ATTRIBUTES:
+        return "number"
+    if attribute in W.YEAR_ATTRIBUTES:
+        return "year"
+    return "entity" if first[:1] and first[0] in ("which", "who", "whose") else "value"
+
+
+def _meant(text: str, attribute: str) -> list[str]:
+    """The attribute that a phrase names or its sibling: by whether the question asks where, when, or both."""
+    pair = {attribute, W.SIBLINGS.get(attribute)}
+    place, time_ = next((a for a in W.PLACE_ATTRIBUTES if a in pair), None), next((a for a in W.TIME_ATTRIBUTES if a in pair), None)
+    if None in pair or not place or not time_:
+        return [attribute]
+    asked = [a for a, meaning in ((place, "where"), (time_, "when")) if W.said(meaning, text)]
+    return asked or [attribute]
 
 
 def _bound(numeric, who) -> list[tuple[str, str]]:
@@ -118,13 +137,15 @@ def _followed(at: int, who) -> bool:
     return bool(after) and (not before or after[0] - at <= at - before[-1])
 
 
-def _ordered(text: str, kind: str, pairs, names) -> list[tuple[str, str]]:
-    """Operands with the denominator last: it is named after "percentage of" or "ratio of"."""
-    m = re.search(W.DENOMINATOR, text, re.I)
-    if kind in ("percentage", "ratio") and m and kind == "percentage" and len(pairs) == 2:
-        places = [min((text.lower().find(n, m.end()) for n, e in names.items() if e == pair[0] and text.lower().find(n, m.end()) >= 0), default=1 << 30) for pair in pairs]
-        return [pairs[1], pairs[0]] if places[0] < places[1] else pairs
-    return pairs
+def _ordered(text: str, kind: str, pairs, numeric, who) -> list[tuple[str, str]]:
+    """Operands of a quotient with the denominator last: what is named first after "percentage of" or "ratio of"."""
+    base = W.said("base", text) if kind in ("percentage", "ratio") and len(pairs) == 2 else None
+    if base is None:
+        return pairs
+    alike = pairs[0][1] == pairs[1][1]
+    after = next((name for at, name in (who if alike else numeric) if at >= base.end()), None)
+    under = next((k for k, pair in enumerate(pairs) if pair[0 if alike else 1] == after), None)
+    return pairs if under is None else [pairs[1 - under], pairs[under]]
 
 
 @dataclass
@@ -136,6 +157,7 @@ class Step:
     done: bool = False
     tried: bool = False
     value: str | None = None
+    how: str = "facts"
     rows: list[dict] = field(default_factory=list)
 
 
@@ -151,7 +173,7 @@ def plan(q: Question) -> list[Step]:
         "conflict_resolution": [Step("target", "lookup", first, attribute), Step("resolve", "resolve", first, attribute)],
         "attribute_lookup": [Step("target", "lookup", first, attribute), *([Step("resolve", "resolve", first, attribute)] if q.expects_conflict else [])],
         "inverse_hop": [Step("inverse", "search")],
-        "open_question": [Step("evidence", "search", first)],
+        "open_question": [Step("evidence", "scan", first)],
     }
     return by_intent[q.intent]
 
@@ -165,7 +187,9 @@ class Answer:
     headline: str = ""
     claims: list[dict] = field(default_factory=list)
     conflicts: list[dict] = field(default_factory=list)
+    visual_gaps: list[str] = field(default_factory=list)
     trace: list[str] = field(default_factory=list)
+    prose: str | None = None
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -174,58 +198,182 @@ class Answer:
 class Investigator:
     """Asks an archive.  Dimensions that the analysis needs (names) are read once; facts stay on the cluster."""
 
-    def __init__(self, archive: Archive, settings: Settings = Settings(), model=None):  # noqa: B008
-        self.archive, self.settings, self.model = archive, settings, model or NullModel()
-        self.facts, self.chunks, self.documents = (archive.table(n) for n in ("facts", "chunks", "documents"))
-        entities = archive.table("entities").select(F.lower("name").alias("name"), "entity_id")
-        subjects = self.facts.select(F.lower("subject_name").alias("name"), F.col("subject_id").alias("entity_id"))
-        self.names = {r.name: r.entity_id for r in entities.union(subjects).distinct().collect()}
+    def __init__(self, archive: Archive, settings: Settings = Settings(), model=None, vision=None):  # noqa: B008
+        self.archive, self.settings, self.model, self.vision = archive, settings, model or NullModel(), vision or NullVision()
+        self.facts, self.chunks, self.documents, self.edges, self.entities, self.figures = (archive.table(n) for n in ("facts", "chunks", "documents", "edges", "entities", "figures"))
+        self.retriever = retrieval.of(archive, settings.weights)
         self.queries = 0
+        self._known: dict[str, str] = {}
+
+    def names_in(self, text: str) -> dict[str, str]:
+        """Names of entities and subjects that a text may hold: those whose every word it has.  Only these reach the driver."""
+        said = re.findall(r"\w+", text.lower())
+        words = sorted({*said, *(w[:-1] for w in said if w.endswith("s"))})
+        names = self.entities.select(F.lower("name").alias("name"), "entity_id").union(self.facts.select(F.lower("subject_name").alias("name"), F.col("subject_id").alias("entity_id")))
+        parts = F.filter(F.split("name", r"(?U)\W+"), lambda w: w != "")
+        held = names.filter((F.size(parts) > 0) & F.forall(parts, lambda w: w.isin(words) if words else F.lit(False))).distinct()
+        found = {r.name: r.entity_id for r in held.collect()}
+        self._known |= {e: n for n, e in found.items()}
+        return found
 
     def _rows(self, df: DataFrame) -> list[dict]:
         self.queries += 1
         return [r.asDict(True) for r in df.collect()]
 
-    def _best(self, subject: str | None, attribute: str | None) -> tuple[list[dict], list[dict]]:
-        """Facts of the value to believe, and the competing values (value_text, reliability, sources)."""
-        found = self._rows(self.facts.filter((F.col("subject_id") == subject) & (F.col("attribute") == attribute)).drop("ord"))
-        groups: dict[str, list[dict]] = {}
-        for r in sorted(found, key=lambda r: (r["document_id"], r["chunk_id"])):
-            groups.setdefault(r["value_key"], []).append(r)
-        ranked = sorted(groups.values(), key=lambda g: (-max(r["reliability"] for r in g), -len({r["document_id"] for r in g}), -len(g)))
-        return (ranked[0] if ranked else []), [{"subject": subject, "attribute": attribute, "value": g[0]["value_text"], "reliability": max(r["reliability"] for r in g), "sources": sorted({r["source_class"] for r in g})} for g in ranked]
-
-    def _lookup(self, step: Step, out: Answer) -> None:
-        """The recorded value; else the inverse relation, the graph, then what a sentence says."""
-        best, values = self._best(step.subject, step.attribute)
-        best = [r for r in best if not any(x in r["value_text"].lower() for x in vocab.NOT_RECORDED)] if step.action == "operand" else best
+    def _value(self, *columns):
+        """Column expressions of literals, evaluated."""
+        return tuple(self.archive.spark.range(1).select(*columns).first())
+
+    def _name(self, subject: str | None) -> str:
+        return self._known.get(subject or "", (subject or "").replace("_", " "))
+
+    def _best(self, found: DataFrame, number: bool = False) -> tuple[list[dict], list[dict]]:
+        """Facts of the value to believe, and the competing values (value_text, reliability, sources), of facts about one thing."""
+        if number:
+            found = found.filter("value_number IS NOT NULL")
+        of = facts.ranked(found).select(*facts.KEY, "value_key", "rank", "gap", F.col("value_text").alias("shown"), F.col("reliability").alias("best"), "sources")
+        rows = self._rows(found.join(of, [*facts.KEY, "value_key"]).orderBy("rank", "ord").drop("ord"))
+        first = {}
+        for r in rows:
+            first.setdefault(r["rank"], r)
+        positions = [{"subject": r["subject_id"], "attribute": r["attribute"], "value": r["shown"], "reliability": r["best"], "sources": r["sources"], "gap": r["gap"]} for r in first.values()]
+        return [r for r in rows if r["rank"] == 1], positions
+
+    def _about(self, subject: str | None, attribute: str | None) -> DataFrame:
+        return self.facts.filter((F.col("subject_id") == (subject or "")) & (F.col("attribute") == (attribute or "")))
+
+    def _lookup(self, step: Step, out: Answer, text: str) -> None:
+        """The recorded value; else the same relation from its other end, the graph, a plate, a sentence, a passage that a model reads."""
+        subject, attribute, operand = step.subject or "", step.attribute or "", step.action == "operand"
+        number = operand and out.question.intent in ("calculation", "analysis") and attribute in vocab.NUMERIC_ATTRIBUTES
+        best, values = self._best(self._about(subject, attribute), number)
         if len(values) > 1:
-            out.conflicts.append({"subject": step.subject, "attribute": step.attribute, "positions": values, "gap": round(values[0]["reliability"] - values[1]["reliability"], 6)})
-        if not best and (inverse := vocab.INVERSE_ATTRIBUTES.get(step.attribute or "")):
-            named = self.facts.filter((F.col("attribute") == inverse) & F.array_contains(C.hop_targets(F.col("value_text")), step.subject or ""))
-            best = [r | {"value_text": r["subject_name"]} for r in self._rows(named.drop("ord").orderBy(F.desc("reliability"), "subject_id").limit(5))]
-        if not best and step.subject and step.attribute in vocab.PROSE:
-            best = self._prose(step.subject, step.attribute)
-        step.rows, step.done, step.value = best, bool(best), best[0]["value_text"] if best else None
+            out.conflicts.append({"subject": subject, "attribute": attribute, "positions": values, "gap": values[0]["gap"]})
+        stated = [r for r in best if not any(x in r["value_text"].lower() for x in vocab.NOT_RECORDED)]
+        if stated or (best and not operand and not figures.routed(attribute)):
+            step.rows, step.done, step.value = stated or best, True, (stated or best)[0]["value_text"]
+            step.value = self._narrowed(step.value, text) if step.key == "target" else step.value
+            return
+        ways = [self._plate, self._sentence] if operand or best else [self._other_end, self._neighbour, self._plate, self._sentence, self._read]
+        for way in ways:
+            if way(step, out, text):
+                step.done = True
+                return
+        if best and not operand:
+            step.rows, step.done, step.value = best, True, best[0]["value_text"]
+
+    def _narrowed(self, value: str, text: str) -> str:
+        """Of several named things the one of the kind that the question speaks of."""
+        parts = [p.strip() for p in value.split(";") if p.strip()]
+        wanted = [w for w in W.EVENT_WORDS if re.search(rf"\b{w}\b", text, re.I)]
+        return next((p for p in parts for w in wanted if re.search(rf"\b{w}\b", p, re.I)), value) if len(parts) > 1 else value
+
+    def _other_end(self, step: Step, out: Answer, text: str) -> bool:
+        """The inverse relation of the subject itself, then who names the subject under the attribute or its inverse."""
+        inverse = vocab.INVERSE_ATTRIBUTES.get(step.attribute or "")
+        if inverse:
+            best, _ = self._best(self._about(step.subject, inverse))
+            if best:
+                step.rows, step.value, step.how = best, self._narrowed(best[0]["value_text"], text), "inverse"
+                return True
+        named = facts.naming(self.facts, [a for a in (step.attribute, inverse) if a], step.subject or "")
+        rows = self._rows(named.drop("ord").orderBy(F.desc("reliability"), "subject_id").limit(PASSAGES))
+        if not rows:
+            return False
+        value = self._narrowed("; ".join(dict.fromkeys(r["subject_name"] for r in rows)), text)
+        chosen = next((r["subject_name"] for r in rows if r["subject_name"] == value), rows[0]["subject_name"])
+        step.rows, step.value, step.how = [r | {"value_text": r["subject_name"]} for r in rows if r["subject_name"] == chosen], chosen, "reverse"
+        return True
+
+    def _neighbour(self, step: Step, out: Answer, text: str) -> bool:
+        """What an edge of the attribute's predicate leads to."""
+        nodes = self.archive.spark.createDataFrame([(step.subject or "",)], "node string")
+        predicates = [*PREDICATES_OF.get(step.attribute or "", []), step.attribute or ""]
+        kept = self.edges.filter(F.col("predicate").isin(predicates) & (F.col("subject_id") == (step.subject or "")))
+        found = graph.neighbours(kept, nodes, None, self.entities, 4).join(kept.select(F.col("object_id").alias("other"), "predicate", "chunk_id", "document_id", "page"), ["other", "predicate"])
+        about = self.chunks.select("chunk_id", "source_class").withColumn("reliability", C.reliability(F.col("source_class")))
+        rows = self._rows(found.join(about, "chunk_id").orderBy("rank", "chunk_id"))
+        if rows:
+            step.rows, step.how = [r | {"value_text": r["name"] or r["other"], "subject_id": step.subject} for r in rows], "graph"
+            step.value = ", ".join(dict.fromkeys(r["value_text"] for r in step.rows))
+        return bool(rows)
+
+    def _plate(self, step: Step, out: Answer, text: str) -> bool:
+        """What a plate prints, or a vision model sees on it, for attributes that plates carry; else the plate is named as a gap."""
+        if not figures.routed(step.attribute or ""):
+            return False
+        asked = self.archive.spark.createDataFrame([(self._name(step.subject),)], "name string")
+        hits = self._rows(figures.lookup(self.figures, asked).join(self.chunks.select(F.get("figure_ids", F.lit(0)).alias("figure_id"), "chunk_id", "document_id", F.col("page_start").alias("page"), "source_class"), "figure_id", "left").orderBy(F.desc(F.length("ocr_text")), "figure_id"))
+        for hit in hits[:1]:
+            source = {"chunk_id": hit["chunk_id"], "document_id": hit["document_id"], "page": hit["page"], "source_class": hit["source_class"] or "figure_plate", "reliability": vocab.RELIABILITY["figure_plate"], "subject_id": step.subject}
+            if hit["readable"]:
+                step.value, step.how = f"see figure: {' '.join(hit['ocr_text'].split())[:80]}", "figure"
+            elif self.vision.available:
+                seen, status = self.vision.describe(hit["asset_path"], text)
+                if seen:
+                    step.value, step.how = seen, "vision"
+                    out.visual_gaps.append(f"{hit['caption']} was read by a vision model, not stated in text")
+                else:
+                    out.visual_gaps.append(f"{hit['caption']}: {status}")
+            if step.value:
+                step.rows = [source | {"value_text": step.value}]
+                return True
+            out.visual_gaps.append(f"{hit['caption']} ({(hit['asset_path'] or '').rsplit('/', 1)[-1]}) may show it, but no label could be read from it")
+        return False
+
+    def _sentence(self, step: Step, out: Answer, text: str) -> bool:
+        rows = self._prose(step.subject or "", step.attribute or "")
+        if rows:
+            step.rows, step.value, step.how = rows, rows[0]["value_text"], "prose"
+        return bool(rows)
 
     def _prose(self, subject: str, attribute: str) -> list[dict]:
-        name = next((n for n, e in self.names.items() if e == subject), subject)
-        near = self.chunks.filter((F.col("content_type") == "paragraph") & C.mentions(F.col("content"), F.lit(name)))
-        said = prose.stated(prose.about(prose.sentences(near, "chunk_id", "content"), F.lit(name), "chunk_id"), "chunk_id").filter(F.col("attribute") == attribute)
-        rows = said.join(self.chunks.select("chunk_id", "document_id", F.col("page_start").alias("page"), "source_class"), "chunk_id").withColumn("reliability", C.reliability(F.col("source_class")))
-        return [r | {"subject_id": subject, "subject_name": name, "value_text": r["value"], "value_number": None} for r in self._rows(rows.orderBy(F.desc("reliability"), "chunk_id").limit(3))]
+        """What a sentence states, of passages that the archive's phrases find; the first phrase that finds a statement counts."""
+        if attribute not in vocab.PROSE:
+            return []
+        name = self._name(subject)
+        asked = list(enumerate(prose.search_queries(name, attribute)))
+        near = self.retriever.search(asked, PROSE_PASSAGES, [name]).filter(F.col("content_type") == "paragraph").select("query_id", "rank", "chunk_id", "content")
+        passages = near.groupBy("chunk_id", "content").agg(F.min(F.struct("query_id", "rank")).alias("at"))
+        said = prose.stated(prose.about(prose.sentences(passages, "chunk_id", "content"), F.lit(name), "chunk_id"), "chunk_id").filter(F.col("attribute") == attribute)
+        rows = said.join(passages.select("chunk_id", "at"), "chunk_id").join(self.chunks.select("chunk_id", "document_id", F.col("page_start").alias("page"), "source_class"), "chunk_id").withColumn("reliability", C.reliability(F.col("source_class")))
+        return [r | {"subject_id": subject, "subject_name": name, "value_text": r["value"], "value_number": None} for r in self._rows(rows.orderBy("at", "chunk_id").limit(3))]
+
+    def _read(self, step: Step, out: Answer, text: str) -> bool:
+        """Passages are context and no answer; a model's claims from them count if their passage holds them."""
+        hits = self._passages(f"{self._name(step.subject)} {(step.attribute or '').replace('_', ' ')}", [self._name(step.subject)])
+        step.rows = []
+        if not hits or not self.model.available:
+            return False
+        told = self.model.claims(text, [{"evidence_id": h["chunk_id"], "content": h["content"]} for h in hits[:SHOWN]])
+        by = {h["chunk_id"]: h for h in hits}
+        kept = [c for c in told if c.get("evidence_id") in by]
+        if kept:
+            step.rows = [by[c["evidence_id"]] | {"value_text": str(c["value"]), "subject_id": step.subject} for c in kept]
+            step.value, step.how = str(kept[0]["value"]), "model"
+        return bool(kept)
+
+    def _passages(self, text: str, names: list[str]) -> list[dict]:
+        asked = [(0, text), *((k, t) for k, t in enumerate(self.model.queries(text, []) if self.model.available else [], 1))]
+        hits = self.retriever.search(asked, PASSAGES, names).orderBy("query_id", "rank")
+        rows = self._rows(hits.select("chunk_id", "document_id", F.col("page_start").alias("page"), "source_class", "reliability", "content", "channels", "score"))
+        return [r | {"value_text": r["content"][: vocab.EXCERPT]} for r in {r["chunk_id"]: r for r in reversed(rows)}.values()][::-1]
 
     def _search(self, step: Step, text: str) -> None:
-        terms = [t for t in dict.fromkeys(re.findall(r"[\w'-]+", text.lower())) if len(t) > 1]
-        asked = self.archive.spark.createDataFrame([(0, t) for t in terms], "query_id bigint, term string")
-        chunks = self.chunks.withColumn("reliability", C.reliability(F.col("source_class")))
-        pool = lexical.top(lexical.bm25(chunks, asked), vocab.POOL * 6)
-        hits = lexical.reranked(pool, chunks.select("chunk_id", "reliability", "document_id", "content", "source_class"), 6)
-        step.rows = [r | {"value_text": r["content"][: vocab.EXCERPT], "page": None} for r in self._rows(hits.orderBy("rank"))]
+        step.rows, step.how = self._passages(text, [self._name(e) for e in ([step.subject] if step.subject else [])]), "text"
         step.done = bool(step.rows)
 
+    def _scan(self, step: Step, out: Answer, text: str) -> None:
+        """What is recorded about a subject; else passages about it."""
+        recorded = self._rows(facts.attributes_of(self.facts, self.archive.spark.createDataFrame([(step.subject or "",)], "subject_id string")).orderBy("attribute"))
+        self._search(step, text)
+        if recorded:
+            step.done, step.value = True, f"recorded of {self._name(step.subject)}: {', '.join(r['attribute'] for r in recorded[:8])}"
+
     def ask(self, text: str) -> Answer:
-        q = analyse(text, self.names)
+        q = analyse(text, self.names_in(text))
+        if self.model.available and q.intent == "open_question":
+            self._advised(q, text)
         out = Answer(q, plan(q))
         began, stale, rounds, self.queries = time.monotonic(), 0, 0, 0
         if not q.entities and q.intent not in ("inverse_hop", "analysis"):
@@ -233,6 +381,8 @@ class Investigator:
             out.stop = "no_entity"
         while not out.stop:
             step = next((s for s in out.steps if not s.done and not s.tried), None)
+            if step is not None and self._settled(step, out):
+                continue
             if step is None:
                 out.stop = "all_supported" if all(s.done for s in out.steps) else "insufficient_evidence"
             elif rounds >= self.settings.iterations:
@@ -252,15 +402,44 @@ class Investigator:
         self._finish(out)
         return out
 
+    def _advised(self, q: Question, text: str) -> None:
+        """What a model understood of a question that the grammar did not: names that the archive knows, and attributes."""
+        told = self.model.understand(text) or {}
+        known = self.names_in(" ".join(map(str, told.get("entities") or [])))
+        q.entities = q.entities or list(dict.fromkeys(known.values()))
+        q.attributes = q.attributes or [a for a in told.get("attributes") or [] if a in vocab.ATTRIBUTES.values()]
+        if q.entities and q.attributes:
+            q.intent = "attribute_lookup"
+
+    def _settled(self, step: Step, out: Answer) -> bool:
+        """A conflict step without a conflict costs no query: the one value that was read stands."""
+        by = {s.key: s for s in out.steps}
+        if step.action != "resolve" or "target" not in by or not by["target"].tried or out.conflicts:
+            return False
+        step.tried, step.done, step.rows, step.value = True, by["target"].done, by["target"].rows, by["target"].value
+        out.trace.append(f"{step.key}: one value is recorded and stands" if step.done else f"{step.key}: no value to rank")
+        return True
+
+    def _gap(self, step: Step, out: Answer, operands: list[Step]) -> bool:
+        """Names the operands that are missing, where a step needs them all."""
+        missing = [s for s in operands if not s.done]
+        if missing:
+            out.trace.append(f"{step.key}: missing {', '.join(f'{s.subject} {s.attribute}' for s in missing)}")
+        return bool(missing)
+
     def _act(self, step: Step, out: Answer, text: str) -> None:
         q, by = out.question, {s.key: s for s in out.steps}
         operands = [s for s in out.steps if s.key.startswith("operand")]
+        if step.action in ("compute", "assemble", "analyse") and operands and self._gap(step, out, operands) and step.action != "assemble":
+            return
         if step.action in ("lookup", "operand"):
-            self._lookup(step, out)
+            self._lookup(step, out, text)
+        elif step.action == "scan":
+            self._scan(step, out, text)
         elif step.action == "hop":
-            for target in by["bridge"].rows and _targets(by["bridge"].value or ""):
+            for target in self._value(C.hop_targets(F.lit(by["bridge"].value)))[0] if by["bridge"].rows else []:
                 step.subject = target
-                self._lookup(step, out)
+                self._lookup(step, out, text)
                 if step.done:
                     return
         elif step.action == "resolve":
@@ -268,7 +447,7 @@ class Investigator:
             step.value = by["target"].value
         elif step.action == "aggregate":
             best = self.facts.filter((F.col("attribute") == step.attribute) & F.col("value_number").isNotNull()).groupBy("subject_id").agg(F.max_by(F.struct("subject_name", "value_text", "value_number", "document_id", "chunk_id", "page", "source_class", "reliability"), F.struct("reliability", "value_number")).alias("f"))
-            order = F.asc("f.value_number") if _has(W.LEAST, text) else F.desc("f.value_number")
+            order = F.asc("f.value_number") if W.said("lowest", text) else F.desc("f.value_number")
             step.rows = self._rows(best.orderBy(order, "subject_id").select("subject_id", "f.*").limit(5))
             step.done = bool(step.rows)
         elif step.action == "origin":
@@ -292,9 +471,9 @@ class Investigator:
             step.done = True
             step.value = f"origin {born} AS is later than {', '.join(f'{y} AS' for y in late)}" if late else f"origin {born} AS does not rule out presence"
         elif step.action == "compute" and all(s.done for s in operands):
-            numbers = [_number(s.value) for s in operands]
+            numbers = [self._number(s) for s in operands]
             if None not in numbers:
-                step.value, step.rows = _computed(q.calculation or "", numbers), [r for s in operands for r in s.rows[:1]]
+                step.value, step.rows = self._computed(q.calculation or "", numbers), [r for s in operands for r in s.rows[:1]]
                 step.done = step.value is not None
         elif step.action == "assemble":
             step.done = all(s.done for s in operands)
@@ -310,7 +489,7 @@ class Investigator:
             step.rows, step.done = by["aggregate"].rows[:1], True
             step.value = f"{step.rows[0]['subject_name']} ({step.rows[0]['value_text']})"
         elif operands and all(s.done for s in operands):
-            found = [(s.subject, _year(s.value) if kind != "comparison" else _number(s.value)) for s in operands]
+            found = [(s.subject, self._value(C.parse_year(F.lit(s.value)))[0] if kind != "comparison" else self._number(s)) for s in operands]
             if any(n is None for _, n in found):
                 return
             step.rows, step.done = [r for s in operands for r in s.rows[:1]], True
@@ -322,69 +501,59 @@ class Investigator:
                 (e, high), (_, low) = sorted(found, key=lambda x: -x[1])[:2]
                 step.value = f"{e} by {high - low:g}"
 
+    def _number(self, step: Step) -> float | None:
+        """The number of an operand's value: as stored, else as the value reads."""
+        held = next((r["value_number"] for r in step.rows if r.get("value_number") is not None), None)
+        return held if held is not None else self._value(C.numeric_value(C.value_key(F.lit(step.value))))[0]
+
+    def _computed(self, kind: str, n: list[float]) -> str | None:
+        """A result as text; null where it can't be told, as of a quotient by 0."""
+        if kind in ("total", "average") and len(n) > 2:
+            n = [sum(n), 0.0] if kind == "total" else [2 * sum(n) / len(n), 0.0]
+        result = C.calculation(F.lit(kind), F.lit(float(n[0])), F.lit(float(n[1])))
+        return self._value(C.format_result(F.lit(kind), F.abs(result) if kind == "difference" else result))[0]
+
     def _finish(self, out: Answer) -> None:
         """Claims with confidence and excerpts, the status and the headline."""
         derived = ("compute", "temporal", "analyse", "hop")
-        supported = [s for s in out.steps if s.done and s.rows and s.action not in ("assemble", "search")]
-        ids = sorted({r["chunk_id"] for s in supported for r in s.rows})
-        content = {r["chunk_id"]: r["content"] for r in self._rows(self.chunks.filter(F.col("chunk_id").isin(ids)).select("chunk_id", "content"))} if ids else {}
+        supported = [s for s in out.steps if s.done and s.rows and s.action not in ("assemble", "search", "scan")]
         contested = {(c["subject"], c["attribute"]) for c in out.conflicts}
-        for s in supported:
-            best, docs = max(r["reliability"] for r in s.rows), len({r["document_id"] for r in s.rows})
-            hops, split = int(s.action in derived), (s.subject, s.attribute) in contested
-            score = min(best, 0.92) + min((docs - 1) * 0.04, 0.08) - hops * 0.12
-            score = max(0.05, min(0.99, min(score, 0.55) if split else score))
-            kind = "inferred" if hops else "conflicting" if split else "direct"
-            cited = [{"document_id": r["document_id"], "chunk_id": r["chunk_id"], "page": r.get("page"), "source_class": r["source_class"], "excerpt": _excerpt(content.get(r["chunk_id"], ""), r["value_text"])} for r in s.rows]
-            out.claims.append({"step": s.key, "text": f"{s.subject or ''} {s.attribute or s.action}: {s.value}".strip(), "kind": kind, "confidence": round(score, 6), "evidence": cited})
-        budget = out.stop.endswith("budget")
+        rows, cites = [], []
+        for k, s in enumerate(supported):
+            hops, split = int(s.action in derived or s.how in ("graph", "model", "vision")), (s.subject, s.attribute) in contested
+            rows.append((k, float(max(r["reliability"] for r in s.rows)), len({r["document_id"] for r in s.rows}), hops, split))
+            cites += [(k, j, r["chunk_id"], r["value_text"]) for j, r in enumerate(s.rows)]
+        spark = self.archive.spark
+        scores, shown = {}, {}
+        if rows:
+            score = C.confidence(F.col("best"), F.col("documents"), F.col("hops"), F.col("split"))
+            scored = spark.createDataFrame(rows, "k int, best double, documents int, hops int, split boolean").select("k", F.round(score, 6).alias("score"), C.confidence_label(score).alias("label"))
+            scores = {r["k"]: r for r in self._rows(scored)}
+            content = self.chunks.select("chunk_id", "content")
+            excerpt = F.coalesce(evidence.excerpt(F.col("content"), F.col("value")), F.substring("content", 1, vocab.EXCERPT))
+            cited = F.broadcast(spark.createDataFrame(cites, "k int, j int, chunk_id string, value string"))
+            shown = {(r["k"], r["j"]): r["excerpt"] for r in self._rows(content.join(cited, "chunk_id").select("k", "j", excerpt.alias("excerpt")))}
+        for k, s in enumerate(supported):
+            kind = "inferred" if rows[k][3] else "conflicting" if rows[k][4] else "direct"
+            cited = [{"document_id": r["document_id"], "chunk_id": r["chunk_id"], "page": r.get("page"), "source_class": r["source_class"], "excerpt": shown.get((k, j), "")} for j, r in enumerate(s.rows)]
+            out.claims.append({"step": s.key, "text": f"{s.subject or ''} {s.attribute or s.action}: {s.value}".strip(), "kind": kind, "how": s.how, "confidence": scores[k]["score"], "label": scores[k]["label"], "evidence": cited})
         unmet = sum(not s.done for s in out.steps)
-        searched = any(s.action == "search" and s.done for s in out.steps)
-        if out.stop == "no_entity":
-            out.status = "no_entity"
-        elif not out.claims:
-            out.status = "partial_budget" if budget else "completed" if searched and not unmet else "insufficient_evidence"
-        else:
-            unresolved = any(c["gap"] < vocab.DECISIVE_GAP for c in out.conflicts)
-            out.status = "partial_budget" if budget else "partial_no_progress" if unmet else "unresolved_conflict" if unresolved else "completed"
+        read = sum(s.action in ("search", "scan") and s.done for s in out.steps)
+        unresolved = sum((c["gap"] or 0) < vocab.DECISIVE_GAP for c in out.conflicts)
+        bare = sum(not c["evidence"] for c in out.claims)
+        numbers = (len(out.claims) + read, unmet, len(out.visual_gaps) if unmet else 0, 0, unresolved, bare)
+        out.status = self._value(evidence.status(F.lit(out.stop), *map(F.lit, numbers)))[0]
         last = next((s for s in reversed(out.steps) if s.done and s.value), None)
         missing = [f"{s.subject or ''} {s.attribute or s.key}".strip() for s in out.steps if not s.done and s.action in ("operand", "lookup", "origin", "events")]
         out.headline = last.value if last and not (missing and out.question.intent == "calculation") else "No recorded value" + (f" for {', '.join(missing)}" if missing else "")
+        if last is None and out.visual_gaps:
+            out.headline += f". {out.visual_gaps[-1]}"
+        passages = [r for s in out.steps if s.how == "text" for r in s.rows][:SHOWN]
+        if self.model.available and out.question.intent == "open_question" and passages and out.status != "no_entity":
+            out.prose = self.model.answer(out.question.text, [{"evidence_id": r["chunk_id"], "content": r["content"]} for r in passages])
 
     def ask_many(self, texts: list[str]) -> list[Answer]:
         return [self.ask(t) for t in texts]
 
 
-def _targets(value: str) -> list[str]:
-    parts = [re.sub(r"(?i)\s+in\s+\d{1,4}\s*AS.*$", "", p).strip(" .,;") for p in re.split(r"\s*;\s*", value)]
-    return [re.sub(r"\s+", "_", re.sub(r"[^\w]+", " ", re.sub(r"\s*\([^)]*\)\s*$", "", p)).strip().lower()) for p in parts if p]
-
-
-def _number(value: str | None) -> float | None:
-    m = re.match(r"^\s*(-?\d[\d,]*(?:\.\d+)?)", value or "")
-    return float(m[1].replace(",", "")) if m else None
-
-
-def _year(value: str | None) -> int | None:
-    m = re.search(r"(\d{1,4})\s*AS\b", value or "", re.I)
-    return int(m[1]) if m else None
-
-
-def _computed(kind: str, n: list[float]) -> str | None:
-    if kind in ("percentage", "ratio"):
-        if not n[1]:
-            return None
-        return f"{n[0] / n[1] * 100:.2f}%" if kind == "percentage" else f"{n[0] / n[1]:.3f}".rstrip("0").rstrip(".")
-    result = {"difference": abs(n[0] - n[1]), "total": sum(n), "average": sum(n) / len(n)}[kind]
-    return f"{result:,.0f}" if abs(result - round(result)) < 1e-9 else f"{result:,.2f}"
-
-
-def _excerpt(content: str, value: str) -> str:
-    fold = lambda x: re.sub(r"[^a-z0-9]+", " ", x.lower()).strip()
-    lines = [x for x in content.split("\n") if "|" in x and fold(value) in fold(x) and not x.lower().startswith("columns:")]
-    if lines:
-        return re.sub(r"\s*\|\s*", " — ", min(lines, key=len).strip())[: vocab.EXCERPT]
-    return next((s for s in re.split(r"(?<=[.!?])\s+", re.sub(r"\s+", " ", content)) if fold(value) in fold(s)), content[: vocab.EXCERPT])[: vocab.EXCERPT]
-
-
 __all__ = ["Answer", "Investigator", "Question", "Step", "analyse", "plan", "spans"]

@@ -1,12 +1,15 @@
 """The archive: discovery, twins, ingestion to tables, idempotent updates and statistics.
 
 Files are read by Spark's binary source on any file system it knows; parsing and chunking run inside
-tasks, a file at a time, so nothing is collected.
+tasks, a file at a time, so nothing is collected.  An update parses and derives only from files that are
+new, changed, or no longer superseded; rows of files that are gone or superseded leave every table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from foliant.functions import columns as C
 from foliant.functions import vocab
 from foliant.operators import facts as facts_of
-from foliant.operators import graph
+from foliant.operators import graph, prose, vector
 from foliant.operators.chunking import chunk
 from foliant.session import ship
 from foliant.sources.parsers import parse
@@ -28,7 +31,7 @@ FIGURES = "figure_id string, document_id string, caption string, asset_path stri
 
 @dataclass(frozen=True)
 class Settings:
-    """What a deployment may set."""
+    """What a deployment may set; ``from_environment`` reads ``FOLIANT_ITERATIONS``, ``FOLIANT_WEIGHT_BM25`` and the like."""
 
     target: int = vocab.CHUNK_TARGET
     overlap: int = vocab.CHUNK_OVERLAP
@@ -36,18 +39,26 @@ class Settings:
     queries: int = 48
     seconds: float = 120.0
     stale_rounds: int = 2
+    dimensions: int = vocab.LSA_DIMENSIONS
+    vocabulary: int = vocab.VOCABULARY
+    weights: Mapping[str, float] = field(default_factory=lambda: dict(vocab.FUSION))
+
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str] = os.environ) -> Settings:
+        plain = {f.name: type(f.default)(env[k]) for f in fields(cls) if f.name != "weights" and (k := f"FOLIANT_{f.name.upper()}") in env}
+        weights = {w: float(env.get(f"FOLIANT_WEIGHT_{w.upper()}", v)) for w, v in vocab.FUSION.items()}
+        return cls(**plain, weights=weights)
 
 
 def discover(files: DataFrame, root: str) -> DataFrame:
-    """Documents of a binary file scan: identity, class, title, and which twin of a format supersedes which."""
+    """Documents of a binary file scan: identity, class and title."""
     path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     relative = F.regexp_replace(path, F.lit("^/*" + _quoted(root.split(":", 1)[-1].strip("/")) + "/*"), F.lit(""))
     name = F.element_at(F.split("relative_path", "/"), -1)
     rows = files.select(relative.alias("relative_path"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"), "content").withColumn("source_format", C.source_format(F.col("relative_path")))
     rows = rows.filter(F.col("source_format").isNotNull() & ~name.startswith(".") & ~name.isin(*vocab.SKIP_NAMES))
     rows = rows.withColumns({"document_id": C.document_id(F.col("relative_path"), F.col("file_size"), F.col("file_hash")), "source_class": C.source_class(F.col("relative_path")), "title": C.title(F.col("relative_path"))})
-    rows = rows.withColumn("reliability", C.reliability(F.col("source_class")))
-    return rows.join(twins(rows), "document_id", "left")
+    return rows.withColumn("reliability", C.reliability(F.col("source_class")))
 
 
 def _quoted(text: str) -> str:
@@ -98,17 +109,24 @@ def parsed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 own = {"document_id": doc}
                 yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([chunks], chunk_type), pa.array([[t | own for t in tables]], table_type), pa.array([[f | own for f in figures]], figure_type), pa.array([warnings], pa.list_(pa.string()))], names=["document_id", "chunks", "tables", "figures", "warnings"])
 
-    return documents.filter("superseded_by IS NULL").select("document_id", "source_format", "source_class", "relative_path", "content").mapInArrow(run, schema)
+    return documents.select("document_id", "source_format", "source_class", "relative_path", "content").mapInArrow(run, schema)
 
 
 def _struct(schema: str) -> str:
     return ", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in schema.split(", "))
 
 
+class Conflict(RuntimeError):
+    """Another writer has claimed the next version of an archive."""
+
+
 class Archive:
-    """Tables of an archive under one folder; every write is a new version that a pointer names last."""
+    """Tables of an archive under one folder.  Every write is a new version, claimed first and named by a pointer last."""
 
-    NAMES = ("documents", "chunks", "tables", "figures", "warnings", "entities", "edges", "mentions", "facts")
+    #: Rows of a document, by its id; then those derived from all rows at once.
+    BY_DOCUMENT = ("chunks", "tables", "figures", "warnings", "edges", "mentions", "facts")
+    NAMES = ("documents", *BY_DOCUMENT, "entities")
+    VECTORS = ("vectors", "vector_space")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -121,48 +139,144 @@ class Archive:
         return sorted(int(r.value) for r in rows)
 
     def table(self, name: str) -> DataFrame | None:
+        """A table of the newest version; None where there is none."""
         held = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v{held[-1]}/{name}") if held else None
-
-    def ingest(self, root: str, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-        """Reads a folder and updates the tables: new and changed files are parsed, files of an old version replaced by path; returns the report."""
+        if not held:
+            return None
+        try:
+            return self.spark.read.parquet(f"{self.path}/v{held[-1]}/{name}")
+        except AnalysisException:
+            return None
+
+    def views(self, prefix: str = "") -> list[str]:
+        """Names every table for ``spark.sql``."""
+        found = {n: t for n in (*self.NAMES, *self.VECTORS) if (t := self.table(n)) is not None}
+        for name, table in found.items():
+            table.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in found]
+
+    def ingest(self, root: str, settings: Settings = Settings(), only: str | None = None, limit: int | None = None, force: bool = False) -> DataFrame:  # noqa: B008
+        """Reads a folder and updates the tables; returns the report.  ``only`` is a prefix of paths, ``limit`` the number of
+        files, by path; ``force`` parses unchanged files too."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        return self.update(discover(files, root), settings)
+        found = discover(files, root)
+        if only is not None:
+            found = found.filter(F.col("relative_path").startswith(only))
+        if limit is not None:
+            found = found.join(F.broadcast(found.select("relative_path").orderBy("relative_path").limit(limit)), "relative_path", "left_semi")
+        return self.update(found, settings, force)
+
+    def update(self, found: DataFrame, settings: Settings = Settings(), force: bool = False) -> DataFrame:  # noqa: B008
+        """Adds discovered documents; an older version of the same path leaves.  Twins are told among all that is held."""
+        return self._write(found, None, settings, force)
+
+    def remove(self, prefix: str) -> None:
+        """Takes the documents whose path begins with ``prefix`` out of every table."""
+        old = self.table("documents")
+        if old is not None:
+            self._write(None, old.filter(F.col("relative_path").startswith(prefix)).select("document_id"), Settings(), False)
+
+    def reset(self) -> None:
+        """Takes everything out."""
+        self.remove("")
+
+    def _claim(self, version: int) -> None:
+        try:
+            self.spark.range(1).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/claims/v{version}")
+        except AnalysisException as e:
+            raise Conflict(f"version {version} of {self.path} is being written by another") from e
 
-    def update(self, found: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    def _write(self, found: DataFrame | None, removed: DataFrame | None, settings: Settings, force: bool) -> DataFrame | None:
         held = self._versions()
-        new = f"{self.path}/v{(held[-1] if held else 0) + 1}"
-        old = {n: self.table(n) for n in self.NAMES}
-        fresh = unchanged(found, old["documents"]) if held else found
-        parsed(fresh, settings).write.mode("overwrite").parquet(f"{new}/parsed")
-        done = self.spark.read.parquet(f"{new}/parsed")
-        rows = fresh.drop("content").withColumn("ingested_at", F.current_timestamp())
-        stale = None
+        version = (held[-1] if held else 0) + 1
+        self._claim(version)
+        new = f"{self.path}/v{version}"
+        put = lambda df, name: (df.write.mode("overwrite").parquet(f"{new}/{name}"), self.spark.read.parquet(f"{new}/{name}"))[1]
+        old = {n: self.table(n) for n in self.NAMES} if held else {}
+        stored = old["documents"] if held else None
+
+        # documents: what is held and stays, and what is new; then twins among them
+        meta = found.drop("content").withColumn("ingested_at", F.current_timestamp()) if found is not None else None
+        rows = meta
         if held:
-            stale = old["documents"].join(found.select("relative_path").distinct(), "relative_path", "left_semi").join(found.select("document_id"), "document_id", "left_anti").select("document_id")
-            rows = old["documents"].join(stale, "document_id", "left_anti").unionByName(rows, allowMissingColumns=True)
-        rows.write.mode("overwrite").parquet(f"{new}/documents")
-        for name in ("chunks", "tables", "figures"):
-            part = done.select(F.explode(name).alias("x")).select("x.*")
-            (old[name].join(stale, "document_id", "left_anti").unionByName(part) if held else part).write.mode("overwrite").parquet(f"{new}/{name}")
-        said = done.select("document_id", F.explode("warnings").alias("message"))
-        (old["warnings"].unionByName(said) if held else said).write.mode("overwrite").parquet(f"{new}/warnings")
-        self._derive(new)
-        self.spark.createDataFrame([(str((held[-1] if held else 0) + 1),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
-        counts = done.agg(F.count("*").alias("ingested"), F.count_if(F.size("chunks") == 0).alias("failed"), F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"))
-        total = found.agg(F.count("*").alias("discovered"), F.count_if(F.col("superseded_by").isNotNull()).alias("superseded"))
-        return total.join(counts).withColumn("unchanged", F.col("discovered") - F.lit(fresh.count()))
-
-    def _derive(self, new: str) -> None:
-        """Entities, edges and mentions, then facts, all of the current documents."""
+            stale = removed if removed is not None else stored.join(meta.select("relative_path"), "relative_path", "left_semi").join(meta.select("document_id"), "document_id", "left_anti").select("document_id")
+            stays = stored.join(stale, "document_id", "left_anti").drop("superseded_by")
+            rows = stays if meta is None else stays.unionByName(meta.join(stored.select("document_id"), "document_id", "left_anti"), allowMissingColumns=True)
+        documents = put(rows.join(twins(rows), "document_id", "left"), "documents")
+
+        # what to parse, and whose rows leave
+        current = documents.filter("superseded_by IS NULL").select("document_id")
+        before = stored.filter("superseded_by IS NULL").select("document_id") if held else current.limit(0)
+        parse_now = (current if force else current.join(before, "document_id", "left_anti")) if found is not None else current.limit(0)
+        leave = before.join(current, "document_id", "left_anti")
+        if found is not None:
+            fresh = found.join(parse_now, "document_id", "left_semi")
+            done = put(parsed(fresh, settings), "parsed")
+            leave = leave.unionByName(done.select("document_id"))
+            part = {n: put(done.select(F.explode(n).alias("x")).select("x.*"), f"new/{n}") for n in ("chunks", "tables", "figures")}
+            part["warnings"] = done.select("document_id", F.explode("warnings").alias("message"))
+            part |= self._derived(part, documents, None if not held else old["entities"])
+        for name in self.BY_DOCUMENT:
+            kept = old[name].join(leave.distinct(), "document_id", "left_anti") if held else None
+            more = part[name] if found is not None else None
+            put(more if kept is None else kept if more is None else kept.unionByName(more), name)
         read = lambda n: self.spark.read.parquet(f"{new}/{n}")
-        for name, df in graph.build(read("chunks"), read("documents")).items():
-            df.write.mode("overwrite").parquet(f"{new}/{name}")
-        facts_of.extract(read("chunks"), read("documents")).write.mode("overwrite").parquet(f"{new}/facts")
+        put(graph.entities(read("chunks"), read("documents")), "entities")
+        self._embed(read("chunks"), put, settings)
+        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
+        return None if found is None else self._report(found, documents, done, stored)
+
+    def _derived(self, part: dict[str, DataFrame], documents: DataFrame, entities: DataFrame | None) -> dict[str, DataFrame]:
+        """Edges, mentions and facts of newly parsed chunks: each belongs to one chunk, so those of others stay as they are."""
+        made = graph.build(part["chunks"], documents)
+        known = graph.entities(part["chunks"], documents)
+        if entities is not None:
+            known = known.unionByName(entities.join(known, "entity_id", "left_anti"))
+        facts = facts_of.extract(part["chunks"], documents).unionByName(prose.plate_facts(part["chunks"], part["figures"], documents, known))
+        return {"edges": made["edges"], "mentions": made["mentions"], "facts": facts_of.deduplicated(facts)}
+
+    def _embed(self, chunks: DataFrame, put, settings: Settings) -> None:
+        """Vectors of all chunks that are not blank, by their first 2000 characters, and the space they live in."""
+        texts = chunks.filter("trim(content) != ''").select("chunk_id", "document_id", F.substring("content", 1, 2000).alias("content"))
+        vectors, index, idf, parts = vector.lsa(texts, "chunk_id", "content", settings.dimensions, settings.vocabulary)
+        put(vectors, "vectors")
+        space = [(term, float(idf[k]), [float(x) for x in parts[k]]) for term, k in index.items()]
+        put(self.spark.createDataFrame(space, "term string, idf double, component array<double>").coalesce(1), "vector_space")
+
+    def _report(self, found: DataFrame, documents: DataFrame, done: DataFrame, stored: DataFrame | None) -> DataFrame:
+        """discovered, ingested, unchanged, superseded, failed, chunks, tables, figures, pages_needing_ocr, errors."""
+        size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+        bad = (F.size("chunks") == 0) & (F.size("warnings") > 0)
+        made = done.agg(F.count("*").alias("ingested"), F.count_if(bad).alias("failed"), size("chunks").alias("chunks"), size("tables").alias("tables"), size("figures").alias("figures"), F.count_if(F.exists("warnings", lambda w: F.contains(F.lower(w), F.lit("ocr")))).alias("pages_needing_ocr"), size("warnings").alias("errors"))
+        rows = documents.join(found.select("document_id"), "document_id", "left_semi")
+        told = rows.agg(F.count("*").alias("discovered"), F.count_if(F.col("superseded_by").isNotNull()).alias("superseded"))
+        same = unchanged(found, stored) if stored is not None else found
+        return told.join(made).withColumn("unchanged", F.col("discovered") - F.lit(same.count()))
 
     def statistics(self) -> DataFrame:
-        counts = [self.table(n).agg(F.count("*").alias(n)) for n in self.NAMES]
-        out = counts[0]
-        for c in counts[1:]:
+        """Rows of each table, and the pages of current documents."""
+        counts = [t.agg(F.count("*").alias(n)) for n in (*self.NAMES, "vectors") if (t := self.table(n)) is not None]
+        pages = self.table("chunks").groupBy("document_id").agg(F.coalesce(F.max("page_end"), F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pages"))
+        out = pages
+        for c in counts:
             out = out.join(c)
         return out
+
+    def abandon(self) -> None:
+        """Gives up the claim of a writer that failed, with what it wrote; for callers that know it runs no more."""
+        held = self._versions()
+        version = (held[-1] if held else 0) + 1
+        for path in (f"{self.path}/claims/v{version}", f"{self.path}/v{version}"):
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Deletes all versions but the last ``keep``; returns those that went."""
+        gone = self._versions()[:-keep] if keep else []
+        for version in gone:
+            self._delete(f"{self.path}/v{version}")
+        return gone
