@@ -1,4 +1,5 @@
-"""Bars of two measured charts, as (figure_id, length, printed); the bar to read has no printed number.
+"""Bars of measured charts, as (figure_id, length, printed, seen); the bar to read prints no number of the scale, but
+may have one beside it, ``seen``, that agrees with the scale or not.
 
 Fixed values: reference bars 89, 249 and 387 px that print 20, 55 and 85, and one misread as 95.
 """
@@ -7,18 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BARS = (("a", 89.0, 20.0), ("a", 249.0, 55.0), ("a", 387.0, 85.0), ("a", 153.0, 0.0), ("b", 89.0, 20.0), ("b", 249.0, 55.0), ("b", 387.0, 85.0), ("b", 225.0, 95.0), ("b", 153.0, 0.0))
+_SCALE = ((89.0, 20.0), (249.0, 55.0), (387.0, 85.0))
+BARS = tuple((f, *bar, None) for f in "abcd" for bar in _SCALE) + (("a", 153.0, 0.0, None), ("b", 225.0, 95.0, None), ("b", 153.0, 0.0, None), ("c", 153.0, 0.0, 34.0), ("d", 155.0, 0.0, 71.0))
 
 
 def bars(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(BARS), "figure_id string, length double, printed double")
+    return spark.createDataFrame(list(BARS), "figure_id string, length double, printed double, seen double")
 
 
-_VALUES = ", ".join(f"('{f}', {n}::DOUBLE, {p}::DOUBLE)" for f, n, p in BARS)
-_FIT = f"""b AS (SELECT * FROM (VALUES {_VALUES}) t(figure_id, length, printed)), r AS (SELECT * FROM b WHERE printed > 0),
+_VALUES = ", ".join(f"('{f}', {n}::DOUBLE, {p}::DOUBLE, {'NULL' if x is None else x}::DOUBLE)" for f, n, p, x in BARS)
+_FIT = f"""b AS (SELECT * FROM (VALUES {_VALUES}) t(figure_id, length, printed, seen)), r AS (SELECT * FROM b WHERE printed > 0),
 l AS (SELECT x.figure_id, x.printed AS pa, y.printed AS pb, (y.length - x.length) / (y.printed - x.printed) AS slope, x.length - (y.length - x.length) / (y.printed - x.printed) * x.printed AS intercept FROM r x JOIN r y ON x.figure_id = y.figure_id AND x.printed < y.printed),
 m AS (SELECT l.* FROM l JOIN (SELECT figure_id, max(length) AS longest FROM b GROUP BY figure_id) USING (figure_id) WHERE slope > 0 AND abs(intercept) <= 0.06 * longest),
 v AS (SELECT m.*, (SELECT count(*) FROM r WHERE r.figure_id = m.figure_id AND abs(r.length - (slope * r.printed + intercept)) <= 12) AS inliers FROM m),
 fit AS (SELECT * FROM v WHERE inliers >= 2 QUALIFY row_number() OVER (PARTITION BY figure_id ORDER BY inliers DESC, abs(intercept), pa, pb) = 1)"""
 FIT_SQL = f"(WITH {_FIT} SELECT figure_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept, inliers FROM fit)"
-READ_SQL = f"WITH {_FIT}, p AS (SELECT figure_id, (length - intercept) / slope AS x FROM b JOIN fit USING (figure_id) WHERE printed <= 0) SELECT figure_id, CASE WHEN x < 100 AND abs(x - round(x)) <= 0.2 THEN round(x) END AS value, CASE WHEN x < 100 AND abs(x - round(x)) <= 0.2 THEN 0.78::DOUBLE END AS confidence FROM p"
+_NEAR = "x < 100 AND abs(x - round(x)) <= 0.2"
+_AGREES = "abs(seen - x) <= greatest(0.5, 0.03 * abs(x))"
+READ_SQL = f"WITH {_FIT}, p AS (SELECT figure_id, seen, (length - intercept) / slope AS x FROM b JOIN fit USING (figure_id) WHERE printed <= 0) SELECT figure_id, CASE WHEN {_AGREES} THEN seen WHEN {_NEAR} THEN round(x) END AS value, CASE WHEN {_AGREES} THEN 0.93::DOUBLE WHEN {_NEAR} THEN 0.78::DOUBLE END AS confidence FROM p"

@@ -7,8 +7,13 @@ belongs to the section of its last block, so a tail that is carried past a headi
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 from foliant.functions import vocab
+from foliant.session import ship
 
+CHUNK = "chunk_id string, document_id string, content string, content_type string, page_start int, page_end int, section_path array<string>, char_start bigint, char_end bigint, table_ids array<string>, figure_ids array<string>, ocr_confidence double"
 ATOMIC = ("table", "figure")
 
 
@@ -64,3 +69,19 @@ def chunk(document: str, blocks: list[dict], target: int = vocab.CHUNK_TARGET, o
             pending.append(block)
     close(carry=False)
     return out
+
+
+def chunked(blocks: DataFrame, target: int = vocab.CHUNK_TARGET, overlap: int = vocab.CHUNK_OVERLAP) -> DataFrame:
+    """``chunk`` over a table of blocks (document_id, ordinal and a block's fields): a document is folded by one task."""
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    some = lambda x: None if x is None or x != x else x
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in pdf.sort_values("ordinal").to_dict("records"):
+            page = some(r["page"])
+            rows.append(r | {"page": None if page is None else int(page), "ocr_confidence": some(r["ocr_confidence"]), "section_path": list(r["section_path"])})
+        return pd.DataFrame(chunk(pdf["document_id"].iloc[0], rows, target, overlap), columns=names)
+
+    ship(blocks.sparkSession)
+    return blocks.groupBy("document_id").applyInPandas(fold, CHUNK)

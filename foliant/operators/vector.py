@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import vocab
@@ -193,15 +193,41 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def fused(lexical: DataFrame, vector: DataFrame, traits: DataFrame, key: str, weights: dict[str, float] = vocab.FUSION) -> DataFrame:
-    """query_id, key, score, channels: a full outer join of two short lists, plus (key, reliability, entity_overlap)."""
+def candidates(lexical: DataFrame, vector: DataFrame, traits: DataFrame, key: str) -> DataFrame:
+    """query_id, key and the parts of a score: a full outer join of two short lists, plus (key, reliability, entity_overlap)."""
     lex = lexical.select("query_id", key, F.col("norm").alias("bm25"))
     vec = vector.select("query_id", key, F.greatest("cosine", F.lit(0.0)).alias("vector"))
-    both = lex.join(vec, ["query_id", key], "full_outer").join(traits, key, "left")
+    return lex.join(vec, ["query_id", key], "full_outer").join(traits, key, "left")
+
+
+def _score(weights) -> Column:
     part = lambda c: weights[c] * F.coalesce(c, F.lit(0.0))
-    score = part("bm25") + part("vector") + weights["entity"] * F.coalesce("entity_overlap", F.lit(0.0)) + part("reliability")
+    return part("bm25") + part("vector") + weights["entity"] * F.coalesce("entity_overlap", F.lit(0.0)) + part("reliability")
+
+
+def fused(lexical: DataFrame, vector: DataFrame, traits: DataFrame, key: str, weights: dict[str, float] = vocab.FUSION) -> DataFrame:
+    """query_id, key, score, channels of ``candidates``."""
     channels = F.concat_ws("+", F.when(F.col("bm25").isNotNull(), "keyword"), F.when(F.col("vector").isNotNull(), "vector"))
-    return both.select("query_id", key, "bm25", "vector", score.alias("score"), channels.alias("channels"))
+    return candidates(lexical, vector, traits, key).select("query_id", key, "bm25", "vector", _score(weights).alias("score"), channels.alias("channels"))
+
+
+def swept(parts: DataFrame, grid: list[dict[str, float]], key: str, k: int) -> DataFrame:
+    """bm25, vector, query_id, key, rank: the ``k`` best of each query at each pair of weights, of one set of candidates."""
+    scores = F.array(*[F.struct(F.lit(w["bm25"]).alias("wb"), F.lit(w["vector"]).alias("wv"), F.round(_score(vocab.FUSION | w), 6).alias("score")) for w in grid])
+    each = parts.select("query_id", key, F.explode(scores).alias("s")).select("s.*", "query_id", key)
+    order = Window.partitionBy("wb", "wv", "query_id").orderBy(F.desc("score"), key)
+    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("wb").alias("bm25"), F.col("wv").alias("vector"), "query_id", key, "rank")
+
+
+def swept_recall(ranked: DataFrame, expected: DataFrame, ks: list[int], key: str, grid: list[dict[str, float]]) -> DataFrame:
+    """bm25, vector, k, recall: the share of expected queries that are met among the first k, at each pair of weights."""
+    asked = expected.select("query_id").distinct()
+    weights = F.explode(F.array(*[F.struct(F.lit(w["bm25"]).alias("bm25"), F.lit(w["vector"]).alias("vector")) for w in grid]))
+    hits = ranked.join(expected, ["query_id", key], "left_semi").groupBy("bm25", "vector", "query_id").agg(F.min("rank").alias("first"))
+    met = asked.select("query_id", weights.alias("w")).select("query_id", "w.*").join(hits, ["bm25", "vector", "query_id"], "left")
+    shares = met.groupBy("bm25", "vector").agg(*[F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("int")).alias(f"r{k}") for k in ks])
+    return shares.select("bm25", "vector", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in ks])).alias("x")).select("bm25", "vector", "x.*")
 
 
 def entity_overlap(content, names: list[str]):
@@ -212,9 +238,9 @@ def entity_overlap(content, names: list[str]):
     return sum((F.contains(low, F.lit(n.lower())).cast("int") for n in names), F.lit(0)) / len(names)
 
 
-def recall_at(ranked: DataFrame, expected: DataFrame, ks: list[int], key: str) -> DataFrame:
-    """k, recall: the share of queries with an expected (query_id, key) among their first k."""
+def recall_at(ranked: DataFrame, expected: DataFrame, ks: list[int], key: str, asked: DataFrame | None = None) -> DataFrame:
+    """k, recall: the share of queries, those ``asked`` or expected, with an expected (query_id, key) among their first k."""
     hit = ranked.join(expected.withColumn("ok", F.lit(1)), ["query_id", key], "left").groupBy("query_id").agg(*[F.max(F.when((F.col("rank") <= k) & F.col("ok").isNotNull(), 1).otherwise(0)).alias(f"r{k}") for k in ks])
-    n = expected.select("query_id").distinct()
+    n = (expected if asked is None else asked).select("query_id").distinct()
     met = n.join(hit, "query_id", "left").agg(*[F.avg(F.coalesce(f"r{k}", F.lit(0))).alias(f"r{k}") for k in ks])
     return met.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in ks])).alias("x")).select("x.*")

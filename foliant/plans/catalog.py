@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
 from foliant.functions import vocab
-from foliant.operators import charts_data, evidence, facts, graph, lexical, prose, reasoning, temporal, vector
+from foliant.operators import charts_data, chunking, evidence, facts, graph, lexical, prose, reasoning, temporal, vector
+from foliant.plans import operations
 from foliant.plans import views as V
+from foliant.session import ship
+from foliant.sources import archive, gateway, parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,11 +89,13 @@ def chunk_ids(spark, sf):
     return t.select("conv_id", "turn", C.chunk_id(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), F.lit(None).cast("int"), F.expr("turn div 10"), F.col("turn")).alias("chunk_id"))
 
 
-@query("twin_resolution", f"SELECT doc_id, winner, (doc_id <> winner) AS superseded FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY {TIER_CASE} DESC, doc_id) AS winner FROM (SELECT *, {SOURCE_TIER} AS source_class FROM documents))")
+#: Documents as files whose names differ by format alone, three to a stem.
+FILES = "f AS (SELECT 'd' || doc_id AS document_id, 'wiki/f' || (doc_id // 3) || ['.txt', '.scan.pdf', '.md'][doc_id % 3 + 1] AS relative_path, CASE WHEN doc_id % 3 = 1 THEN 1 WHEN doc_id % 3 = 2 THEN 3 ELSE 4 END AS rank, doc_id // 3 AS stem FROM documents)"
+
+
+@query("twin_resolution", f"WITH {FILES}, w AS (SELECT stem, arg_min(document_id, (rank, relative_path)) AS winner FROM f GROUP BY stem HAVING count(*) > 1) SELECT document_id, winner AS superseded_by FROM f JOIN w USING (stem) WHERE document_id <> winner")
 def twin_resolution(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), C.reliability(V.source_tier(F.col("source"))).alias("reliability"))
-    winners = d.groupBy("hash").agg(F.min_by("doc_id", F.struct((-F.col("reliability")).alias("r"), "doc_id")).alias("winner"))
-    return d.join(winners, "hash").select("doc_id", "winner", (F.col("doc_id") != F.col("winner")).alias("superseded"))
+    return archive.twins(V.files(spark, sf))
 
 
 @query("source_reliability", f"SELECT source_class, {TIER_CASE}::DOUBLE AS reliability, count(*) AS documents FROM (SELECT {SOURCE_TIER} AS source_class FROM documents) GROUP BY source_class")
@@ -97,15 +104,23 @@ def source_reliability(spark, sf):
     return d.select("source_class", C.reliability(F.col("source_class")).alias("reliability"), "documents")
 
 
-@query("unchanged_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("unchanged_anti_join", "SELECT 'd' || doc_id AS document_id FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, 0) = 0")
 def unchanged(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id").join(V.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    """What an ingestion finds new: documents without a label, and those stored with another text, here those of quality 0."""
+    found = V.files(spark, sf)
+    stored = found.join(V.table(spark, sf, "labels"), "doc_id").withColumn("file_hash", F.when(F.col("quality") == 1, F.col("file_hash")).otherwise(F.lit("another")))
+    return archive.unchanged(found, stored).select("document_id")
 
 
-@query("ingest_report", "SELECT count(*) AS discovered, count(*) FILTER (WHERE quality IS NULL) AS fresh, count(*) FILTER (WHERE quality = 1) AS kept, count(*) FILTER (WHERE quality = 0) AS failed FROM documents LEFT JOIN labels USING (doc_id)")
+@query("ingest_report", "WITH d AS (SELECT *, 'd' || doc_id AS document_id, coalesce(quality, -1) AS q FROM documents LEFT JOIN labels USING (doc_id)) SELECT count(*) AS discovered, 0::BIGINT AS superseded, count(*) FILTER (WHERE q >= 0) AS ingested, count(*) FILTER (WHERE q = 0) AS failed, coalesce(sum(len(string_split(coalesce(text, ''), chr(10)))) FILTER (WHERE q = 1), 0)::BIGINT AS chunks, 0::BIGINT AS tables, 0::BIGINT AS figures, count(*) FILTER (WHERE q = 0 AND doc_id % 2 = 0) AS pages_needing_ocr, count(*) FILTER (WHERE q = 0) AS errors, count(*) FILTER (WHERE q < 0) AS unchanged FROM d")
 def ingest_report(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id").join(V.table(spark, sf, "labels"), "doc_id", "left")
-    return d.agg(F.count("*").alias("discovered"), F.count_if(F.col("quality").isNull()).alias("fresh"), F.count_if(F.col("quality") == 1).alias("kept"), F.count_if(F.col("quality") == 0).alias("failed"))
+    """The report of a run that parsed the labelled documents, of which those of quality 0 failed."""
+    found = V.files(spark, sf).withColumn("superseded_by", F.lit(None).cast("string"))
+    met = found.join(V.table(spark, sf, "labels"), "doc_id", "left")
+    none, bad = F.array().cast("array<string>"), F.col("quality") == 0
+    said = F.when(bad, F.array(F.when(F.col("doc_id") % 2 == 0, "no OCR is available").otherwise("no parser"))).otherwise(none)
+    done = met.filter("quality IS NOT NULL").select("document_id", F.when(bad, none).otherwise(F.split(F.coalesce("text", F.lit("")), "\n")).alias("chunks"), none.alias("tables"), none.alias("figures"), said.alias("warnings"))
+    return archive.report(found, found, done, met.filter("quality IS NULL"))
 
 
 # blocks and links
@@ -118,9 +133,14 @@ def link_extract(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(HREF), 1))).alias("link"))
 
 
-@query("link_edges", f"SELECT link AS object_id, count(DISTINCT page_id) AS sources FROM (SELECT page_id, unnest(regexp_extract_all(html, '{HREF}', 1)) AS link FROM pages) GROUP BY link")
+@query("link_edges", f"SELECT link AS raw, count(DISTINCT page_id) AS sources, max(page_id)::INT AS last_page FROM (SELECT page_id, unnest(regexp_extract_all(html, '{HREF}', 1)) AS link FROM pages) WHERE link <> '' AND NOT contains(link, '|') AND NOT contains(link, ']') GROUP BY link")
 def link_edges(spark, sf):
-    return link_extract(spark, sf).groupBy(F.col("link").alias("object_id")).agg(F.count("*").alias("sources"))
+    """Pages as chunks whose links are written the archive's way."""
+    links = F.filter(F.regexp_extract_all("html", F.lit(HREF), 1), lambda x: (x != "") & ~F.contains(x, F.lit("|")) & ~F.contains(x, F.lit("]")))
+    content = F.array_join(F.transform(links, lambda x: F.concat(F.lit("see [["), x, F.lit("|there]]"))), " ")
+    page = F.col("page_id").cast("string")
+    base = V.table(spark, sf, "pages").select(F.concat(F.lit("Page "), page).alias("subject_name"), page.alias("chunk_id"), page.alias("document_id"), F.col("page_id").cast("int").alias("page_start"), content.alias("content"))
+    return graph.link_edges(base).groupBy("raw").agg(F.countDistinct("chunk_id").alias("sources"), F.max("page").alias("last_page"))
 
 
 @query("wikilinks", r"SELECT item_id, trim(regexp_extract(t, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS first_link FROM (SELECT item_id, '[[' || text || '|alias]] and [[' || item_id || ']]' AS t FROM benchmark)")
@@ -137,12 +157,17 @@ def heading_heuristic(spark, sf):
     return V.chunks(spark, sf).filter(C.is_heading(F.col("content"))).select("doc_id", "line", "content")
 
 
-@query("stanza_blocks", f"WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS content FROM documents), s AS (SELECT *, sum(CASE WHEN trim(content) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS stanza FROM l) SELECT doc_id, stanza::BIGINT AS stanza, count(*) AS lines, sum(length(content))::BIGINT AS chars FROM s WHERE trim(content) <> '' GROUP BY ALL")
+@query("stanza_blocks", r"WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS content FROM documents), s AS (SELECT *, sum(CASE WHEN regexp_matches(content, '[^\s]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS stanza FROM l), b AS (SELECT doc_id, min(line) AS line_start, max(line) AS line_end, count(*) AS lines FROM s WHERE regexp_matches(content, '[^\s]') GROUP BY doc_id, stanza) SELECT doc_id, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM b")
 def stanza_blocks(spark, sf):
-    rows = V.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content"))
-    blank = F.when(F.trim("content") == "", 1).otherwise(0)
-    numbered = rows.withColumn("stanza", F.sum(blank).over(Window.partitionBy("doc_id").orderBy("line")))
-    return numbered.filter(F.trim("content") != "").groupBy("doc_id", "stanza").agg(F.count("*").alias("lines"), F.sum(F.length("content")).alias("chars"))
+    """The blocks of the plain text parser."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(doc, b["line_start"], b["line_end"]) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for b in parsers.plain_text((text or "").encode(), str(doc)).blocks]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], names=["doc_id", "line_start", "line_end"])
+
+    ship(spark)
+    return V.table(spark, sf, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, line_start bigint, line_end bigint")
 
 
 @query("table_text", "SELECT n_regionkey, 'nations of region ' || n_regionkey || chr(10) || 'Columns: key | name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS table_text FROM nation GROUP BY n_regionkey")
@@ -186,16 +211,21 @@ def numeric_values(spark, sf):
     return v.select("value", C.numeric_value(F.col("value")).alias("number"))
 
 
-@query("chunk_offsets", "SELECT conv_id, turn, (coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS char_start, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS char_end FROM conversations")
+TURNS = "t AS (SELECT conv_id, turn, trim(coalesce(text, ''), chr(10) || chr(9) || chr(13) || chr(11) || chr(12) || ' ') AS body FROM conversations)"
+
+
+@query("chunk_offsets", f"WITH {TURNS} SELECT conv_id, turn::INT AS page, (sum(length(body)) OVER (PARTITION BY conv_id ORDER BY turn) - length(body))::BIGINT AS char_start, (sum(length(body)) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS char_end FROM t WHERE body <> ''")
 def chunk_offsets(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("text")).over(w)
-    return V.table(spark, sf, "conversations").select("conv_id", "turn", (end - F.length("text")).alias("char_start"), end.alias("char_end"))
+    """Turns as blocks, each of which fills a chunk."""
+    cut = chunking.chunked(V.turns(spark, sf), 1, 1 << 30)
+    return cut.select(F.col("document_id").cast("bigint").alias("conv_id"), F.col("page_start").alias("page"), "char_start", "char_end")
 
 
-@query("page_ranges", "SELECT conv_id, min(turn) AS page_start, max(turn) AS page_end, round(min(1.0 / (1 + length(text))), 3) AS ocr_confidence FROM conversations GROUP BY conv_id")
+@query("page_ranges", f"WITH {TURNS} SELECT conv_id, min(turn)::INT AS page_start, max(turn)::INT AS page_end, round(min(1.0 / (2 + turn)), 3)::DOUBLE AS ocr_confidence, (sum(length(body)) + 2 * (count(*) FILTER (WHERE body <> '') - 1))::BIGINT AS chars FROM t GROUP BY conv_id")
 def page_ranges(spark, sf):
-    return V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.min("turn").alias("page_start"), F.max("turn").alias("page_end"), F.round(F.min(1.0 / (1 + F.length("text"))), 3).alias("ocr_confidence"))
+    """Conversations as one chunk each: its pages, and the least confidence."""
+    cut = chunking.chunked(V.turns(spark, sf), 1 << 30, 1 << 30)
+    return cut.select(F.col("document_id").cast("bigint").alias("conv_id"), "page_start", "page_end", "ocr_confidence", F.length("content").cast("bigint").alias("chars"))
 
 
 # entities and graph
@@ -213,9 +243,46 @@ def entity_collect(spark, sf):
     return graph.collect_entities(p.select(F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, " (artifact)").otherwise("")).alias("raw"), F.col("p_partkey").alias("ord")))
 
 
-@query("typed_edges", f"WITH {EDGES} SELECT predicate, method, count(*) AS edges, count(DISTINCT subject_id) AS subjects, count(DISTINCT object_id) AS objects FROM edges GROUP BY ALL")
+BOXES = "nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query("typed_edges", f"SELECT n_name AS subject_name, predicate, raw, 'infobox' AS method, 0.9::DOUBLE AS confidence FROM (SELECT n_name, 'located_in' AS predicate, r_name AS raw FROM {BOXES} UNION ALL SELECT n_name, 'ruled_by', 'House ' || n_nationkey FROM {BOXES} UNION ALL SELECT n_name, 'ruled_by', 'The ' || upper(n_name[1:1]) || lower(n_name[2:3]) || ' Court' FROM {BOXES})")
 def typed_edges(spark, sf):
-    return V.edges(spark, sf).groupBy("predicate", "method").agg(F.count("*").alias("edges"), F.countDistinct("subject_id").alias("subjects"), F.countDistinct("object_id").alias("objects"))
+    """Nations as articles with an infobox: a linked region, two ruling powers of which one is plain text, and a row that is no relation."""
+    n = V.table(spark, sf, "nation").join(V.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    court = F.concat(F.lit("The "), F.upper(F.substring("n_name", 1, 1)), F.lower(F.substring("n_name", 2, 2)), F.lit(" Court"))
+    content = F.concat(F.lit("Infobox\nColumns: Field | Value\nRegion | [["), "r_name", F.lit("]]\nRuled by | [[House "), F.col("n_nationkey").cast("string"), F.lit("|the house]]; "), court, F.lit("\nGarrison | 40 men"))
+    key = F.col("n_nationkey").cast("string")
+    base = n.select(F.col("n_name").alias("subject_name"), key.alias("chunk_id"), key.alias("document_id"), F.lit(1).alias("page_start"), F.lit("table").alias("content_type"), content.alias("content"))
+    return graph.typed_edges(base).select("subject_name", "predicate", "raw", "method", "confidence")
+
+
+BOX_SQL = "SELECT p_partkey, p_size, floor(p_retailprice)::BIGINT AS price FROM part"
+
+
+@query("fact_extract", f"WITH p AS ({BOX_SQL}) SELECT 'part_' || p_partkey AS subject_id, attribute, value_text, value_key, value_number, 'codex' AS source_class, 1.0::DOUBLE AS reliability FROM (SELECT p_partkey, 'threat_rating' AS attribute, p_size::VARCHAR AS value_text, p_size::VARCHAR AS value_key, p_size::DOUBLE AS value_number FROM p UNION ALL SELECT p_partkey, 'garrison_strength', price || ' troops', price::VARCHAR, NULL FROM p UNION ALL SELECT p_partkey, 'timeline_event', '225 AS Razed', '225 as razed', 225 FROM p WHERE p_partkey % 2 = 0)")
+def fact_extract(spark, sf):
+    """Facts of parts as articles: an infobox with a repeated row, links, labels that name no attribute, and a dated event."""
+    p = V.table(spark, sf, "part").filter("p_partkey IS NOT NULL")
+    key, size, price = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.floor("p_retailprice").cast("string")
+    event = F.when(F.col("p_partkey") % 2 == 0, "\n225 AS | Razed.").otherwise("")
+    content = F.concat(F.lit("Infobox\nColumns: Field | Value\nName | Part\n**Threat rating** | **"), size, F.lit("**\nThreat rating | "), size, F.lit(" .\nGarrison | [["), price, F.lit(" troops|many]]"), event)
+    chunks = p.select(F.concat(F.lit("c"), key).alias("chunk_id"), key.alias("document_id"), F.lit("table").alias("content_type"), F.array(F.lit("Infobox")).alias("section_path"), F.lit(1).alias("page_start"), F.lit("codex").alias("source_class"), content.alias("content"))
+    documents = p.select(key.alias("document_id"), F.concat(F.lit("Part "), key).alias("title"), F.lit(1.0).alias("reliability"), F.lit(None).cast("string").alias("superseded_by"))
+    return facts.extract(chunks, documents).select("subject_id", "attribute", "value_text", "value_key", "value_number", "source_class", "reliability")
+
+
+@query("plate_facts", "SELECT 'keep_' || p_partkey AS subject_id, CASE WHEN p_partkey % 2 = 0 THEN 'The Keep ' || p_partkey ELSE 'Keep ' || p_partkey END AS subject_name, 'threat_rating' AS attribute, p_size::VARCHAR AS value_text, p_size::DOUBLE AS value_number FROM part WHERE p_partkey % 3 <> 0")
+def plate_facts(spark, sf):
+    """Facts printed on plates; every third is a chart, which prints a scale, and every second subject has a name of its own."""
+    p = V.table(spark, sf, "part")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    caption = F.concat(F.lit("Rating plate: Keep "), key)
+    chunks = p.select(F.concat(F.lit("c"), key).alias("chunk_id"), key.alias("document_id"), F.lit("figure").alias("content_type"), F.array(F.concat(F.lit("f"), key)).alias("figure_ids"), F.lit(1).alias("page_start"), F.lit("figure_plate").alias("source_class"), F.concat(caption, F.lit("\nThreat rating: "), size, F.when(F.col("p_partkey") % 3 == 0, " minimum standard").otherwise("")).alias("content"))
+    figures_ = p.select(F.concat(F.lit("f"), key).alias("figure_id"), caption.alias("caption"))
+    documents = p.select(key.alias("document_id"), F.lit(0.95).alias("reliability"), F.lit(None).cast("string").alias("superseded_by"))
+    named = p.filter("p_partkey % 2 = 0").select(F.concat(F.lit("keep_"), key).alias("entity_id"), F.concat(F.lit("The Keep "), key).alias("name"))
+    return prose.plate_facts(chunks, figures_, documents, named).select("subject_id", "subject_name", "attribute", "value_text", "value_number")
 
 
 @query("neighbours", f"WITH {EDGES}, nodes AS (SELECT nation_id AS node FROM nat) SELECT node, direction, predicate, count(*) AS n, max(confidence) AS confidence FROM (SELECT subject_id AS node, 'out' AS direction, * FROM edges UNION ALL SELECT object_id, 'in', * FROM edges) WHERE node IN (SELECT node FROM nodes) GROUP BY ALL")
@@ -364,9 +431,13 @@ def temporal_verdict(spark, sf):
     return temporal.verdicts(_anachronisms(spark, sf))
 
 
-@query("custody", f"WITH {ATTRS} SELECT subject_id, attribute, value_text, false AS is_custody FROM attrs WHERE contains({fold_sql('value_text')}, 'brass')")
+@query("custody", "SELECT 'customer_' || c_custkey AS subject_id, CASE WHEN c_custkey % 3 = 0 THEN 'housed_in' WHEN c_custkey % 3 = 1 THEN 'ruled_by' ELSE 'seat' END AS attribute, 'the vaults of ' || n_name || ', below' AS value_text, c_custkey % 3 <> 1 AS is_custody FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1)")
 def custody(spark, sf):
-    return temporal.custody(V.attributes(spark, sf), "Brass")
+    """Who keeps what at a place, and other relations that name it."""
+    n = V.table(spark, sf, "nation")
+    at = F.col("c_custkey") % 3
+    rows = V.table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("subject_id"), F.when(at == 0, "housed_in").when(at == 1, "ruled_by").otherwise("seat").alias("attribute"), F.concat(F.lit("the vaults of "), "n_name", F.lit(", below")).alias("value_text"))
+    return temporal.custody(rows, n.orderBy("n_nationkey").first()["n_name"])
 
 
 @query("all_years", r"SELECT p_partkey, [x::INT FOR x IN regexp_extract_all('in ' || p_size || ' AS and ' || (p_size + 7) || ' as', '(?i)(\d{1,4})\s*AS\b', 1)] AS years FROM part")
@@ -462,48 +533,48 @@ def chart_line_fit(spark, sf):
 def chart_readoff(spark, sf):
     bars = charts_data.bars(spark)
     met = bars.filter("printed IS NULL OR printed <= 0").join(reasoning.line_fit(bars), "figure_id")
-    read = reasoning.read_off(F.col("length"), F.lit(None).cast("double"), F.col("slope"), F.col("intercept"))
+    read = reasoning.read_off(F.col("length"), F.col("seen"), F.col("slope"), F.col("intercept"))
     return met.select("figure_id", read["value"].alias("value"), read["confidence"].alias("confidence"))
 
 
 # retrieval
 
-TOKENS = r"[t FOR t IN regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}_''-]+') IF length(t) > 1]"
-#: The words of the first three benchmark items, six of them, in order of appearance.
-TERMS = r"qt AS (SELECT t AS term FROM (SELECT t, min(o) AS o FROM (SELECT t, row_number() OVER (ORDER BY item_id, i) AS o FROM (SELECT item_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_''-]+') AS ts FROM benchmark ORDER BY item_id LIMIT 3)) WHERE length(t) > 3) GROUP BY t) ORDER BY o LIMIT 6)"
+TOKENS = r"[t FOR t IN regexp_extract_all(strip_accents(lower(coalesce(content, ''))), '[\p{L}\p{N}_''-]+') IF length(t) > 1]"
+#: The words of every benchmark item are a query.
+TERMS = f"qt AS (SELECT query_id, unnest({TOKENS}) AS term FROM (SELECT item_id AS query_id, text AS content FROM benchmark)), qa AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL)"
 DOCS = f"c AS (SELECT doc_id, text AS content, {TIER_CASE} AS reliability FROM (SELECT *, {SOURCE_TIER} AS source_class FROM documents)), w AS (SELECT doc_id, unnest({TOKENS}) AS term FROM c), size AS (SELECT doc_id, len({TOKENS})::BIGINT AS len FROM c), whole AS (SELECT count(*) AS n, avg(len) AS avg_len FROM size)"
-BM25 = f"{TERMS}, {DOCS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), bm AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))) AS score, count(*) AS matched FROM tf JOIN df USING (term) JOIN size USING (doc_id), whole GROUP BY doc_id)"
+BM25 = f"{TERMS}, {DOCS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), bm AS (SELECT query_id, doc_id, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))) AS score FROM tf JOIN df USING (term) JOIN size USING (doc_id) JOIN qa USING (term), whole GROUP BY query_id, doc_id)"
 
 
 def _queries(spark, sf):
-    return spark.createDataFrame([(0, t) for t in V.frequent_terms(spark, sf)], "query_id bigint, term string")
+    return V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(lexical.tokens(F.col("text"))).alias("term"))
 
 
 def _documents(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), C.reliability(V.source_tier(F.col("source"))).alias("reliability"))
 
 
-@query("bm25_topk", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm QUALIFY rank <= 30")
+@query("bm25_topk", f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm QUALIFY rank <= 30")
 def bm25_topk(spark, sf):
-    return lexical.top(lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id"), 30, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.top(lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id"), 30, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("bm25_all", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
+@query("bm25_all", f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
 def bm25_all(spark, sf):
-    return lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-POOL = f"{BM25}, pool AS (SELECT doc_id, score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 90), norm AS (SELECT doc_id, coalesce((score - min(score) OVER ()) / nullif(max(score) OVER () - min(score) OVER (), 0), 0) AS norm FROM pool)"
+POOL = f"{BM25}, pool AS (SELECT query_id, doc_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 90), norm AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER q) / nullif(max(score) OVER q - min(score) OVER q, 0), 0) AS norm FROM pool WINDOW q AS (PARTITION BY query_id)), lx AS (SELECT query_id, doc_id, norm, round(0.8 * norm + 0.2 * reliability, 6) AS blend FROM norm JOIN c USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.8 * norm + 0.2 * reliability, 9) DESC, doc_id) <= 30)"
 
 
 def _pool(spark, sf):
     return lexical.top(lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id"), vocab.POOL * vocab.DEPTH, "doc_id")
 
 
-@query("bm25_quality_rerank", f"WITH {POOL} SELECT doc_id, round(0.8 * norm + 0.2 * reliability, 6) AS blend FROM norm JOIN c USING (doc_id) ORDER BY round(0.8 * norm + 0.2 * reliability, 9) DESC, doc_id LIMIT 30")
+@query("bm25_quality_rerank", f"WITH {POOL} SELECT query_id, doc_id, blend FROM lx")
 def bm25_quality_rerank(spark, sf):
     out = lexical.reranked(_pool(spark, sf), _documents(spark, sf).select("doc_id", "reliability"), vocab.DEPTH, "doc_id")
-    return out.select("doc_id", F.round("blend", 6).alias("blend"))
+    return out.select("query_id", "doc_id", F.round("blend", 6).alias("blend"))
 
 
 @query("bm25_and", f"WITH {BM25}, two AS (SELECT doc_id, count(DISTINCT term) AS n FROM w WHERE term IN ('the', 'of') GROUP BY doc_id) SELECT doc_id FROM two WHERE n = 2")
@@ -551,15 +622,17 @@ def cosine_topk(spark, sf):
     return vector.cosine_topk(e, asked, 10).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-VECTOR0 = "v9 AS (SELECT a.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id = 0), v0 AS (SELECT * FROM v9 ORDER BY round(cosine, 9) DESC, doc_id LIMIT 30)"
-FUSED = f"{POOL}, {VECTOR0}, lx AS (SELECT doc_id, norm FROM norm JOIN c USING (doc_id) ORDER BY round(0.8 * norm + 0.2 * reliability, 9) DESC, doc_id LIMIT 30), f AS (SELECT doc_id, norm, CASE WHEN cosine IS NOT NULL THEN greatest(cosine, 0) END AS vec FROM lx FULL JOIN v0 USING (doc_id))"
+#: Each item's query has the vector of its own number, where there is one.
+VECTORS = "v9 AS (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)), v0 AS (SELECT * FROM v9 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, doc_id) <= 30)"
+FUSED = f"{POOL}, {VECTORS}, f AS (SELECT query_id, doc_id, norm, CASE WHEN cosine IS NOT NULL THEN greatest(cosine, 0) END AS vec FROM lx FULL JOIN v0 USING (query_id, doc_id))"
 
 
 def _channels(spark, sf):
     docs = _documents(spark, sf)
     lex = lexical.reranked(_pool(spark, sf), docs.select("doc_id", "reliability"), vocab.DEPTH, "doc_id").select("query_id", "doc_id", "norm")
     e = V.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    vec = vector.cosine_topk(e, e.filter("doc_id = 0").select(F.col("doc_id").alias("query_id"), "embedding"), vocab.DEPTH, "doc_id")
+    asked = e.join(V.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
+    vec = vector.cosine_topk(e, asked.select(F.col("doc_id").alias("query_id"), "embedding"), vocab.DEPTH, "doc_id")
     traits = docs.select("doc_id", "reliability", vector.entity_overlap(F.col("content"), ["the", "und", "que"]).alias("entity_overlap"))
     return lex, vec, traits
 
@@ -567,9 +640,9 @@ def _channels(spark, sf):
 OVERLAP = "((contains(lower(content), 'the')::INT + contains(lower(content), 'und')::INT + contains(lower(content), 'que')::INT) / 3)"
 
 
-@query("hybrid_fusion", f"WITH {FUSED} SELECT f.doc_id, round(0.5 * coalesce(norm, 0) + 0.3 * coalesce(vec, 0) + 0.1 * coalesce({OVERLAP}, 0) + 0.1 * coalesce(reliability, 0), 6) AS score, concat_ws('+', CASE WHEN norm IS NOT NULL THEN 'keyword' END, CASE WHEN vec IS NOT NULL THEN 'vector' END) AS channels FROM f LEFT JOIN c USING (doc_id)")
+@query("hybrid_fusion", f"WITH {FUSED} SELECT f.query_id, f.doc_id, round(0.5 * coalesce(norm, 0) + 0.3 * coalesce(vec, 0) + 0.1 * coalesce({OVERLAP}, 0) + 0.1 * coalesce(reliability, 0), 6) AS score, concat_ws('+', CASE WHEN norm IS NOT NULL THEN 'keyword' END, CASE WHEN vec IS NOT NULL THEN 'vector' END) AS channels FROM f LEFT JOIN c USING (doc_id)")
 def hybrid_fusion(spark, sf):
-    return vector.fused(*_channels(spark, sf), "doc_id").select("doc_id", F.round("score", 6).alias("score"), "channels")
+    return vector.fused(*_channels(spark, sf), "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "channels")
 
 
 @query("entity_overlap", f"WITH {DOCS} SELECT doc_id, round({OVERLAP}, 6) AS overlap FROM c")
@@ -580,34 +653,34 @@ def entity_overlap(spark, sf):
 GRID = ((0.0, 0.8), (0.2, 0.6), (0.35, 0.45), (0.4, 0.4), (0.5, 0.3), (0.6, 0.2), (0.8, 0.0))
 
 
-@query("weight_sweep", f"WITH {FUSED}, g AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in GRID)}) t(wb, wv)) SELECT wb AS bm25_weight, wv AS vector_weight, f.doc_id AS top_doc FROM f LEFT JOIN c USING (doc_id), g QUALIFY row_number() OVER (PARTITION BY wb, wv ORDER BY round(wb * coalesce(norm, 0) + wv * coalesce(vec, 0) + 0.1 * coalesce({OVERLAP}, 0) + 0.1 * coalesce(reliability, 0), 6) DESC, f.doc_id) = 1")
+@query("weight_sweep", f"WITH {FUSED}, g AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in GRID)}) t(wb, wv)), e AS (SELECT item_id AS query_id, doc_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)), r AS (SELECT wb, wv, f.query_id, f.doc_id, row_number() OVER (PARTITION BY wb, wv, f.query_id ORDER BY round(wb * coalesce(norm, 0) + wv * coalesce(vec, 0) + 0.1 * coalesce({OVERLAP}, 0) + 0.1 * coalesce(reliability, 0), 6) DESC, f.doc_id) AS rank FROM f LEFT JOIN c USING (doc_id), g), h AS (SELECT wb, wv, query_id, min(rank) AS first FROM r JOIN e USING (query_id, doc_id) GROUP BY ALL), n AS (SELECT count(DISTINCT query_id) AS n FROM e) SELECT wb AS bm25_weight, wv AS vector_weight, k::INT AS k, round(count(*) FILTER (WHERE first <= k) / max(n), 6) AS recall FROM g LEFT JOIN h USING (wb, wv), n, (SELECT unnest([1, 3, 5]) AS k) GROUP BY ALL")
 def weight_sweep(spark, sf):
-    channels = [x.persist() for x in _channels(spark, sf)]
-    out = None
-    for a, b in GRID:
-        scored = vector.fused(*channels, "doc_id", vocab.FUSION | {"bm25": a, "vector": b})
-        first = lexical.top(scored.withColumn("score", F.round("score", 6)), 1, "doc_id").select(F.lit(a).alias("bm25_weight"), F.lit(b).alias("vector_weight"), F.col("doc_id").alias("top_doc"))
-        out = first if out is None else out.unionByName(first)
-    return out
+    """Recall of the documents that hold an item, over the shares of words and vectors."""
+    grid = [{"bm25": a, "vector": b} for a, b in GRID]
+    swept = vector.swept(vector.candidates(*_channels(spark, sf), "doc_id"), grid, "doc_id", 5)
+    expected = evidence_containment(spark, sf).select(F.col("item_id").alias("query_id"), "doc_id")
+    return vector.swept_recall(swept, expected, [1, 3, 5], "doc_id", grid).select(F.col("bm25").alias("bm25_weight"), F.col("vector").alias("vector_weight"), "k", F.round("recall", 6).alias("recall"))
 
 
 @query("recall_at_k", f"WITH {COSINE}, r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM cs), l AS (SELECT r.query_id, r.rank FROM r JOIN embeddings x ON x.vec_id = r.vec_id JOIN embeddings y ON y.vec_id = r.query_id WHERE x.label = y.label AND x.vec_id <> y.vec_id), k AS (SELECT unnest([1, 3, 5]) AS k) SELECT k::INT AS k, round((SELECT count(DISTINCT query_id) FROM l WHERE rank <= k) / (SELECT count(DISTINCT y.vec_id) FROM embeddings y JOIN embeddings x ON x.label = y.label AND x.vec_id <> y.vec_id WHERE y.vec_id % 20 = 0), 6) AS recall FROM k")
 def recall_at_k(spark, sf):
+    """A neighbour counts as found if it has the query's label; labels are compared on what was ranked."""
     e = V.table(spark, sf, "embeddings")
     asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
     ranked = vector.cosine_topk(e, asked.select("query_id", "embedding"), 5).select("query_id", "vec_id", "rank")
-    expected = asked.select("query_id", "label").join(e.select("vec_id", "label"), "label").filter("query_id != vec_id").select("query_id", "vec_id")
-    return vector.recall_at(ranked, expected, [1, 3, 5], "vec_id").select("k", F.round("recall", 6).alias("recall"))
+    met = ranked.join(e.select("vec_id", F.col("label").alias("own")), "vec_id").join(asked.select("query_id", "label"), "query_id").filter("own = label AND vec_id != query_id")
+    many = e.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
+    return vector.recall_at(ranked, met.select("query_id", "vec_id"), [1, 3, 5], "vec_id", asked.join(many, "label", "left_semi")).select("k", F.round("recall", 6).alias("recall"))
 
 
 @query("lsa_topk")
 def lsa_topk(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", "text")
-    vectors, index, idf, parts = vector.lsa(docs, "doc_id", "text", 32, 800)
-    probes = V.table(spark, sf, "benchmark").orderBy("item_id").limit(8).collect()
+    """Every benchmark item against all documents, in the space of the full vocabulary and dimensions."""
+    vectors, index, idf, parts = vector.lsa(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    probes = V.table(spark, sf, "benchmark").collect()  # a benchmark's items
     if not index:
         return spark.createDataFrame([], "query_id bigint, doc_id bigint, cosine double, rank int")
-    asked = spark.createDataFrame([(r["item_id"], x.tolist()) for r, x in zip(probes, vector.embed([r["text"] for r in probes], index, idf, parts), strict=True)], "query_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(r["item_id"], x.tolist()) for r, x in zip(probes, vector.embed([r["text"] or "" for r in probes], index, idf, parts), strict=True)], "query_id bigint, embedding array<double>")
     return vector.cosine_topk(vectors, asked, 10, "doc_id")
 
 
@@ -626,8 +699,10 @@ def evidence_containment(spark, sf):
     """Passages inside documents: an equi-join on each passage's longest word, then a containment test."""
     b = V.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     word = F.element_at(F.array_sort(F.transform(F.slice(F.split("passage", r"\s+"), 2, F.greatest(F.size(F.split("passage", r"\s+")) - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    d = V.table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    return d.join(b.withColumn("word", word), "word").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    texts = V.table(spark, sf, "documents").select("doc_id", "text")
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = words.join(b.withColumn("word", word), "word").select("doc_id", "item_id", "passage")
+    return texts.join(met, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
 
 
 @query("claim_gate", f"WITH p AS (SELECT item_id AS evidence_id, text AS content FROM benchmark), c AS (SELECT item_id AS claim_id, CASE WHEN item_id % 3 = 0 THEN -1 ELSE item_id END AS evidence_id, split_part(text, ' ', 1) AS subject, CASE WHEN item_id % 2 = 0 THEN split_part(text, ' ', 2) ELSE 'absentword' END AS value FROM benchmark), j AS (SELECT claim_id, c.evidence_id, CASE WHEN content IS NULL THEN 'unknown evidence' WHEN NOT contains({fold_sql('content')}, {fold_sql('subject')}) THEN 'subject not in passage' WHEN NOT contains({fold_sql('content')}, {fold_sql('value')}) THEN 'value not in passage' END AS reason FROM c LEFT JOIN p USING (evidence_id)) SELECT claim_id, evidence_id, reason IS NULL AS kept, reason FROM j")
@@ -673,17 +748,28 @@ def failure_stage(spark, sf):
     return evidence.failure_stage(e).groupBy("stage").agg(F.count("*").alias("n"))
 
 
-@query("json_schema_gate", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL AS valid FROM events")
+@query("json_schema_gate", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 4 = 1 THEN 1 WHEN event_id % 4 = 2 THEN 0 ELSE 1 END::BIGINT AS claims, CASE WHEN event_id % 2 = 0 THEN 'open_question' END AS intent FROM events")
 def json_schema_gate(spark, sf):
-    e = V.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
-    return e.withColumn("valid", F.col("k").isNotNull())
+    """Payloads of a model, fenced, wrapped in prose, short of a field or broken, through the gateway's validators."""
+    claim = F.concat(F.lit('{"claims": [{"subject": "u'), F.col("user_id").cast("string"), F.lit('", "attribute": "did", "value": "'), "event_type")
+    at = F.col("event_id") % 4
+    said = F.when(at == 0, F.concat(claim, F.lit('"}]}'))).when(at == 1, F.concat(F.lit("```json\n"), claim, F.lit('", "evidence_id": "e"}]}\n```'))).when(at == 2, claim).otherwise(F.concat(F.lit("Here it is: "), claim, F.lit('", "evidence_id": "e"}]} as asked')))
+    meant = F.when(F.col("event_id") % 2 == 0, '{"intent": "open_question"}').otherwise('{"intent": "guess", "entities": 7}')
+
+    @F.pandas_udf("claims bigint, intent string")
+    def checked(claims: pd.Series, intents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(len(gateway.extracted_claims(gateway.json_of(c))), (gateway.understanding(gateway.json_of(i)) or {}).get("intent")) for c, i in zip(claims, intents, strict=True)], columns=["claims", "intent"])
+
+    ship(spark)
+    return V.table(spark, sf, "events").select("event_id", checked(said, meant).alias("x")).select("event_id", "x.*")
 
 
 QUESTIONS = ("How long did the war last?", "What percentage of the garrison fell?", "Which came first?", "Which keep has the highest threat rating?", "What is the total of both?", "Do the sources disagree?", "Who ruled it?")
-CUES = (("duration", r"\bhow\s+long\b"), ("percentage", r"\bpercent(age)?\b"), ("date_ordering", r"\bwhich\s+(came|happened|occurred)\s+first\b"), ("sorting", r"\b(most|least|highest|lowest)\b"), ("total", r"\btotal\b"), ("conflict_detection", r"\bdo\s+(the\s+)?sources\s+(disagree|differ|conflict)\b"), ("entity_trace", r"\bwho\s+(wielded|held|commanded|ruled)\b"))
+#: Every pattern of the registry.
+CUES = tuple((o.name, pattern) for o in operations.OPERATIONS for pattern in o.patterns)
 
 
-@query("operation_detect", f"WITH q AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))}) t(question_id, question)), k AS (SELECT * FROM (VALUES {', '.join(f"('{o}', '{p}')" for o, p in CUES)}) t(operation, cue)) SELECT question_id, operation FROM q JOIN k ON regexp_matches(question, '(?i)' || cue)")
+@query("operation_detect", f"WITH q AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))}) t(question_id, question)), k AS (SELECT * FROM (VALUES {', '.join(f"('{o}', '{p.replace(chr(39), chr(39) * 2)}')" for o, p in CUES)}) t(operation, cue)) SELECT DISTINCT question_id, operation FROM q JOIN k ON regexp_matches(question, '(?i)' || cue)")
 def operation_detect(spark, sf):
     q = spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, question string")
     return evidence.matched_cues(q, list(CUES))

@@ -57,12 +57,17 @@ def chunks(spark, sf_dir) -> DataFrame:
     return rows.filter(F.trim("content") != "").withColumn("reliability", C.reliability(F.col("source_class")))
 
 
-def frequent_terms(spark, sf_dir, n: int = 6) -> list[str]:
-    """Query terms that occur at every scale: words of the first benchmark items."""
-    rows = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).collect()
-    from itertools import islice
+def files(spark, sf_dir) -> DataFrame:
+    """Documents as discovered files, three formats to a stem."""
+    d = table(spark, sf_dir, "documents")
+    suffix = F.array(F.lit(".txt"), F.lit(".scan.pdf"), F.lit(".md"))[(F.col("doc_id") % 3).cast("int")]
+    path = F.concat(F.lit("wiki/f"), F.floor(F.col("doc_id") / 3).cast("string"), suffix)
+    return d.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), path.alias("relative_path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("file_hash"), "text")
 
-    import regex
 
-    found = dict.fromkeys(t for r in rows for t in regex.findall(r"[\p{L}\p{N}_'-]+", (r["text"] or "").lower()) if len(t) > 3)
-    return list(islice(found, n))
+def turns(spark, sf_dir) -> DataFrame:
+    """Conversations as documents of blocks, a turn a page."""
+    c = table(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("string")
+    sure = (F.lit(1.0) / (F.col("turn") + 2)).alias("ocr_confidence")
+    return c.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"), F.lit("paragraph").alias("content_type"), F.col("turn").cast("int").alias("page"), F.array().cast("array<string>").alias("section_path"), none.alias("table_id"), none.alias("figure_id"), sure)

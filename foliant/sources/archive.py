@@ -116,6 +116,17 @@ def _struct(schema: str) -> str:
     return ", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in schema.split(", "))
 
 
+def report(found: DataFrame, documents: DataFrame, done: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """discovered, ingested, unchanged, superseded, failed, chunks, tables, figures, pages_needing_ocr, errors."""
+    size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    bad = (F.size("chunks") == 0) & (F.size("warnings") > 0)
+    made = done.agg(F.count("*").alias("ingested"), F.count_if(bad).alias("failed"), size("chunks").alias("chunks"), size("tables").alias("tables"), size("figures").alias("figures"), F.count_if(F.exists("warnings", lambda w: F.contains(F.lower(w), F.lit("ocr")))).alias("pages_needing_ocr"), size("warnings").alias("errors"))
+    rows = documents.join(found.select("document_id"), "document_id", "left_semi")
+    told = rows.agg(F.count("*").alias("discovered"), F.count_if(F.col("superseded_by").isNotNull()).alias("superseded"))
+    same = unchanged(found, stored) if stored is not None else found
+    return told.join(made).withColumn("unchanged", F.col("discovered") - F.lit(same.count()))
+
+
 class Conflict(RuntimeError):
     """Another writer has claimed the next version of an archive."""
 
@@ -224,7 +235,7 @@ class Archive:
         put(graph.entities(read("chunks"), read("documents")), "entities")
         self._embed(read("chunks"), put, settings)
         self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
-        return None if found is None else self._report(found, documents, done, stored)
+        return None if found is None else report(found, documents, done, stored)
 
     def _derived(self, part: dict[str, DataFrame], documents: DataFrame, entities: DataFrame | None) -> dict[str, DataFrame]:
         """Edges, mentions and facts of newly parsed chunks: each belongs to one chunk, so those of others stay as they are."""
@@ -243,16 +254,6 @@ class Archive:
         space = [(term, float(idf[k]), [float(x) for x in parts[k]]) for term, k in index.items()]
         put(self.spark.createDataFrame(space, "term string, idf double, component array<double>").coalesce(1), "vector_space")
 
-    def _report(self, found: DataFrame, documents: DataFrame, done: DataFrame, stored: DataFrame | None) -> DataFrame:
-        """discovered, ingested, unchanged, superseded, failed, chunks, tables, figures, pages_needing_ocr, errors."""
-        size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
-        bad = (F.size("chunks") == 0) & (F.size("warnings") > 0)
-        made = done.agg(F.count("*").alias("ingested"), F.count_if(bad).alias("failed"), size("chunks").alias("chunks"), size("tables").alias("tables"), size("figures").alias("figures"), F.count_if(F.exists("warnings", lambda w: F.contains(F.lower(w), F.lit("ocr")))).alias("pages_needing_ocr"), size("warnings").alias("errors"))
-        rows = documents.join(found.select("document_id"), "document_id", "left_semi")
-        told = rows.agg(F.count("*").alias("discovered"), F.count_if(F.col("superseded_by").isNotNull()).alias("superseded"))
-        same = unchanged(found, stored) if stored is not None else found
-        return told.join(made).withColumn("unchanged", F.col("discovered") - F.lit(same.count()))
-
     def statistics(self) -> DataFrame:
         """Rows of each table, and the pages of current documents."""
         counts = [t.agg(F.count("*").alias(n)) for n in (*self.NAMES, "vectors") if (t := self.table(n)) is not None]
