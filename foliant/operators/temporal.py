@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
@@ -29,6 +29,20 @@ def anachronisms(subjects: DataFrame, dated: DataFrame) -> DataFrame:
     return met.select("key", "event", gap.alias("gap"), (gap > 0).alias("impossible"))
 
 
+def as_of(rows: DataFrame, states: DataFrame, key: str, at: str, keep: list[str]) -> DataFrame:
+    """``rows`` with the columns ``keep`` of the last state of their key at or before their time; null where there is none.
+
+    One union and one window by key: no row meets more than its own key's rows.  Of states of one key and time the one
+    that sorts last counts.
+    """
+    state = F.struct(*[F.col(c) for c in keep])
+    both = rows.select(F.col(key).alias("as_key"), F.col(at).alias("as_at"), F.lit(1).alias("as_row"), F.struct("*").alias("as_mine"))
+    both = both.unionByName(states.select(F.col(key).alias("as_key"), F.col(at).alias("as_at"), F.lit(0).alias("as_row"), state.alias("as_state")), allowMissingColumns=True)
+    upto = Window.partitionBy("as_key").orderBy("as_at", "as_row", "as_state").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("as_last", F.when(F.col("as_key").isNotNull(), F.last("as_state", ignorenulls=True).over(upto))).filter("as_row = 1")
+    return met.select("as_mine.*", *[F.col(f"as_last.{c}").alias(f"as_of_{c}") for c in keep])
+
+
 def verdicts(judged: DataFrame) -> DataFrame:
     return judged.groupBy("key").agg(F.count("*").alias("events"), F.bool_and("impossible").alias("all_impossible"), F.bool_or("impossible").alias("any_impossible")).withColumn("mixed", F.col("any_impossible") & ~F.col("all_impossible"))
 

@@ -20,6 +20,7 @@ from foliant.operators import evidence, facts, figures, graph, prose, retrieval,
 from foliant.plans import language as W
 from foliant.sources.adapters import NullModel, NullVision
 from foliant.sources.archive import Archive, Settings
+from foliant.sources.gateway import merged
 
 #: Passages that a search step reads, that prose is looked for in, and that a model is shown.
 PASSAGES, PROSE_PASSAGES, SHOWN = 6, 12, 10
@@ -62,10 +63,10 @@ def analyse(text: str, names: dict[str, str]) -> Question:
     masked = text
     for a, z, _ in who:
         masked = masked[:a] + "\0" * (z - a) + masked[z:]
-    told = [(at, attribute) for at, _, phrase in spans(masked, W.PHRASES) for attribute in _meant(text, W.PHRASES[phrase])]
-    q.attributes = list(dict.fromkeys(a for _, a in told))
-    numeric = [(at, a) for at, a in told if a in vocab.NUMERIC_ATTRIBUTES]
-    pairs = _bound(numeric, [(a, names[n]) for a, _, n in who])
+    told = [(at, end, attribute) for at, end, phrase in spans(masked, W.PHRASES) for attribute in _meant(text, W.PHRASES[phrase])]
+    q.attributes = list(dict.fromkeys(a for _, _, a in told))
+    numeric = [(at, a) for at, _, a in told if a in vocab.NUMERIC_ATTRIBUTES]
+    pairs = _bound(text, [x for x in told if x[2] in vocab.NUMERIC_ATTRIBUTES], [(a, names[n]) for a, _, n in who])
     q.calculation = next((kind for kind in ("percentage", "ratio", "difference", "total", "average") if W.said(kind, text)), None)
     bridge = W.bridge(masked.replace("\0", "x"))
     target = next((a for a in q.attributes if a != bridge), None)
@@ -118,25 +119,22 @@ def _meant(text: str, attribute: str) -> list[str]:
     return asked or [attribute]
 
 
-def _bound(numeric, who) -> list[tuple[str, str]]:
-    """Each numeric attribute with the entity before it, else after it; a lone attribute goes with every entity."""
-    if len({a for _, a in numeric}) == 1 and len(who) > 1:
-        return list(dict.fromkeys((e, numeric[0][1]) for _, e in who))
+def _bound(text: str, numeric: list[tuple[int, int, str]], who: list[tuple[int, str]]) -> list[tuple[str, str]]:
+    """Each numeric attribute (start, end, name) with the entity that "of" ties to it, else the one before it, else after it;
+    a lone attribute goes with every entity."""
+    if len({a for _, _, a in numeric}) == 1 and len(who) > 1:
+        return list(dict.fromkeys((e, numeric[0][2]) for _, e in who))
     out = []
-    for at, attribute in numeric:
-        before, after = [e for p, e in who if p < at], [e for p, e in who if p > at]
-        if before or after:
-            out.append(((after or before)[0] if _followed(at, who) else (before or after)[-1 if before else 0], attribute))
+    for start, end, attribute in numeric:
+        before, after = [e for p, e in who if p < start], [(p, e) for p, e in who if p >= end]
+        tied = bool(after) and re.fullmatch(r"\s+(?:of|at|for|in|held by)\s+(?:the\s+)?", text[end : after[0][0]], re.I)
+        if tied or (after and not before):
+            out.append((after[0][1], attribute))
+        elif before:
+            out.append((before[-1], attribute))
     return list(dict.fromkeys(out))
 
 
-def _followed(at: int, who) -> bool:
-    """Whether an entity stands right after an attribute ("the garrison of X")."""
-    after = [p for p, _ in who if p > at]
-    before = [p for p, _ in who if p < at]
-    return bool(after) and (not before or after[0] - at <= at - before[-1])
-
-
 def _ordered(text: str, kind: str, pairs, numeric, who) -> list[tuple[str, str]]:
     """Operands of a quotient with the denominator last: what is named first after "percentage of" or "ratio of"."""
     base = W.said("base", text) if kind in ("percentage", "ratio") and len(pairs) == 2 else None
@@ -374,6 +372,8 @@ class Investigator:
         q = analyse(text, self.names_in(text))
         if self.model.available and q.intent == "open_question":
             self._advised(q, text)
+        if q.intent == "relation_hop":
+            self._oriented(q)
         out = Answer(q, plan(q))
         began, stale, rounds, self.queries = time.monotonic(), 0, 0, 0
         if not q.entities and q.intent not in ("inverse_hop", "analysis"):
@@ -402,12 +402,19 @@ class Investigator:
         self._finish(out)
         return out
 
+    def _oriented(self, q: Question) -> None:
+        """Which relation of a hop comes first: the one that the named subject records."""
+        recorded = {r["attribute"] for r in self._rows(facts.attributes_of(self.facts, self.archive.spark.createDataFrame([(q.entities[0],)], "subject_id string")))}
+        if q.bridge not in recorded and q.attributes[0] in recorded:
+            q.bridge, q.attributes = q.attributes[0], [q.bridge]
+
     def _advised(self, q: Question, text: str) -> None:
         """What a model understood of a question that the grammar did not: names that the archive knows, and attributes."""
         told = self.model.understand(text) or {}
         known = self.names_in(" ".join(map(str, told.get("entities") or [])))
-        q.entities = q.entities or list(dict.fromkeys(known.values()))
-        q.attributes = q.attributes or [a for a in told.get("attributes") or [] if a in vocab.ATTRIBUTES.values()]
+        said = {"entities": list(dict.fromkeys(known.values())), "attributes": [a for a in told.get("attributes") or [] if a in vocab.ATTRIBUTES.values()]}
+        both = merged({"entities": q.entities, "attributes": q.attributes}, said)
+        q.entities, q.attributes = both["entities"], both["attributes"]
         if q.entities and q.attributes:
             q.intent = "attribute_lookup"
 

@@ -431,6 +431,25 @@ def temporal_verdict(spark, sf):
     return temporal.verdicts(_anachronisms(spark, sf))
 
 
+@query("as_of", "WITH b AS (SELECT user_id, ts, max({'event_id': event_id, 'value': value}) AS s FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL) SELECT e.event_id, b.s.event_id AS as_of_event_id, b.s.value AS as_of_value FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts >= b.ts")
+def as_of(spark, sf):
+    """Each event with its user's last event of the first type until then."""
+    e = V.table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    first = e.agg(F.min("event_type")).first()[0]
+    return temporal.as_of(e.select("event_id", "user_id", "ts"), e.filter(F.col("event_type") == first), "user_id", "ts", ["event_id", "value"]).select("event_id", "as_of_event_id", "as_of_value")
+
+
+@query("set_operations", "SELECT 'both' AS part, count(*) AS n FROM (SELECT c_nationkey AS k, c_mktsegment AS s FROM customer INTERSECT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 5000) UNION ALL SELECT 'rest', count(*) FROM (SELECT c_nationkey, c_mktsegment FROM customer EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 5000) UNION ALL SELECT 'rows', count(*) FROM (SELECT c_nationkey, c_mktsegment FROM customer EXCEPT ALL SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 5000)")
+def set_operations(spark, sf):
+    """Segments of nations that rich customers have, that none has, and the customers that are not rich."""
+    c = V.table(spark, sf, "customer")
+    pairs = lambda d: d.select("c_nationkey", "c_mktsegment")
+    rich = pairs(c.filter("c_acctbal > 5000"))
+    parts = {"both": pairs(c).intersect(rich), "rest": pairs(c).subtract(rich), "rows": pairs(c).exceptAll(rich)}
+    counted = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, d in parts.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 @query("custody", "SELECT 'customer_' || c_custkey AS subject_id, CASE WHEN c_custkey % 3 = 0 THEN 'housed_in' WHEN c_custkey % 3 = 1 THEN 'ruled_by' ELSE 'seat' END AS attribute, 'the vaults of ' || n_name || ', below' AS value_text, c_custkey % 3 <> 1 AS is_custody FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1)")
 def custody(spark, sf):
     """Who keeps what at a place, and other relations that name it."""

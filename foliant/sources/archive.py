@@ -213,11 +213,14 @@ class Archive:
             stale = removed if removed is not None else stored.join(meta.select("relative_path"), "relative_path", "left_semi").join(meta.select("document_id"), "document_id", "left_anti").select("document_id")
             stays = stored.join(stale, "document_id", "left_anti").drop("superseded_by")
             rows = stays if meta is None else stays.unionByName(meta.join(stored.select("document_id"), "document_id", "left_anti"), allowMissingColumns=True)
-        documents = put(rows.join(twins(rows), "document_id", "left"), "documents")
-
-        # what to parse, and whose rows leave
-        current = documents.filter("superseded_by IS NULL").select("document_id")
-        before = stored.filter("superseded_by IS NULL").select("document_id") if held else current.limit(0)
+        rows = rows.drop("parsed").join(twins(rows), "document_id", "left")
+        before = stored.filter("parsed").select("document_id") if held else rows.select("document_id").limit(0)
+        here = before.unionByName(meta.select("document_id")).distinct() if meta is not None else before
+        rows = rows.join(here.withColumn("held", F.lit(True)), "document_id", "left")
+        documents = put(rows.withColumn("parsed", F.col("superseded_by").isNull() & F.coalesce("held", F.lit(False))).drop("held"), "documents")
+
+        # what to parse, and whose rows leave: those that no longer count as parsed
+        current = documents.filter("parsed").select("document_id")
         parse_now = (current if force else current.join(before, "document_id", "left_anti")) if found is not None else current.limit(0)
         leave = before.join(current, "document_id", "left_anti")
         if found is not None:

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, MutableMapping
 from dataclasses import dataclass, field
+from pathlib import Path
 
 # Intents a model may name, and how calls are retried.
 INTENTS = ("attribute_lookup", "relation_hop", "inverse_hop", "conflict_resolution", "calculation", "multi_fact", "analysis", "temporal_check", "open_question")
@@ -88,11 +90,45 @@ def merged(own: dict, said: dict | None) -> dict:
     return out
 
 
+class FileCache(MutableMapping):
+    """Answers by the hash of what was asked, a file each; a file that is no text counts as missing."""
+
+    def __init__(self, folder: str):
+        self.folder = Path(folder)
+        self.folder.mkdir(parents=True, exist_ok=True)
+
+    def _path(self, key: str) -> Path:
+        if not re.fullmatch(r"[0-9a-f]{64}", key):
+            raise KeyError(key)
+        return self.folder / f"{key}.json"
+
+    def __getitem__(self, key: str) -> str:
+        try:
+            return self._path(key).read_text()
+        except (FileNotFoundError, UnicodeDecodeError) as e:
+            raise KeyError(key) from e
+
+    def __setitem__(self, key: str, value: str) -> None:
+        path = self._path(key)
+        draft = path.with_suffix(f".{os.getpid()}.tmp")
+        draft.write_text(value)
+        draft.replace(path)
+
+    def __delitem__(self, key: str) -> None:
+        self._path(key).unlink()
+
+    def __iter__(self):
+        return (p.stem for p in self.folder.glob("*.json"))
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+
 @dataclass
 class Gateway:
     transport: Callable[[str], str] | None = None
     model: str = "none"
-    cache: dict[str, str] = field(default_factory=dict)
+    cache: MutableMapping[str, str] = field(default_factory=dict)
     breaker: Breaker = field(default_factory=Breaker)
     events: list[str] = field(default_factory=list)
     sleep: Callable[[float], None] = time.sleep

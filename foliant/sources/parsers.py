@@ -8,7 +8,7 @@ import zipfile
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
-from foliant.sources.adapters import has
+from foliant.sources import pdf_text
 
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
 IMAGE = re.compile(r"^!\[([^\]]*)\]\(([^)]+)\)\s*$")
@@ -135,12 +135,42 @@ def image(content: bytes, document: str, path: str = "") -> Parsed:
     return out
 
 
-def pdf(content: bytes, document: str) -> Parsed:
-    out = Parsed()
-    out.warnings.append("pdf: no parser is available here" if not has("fitz") else "pdf: the parser is not wired")
+#: Characters of a page under which it is taken for a picture of one.
+SCANNED = 16
+
+
+def heading_like(text: str) -> bool:
+    """As ``columns.is_heading``: a short line of mostly capitalised words that ends no sentence."""
+    words = text.split()
+    capital = sum(w[0].isupper() for w in words)
+    return 0 < len(text) <= 80 and "\n" not in text and text[-1] not in ".,;:?!" and len(words) <= 10 and capital >= max(1, len(words) - 2)
+
+
+def paged(pages: list[str]) -> Parsed:
+    """Paragraphs, parted by empty lines, of pages of text; a paragraph that looks like a heading begins a section."""
+    out, path = Parsed(pages=len(pages)), []
+    for number, text in enumerate(pages, 1):
+        for part in re.split(r"\n[ \t]*\n", text):
+            body = part.strip()
+            if heading_like(body):
+                path = [body]
+                out.block(body, "heading", path, page=number)
+            elif body:
+                out.block(re.sub(r"\s*\n\s*", " ", body), "paragraph", path, page=number)
+        if len(text.strip()) < SCANNED:
+            out.warnings.append(f"page {number} has no text layer: it needs OCR, which is not available here")
     return out
 
 
+def pdf(content: bytes, document: str) -> Parsed:
+    """The text layer, page by page."""
+    try:
+        pages = pdf_text.read(content)
+    except pdf_text.Unreadable as e:
+        return Parsed(warnings=[f"pdf: {e}"])
+    return paged(pages) if pages else Parsed(warnings=["pdf: no pages were found"])
+
+
 def parse(source_format: str, content: bytes, document: str, path: str) -> Parsed:
     if source_format == "image":
         return image(content, document, path)
