@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.storage import keep, keep_while
+from foliant.llm.storage import drop_table, keep, keep_while
 from foliant.llm.tokens import U, mix, slices, text_bytes, word_hashes
 
 ORDER = 3
@@ -318,11 +318,14 @@ def learn(train: DataFrame, plan: Plan) -> DataFrame:
             rows = reduced(rows, plan, m)
         return rows
 
-    told = [keep_while(lambda turn=turn: one_round(turn), f"round{turn}") for turn in range(1 << ROUND_BITS)]
+    told = [keep_while(lambda turn=turn: one_round(turn), f"round{turn}", "slice") for turn in range(1 << ROUND_BITS)]
+    drop_table(train)
     rows = told[0]
     for more in told[1:]:
         rows = rows.unionByName(more)
-    return keep_while(lambda: (reduced(reduced(rows, plan, 1), plan, 0), *told, train), "model")
+    low = keep_while(lambda: reduced(reduced(rows.filter(F.col("slice") == PARCEL), plan, 1), plan, 0), "words")
+    drop_table(rows, f"slice={PARCEL}")
+    return rows.filter(F.col("slice") == MODEL).unionByName(low)
 
 
 # Scoring: documents' n-grams meet the counts

@@ -36,20 +36,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_base(spark)}/foliant-{uuid.uuid4().hex}/{label}"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
+def keep(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``by``, and return a DataFrame that reads it back."""
     spark = df.sparkSession
     ship(spark)
     path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-def keep_while(make, label: str) -> DataFrame:
+def keep_while(make, label: str, by: str | None = None) -> DataFrame:
     """As ``keep`` of what ``make`` returns, alone or before tables that it kept for it; those, and the shuffles, go once it is written."""
     made = make()
     df, *used = made if isinstance(made, tuple) else (made,)
-    spark, out = df.sparkSession, keep(df, label)
+    spark, out = df.sparkSession, keep(df, label, by)
     for table in used:
         drop_table(table)
     del made, df, used
@@ -68,11 +68,12 @@ def forget(spark: SparkSession) -> None:
     time.sleep(SETTLE)
 
 
-def drop_table(table: DataFrame) -> None:
-    """Delete what ``keep`` wrote for a table, or for those that it is a union of; of other tables nothing."""
+def drop_table(table: DataFrame, part: str = "") -> None:
+    """Delete what ``keep`` wrote for a table, or for those that it is a union of; of other tables nothing.  ``part``, as in
+    ``column=value``, names the one folder of each that goes."""
     base = shared_base(table.sparkSession).split(":", 1)[-1].replace("//", "/")
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if "/foliant-" in path and base.rstrip("/") in path.replace("//", "/"):
+        if "/foliant-" in path and base.rstrip("/") in path.replace("//", "/") and path.endswith(part):
             drop_path(table.sparkSession, path)
 
 
