@@ -3,10 +3,11 @@
 A document is the set of its distinct 5-word shingles, as 64-bit hashes; documents of equal sets form
 a class and are compared once.  Classes link when 100 * intersection >= 80 * union, found in steps:
 
-1. *Order.*  A count sketch of all shingles (``2**SKETCH_BITS`` sums, a fixed size) tells frequent
-   shingles from rare ones: a shingle whose sum is under a bound surely occurs in fewer sets than
-   that.  Rare shingles come first, in hash order, then frequent ones by rising class.  Any such order
-   gives right results; the sketch only makes lists short.
+1. *Order.*  A sketch of all shingles, of as many sums as keep their mean under ``MEAN`` (``2**SKETCH_BITS``
+   to ``2**MOST_BITS``, a byte each), tells frequent shingles from rare ones: a shingle whose sum is under a
+   bound, 255 at most whatever the input, occurs in fewer sets than that.  Rare shingles come first, in hash
+   order, then frequent ones by rising class.  Any such order gives right results; the sketch only makes
+   lists short.
 2. *Extended prefixes.*  Linked sets of at least ``o = ceil(0.8 n)`` common shingles share at least
    min(``EXTEND``, o) among their first ``n - o + EXTEND``.  Rare prefix shingles are indexed one by
    one, frequent ones as 2-combinations (sets over ``LARGE`` shingles: one by one, both kinds in the
@@ -40,7 +41,7 @@ from foliant.llm.tokens import mix, runs, slices, text_bytes, word_hashes
 WORDS = 5
 PERCENT = 80
 EXTEND = 8
-SKETCH_BITS, PARTS = 22, 64
+SKETCH_BITS, MOST_BITS, MEAN, PARTS = 22, 26, 64, 64
 #: Sets of more shingles index frequent ones singly.
 LARGE = 280
 #: Postings packed at once by a task, and aimed at per shard; sets per block of a group; salts of a hot class.
@@ -76,18 +77,26 @@ def _short(signature: bytes) -> int:
     return int.from_bytes(signature[:8], "little", signed=True)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, sig, text_hash) for documents and (part, counts) for a task's share of the sketch."""
+def sketch_bits(docs: DataFrame) -> int:
+    """The size of the sketch, by the characters of all texts, of which a word takes some six."""
+    words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
+    return min(MOST_BITS, max(SKETCH_BITS, (words // MEAN).bit_length()))
+
+
+def scan(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """Rows (doc_id, n, sig, text_hash) for documents and (part, counts) for a task's share of the sketch, whose sums end at 255."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             n = np.zeros(len(batch), np.int64)
             sig: list = [None] * len(batch)
             for row, shingles in shingle_sets(batch):
                 n[row], sig[row] = len(shingles), _signature(shingles).hex()
-                sketch[shingles >> np.uint64(64 - SKETCH_BITS)] += 1
+                at = shingles >> np.uint64(64 - bits)
+                held = sketch[at]
+                sketch[at] = held + (held < 255)
             none = pa.nulls(len(batch))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(sig, pa.string()), batch["text_hash"], none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         parts = sketch.reshape(PARTS, -1)
@@ -101,22 +110,22 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, n bigint, sig string, text_hash bigint, part int, counts binary")
 
 
-def frequency_classes(scanned: DataFrame) -> tuple[np.ndarray, int, int]:
+def frequency_classes(scanned: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.ndarray, int, int]:
     """A byte for each sum of the sketch (0: rare), the bound under which a sum is rare, and all shingles' number."""
     total = scanned.agg(F.sum("n")).first()[0] or 0
-    mean = total / (1 << SKETCH_BITS)
-    bound = math.ceil(mean + 8 * math.sqrt(mean)) + 32
+    mean = total / (1 << bits)
+    bound = min(255, math.ceil(mean + 8 * math.sqrt(mean)) + 32)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, packed in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(packed), np.uint32).astype(np.uint64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(packed), np.uint8).astype(np.uint32)
         done = [(k, np.where(x < bound, 0, np.log2(np.maximum(x, 1) / bound) + 1).astype(np.uint8).tobytes()) for k, x in sums.items()]
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int32()), pa.array([x for _, x in done], pa.binary())], names=["part", "classes"])
 
-    out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint8)
+    out = np.zeros((PARTS, (1 << bits) // PARTS), np.uint8)
     # PARTS rows of a fixed size, whatever the input
     for part, packed in scanned.filter("part IS NOT NULL").select("part", "counts").repartition(PARTS, "part").mapInArrow(add, "part int, classes binary").collect():
         out[part] = np.frombuffer(packed, np.uint8)
@@ -127,7 +136,7 @@ def prefix_postings(shingles: np.ndarray, classes: np.ndarray) -> tuple[np.ndarr
     """The tokens a set is indexed by, which of them stand for frequent shingles, and how many frequent ones its prefix has."""
     n = len(shingles)
     length = min(n, n - _common(n) + EXTEND)
-    of = classes[shingles >> np.uint64(64 - SKETCH_BITS)]
+    of = classes[shingles >> np.uint64(65 - len(classes).bit_length())]
     if not of.any():
         return shingles[:length], np.zeros(length, bool), 0
     order = np.argsort(of, kind="stable")[:length]
@@ -370,9 +379,10 @@ def join(docs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """As ``join``, with the text's hash and the component's root, null for sets without links or copies."""
     spark = docs.sparkSession
-    scanned = keep(scan(docs), "shingles")
+    bits = sketch_bits(docs)
+    scanned = keep(scan(docs, bits), "shingles")
     own = scanned.filter("part IS NULL").select("doc_id", "n", "sig", "text_hash")
-    byte_classes, bound, total = frequency_classes(scanned)
+    byte_classes, bound, total = frequency_classes(scanned, bits)
     shipped = spark.sparkContext.broadcast(byte_classes)
     shards = max(16, -(-(total // 4) // SHARD))
     pairs = keep(candidates(postings(docs, shipped, shards), bound), "candidates")
