@@ -59,6 +59,30 @@ def test_what_other_rules_foretell_is_learnt():
     assert (model.score(["http://q/?a=1&b=2&c=3", "http://q/"], ["q", "q"], ["/", "/"]) >= 0.5).tolist() == [True, False]
 
 
+def test_suffix_rates_hold_no_url_s_own_label():
+    rng = random.Random(3)
+    urls = [f"http://h{k}.t{k}/" for k in range(1500)]
+    hosts = [u[7:-1] for u in urls]
+    block = np.array([float(rng.random() < 0.5) for _ in urls])
+    model = url_filter.fit(urls, hosts, ["/"] * len(urls), block)
+    assert np.mean((model.score(urls, hosts, ["/"] * len(urls)) >= 0.5) == block) < 0.65
+
+
+def test_labelled_urls_are_measured_on_a_part_not_seen(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(3000):
+        bad = rng.random() < 0.4
+        host = "".join(rng.choice("abcdefgh") for _ in range(8)) + (str(rng.randint(100, 9999)) if bad and rng.random() < 0.9 else "") + rng.choice([".com", ".org"])
+        rows.append((f"http://{host}/", host, "/", int(bad)))
+    labelled = spark.createDataFrame(rows, "url string, host string, path string, block int")
+    found = url_filter.held_out(labelled)
+    assert found["judged"] > 400 and found["accuracy"] > 0.9 > found["base"] and found["log_loss"] < 0.3
+    assert url_filter.held_out(labelled.limit(0))["judged"] == 0
+    pages = spark.createDataFrame([(1, "http://abcdefgh5123.com/"), (2, "http://abcdefgh.com/"), (3, "http://x.net/")], "page_id bigint, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, labelled=labelled).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_thresholds_are_the_quantile_of_held_out_documents(spark):
     rows = [("a", 9, 10.0 * (5 + k / 100)) for k in range(1, 201)] + [("b", 9, 80.0)] * 3 + [("c", 0, 0.0)]
     good = spark.createDataFrame(rows, "key string, words bigint, bits double")
