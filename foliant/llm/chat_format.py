@@ -24,7 +24,7 @@ import hashlib
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,14 +189,15 @@ def format_records(record: Column, layouts=None) -> Column:
     ship(SparkSession.active())
     known, named = registry(layouts), named_paths(layouts)
 
-    @F.pandas_udf(FORMATTED)
-    def run(records: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(FORMATTED)
+    def run(records: pa.Array) -> pa.Array:
         rows = []
-        for text in records:
+        for text in records.to_pylist():
             mark, name, turns = read_record(text, known, named)
             formatted, mask = render(turns)
             rows.append((mark, name, len(turns), None if name is None else formatted, [{"start": a, "end": b} for a, b in mask]))
-        return pd.DataFrame(rows, columns=["fingerprint", "layout", "n_turns", "formatted", "loss_mask"])
+        kinds = {"fingerprint": pa.string(), "layout": pa.string(), "n_turns": pa.int64(), "formatted": pa.string(), "loss_mask": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
     return run(record)
 
@@ -225,15 +226,16 @@ def digests(formatted: Column, mask: Column) -> Column:
     """Turn count and digests, read back from formatted strings and their masks."""
     ship(SparkSession.active())
 
-    @F.pandas_udf("n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
-    def run(texts: pd.Series, masks: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    def run(texts: pa.Array, masks: pa.Array) -> pa.Array:
         rows = []
-        for text, spans in zip(texts, masks, strict=True):
+        for text, spans in zip(texts.to_pylist(), masks.to_pylist(), strict=True):
             turns = read_back(text)
             loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
             whole = hashlib.sha256("".join(f"{role}\n{body}\n" for role, body in turns).encode())
             rows.append((len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-        return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        kinds = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
     return run(formatted, mask)
 

@@ -29,7 +29,6 @@ through ``dedup`` unread.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,15 +185,18 @@ def references(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, bounds = text_bytes(batch["text"])
+            found = []
             for lo, hi in slices(bounds):
                 _, _, text, (k1, k2), long = lines_of(data, bounds[lo : hi + 1])
-                text, k1, k2 = text[long], k1[long], k2[long]
-                order = np.lexsort((k2, k1, text))
-                text, k1, k2 = text[order], k1[order], k2[order]
-                new = np.ones(len(text), bool)
-                new[1:] = (text[1:] != text[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-                ids = batch["doc_id"].take(pa.array(text[new] + lo))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(k1[new].view(np.int64)), pa.array(k2[new].view(np.int64))], names=["doc_id", "k1", "k2"])
+                found.append((text[long] + lo, k1[long], k2[long]))
+            if not found:
+                continue
+            text, k1, k2 = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((k2, k1, text))
+            text, k1, k2 = text[order], k1[order], k2[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(text[new])), pa.array(k1[new].view(np.int64)), pa.array(k2[new].view(np.int64))], names=["doc_id", "k1", "k2"])
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint")
@@ -298,20 +300,17 @@ def without(text: Column, gone: Column) -> Column:
     """
     ship(SparkSession.active())
 
-    @F.pandas_udf("t string, d bigint")
-    def run(texts: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
-        out: list[tuple] = []
-        for text, g1, g2 in zip(texts, first, second, strict=True):
-            if g1 is None:
-                out.append((None, None))
-                continue
-            raw = text.encode()
+    @F.arrow_udf("t string, d bigint")
+    def run(texts: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        out: list[tuple] = [(None, None)] * len(texts)
+        for row in np.flatnonzero(first.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            raw = texts[row].as_buffer().to_pybytes()
             starts, ends, _, (k1, k2), long = lines_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            keys = np.rec.fromarrays([np.asarray(g1, np.int64), np.asarray(g2, np.int64)])
+            keys = np.rec.fromarrays([x[row].values.to_numpy() for x in (first, second)])
             mine = np.rec.fromarrays([k1.view(np.int64), k2.view(np.int64)])
             drop = long & np.isin(mine, keys)
-            out.append((b"\n".join([raw[a:z] for a, z in zip(starts[~drop].tolist(), ends[~drop].tolist(), strict=True)]).decode(), int(drop.sum())))
-        return pd.DataFrame(out, columns=["t", "d"])
+            out[row] = b"\n".join([raw[a:z] for a, z in zip(starts[~drop].tolist(), ends[~drop].tolist(), strict=True)]).decode(), int(drop.sum())
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([d for _, d in out], pa.int64())], ["t", "d"])
 
     return run(F.when(gone.isNotNull(), F.coalesce(text, F.lit(""))), F.transform(gone, lambda k: k["k1"]), F.transform(gone, lambda k: k["k2"]))
 

@@ -27,7 +27,6 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,10 +257,10 @@ def counted(found: Column, kind: str) -> Column:
 def replaced(text: Column, found: Column) -> Column:
     """``text`` with its spans generalised to ``[KIND]``, overlapping ones as one, and terms removed."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, all_spans: pa.Array) -> pa.Array:
         out = []
-        for text, spans in zip(texts, all_spans, strict=True):
+        for text, spans in zip(texts.to_pylist(), all_spans.to_pylist(), strict=True):
             parts, at, reach = [], 0, 0
             for s in spans if text is not None and spans is not None else ():
                 if s["start"] < reach:
@@ -271,7 +270,7 @@ def replaced(text: Column, found: Column) -> Column:
                 parts += [text[at : s["start"]], "" if s["kind"] == "term" else f"[{s['kind'].upper()}]"]
                 at = reach = s["end"]
             out.append(text if text is None else "".join(parts) + text[at:])
-        return pd.Series(out)
+        return pa.array(out, pa.string())
 
     return run(text, found)
 

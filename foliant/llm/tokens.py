@@ -21,8 +21,8 @@ _OTHER[65:91] = _OTHER[97:123]
 #: Two random values a byte, A-Z like a-z, for two independent hashes.
 BYTE_TABLES = (_BYTE, _OTHER)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Bytes of text handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+#: Bytes of text handled at once, so that the arrays over them stay in a core's cache; a longer text is handled alone.
+SLICE = 1 << 16
 
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[32, *range(9, 14)]] = True

@@ -47,3 +47,15 @@ def test_pipeline(spark, tmp_path):
     assert abs(sum(r.taken for r in mixed) - 1.5 * sum(r["size"] for r in mixed)) <= len({r.source for r in mixed}) + 1
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, mixed))
+
+
+def test_pipeline_agrees_with_sql(spark):
+    from oracle import SF, connect, same
+
+    same(corpus_pipeline.run(spark, SF), corpus_pipeline.ORACLE_SQL, connect())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    X.empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a text")], "item_id bigint, text string").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
