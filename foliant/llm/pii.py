@@ -1,6 +1,7 @@
 """PII by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
-Protected entities are the values that the patterns find.  A term is a word of
+Protected entities are the values that the patterns find; tokens of high entropy, such as keys, are spans of
+kind ``secret`` beside them.  A term is a word of
 a text that holds an entity, wherever it stands.  Over the corpus, with counts of distinct texts (copies of a text count once),
 
     PMI(t, e) = log2(N p(e | t) / c(e))        p(e | t) = (c(t, e) + S c(e) / N) / (c(t) + S)
@@ -24,7 +25,9 @@ text.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from foliant.llm.storage import keep
 from foliant.llm.tokens import MARK_BYTES, slices, text_bytes, word_hashes
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 DISCLOSURE, SMOOTHING, SALTS = 0.8, 2.0, 16
+#: Secrets: bits a character, and characters to a change between letters and digits.
+ENTROPY, CHANGES = 3.0, 6
 #: Slots of the bitmap of copied texts, words a task holds before it adds them up, and frequent words that are broadcast.
 SLOTS, HELD, OFTEN = 1 << 24, 1 << 21, 100_000
 
@@ -46,6 +51,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
+_TOKEN = re.compile(r"[A-Za-z0-9_-]{20,}")
 #: Separators are those of ``MARK_BYTES``, so that terms are words that are counted.
 _TERM = re.compile(r"[^\x09-\x0d\x20!-/:-@\[-`{-~]{3,}")
 
@@ -93,6 +99,20 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def secrets(text: str, taken) -> list[tuple[str, int, int]]:
+    """Tokens that no word or number looks like: keys and the like, by the entropy of their characters and by how often
+    letters and digits change; none inside the ``taken`` spans."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        token, n = m[0], m.end() - m.start()
+        changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
+        if CHANGES * changes >= n and any(c.isalpha() for c in token):
+            entropy = -sum(c / n * math.log2(c / n) for c in Counter(token).values())
+            if entropy >= ENTROPY and not any(a < m.end() and m.start() < z for _, a, z, _ in taken):
+                out.append(("secret", m.start(), m.end()))
+    return out
+
+
 def text_hash(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
@@ -130,9 +150,11 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 text = text.as_py() or ""
                 found = find(text)
-                near = terms_of(text, found) if found else []
+                hidden = secrets(text, found)
+                near = terms_of(text, found + [(*x, "") for x in hidden]) if found else []
                 hashes.append(text_hash(text.encode()))
-                spans.append([{"kind": k, "start": a, "end": z} for k, a, z, _ in found])
+                placed = sorted([x[:3] for x in found] + hidden, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+                spans.append([{"kind": k, "start": a, "end": z} for k, a, z in placed])
                 entities.append(sorted({f"{k}:{value}" for k, _, _, value in found}))
                 terms.append([{"term": t, "start": x[1], "end": x[2]} for x, t in zip(near, _hashes([x[0] for x in near]).tolist() if near else [], strict=True)])
             rids = pa.array(np.arange(rid, rid + len(batch)), pa.int64())
@@ -243,7 +265,8 @@ def spans(docs: DataFrame) -> DataFrame:
     order = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
     keyed = F.transform(F.concat("spans", F.coalesce("extra", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))), lambda s: F.struct(s["start"], order[s["kind"]].alias("k"), s["kind"].alias("kind"), s["end"].alias("end")))
     placed = F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return scanned.join(extra, "rid", "left").select("rid", "doc_id", "spans", placed.alias("all_spans"))
+    base = F.filter("spans", lambda s: s["kind"] != "secret").alias("spans")
+    return scanned.join(extra, "rid", "left").select("rid", "doc_id", base, placed.alias("all_spans"))
 
 
 def joined(found: Column) -> Column:

@@ -50,7 +50,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     counts = [pii.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans")), 256).alias("base_sha256"), pii.joined(F.col("all_spans")).alias("spans"))
+    told = [pii.counted(F.col("all_spans"), kind) for kind in ("secret", "term")]
+    private = (F.size("spans") + told[0]).cast("bigint").alias("n_private")
+    return found.select("doc_id", *counts, told[0].alias("n_secret"), told[1].alias("n_term"), private, F.sha2(pii.joined(F.col("spans")), 256).alias("base_sha256"), pii.joined(F.col("all_spans")).alias("spans"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,6 +396,16 @@ def test_pii_patterns_against_regular_expressions():
         assert [s[:3] for s in pii.find(t)] == base_spans(t)
 
 
+def test_secrets_are_no_words_and_no_numbers(spark):
+    key, uuid = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "550e8400-e29b-41d4-a716-446655440000"
+    text = f'key = "{key}" {uuid} internationalisation-of-2020-editions 12345678901234567890123 aaaaaaaaaa1a1a1a1a1a1a1a1a a.b.long.name.with.no.secret@host.org'
+    assert [text[a:z] for _, a, z in pii.secrets(text, pii.find(text))] == [key, uuid]
+    docs = spark.createDataFrame([(1, text), (2, f"{key} and 10.0.0.1")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pii.spans(docs).collect()}
+    assert [s.kind for s in rows[1].spans] == ["email"] and [s.kind for s in rows[1].all_spans if s.kind != "term"] == ["secret", "secret", "email"]
+    assert "[SECRET] and [IP]" in {r.text for r in pii.sanitise(docs).collect()}
+
+
 def test_addresses_with_long_runs_of_zeros():
     zeros = "0" * 5000
     assert [x[:3] for x in pii.find(f"{zeros}.1.2.3 {zeros}255.{zeros}.0.{zeros}9 {zeros}256.1.1.1")] == [("ip", 0, 5006), ("ip", 5007, 5007 + 15_008)]
