@@ -5,7 +5,8 @@ mask leaves out.  The two masks are lossless for their purpose: of any 13 words
 substituted, at least one mask finds a place that it hashes as in the original (a test tries every
 case).  Hashes of the benchmark meet those of every place of every document; around each hit the two
 texts are aligned and the document is contaminated if ``WINDOW`` aligned words differ in at most
-``SUBSTITUTIONS``.  Items of fewer than ``WINDOW`` words must be found whole and unchanged.
+``SUBSTITUTIONS``.  Items of ``SPAN`` to 12 words must be found whole with at most one word changed, for which
+runs of ``HALF`` words are lossless (one half of the item is unchanged); shorter items whole and unchanged.
 
 Words are runs of bytes other than ASCII space and punctuation, A-Z lower-cased.
 
@@ -34,6 +35,8 @@ from foliant.session import ship
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
 WINDOW, SUBSTITUTIONS = 13, 2
+#: The run of words that finds items between the mask's span and the window.
+HALF = SPAN // 2
 BLOCK_WORDS = 1_000_000
 #: Bits of the table that most places fail at once.
 FILTER_BITS = 22
@@ -49,6 +52,7 @@ class SeedIndex:
         self.items = [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.tables = []
         shapes = [(mask, [k for k, w in enumerate(self.items) if len(w) >= SPAN]) for mask in MASKS]
+        shapes.append((tuple(range(HALF)), [k for k, w in enumerate(self.items) if SPAN <= len(w) < WINDOW]))
         shapes += [(tuple(range(n)), [k for k, w in enumerate(self.items) if len(w) == n]) for n in range(1, SPAN)]
         for mask, held in shapes:
             if held:
@@ -90,7 +94,7 @@ class SeedIndex:
             return None
         same = words[a:z] == item[a - start : z - start]
         sums = np.concatenate([[0], np.cumsum(same)])
-        allowed = SUBSTITUTIONS if len(item) >= WINDOW else 0
+        allowed = SUBSTITUTIONS if len(item) >= WINDOW else int(len(item) >= SPAN)
         return (int(same.sum()), low - a) if (sums[window:] - sums[:-window]).max() >= window - allowed else None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from foliant.llm.chat_format import CONTROL, END, START
-from foliant.llm.decontam import SUBSTITUTIONS, WINDOW
+from foliant.llm.decontam import SPAN, SUBSTITUTIONS, WINDOW
 from foliant.llm.mixing import LARGEST_BLOCK, LEAST_BLOCK, SLOTS
 from foliant.llm.quality_rules import RULES, STOP_WORDS
 
@@ -121,10 +121,10 @@ b_words AS (SELECT item_id, b_item, len(w)::BIGINT AS m, unnest(w) AS word, gene
 b_docs AS (SELECT *, row_number() OVER () AS b_row, {words} AS w FROM {source}),
 b_places AS (SELECT * FROM (SELECT b_row, len(w)::BIGINT AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM b_docs) WHERE word IN (SELECT word FROM b_words)),
 b_aligned AS (SELECT b_row, b_item, place - spot AS shift, any_value(item_id) AS item_id, any_value(m) AS m, any_value(n) AS n, list(spot ORDER BY spot) AS hits
-  FROM b_places JOIN b_words USING (word) GROUP BY b_row, b_item, place - spot HAVING count(*) >= least({least}, any_value(m))),
+  FROM b_places JOIN b_words USING (word) GROUP BY b_row, b_item, place - spot HAVING count(*) >= least({least}, any_value(m) - (any_value(m) >= {SPAN})::INT)),
 b_found AS (SELECT *, len(hits)::BIGINT AS matched_words, greatest(shift, 0)::BIGINT AS first_word FROM b_aligned
   WHERE least(m, n - shift) - greatest(0, -shift) >= least({WINDOW}, m)
-    AND CASE WHEN m < {WINDOW} THEN len(hits) = m ELSE len(list_filter(range(1, len(hits) - {least - 2}), lambda k: hits[k + {least - 1}] - hits[k] < {WINDOW})) > 0 END),
+    AND CASE WHEN m < {WINDOW} THEN len(hits) >= m - (m >= {SPAN})::INT ELSE len(list_filter(range(1, len(hits) - {least - 2}), lambda k: hits[k + {least - 1}] - hits[k] < {WINDOW})) > 0 END),
 b_best AS (SELECT * FROM b_found QUALIFY row_number() OVER (PARTITION BY b_row, b_item ORDER BY matched_words DESC, first_word) = 1),
 b_done AS (SELECT d.* EXCLUDE (w), f.item_id, f.matched_words, f.m AS item_words, f.first_word FROM b_docs d LEFT JOIN b_best f USING (b_row))
 SELECT {select} FROM b_done"""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures as X
-from foliant.llm import decontam, jaccard_join, line_dedup, mixing, ngram_lm, pii, quality_rules
+from foliant.llm import decontam, jaccard_join, line_dedup, mixing, ngram_lm, oracles, pii, quality_rules
 from foliant.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -264,12 +264,17 @@ def test_masks_find_any_two_substitutions():
         assert any(not {o + m for m in mask} & set(lost) for mask in decontam.MASKS for o in range(w - decontam.SPAN + 1))
 
 
+def test_halves_find_any_substitution_in_short_items():
+    for n in range(decontam.SPAN, decontam.WINDOW):
+        assert all(any(lost not in range(o, o + decontam.HALF) for o in range(n - decontam.HALF + 1)) for lost in range(n))
+
+
 def aligned(text, item):
     mark = r"[^\x20\x09-\x0d!-/:-@\[-`{-~]+"
     a, b = (re.findall(mark, (x or "").translate(LOWER)) for x in (text, item))
     if not b:
         return False
-    window, allowed = min(13, len(b)), 2 if len(b) >= 13 else 0
+    window, allowed = min(13, len(b)), 2 if len(b) >= 13 else int(len(b) >= 8)
     for start in range(-len(b), len(a)):
         same = [0 <= start + k < len(a) and a[start + k] == b[k] for k in range(len(b))]
         inside = [k for k in range(len(b)) if 0 <= start + k < len(a)]
@@ -283,7 +288,7 @@ def leaky(spark):
     import random
 
     rng = random.Random(9)
-    items = [(k, X.prose(rng, n)) for k, n in enumerate((3, 7, 9, 12, 13, 20, 40))] + [(7, None), (8, ""), (5, X.prose(rng, 15))]
+    items = [(k, X.prose(rng, n)) for k, n in enumerate((3, 7, 8, 9, 12, 13, 20, 40))] + [(8, None), (9, ""), (5, X.prose(rng, 15))]
     rows = [(0, None), (1, ""), (2, X.prose(rng, 200))]
     for k, t in items:
         for edits in (0, 0, 1, 2, 3, 6):
@@ -291,10 +296,23 @@ def leaky(spark):
             for at in rng.sample(range(len(w)), min(edits, len(w))):
                 w[at] = "zz"
             rows.append((len(rows), f"{X.prose(rng, 20)}. {' '.join(w)}, {X.prose(rng, 20)}"))
-    rows += [rows[5], (None, rows[6][1]), (len(rows), " ".join((items[6][1] or "").split(" ")[10:30]))]
+    rows += [rows[5], (None, rows[6][1]), (len(rows), " ".join((items[7][1] or "").split(" ")[10:30]))]
     return rows, items
 
 
+def test_decontamination_agrees_with_sql_on_short_items(spark, leaky):
+    import duckdb
+
+    rows, items = leaky
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    want = con.execute(oracles.decontam_sql() + " WHERE matched_words IS NOT NULL").fetchall()
+    plain = lambda r: tuple(None if x is None or x != x else int(x) for x in r)
+    assert sorted(map(repr, map(plain, want))) == sorted(map(repr, map(plain, decontam.contaminated(docs, bench).collect())))
+
+
 @pytest.mark.parametrize("block", [1_000_000, 30])
 def test_decontamination(spark, leaky, block):
     rows, items = leaky
