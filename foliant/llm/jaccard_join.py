@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import components
-from foliant.llm.storage import keep
+from foliant.llm.storage import drop_table, forget, keep
 from foliant.llm.tokens import mix, runs, slices, text_bytes, word_hashes
 
 WORDS = 5
@@ -386,8 +386,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     shipped = spark.sparkContext.broadcast(byte_classes)
     shards = max(16, -(-(total // 4) // SHARD))
     pairs = keep(candidates(postings(docs, shipped, shards), bound), "candidates")
-    stars = pairs.filter("least IS NULL").select("a", "b")
+    stars = keep(pairs.filter("least IS NULL").select("a", "b"), "stars")
     close = keep(pairs.filter("least IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b"), "pairs")
+    drop_table(pairs)
+    del pairs
+    forget(spark)
 
     classes = keep(own.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("set", _short_of_sig()), "classes")
     nodes = close.select(F.col("a").alias("set")).union(close.select("b")).union(stars.select("a")).union(stars.select("b")).distinct()
@@ -395,6 +398,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     groups = keep(components(stars).select(F.col("node").alias("set"), F.col("root").alias("comp")), "groups")
     single = keep(verified_pairs(_apart(close, groups), sets), "links")
     inside = keep(verified_groups(groups, sets), "group_links")
+    drop_table(sets)
+    del sets, nodes
+    forget(spark)
     roots = components(single.unionByName(inside.filter("b IS NOT NULL").select("a", "b")))
     one = F.lit(1).cast("bigint").alias("n")
     ends = single.select("a", one).unionByName(single.select(F.col("b").alias("a"), one)).unionByName(inside.filter("b IS NULL").select("a", "n"))

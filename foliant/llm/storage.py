@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.session import ship
 
 _LOCAL_BASE: list[str] = []
+#: The paths that this process has made, in order.
+_MADE: list[str] = []
 #: Seconds that Spark's cleaner has to drop shuffles before the next query writes its own.
 SETTLE = 0.4
 
@@ -33,7 +35,9 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_base(spark)}/foliant-{uuid.uuid4().hex}/{label}"
+    path = f"{shared_base(spark)}/foliant-{uuid.uuid4().hex}/{label}"
+    _MADE.append(path)
+    return path
 
 
 def keep(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
@@ -57,6 +61,18 @@ def keep_while(make, label: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def settled(make, label: str) -> DataFrame:
+    """As ``keep`` of what ``make`` returns; every table that was kept for it meanwhile goes, and the shuffles.  For callers of one thread."""
+    mark = len(_MADE)
+    made = make()
+    spark, out = made.sparkSession, keep(made, label)
+    for path in _MADE[mark:-1]:
+        drop_path(spark, path.rsplit("/", 1)[0])
+    del _MADE[mark:], made
+    forget(spark)
+    return out
+
+
 def forget(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffles of queries that nothing refers to any more.
 

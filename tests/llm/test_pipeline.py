@@ -6,6 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import fixtures as X
 from foliant.llm import oracles
+from foliant.llm.storage import keep
 from test_text_operators import aligned, counted, deduped, linked, words
 
 
@@ -31,7 +32,7 @@ def test_pipeline(spark, tmp_path):
     columns, rows = docs.columns, X.plain_rows(docs)
     results = []
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.keep(stage(spark, docs, str(tmp_path)), "test")
+        docs = keep(stage(spark, docs, str(tmp_path)), "test")
         results.append(docs)
     rows = [r for r in rows if kept(r[1])]
     assert sorted(X.plain_rows(results[0])) == sorted(rows) and len(rows) > 20

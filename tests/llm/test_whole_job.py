@@ -7,6 +7,7 @@ import corpus_pipeline
 import fixtures as X
 import numpy as np
 from foliant.llm import ngram_lm, pii, url_filter
+from foliant.llm.storage import keep
 from test_text_operators import deduped, linked, shingles
 
 
@@ -115,7 +116,7 @@ def test_pipeline_with_repeated_rows_and_ids(spark, tmp_path):
     spark.createDataFrame([(1, "never seen words of nothing else at all")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     results = []
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.keep(stage(spark, docs, str(tmp_path)), "test")
+        docs = keep(stage(spark, docs, str(tmp_path)), "test")
         results.append(docs)
     rows = X.plain_rows(results[0])
     cut = [(d, t if n == 0 else kept) for (d, t), (_, _, n, kept) in zip(rows, deduped(rows), strict=True)]
