@@ -1,8 +1,8 @@
 """The corpus pipeline: documents through quality rules, line dedup, near-duplicate removal, decontamination and mixing.
 
 Each stage takes (spark, docs, sf_dir), ``docs`` being all that the stage before it kept, and returns
-a DataFrame; ``run`` writes each stage's rows to the shared folder and hands the next one what it
-reads back.
+a DataFrame; ``run`` writes each stage's rows to the shared folder, drops what the stage kept there meanwhile,
+and hands the next one what it reads back.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontam, jaccard_join, line_dedup, mixing, oracles, quality_rules
-from foliant.llm.storage import keep
+from foliant.llm.storage import settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,5 @@ ORACLE_SQL: str | None = oracles.pipeline_sql()
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return docs
