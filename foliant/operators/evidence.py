@@ -9,14 +9,32 @@ from foliant.functions import columns as C
 from foliant.functions import vocab
 
 
-def excerpt(content: Column, value: Column) -> Column:
-    """The shortest table line that holds a value, else the first sentence that does, else the start."""
+def unmarked(text: Column) -> Column:
+    """Links as their targets, without emphasis marks, spaces as one."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\[\[([^\]]+)\]\]", "$1"), r"[*_`]{1,3}", "")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
+def shortened(text: Column) -> Column:
+    return F.when(F.length(text) <= vocab.EXCERPT, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, vocab.EXCERPT - 1)), F.lit("…")))
+
+
+def excerpt(content: Column, value: Column, subject: Column | None = None) -> Column:
+    """The shortest table line that holds a value; else the first sentence that does; else what stands around it; else the
+    first sentence about the subject; else nothing."""
     holds = lambda x: C.mentions(x, value)
     lines = F.filter(F.split(content, "\n"), lambda x: F.contains(x, F.lit("|")) & ~x.rlike(r"(?i)^\s*columns\s*:") & holds(x))
-    shortest = F.array_sort(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    row = F.regexp_replace(F.trim(F.get(shortest, F.lit(0))["x"]), r"\s*\|\s*", " — ")
-    sentence = F.get(F.filter(F.split(F.regexp_replace(content, r"\s+", " "), r"(?<=[.!?])\s+"), holds), F.lit(0))
-    return F.substring(F.coalesce(row, F.trim(sentence)), 1, vocab.EXCERPT)
+    rows = F.transform(lines, lambda x: F.btrim(F.regexp_replace(unmarked(F.btrim(F.trim(x), F.lit("|"))), r"\s*\|\s*", " — "), F.lit(" —")))
+    rows = F.filter(rows, lambda x: ~C.fold(x).isin("", "field value", "columns field value"))
+    shortest = F.get(F.array_sort(F.transform(rows, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), F.lit(0))["x"]
+    plain = unmarked(content)
+    first = lambda of: F.trim(F.get(F.filter(F.split(plain, r"(?<=[.!?])\s+"), of), F.lit(0)))
+    at = F.instr(C.fold(plain), C.fold(value)) - 1
+    start = F.greatest(F.lit(0), at - 80)
+    window = F.when(at >= 0, F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.substring(plain, start + 1, at - start + F.length(value) + 120))))
+    about = [first(lambda x: C.mentions(x, subject))] if subject is not None else []
+    found = shortened(F.coalesce(shortest, first(holds), window, *about, F.lit("")))
+    return F.when(C.fold(value) == "", F.lit("")).otherwise(F.coalesce(found, F.lit("")))
 
 
 def gated(claims: DataFrame, passages: DataFrame) -> DataFrame:

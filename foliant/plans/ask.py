@@ -529,7 +529,7 @@ class Investigator:
         for k, s in enumerate(supported):
             hops, split = int(s.action in derived or s.how in ("graph", "model", "vision")), (s.subject, s.attribute) in contested
             rows.append((k, float(max(r["reliability"] for r in s.rows)), len({r["document_id"] for r in s.rows}), hops, split))
-            cites += [(k, j, r["chunk_id"], r["value_text"]) for j, r in enumerate(s.rows)]
+            cites += [(k, j, r["chunk_id"], r["value_text"], self._name(r.get("subject_id"))) for j, r in enumerate(s.rows)]
         spark = self.archive.spark
         scores, shown = {}, {}
         if rows:
@@ -537,13 +537,15 @@ class Investigator:
             scored = spark.createDataFrame(rows, "k int, best double, documents int, hops int, split boolean").select("k", F.round(score, 6).alias("score"), C.confidence_label(score).alias("label"))
             scores = {r["k"]: r for r in self._rows(scored)}
             content = self.chunks.select("chunk_id", "content")
-            excerpt = F.coalesce(evidence.excerpt(F.col("content"), F.col("value")), F.substring("content", 1, vocab.EXCERPT))
-            cited = F.broadcast(spark.createDataFrame(cites, "k int, j int, chunk_id string, value string"))
+            excerpt = F.coalesce(F.nullif(evidence.excerpt(F.col("content"), F.col("value"), F.col("subject")), F.lit("")), F.substring("content", 1, vocab.EXCERPT))
+            cited = F.broadcast(spark.createDataFrame(cites, "k int, j int, chunk_id string, value string, subject string"))
             shown = {(r["k"], r["j"]): r["excerpt"] for r in self._rows(content.join(cited, "chunk_id").select("k", "j", excerpt.alias("excerpt")))}
         for k, s in enumerate(supported):
             kind = "inferred" if rows[k][3] else "conflicting" if rows[k][4] else "direct"
-            cited = [{"document_id": r["document_id"], "chunk_id": r["chunk_id"], "page": r.get("page"), "source_class": r["source_class"], "excerpt": shown.get((k, j), "")} for j, r in enumerate(s.rows)]
-            out.claims.append({"step": s.key, "text": f"{s.subject or ''} {s.attribute or s.action}: {s.value}".strip(), "kind": kind, "how": s.how, "confidence": scores[k]["score"], "label": scores[k]["label"], "evidence": cited})
+            cited = [{"document_id": r["document_id"], "chunk_id": r["chunk_id"], "page": r.get("page"), "source_class": r["source_class"], "reliability": r["reliability"], "excerpt": shown.get((k, j), "")} for j, r in enumerate(s.rows)]
+            _, best, documents, hops, split = rows[k]
+            reasons = [f"best source has reliability {best:g}", f"{documents} document{'s' * (documents != 1)}", *["derived, not stated"] * hops, *["sources disagree"] * split]
+            out.claims.append({"step": s.key, "text": f"{s.subject or ''} {s.attribute or s.action}: {s.value}".strip(), "kind": kind, "how": s.how, "confidence": scores[k]["score"], "label": scores[k]["label"], "reasons": reasons, "evidence": cited})
         unmet = sum(not s.done for s in out.steps)
         read = sum(s.action in ("search", "scan") and s.done for s in out.steps)
         unresolved = sum((c["gap"] or 0) < vocab.DECISIVE_GAP for c in out.conflicts)

@@ -706,7 +706,10 @@ def lsa_topk(spark, sf):
 # evidence
 
 
-@query("excerpt_lines", f"WITH {CHUNKS}, k AS (SELECT doc_id, content FROM chunks WHERE contains(content, '|')), p AS (SELECT doc_id, arg_min(content, (length(content), content)) AS content FROM k WHERE contains({fold_sql('content')}, 'the') AND NOT regexp_matches(content, '(?i)^\\s*columns\\s*:') GROUP BY doc_id) SELECT doc_id, substr(regexp_replace(trim(content), '\\s*\\|\\s*', ' — ', 'g'), 1, 220) AS excerpt FROM p")
+ROW_TEXT = r"trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(trim(content, chr(9) || chr(10) || chr(13) || ' '), '|'), '\[\[([^\]]+)\]\]', '\1', 'g'), '[*_`]{1,3}', '', 'g'), '\s+', ' ', 'g')), '\s*\|\s*', ' — ', 'g'), ' —')"
+
+
+@query("excerpt_lines", f"WITH {CHUNKS}, k AS (SELECT doc_id, {ROW_TEXT} AS row_text FROM chunks WHERE contains(content, '|') AND contains({fold_sql('content')}, 'the') AND NOT regexp_matches(content, '(?i)^\\s*columns\\s*:')), p AS (SELECT doc_id, arg_min(row_text, (length(row_text), row_text)) AS x FROM k WHERE {fold_sql('row_text')} NOT IN ('', 'field value', 'columns field value') GROUP BY doc_id) SELECT doc_id, CASE WHEN length(x) <= 220 THEN x ELSE rtrim(x[1:219]) || '…' END AS excerpt FROM p")
 def excerpt_lines(spark, sf):
     d = _documents(spark, sf).filter(F.contains("content", F.lit("|")))
     lines = F.exists(F.split("content", "\n"), lambda x: F.contains(x, F.lit("|")) & C.mentions(x, F.lit("the")) & ~x.rlike(r"(?i)^\s*columns\s*:"))

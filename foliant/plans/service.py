@@ -47,7 +47,7 @@ class Service:
             for r in held.join(self.archive.table("figures"), "figure_id").select("chunk_id", "figure_id", "caption", "asset_path").collect():
                 shown.setdefault(r.chunk_id, []).append({"figure_id": r.figure_id, "caption": r.caption, "asset_path": r.asset_path})
         claims = [c | {"evidence": [e | {"relative_path": documents[e["document_id"]].relative_path, "title": documents[e["document_id"]].title, "figures": shown.get(e["chunk_id"], [])} for e in c["evidence"]]} for c in answer["claims"]]
-        return answer | {"claims": claims, "answer_type": answer["question"]["answer_type"], "intent": answer["question"]["intent"], "documents": len(ids)}
+        return answer | {"claims": claims, "answer_type": answer["question"]["answer_type"], "intent": answer["question"]["intent"], "documents": len(ids), "partial": answer["status"].startswith("partial")}
 
     def search(self, text: str, limit: int = 8, mode: str = "hybrid") -> list[dict]:
         """The best chunks for a text; mode: hybrid, keyword or vector."""

@@ -127,12 +127,17 @@ def report(found: DataFrame, documents: DataFrame, done: DataFrame, stored: Data
     return told.join(made).withColumn("unchanged", F.col("discovered") - F.lit(same.count()))
 
 
+#: Versions that may build upon a whole one before the next whole one is written.
+DELTAS = 16
+
+
 class Conflict(RuntimeError):
     """Another writer has claimed the next version of an archive."""
 
 
 class Archive:
-    """Tables of an archive under one folder.  Every write is a new version, claimed first and named by a pointer last."""
+    """Tables of an archive under one folder.  Every write is a new version, claimed first and named by a pointer last; it holds
+    the rows of the documents that it parsed and the ids of those that left, until one in ``DELTAS`` is whole again."""
 
     #: Rows of a document, by its id; then those derived from all rows at once.
     BY_DOCUMENT = ("chunks", "tables", "figures", "warnings", "edges", "mentions", "facts")
@@ -142,20 +147,40 @@ class Archive:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
+    def _history(self) -> list[tuple[int, bool]]:
+        """Versions in order, and whether each is whole; the others hold what changed since the one before."""
         try:
             rows = self.spark.read.text(f"{self.path}/versions").collect()  # one short row per ingestion
         except AnalysisException:
             return []
-        return sorted(int(r.value) for r in rows)
+        return sorted((int(r.value.rstrip("+")), not r.value.endswith("+")) for r in rows)
+
+    def _versions(self) -> list[int]:
+        return [version for version, _ in self._history()]
 
     def table(self, name: str) -> DataFrame | None:
         """A table of the newest version; None where there is none."""
-        held = self._versions()
-        if not held:
-            return None
+        held = self._history()
+        return self._read(name, held) if held else None
+
+    def _read(self, name: str, held: list[tuple[int, bool]]) -> DataFrame | None:
+        """A table as of the last of some versions: rows of a document are those of the last version that parsed it, unless
+        a later one took it out; other tables are whole in every version."""
+        read = lambda version, part: self.spark.read.parquet(f"{self.path}/v{version}/{part}")
         try:
-            return self.spark.read.parquet(f"{self.path}/v{held[-1]}/{name}")
+            if name not in self.BY_DOCUMENT:
+                return read(held[-1][0], name)
+            since = [version for version, _ in held if version >= max(v for v, whole in held if whole)]
+            out = read(since[0], name).withColumn("held_at", F.lit(since[0]))
+            if not since[1:]:
+                return out.drop("held_at")
+            for version in since[1:]:
+                out = out.unionByName(read(version, name).withColumn("held_at", F.lit(version)), allowMissingColumns=True)
+            gone = read(since[1], "gone").withColumn("gone_at", F.lit(since[1]))
+            for version in since[2:]:
+                gone = gone.unionByName(read(version, "gone").withColumn("gone_at", F.lit(version)))
+            last = gone.groupBy("document_id").agg(F.max("gone_at").alias("gone_at"))
+            return out.join(last, "document_id", "left").filter("gone_at IS NULL OR held_at >= gone_at").select([c for c in out.columns if c != "held_at"])
         except AnalysisException:
             return None
 
@@ -198,12 +223,13 @@ class Archive:
             raise Conflict(f"version {version} of {self.path} is being written by another") from e
 
     def _write(self, found: DataFrame | None, removed: DataFrame | None, settings: Settings, force: bool) -> DataFrame | None:
-        held = self._versions()
-        version = (held[-1] if held else 0) + 1
+        held = self._history()
+        version = (held[-1][0] if held else 0) + 1
+        whole = not held or version - max(v for v, w in held if w) >= DELTAS
         self._claim(version)
         new = f"{self.path}/v{version}"
         put = lambda df, name: (df.write.mode("overwrite").parquet(f"{new}/{name}"), self.spark.read.parquet(f"{new}/{name}"))[1]
-        old = {n: self.table(n) for n in self.NAMES} if held else {}
+        old = {n: self._read(n, held) for n in self.NAMES} if held else {}
         stored = old["documents"] if held else None
 
         # documents: what is held and stays, and what is new; then twins among them
@@ -230,16 +256,21 @@ class Archive:
             part = {n: put(done.select(F.explode(n).alias("x")).select("x.*"), f"new/{n}") for n in ("chunks", "tables", "figures")}
             part["warnings"] = done.select("document_id", F.explode("warnings").alias("message"))
             part |= self._derived(part, documents, None if not held else old["entities"])
+        leave = put(leave.distinct(), "gone")
         for name in self.BY_DOCUMENT:
-            kept = old[name].join(leave.distinct(), "document_id", "left_anti") if held else None
-            more = part[name] if found is not None else None
-            put(more if kept is None else kept if more is None else kept.unionByName(more), name)
-        read = lambda n: self.spark.read.parquet(f"{new}/{n}")
-        put(graph.entities(read("chunks"), read("documents")), "entities")
-        self._embed(read("chunks"), put, settings)
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
+            more = part[name] if found is not None else old[name].limit(0)
+            put(old[name].join(leave, "document_id", "left_anti").unionByName(more) if whole and held else more, name)
+        self._close(held, version, whole, put, settings)
         return None if found is None else report(found, documents, done, stored)
 
+    def _close(self, held: list[tuple[int, bool]], version: int, whole: bool, put, settings: Settings) -> None:
+        """What is told from all rows at once, and then the pointer."""
+        now = [*held, (version, whole)]
+        chunks = self._read("chunks", now)
+        put(graph.entities(chunks, self._read("documents", now)), "entities")
+        self._embed(chunks, put, settings)
+        self.spark.createDataFrame([(f"{version}{'' if whole else '+'}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
+
     def _derived(self, part: dict[str, DataFrame], documents: DataFrame, entities: DataFrame | None) -> dict[str, DataFrame]:
         """Edges, mentions and facts of newly parsed chunks: each belongs to one chunk, so those of others stay as they are."""
         made = graph.build(part["chunks"], documents)
@@ -278,9 +309,24 @@ class Archive:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
+    def compact(self) -> None:
+        """Writes all tables anew as a whole version, which later ones build upon."""
+        held = self._history()
+        if held and not held[-1][1]:
+            version = held[-1][0] + 1
+            self._claim(version)
+            for name in (*self.NAMES, *self.VECTORS):
+                self._read(name, held).write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
+            self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
+
     def vacuum(self, keep: int = 2) -> list[int]:
-        """Deletes all versions but the last ``keep``; returns those that went."""
-        gone = self._versions()[:-keep] if keep else []
+        """Compacts, then deletes all versions but the last ``keep`` and those that they build upon; returns those that went."""
+        self.compact()
+        held = self._history()
+        needed = min((max(v for v, whole in held if whole and v <= version) for version, _ in held[-keep:]), default=0) if keep else 0
+        gone = [version for version, _ in held if version < needed]
         for version in gone:
             self._delete(f"{self.path}/v{version}")
+        if gone:  # the pointer forgets them too
+            self.spark.createDataFrame([(f"{v}{'' if whole else '+'}",) for v, whole in held if v >= needed], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/versions")
         return gone

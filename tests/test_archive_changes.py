@@ -55,13 +55,21 @@ def test_twins_are_told_across_streamed_batches(spark, tmp_path):
     assert paths(made) == ["wiki/a.md"]
 
 
-def test_incremental_tables_are_those_of_a_fresh_archive(spark, tmp_path):
+@pytest.mark.parametrize("deltas", [16, 2])
+def test_incremental_tables_are_those_of_a_fresh_archive(spark, tmp_path, monkeypatch, deltas):
+    from foliant.sources import archive
+
+    monkeypatch.setattr(archive, "DELTAS", deltas)
     files = {f"wiki/k{n}.md": f"# Keep {n}\n\nBy [[Keep {(n + 1) % 4}]].\n\n{BOX}| Garrison | {n} |\n| Ruled by | [[House {n % 2}]] |\n" for n in range(4)}
     root, made, _ = store(spark, tmp_path, files)
     (root / "wiki/k1.md").write_text(files["wiki/k1.md"].replace("| 1 |", "| 11 |"))
     (root / "wiki/k9.md").write_text("# Keep 9\n\nnothing\n")
     made.ingest(str(root))
     made.remove("wiki/k9")
+    assert [whole for _, whole in made._history()] == [True, False, deltas == 2]
+    if deltas == 16:
+        assert spark.read.parquet(f"{made.path}/v2/chunks").select("document_id").distinct().count() == 2  # what was parsed, no more
+    made.vacuum(1)
     fresh = Archive(spark, str(tmp_path / "fresh"))
     fresh.ingest(str(root), only="wiki/k")
     fresh.remove("wiki/k9")
@@ -79,7 +87,7 @@ def test_ingestion_by_prefix_by_number_and_by_force(spark, tmp_path):
     assert spark.sql("SELECT count(*) AS n FROM documents").first().n == 3
     made.reset()
     assert made.table("documents").count() == made.table("facts").count() == made.table("chunks").count() == 0
-    assert made.vacuum(1) and made.table("documents").count() == 0
+    assert made.vacuum(1) == [1, 2, 3] and made._versions() == [4] and made.table("documents").count() == 0
 
 
 def test_two_writers_of_one_version_are_told(spark, tmp_path):
@@ -374,3 +382,27 @@ def test_answers_of_a_model_outlive_the_process(tmp_path):
 def test_hops_begin_with_what_the_subject_records(tales):
     answer = ask.Investigator(tales).ask("What is the seat of the victor of the Reed War?")
     assert (answer.question.bridge, answer.headline) == ("victor", "Heron Vale")
+
+
+@pytest.mark.parametrize(
+    ("content", "value", "said"),
+    [
+        ("Columns: Field | Value\n| **Forged** | [[Mist Keep]] in 12 AS |\nForged | 12 AS and much besides", "12 AS", "Forged — Mist Keep in 12 AS"),
+        ("It is *old*. It was forged in\n12 AS, they say. No more.", "12 AS", "It was forged in 12 AS, they say."),
+        ("x" * 100 + " forged 12. AS it is " + "y" * 300, "12 AS", "window"),
+        ("The Keep is old. Nothing else.", "12 AS", "The Keep is old."),
+        ("Nothing at all.", "12 AS", ""),
+        ("a | b", " - ", ""),
+        ("z " * 300 + "12 AS", "12 AS", "long"),
+    ],
+)
+def test_excerpts(spark, content, value, said):
+    from foliant.operators import evidence
+
+    got = spark.createDataFrame([(content, value, "keep")], "c string, v string, s string").select(evidence.excerpt(F.col("c"), F.col("v"), F.col("s")).alias("x")).first().x
+    if said == "window":
+        assert got.startswith("…") and "12. AS" in got and len(got) <= 220
+    elif said == "long":
+        assert len(got) <= 220 and got.endswith("…")
+    else:
+        assert got == said
