@@ -46,6 +46,8 @@ SKETCH_BITS, MOST_BITS, MEAN, PARTS = 22, 26, 64, 64
 LARGE = 280
 #: Postings packed at once by a task, and aimed at per shard; sets per block of a group; salts of a hot class.
 CHUNK, SHARD, BLOCK, SALTS = 1 << 20, 1 << 20, 1024, 16
+#: Bytes of sets per block of a group, so that blocks of long texts hold fewer.
+BLOCK_BYTES = 8 << 20
 
 POSTING = np.dtype([("token", "<u8"), ("set", "<i8"), ("n", "<i4"), ("frequent", "<i2")])
 
@@ -229,7 +231,7 @@ def _pairs(rows: np.ndarray, kind: int, bound: int):
                 yield _batch(np.full(size - 1, members[0]), members[1:], np.ones(size - 1), pa.nulls(size - 1).cast(pa.int64()))
             continue
         i, j = np.triu_indices(size, 1)
-        step = max(1, (1 << 21) // len(i))
+        step = max(1, (1 << 19) // len(i))
         for k in range(0, len(heads), step):
             x, y = ((heads[k : k + step, None] + p).reshape(-1) for p in (i, j))
             nx, ny = rows["n"][x], rows["n"][y]
@@ -239,7 +241,7 @@ def _pairs(rows: np.ndarray, kind: int, bound: int):
                 least = np.minimum(EXTEND, _common(np.maximum(nx, ny)[near])) - np.minimum(rows["frequent"][x], rows["frequent"][y])
                 found.append(_summed(rows["set"][x], rows["set"][y], np.ones(len(x), np.int64), np.full(len(x), 1) if kind else np.maximum(least, 1)))
                 many += len(found[-1][0])
-            if many > 1 << 22:
+            if many > 1 << 21:
                 yield _batch(*_summed(*map(np.concatenate, zip(*found, strict=True))))
                 found, many = [], 0
     if found:
@@ -284,7 +286,8 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["data_a"].to_pylist(), batch["data_b"].to_pylist(), strict=True)]
+            whole = lambda c, k: np.frombuffer(batch[c][k].as_buffer(), np.uint64)  # noqa: B023, E731
+            ok = [_linked(whole("data_a", k), whole("data_b", k)) for k in range(len(batch))]
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept["sig_a"], kept["sig_b"]], names=["a", "b"])
 
@@ -330,7 +333,8 @@ def verified_groups(of: DataFrame, sets: DataFrame) -> DataFrame:
 
     A group is cut in blocks that are compared by pairs; a pair of blocks counts links across it, a block with itself those inside.
     """
-    blocks = of.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = of.join(sets.select("set", F.octet_length("data").alias("bytes")), "set")
+    blocks = sized.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = of.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     spread = placed.select("set", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("set", "own", F.concat_ws(":", "comp", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
