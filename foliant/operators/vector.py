@@ -16,7 +16,9 @@ WORD = r"(?i)[a-z][a-z'-]{1,}"
 #: Queries broadcast at once.
 BLOCK = 4096
 #: Subspace iteration: dimensions beyond those asked for, passes; rows of a partial sum that travel together, cells handled at once.
-SPARE, PASSES, ROWS, CELLS = 16, 4, 256, 20_000
+SPARE, PASSES, ROWS, CELLS = 16, 4, 256, 40_000
+#: Cells a row from which rows are multiplied as dense ones.
+DENSE = 40
 
 
 def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,6 +69,19 @@ def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _dense(row: np.ndarray, i: np.ndarray, w: np.ndarray, rows: int, wide: int) -> np.ndarray:
+    out = np.zeros((rows, wide), np.float32)
+    out[row, i] = w
+    return out
+
+
+def _times(q: np.ndarray, row: np.ndarray, i: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+    """Sparse rows times Q: as a dense product where rows have many cells, which costs less than gathering Q's rows."""
+    if len(i) >= DENSE * rows:
+        return (_dense(row, i, w, rows, len(q)) @ q.astype(np.float32)).astype(np.float64)
+    return _added(row, w[:, None] * q[i], rows)
+
+
 def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     """A'(A Q): each task sends a matrix of the basis' size, vocabulary by dimensions, however many documents it read."""
     shipped = rows.sparkSession.sparkContext.broadcast(basis)
@@ -77,8 +92,11 @@ def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         total = np.zeros(q.shape)
         for batch in batches:
             for lo, hi, row, i, w in _sparse(batch["w"]):
-                y = _added(row, w[:, None] * q[i], hi - lo)
-                total += _added(i, w[:, None] * y[row], len(q))
+                y = _times(q, row, i, w, hi - lo)
+                if len(i) >= DENSE * (hi - lo):
+                    total += _dense(row, i, w, hi - lo, len(q)).T @ y.astype(np.float32)
+                else:
+                    total += _added(i, w[:, None] * y[row], len(q))
         if total.any():
             parts = [total[k : k + ROWS] for k in range(0, len(total), ROWS)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "data"])
@@ -127,7 +145,7 @@ def lsa(docs: DataFrame, key: str, text: str, dimensions: int = vocab.LSA_DIMENS
         for batch in batches:
             out = np.zeros((len(batch), q.shape[1]))
             for lo, hi, row, i, w in _sparse(batch["w"]):
-                out[lo:hi] = _added(row, w[:, None] * q[i], hi - lo)
+                out[lo:hi] = _times(q, row, i, w, hi - lo)
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.reshape(-1)))
