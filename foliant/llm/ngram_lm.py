@@ -275,6 +275,11 @@ def _told(plan: Plan, m: int, grams: list[list[bytes]], contexts: list[list[byte
     yield from ((k, k, 2 * m - 1, PARCEL, [packed(c[a:z]) for c in (heads, *sums)]) for k, a, z in plan.parts(heads))
 
 
+def spread(number: int, parts: int) -> int:
+    """A place for a group's own row, which numbers that count from each task's first would put side by side."""
+    return int(mix(np.array([number], np.uint64))[0]) % parts
+
+
 def exchanged(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.repartitionById(plan.shards, "dest").sortWithinPartitions("dest", "slice", "kind")
 
@@ -347,7 +352,7 @@ def requests(docs: DataFrame, plan: Plan, row: str) -> DataFrame:
                 for k, a, z in plan.parts(keys):
                     lists.setdefault(k, [b""] * len(asked))[level] = steps(distinct(plan.cut(keys[a:z])))
             known, at = np.unique(seq, return_inverse=True)
-            out = [*((k, k, ASK, number, data) for k, data in lists.items()), (number % plan.shards, LAST, OWN, number, [steps(known), packed(at), packed(np.bincount(text, minlength=len(rows)))])]
+            out = [*((k, k, ASK, number, data) for k, data in lists.items()), (spread(number, plan.shards), LAST, OWN, number, [steps(known), packed(at), packed(np.bincount(text, minlength=len(rows)))])]
             own = pa.StructArray.from_arrays([rows[c] for c in FIELDS], list(FIELDS))
             batch = _batch(out)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array([0] * len(out) + [len(rows)], pa.int32()), own)], names=[*batch.schema.names, "rows"])

@@ -517,6 +517,11 @@ def test_kneser_ney_against_the_textbook(spark, monkeypatch, order, ids, group,
         assert w[:2] == h[:2] and h[2] == pytest.approx(w[2], rel=1e-9)
 
 
+def test_groups_of_all_tasks_spread_over_the_shards():
+    places = Counter(ngram_lm.spread(((task + 1) << 32) + n, 64) for task in range(640) for n in (1, 2))
+    assert len(places) == 64 and max(places.values()) < 45
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_kneser_ney_sums_to_one(order):
     texts = ["a b a c", "a b b", "c a b a a", "d a b"]
