@@ -501,7 +501,7 @@ def kneser_ney(texts, order):
     return logp
 
 
-@pytest.mark.parametrize(("order", "ids", "group", "shard"), [(2, ngram_lm.TRUSTED_IDS, ngram_lm.GROUP_WORDS, ngram_lm.SHARD_CHARS), (3, 0, 500, 50), (3, ngram_lm.TRUSTED_IDS, ngram_lm.GROUP_WORDS, ngram_lm.SHARD_CHARS), (4, 0, 500, 500)])
+@pytest.mark.parametrize(("order", "ids", "group", "shard"), [(2, ngram_lm.TRUSTED_IDS, ngram_lm.GROUP_WORDS, ngram_lm.SHARD_CHARS), (3, 0, 500, 4000), (3, ngram_lm.TRUSTED_IDS, ngram_lm.GROUP_WORDS, ngram_lm.SHARD_CHARS), (4, 0, 500, 4000)])
 def test_kneser_ney_against_the_textbook(spark, monkeypatch, order, ids, group, shard):
     for name, value in (("TRUSTED_IDS", ids), ("GROUP_WORDS", group), ("SHARD_CHARS", shard)):
         monkeypatch.setattr(ngram_lm, name, value)
