@@ -130,6 +130,68 @@ b_done AS (SELECT d.* EXCLUDE (w), f.item_id, f.matched_words, f.m AS item_words
 SELECT {select} FROM b_done"""
 
 
+def crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII text; ``crc_table`` must be in scope as a table of one row, ``t``."""
+    return f"xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])))"
+
+
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_concat([i::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))"""
+
+
+def repair_sql() -> str:
+    """Repairs from the last row to the first: of every state of the grammar the least (cost, edits) and the rows they give."""
+    best = lambda options: f"list_sort([{', '.join(options)}])[1]"
+    end = "{'c': %s, 'a': %s, 'r': %s}"
+    far = end % (1 << 40, "''", "[]::VARCHAR[]")
+    to_role = {0: ("user", 2), 1: ("user", 2), 2: ("assistant", 3), 3: ("user", 2)}
+    keeps = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+    def then(state: int, cost: str, label: str, line: str) -> str:
+        return end % (f"v[{state + 1}].c + {cost}", f"'{label}' || v[{state + 1}].a", f"list_concat({line}, v[{state + 1}].r)")
+
+    def consumed(state: int, before: str, lines: str, cost: int) -> list[str]:
+        """Options that read the row, after the insertions ``before`` that put out ``lines``."""
+        role, to = to_role[state]
+        out = [then(state, f"{cost} + 4", before + "D", lines)]
+        out.append(f"CASE WHEN fault < 2 THEN {then(to, f'{cost} + 3 + 3 * fault', before + 'R', f'list_concat({lines}, [{chr(39)}{role}:{chr(39)} || text])')} ELSE {far} END")
+        for initial, kept_to in keeps[state].items():
+            out.append(f"CASE WHEN fault < 2 AND left(role, 1) = '{initial}' THEN {then(kept_to, f'{cost} + 3 * fault', before + 'K', f'list_concat({lines}, [role || {chr(39)}:{chr(39)} || text])')} ELSE {far} END")
+        return out
+
+    def options(state: int) -> list[str]:
+        out, at, lines, before = [], state, [], ""
+        for inserted in range(3):
+            out += consumed(at, before, f"[{', '.join(lines)}]::VARCHAR[]", 3 * inserted)
+            role, at = to_role[at]
+            lines, before = [*lines, f"'{role}:'"], before + "I"
+        return out
+
+    states = ", ".join(best(options(s)) for s in range(4))
+    closed = ", ".join(end % x for x in ((0, "''", "[]::VARCHAR[]"), (6, "'II'", "['user:', 'assistant:']"), (3, "'I'", "['assistant:']"), (0, "''", "[]::VARCHAR[]")))
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+r_dealt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS dealt FROM conversations, crc_table),
+r_rows AS (SELECT conv_id, turn, CASE WHEN dealt = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN dealt = 1 THEN '' WHEN dealt = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE dealt WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM r_dealt)),
+r_placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(0) || text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM r_rows),
+r_seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS time, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS closing,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM r_placed),
+r_faults AS (SELECT *, CASE WHEN closing = '' THEN 'blank' WHEN time > 1 THEN 'duplicate' WHEN closing NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind FROM r_seen),
+r_marked AS (SELECT *, CASE kind WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END AS fault FROM r_faults),
+r_steps AS (
+  SELECT DISTINCT conv_id, n AS i, [{closed}] AS v FROM r_marked
+  UNION ALL SELECT m.conv_id, m.i - 1, [{states}] FROM r_steps s JOIN r_marked m ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.i = m.i),
+r_counts AS (SELECT conv_id, (max(turn) - min(turn) + 1 - count(DISTINCT turn))::BIGINT AS gaps, count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate,
+  count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r_marked GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN r_counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN r_steps s ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = 0"""
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
@@ -146,6 +208,7 @@ ORACLES: dict[str, str] = {
     "op8_decontam": decontam_sql() + " WHERE matched_words IS NOT NULL",
     "op9_jaccard_join": jaccard_sql(),
     "op10_mixing": mixing_sql(),
+    "op13_conversation_repair": repair_sql(),
 }
 
 
