@@ -177,7 +177,9 @@ r_rows AS (SELECT conv_id, turn, CASE WHEN dealt = 4 THEN 'user' ELSE role END A
   CASE WHEN dealt = 1 THEN '' WHEN dealt = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM (SELECT *, unnest(range(CASE dealt WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM r_dealt)),
 r_placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(0) || text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM r_rows),
-r_seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS time, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS closing,
+r_seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS time, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS closing,
   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM r_placed),
 r_faults AS (SELECT *, CASE WHEN closing = '' THEN 'blank' WHEN time > 1 THEN 'duplicate' WHEN closing NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind FROM r_seen),
 r_marked AS (SELECT *, CASE kind WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END AS fault FROM r_faults),
@@ -192,6 +194,32 @@ FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN r_counts c ON e.co
 LEFT JOIN r_steps s ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = 0"""
 
 
+def leaderboard_sql() -> str:
+    """Running revenue on the dense grid of a nation's items and arrival days."""
+    key = " || ',' || ".join(f"coalesce({c}::VARCHAR, '')" for c in ("sale_id", "item_id", "vendor_id", "line_no"))
+    return rf"""
+WITH {CRC_TABLE},
+b_keyed AS (SELECT *, {crc_sql(key)} AS h FROM sale_lines, crc_table),
+b_days AS (SELECT *, coalesce(shipped_at::DATE - DATE '1970-01-01', 19723 + h % 150)::BIGINT AS s FROM b_keyed),
+b_arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM b_days),
+b_dealt AS (SELECT *, least(10, 1 + floor((a - 19723) * 10 / 180.0))::INT AS batch FROM b_arrived),
+b_newest AS (SELECT batch, max(s) AS newest FROM b_dealt GROUP BY batch),
+b_floor AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM b_newest),
+b_lines AS (
+  SELECT v.nation_id, d.item_id, d.a, d.batch,
+    CASE WHEN flag = 'swapped' THEN -1 ELSE 1 END * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0) AS cents
+  FROM b_dealt d JOIN b_floor f ON d.batch = f.batch AND NOT coalesce(d.s + 3 < f.newest, false)
+    JOIN vendors v ON d.vendor_id = v.vendor_id AND v.nation_id IS NOT NULL JOIN items i ON d.item_id = i.item_id),
+b_sums AS (SELECT nation_id, item_id, a, sum(cents)::BIGINT AS cents FROM b_lines GROUP BY ALL),
+b_grid AS (SELECT d.nation_id, d.a, d.batch, i.item_id FROM (SELECT nation_id, a, any_value(batch) AS batch FROM b_lines GROUP BY nation_id, a) d JOIN (SELECT DISTINCT nation_id, item_id FROM b_lines) i USING (nation_id)),
+b_running AS (SELECT g.*, sum(coalesce(cents, 0)) OVER (PARTITION BY nation_id, item_id ORDER BY a)::BIGINT AS revenue FROM b_grid g LEFT JOIN b_sums USING (nation_id, item_id, a)),
+b_ranked AS (SELECT *, row_number() OVER (PARTITION BY nation_id, a ORDER BY revenue <= 0, revenue DESC, item_id) AS place FROM b_running),
+b_ranks AS (SELECT *, CASE WHEN revenue > 0 AND place <= 10 THEN place::INT END AS new_rank FROM b_ranked),
+b_both AS (SELECT *, lag(new_rank) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS old_rank FROM b_ranks)
+SELECT nation_id, a AS arrival_day, item_id, batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, old_rank, new_rank, revenue
+FROM b_both WHERE old_rank IS DISTINCT FROM new_rank"""
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
@@ -208,6 +236,7 @@ ORACLES: dict[str, str] = {
     "op8_decontam": decontam_sql() + " WHERE matched_words IS NOT NULL",
     "op9_jaccard_join": jaccard_sql(),
     "op10_mixing": mixing_sql(),
+    "op11_leaderboard": leaderboard_sql(),
     "op13_conversation_repair": repair_sql(),
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, conversation_repair, decontam, jaccard_join, line_dedup, mixing, ngram_lm, pii, quality_rules, url_filter, warc
+from foliant.llm import chat_format, conversation_repair, decontam, jaccard_join, leaderboard, line_dedup, mixing, ngram_lm, pii, quality_rules, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
+def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines")
+    cut = leaderboard.cut(lines, table(spark, sf_dir, "vendors"), table(spark, sf_dir, "items"))
+    return leaderboard.feed(cut, leaderboard.shards_for(lines.count()))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return conversation_repair.report(conversation_repair.damaged(conversations), conversations)
@@ -89,5 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mixing": op10_mixing,
+    "op11_leaderboard": op11_leaderboard,
     "op13_conversation_repair": op13_conversation_repair,
 }
