@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, conversation_repair, decontam, jaccard_join, leaderboard, line_dedup, mixing, ngram_lm, pii, quality_rules, url_filter, warc
+from foliant.llm import chat_format, conversation_repair, decontam, html_extract, jaccard_join, leaderboard, line_dedup, mixing, ngram_lm, pii, quality_rules, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.feed(cut, leaderboard.shards_for(lines.count()))
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return conversation_repair.report(conversation_repair.damaged(conversations), conversations)
@@ -96,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mixing": op10_mixing,
     "op11_leaderboard": op11_leaderboard,
+    "op12_html_extract": op12_html_extract,
     "op13_conversation_repair": op13_conversation_repair,
 }
