@@ -216,6 +216,12 @@ def shards_for(keys: int) -> int:
     return SHARDS << max(0, (max(keys, 1) - 1) // (SHARDS * SHARD_KEYS)).bit_length()
 
 
+def salts_for(refs: int, shards: int) -> int:
+    """Salts a shard, so that a task meets ``TASK_REFS`` references.  Keys and filters are copied once a salt: since a shard's keys are
+    bounded, all copies together are in proportion to the references."""
+    return max(SALTS, -(-refs // (shards * TASK_REFS)))
+
+
 FILTERS = "shard int, data array<binary>"
 
 
@@ -327,9 +333,9 @@ def rewritten(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def to_drop(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, gone: what each document must drop, kept."""
     refs = keep(references(docs), "line_refs")
-    salts = max(SALTS, -(-refs.count() // (SHARDS * TASK_REFS)))
     heavy = keep_while(lambda: reference_counts(refs).filter(F.col("n_docs") >= min_docs), "line_counts")
     shards = shards_for(heavy.count())
+    salts = salts_for(refs.count(), shards)
     made = keep_while(lambda: changed_filters(None, heavy.select(shard_of(shards), "k1", F.lit(True).alias("add"))), "line_filters")
     return keep_while(lambda: (drops(refs, heavy, made, shards, salts), refs, heavy, made), "line_drops")
 
@@ -353,8 +359,8 @@ def report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 class LineIndex:
     """An incremental index in the shared folder: references, counts, and the filters of keys that must drop.
 
-    ``insert`` adds references; ``delete`` marks ids as deleted, and references of an id count again only if it
-    is inserted once more.  Either one renews the counts of the keys that it touches and changes the filters by the keys whose
+    ``insert`` adds references; ``delete`` rewrites the references without those of the deleted ids, which count again only if they
+    are inserted once more.  Either one renews the counts of the keys that it touches and changes the filters by the keys whose
     count crosses ``min_docs``; filters of other shards stay as they are.
     """
 

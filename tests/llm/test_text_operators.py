@@ -550,3 +550,13 @@ def test_kneser_ney_without_rows_or_trust(spark):
 
 def test_digest_of_signature():
     assert jaccard_join._short(hashlib.blake2b(b"x", digest_size=16).digest()) < 2**63
+
+
+def test_copies_of_line_tables_do_not_outgrow_the_references():
+    from foliant.llm import line_dedup as D
+
+    for power in range(6, 13):
+        refs, keys = 10**power, 10 ** (power - 3)
+        shards = D.shards_for(keys)
+        salts = D.salts_for(refs, shards)
+        assert salts * keys <= max(D.SALTS * keys, D.SHARD_KEYS / D.TASK_REFS * refs + keys) and refs / (shards * salts) <= D.TASK_REFS
