@@ -11,8 +11,9 @@ runs of ``HALF`` words are lossless (one half of the item is unchanged); shorter
 Words are runs of bytes other than ASCII space and punctuation, A-Z lower-cased.
 
 The benchmark side is broadcast in blocks: ``BLOCK_WORDS`` bounds what one block holds, the number of
-blocks follows from a count, and every block meets all documents, so a benchmark of any size gives
-whole results with bounded memory.  Documents are read and never shuffled.
+blocks follows from a count, and every block meets all documents.  With several blocks, what a block finds
+is written before the next one is built, so driver and workers hold one block at a time.  Documents are
+read and never shuffled.
 
 Defined results: null or empty texts and items hold nothing and match nothing; repeated rows are
 judged row by row; items that share an item_id are one item with several texts, an item_id or doc_id
@@ -22,13 +23,16 @@ of null is reported as such; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.storage import drop_table, keep
 from foliant.llm.tokens import MARK_BYTES, runs, slices, text_bytes, word_hashes
 from foliant.session import ship
 
@@ -98,8 +102,10 @@ class SeedIndex:
         return (int(same.sum()), low - a) if (sums[window:] - sums[:-window]).max() >= window - allowed else None
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
-    """Broadcast seed indexes over all items, each of about ``block_words`` words."""
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast seed indexes over all items, each of about ``block_words`` words, and whether another one follows.
+
+    A block goes when the next one is asked for."""
     spark = benchmark.sparkSession
     ship(spark)
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter("text != ''")
@@ -107,7 +113,11 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
     n = -(-total // block_words)
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield spark.sparkContext.broadcast(SeedIndex([r[0] for r in rows], [r[1] for r in rows]))
+        shipped = spark.sparkContext.broadcast(SeedIndex([r[0] for r in rows], [r[1] for r in rows]))
+        del rows
+        yield shipped, b + 1 < n
+        if b + 1 < n:
+            shipped.destroy()
 
 
 def _found(index: SeedIndex, column: pa.Array):
@@ -136,7 +146,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    parts = [one(x) for x in blocks(benchmark, block_words)]
+    parts = []
+    for shipped, more in blocks(benchmark, block_words):
+        found = one(shipped)
+        parts.append(keep(found, "found") if more else found)
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -155,6 +168,12 @@ def holds(text: Column, shipped) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage."""
-    for shipped in blocks(benchmark, block_words):
+    kept = None
+    for shipped, more in blocks(benchmark, block_words):
         docs = docs.filter(~holds(F.coalesce(F.col("text"), F.lit("")), shipped))
+        if more:
+            before, docs = kept, keep(docs, "clean")
+            kept = docs
+            if before is not None:
+                drop_table(before)
     return docs

@@ -560,3 +560,29 @@ def test_copies_of_line_tables_do_not_outgrow_the_references():
         shards = D.shards_for(keys)
         salts = D.salts_for(refs, shards)
         assert salts * keys <= max(D.SALTS * keys, D.SHARD_KEYS / D.TASK_REFS * refs + keys) and refs / (shards * salts) <= D.TASK_REFS
+
+
+def test_a_worker_holds_one_block_of_the_benchmark(spark, monkeypatch):
+    from foliant.llm import decontam as D
+
+    held = []
+    real = D.holds
+    monkeypatch.setattr(D, "holds", lambda text, shipped: held.append(shipped) or real(text, shipped))
+    docs = X.documents(spark)
+    long = [r.text for r in docs.select("text").distinct().collect() if r.text and 20 < len(r.text.split()) < 200][:6]
+    bench = spark.createDataFrame(list(enumerate(long)), "item_id bigint, text string")
+    kept = D.clean(docs, bench, 60)
+    assert len(held) > 3 and kept._jdf.queryExecution().toString().count("ArrowEvalPython") <= 4  # a UDF in each of the four plans
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, D.clean(docs, bench).collect()))
+    assert sorted(map(repr, D.contaminated(docs, bench, 60).collect())) == sorted(map(repr, D.contaminated(docs, bench).collect()))
+
+
+def test_urls_and_labels_that_are_null_teach_without_failing(spark):
+    from foliant.llm import url_filter as U
+
+    rows = [(None, None, None, 1), ("http://a/", "a", "/", None), ("http://b/1", "b", "/1", 0)] * 30
+    labelled = spark.createDataFrame(rows, "url string, host string, path string, block int")
+    assert U.train(labelled).score(["http://b/1"], ["b"], ["/1"]).shape == (1,)
+    assert U.held_out(labelled)["judged"] >= 0
+    pages = spark.createDataFrame([(1, None), (2, "http://b/1")], "page_id bigint, url string")
+    assert {r.verdict for r in U.judge(pages, labelled=labelled).collect()} <= {"allow", "block"}
