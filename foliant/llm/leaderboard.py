@@ -42,7 +42,10 @@ _STATE = "items binary, revenue binary, listed_items binary, listed_revenue bina
 
 
 def cut(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFrame:
-    """Sale lines as the feed's lines.  Of repeated vendors and items the smallest nation and price hold; other columns are ignored."""
+    """Sale lines as the feed's lines.  Of repeated vendors and items the smallest nation and price hold; other columns are ignored.
+
+    Items grow with the lines, so they meet by sorting at every size, and a hot item is split; vendors are broadcast only while
+    Spark counts them small."""
     nations = vendors.filter("vendor_id IS NOT NULL").groupBy(F.col("vendor_id").alias("v")).agg(F.min("nation_id").alias("nation_id"))
     prices = items.filter("item_id IS NOT NULL").groupBy(F.col("item_id").alias("i")).agg(F.min(F.floor(100 * F.col("price") + 0.5).cast("double")).alias("price_cents"))
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")]
@@ -51,7 +54,7 @@ def cut(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFrame:
     arrival = F.col("event_day") + F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0)
     own = lines.select("item_id", "vendor_id", "quantity", "amount", "flag", "shipped_at", h.alias("h")).withColumn("event_day", day).withColumn("arrival_day", arrival.cast("int"))
     batch = F.least(F.lit(BATCHES), 1 + F.floor((F.col("arrival_day") - FIRST_DAY) * BATCHES / DAYS)).cast("int")
-    joined = own.join(nations, F.col("vendor_id") == F.col("v"), "left").join(prices, F.col("item_id") == F.col("i"), "left")
+    joined = own.join(nations, F.col("vendor_id") == F.col("v"), "left").join(prices.hint("merge"), F.col("item_id") == F.col("i"), "left")
     counted = F.col("nation_id").isNotNull() & F.col("i").isNotNull()
     cents = F.coalesce(F.floor(100 * F.col("amount") + 0.5).cast("double"), F.col("quantity") * F.col("price_cents"), F.lit(0.0))
     cents = F.when(F.col("flag") == "swapped", -cents).otherwise(cents).cast("bigint")
