@@ -102,7 +102,7 @@ def phrase(chunks: DataFrame, terms: list[str], key: str = "chunk_id", text: str
 
     # a lambda variable holds the tokens, which would else be cut anew for each of them
     once = F.transform(F.array(tokens(F.col(text))), hits)[0]
-    return chunks.filter(F.contains(F.lower(text), F.lit(terms[0]))).select(key, once.alias("hits")).filter("hits > 0")
+    return chunks.filter(F.contains(folded(F.coalesce(F.col(text), F.lit(""))), F.lit(terms[0]))).select(key, once.alias("hits")).filter("hits > 0")
 
 
 def query_terms(text: str) -> tuple[list[str], list[list[str]]]:

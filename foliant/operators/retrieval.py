@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
 from foliant.functions import vocab
-from foliant.operators import lexical, vector
+from foliant.operators import inverted, lexical, vector
 
 
 class Retriever:
-    """Searches chunks.  Without vectors, or when they fail, the lexical order stands alone and ``vector`` is no channel."""
+    """Searches chunks.  Without vectors, or when they fail, the lexical order stands alone and ``vector`` is no channel.
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, space: DataFrame | None = None, weights=vocab.FUSION):
+    With a stored ``index`` no text is read to rank chunks; without one, all are."""
+
+    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, space: DataFrame | None = None, weights=vocab.FUSION, index: inverted.Index | None = None):
         self.chunks = chunks.withColumn("reliability", C.reliability(F.col("source_class")))
         self.vectors, self.weights, self.failure = vectors, weights, None
         rows = space.orderBy("term").collect() if space is not None else []  # a vocabulary's cap of rows
+        self.stored = index
         self.index = {r.term: k for k, r in enumerate(rows)}
         self.idf = np.array([r.idf for r in rows])
         self.parts = np.array([r.component for r in rows])
@@ -33,9 +36,15 @@ class Retriever:
             terms, joint = lexical.query_terms(text)
             rows += [(query, t) for t in terms]
             phrases += [(query, p) for p in joint]
-        scored = lexical.bm25(self.chunks, spark.createDataFrame(rows, "query_id bigint, term string"))
+        terms = spark.createDataFrame(rows, "query_id bigint, term string")
+        stored = self.stored
+        if stored is not None and not phrases:
+            pool = stored.top(terms, vocab.POOL * depth).withColumnRenamed("key", "chunk_id")
+            return lexical.reranked(pool, self.chunks.select("chunk_id", "reliability"), depth)
+        scored = lexical.bm25(self.chunks, terms) if stored is None else stored.scores(terms).withColumnRenamed("key", "chunk_id")
         for query, words in phrases:  # a hyphenated term also finds its parts side by side
-            found = lexical.phrase(self.chunks, words).select(F.lit(query).cast("bigint").alias("query_id"), "chunk_id", F.col("hits").cast("double").alias("score"))
+            found = lexical.phrase(self.chunks, words) if stored is None else stored.phrase(words).withColumnRenamed("key", "chunk_id")
+            found = found.select(F.lit(query).cast("bigint").alias("query_id"), "chunk_id", F.col("hits").cast("double").alias("score"))
             scored = scored.unionByName(found).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
         return lexical.reranked(lexical.top(scored, vocab.POOL * depth), self.chunks.select("chunk_id", "reliability"), depth)
 
@@ -66,4 +75,4 @@ class Retriever:
 
 def of(archive, weights=vocab.FUSION) -> Retriever:
     """A retriever over the newest version of an archive."""
-    return Retriever(archive.table("chunks"), archive.table("vectors"), archive.table("vector_space"), weights)
+    return Retriever(archive.table("chunks"), archive.table("vectors"), archive.table("vector_space"), weights, archive.index())

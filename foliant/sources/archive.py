@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from foliant.functions import columns as C
 from foliant.functions import vocab
 from foliant.operators import facts as facts_of
-from foliant.operators import graph, prose, vector
+from foliant.operators import graph, inverted, prose, vector
 from foliant.operators.chunking import chunk
 from foliant.session import ship
 from foliant.sources.parsers import parse
@@ -260,9 +260,44 @@ class Archive:
         for name in self.BY_DOCUMENT:
             more = part[name] if found is not None else old[name].limit(0)
             put(old[name].join(leave, "document_id", "left_anti").unionByName(more) if whole and held else more, name)
+        fresh_chunks = part["chunks"] if found is not None else old["chunks"].limit(0)
+        self._index(f"{new}/index", held, whole, fresh_chunks, old["chunks"].join(leave, "document_id", "left_semi") if held else None)
         self._close(held, version, whole, put, settings)
         return None if found is None else report(found, documents, done, stored)
 
+    def _index(self, path: str, held: list[tuple[int, bool]], whole: bool, fresh: DataFrame, leaving: DataFrame | None) -> None:
+        """The lexical index of a version: a segment of what changed, or all that is held as one segment."""
+        found, totals = inverted.entries(fresh, "chunk_id", "content"), inverted.totals_of(fresh, "content")
+        before = self._index_of(held)
+        if before is None:
+            inverted.write(path, found, totals)
+            return
+        gone = leaving.select(F.col("chunk_id").alias("key"))
+        less = inverted.totals_of(leaving, "content").select((-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens"))
+        if whole:
+            kept = before.entries().join(gone, "key", "left_anti")
+            inverted.write(path, kept.unionByName(found), before.whole().select("n", "tokens").unionByName(totals).unionByName(less).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")))
+        else:
+            fewer = inverted.entries(leaving, "chunk_id", "content").groupBy("term").agg((-F.count("*")).alias("df"))
+            inverted.write(path, found, totals.unionByName(less), fewer, gone)
+
+    def _index_of(self, held: list[tuple[int, bool]]) -> inverted.Index | None:
+        """The index as of the last of some versions; None where a version was written without one."""
+        if not held:
+            return None
+        since = [version for version, _ in held if version >= max(v for v, whole in held if whole)]
+        segments = [(version, f"{self.path}/v{version}/index") for version in since]
+        return inverted.Index(self.spark, segments) if all(self._exists(path) for _, path in segments) else None
+
+    def index(self) -> inverted.Index | None:
+        """The lexical index of the newest version."""
+        return self._index_of(self._history())
+
+    def _exists(self, path: str) -> bool:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+
     def _close(self, held: list[tuple[int, bool]], version: int, whole: bool, put, settings: Settings) -> None:
         """What is told from all rows at once, and then the pointer."""
         now = [*held, (version, whole)]
@@ -317,6 +352,8 @@ class Archive:
             self._claim(version)
             for name in (*self.NAMES, *self.VECTORS):
                 self._read(name, held).write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
+            if (index := self._index_of(held)) is not None:
+                inverted.write(f"{self.path}/v{version}/index", index.entries(), index.whole().select("n", "tokens"))
             self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
 
     def vacuum(self, keep: int = 2) -> list[int]:
