@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliant.llm.storage import drop_path, forget, new_path
+from foliant.llm.storage import drop_path, forget, keep, new_path
 from foliant.session import ship
 
 #: Places on a board, and days that a line may be older than the newest line of earlier batches.
@@ -48,6 +48,7 @@ def cut(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFrame:
     Spark counts them small."""
     nations = vendors.filter("vendor_id IS NOT NULL").groupBy(F.col("vendor_id").alias("v")).agg(F.min("nation_id").alias("nation_id"))
     prices = items.filter("item_id IS NOT NULL").groupBy(F.col("item_id").alias("i")).agg(F.min(F.floor(100 * F.col("price") + 0.5).cast("double")).alias("price_cents"))
+    prices = keep(prices, "prices")  # read as it lies, so that its join is one of two plain exchanges, which Spark can split at a hot item
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")]
     h = F.crc32(F.concat_ws(",", *parts))
     day = F.coalesce(F.unix_date(F.col("shipped_at").cast("date")), (F.lit(FIRST_DAY) + F.col("h") % 150).cast("int"))
