@@ -61,15 +61,20 @@ class Retriever:
             self.failure = f"{type(e).__name__}: {e}"
             return None
 
-    def search(self, asked: list[tuple[int, str]], limit: int = 8, names: list[str] = [], mode: str = "hybrid") -> DataFrame:  # noqa: B006
-        """query_id, rank, chunk_id, score, channels and the chunk's columns, of queries (id, text); mode: hybrid, keyword or vector."""
+    def search(self, asked: list[tuple[int, str]], limit: int = 8, names: list[str] | dict[int, list[str]] = [], mode: str = "hybrid") -> DataFrame:  # noqa: B006
+        """query_id, rank, chunk_id, score, channels and the chunk's columns, of queries (id, text); mode: hybrid, keyword or vector.
+
+        ``names`` of entities, of all queries or by query, raise chunks that mention them."""
         words = self._lexical(asked, vocab.DEPTH if mode == "hybrid" else limit).select("query_id", "chunk_id", F.col("blend").alias("norm")) if mode != "vector" else None
         near = self._semantic(asked, vocab.DEPTH if mode == "hybrid" else limit) if mode != "keyword" else None
         empty = self.chunks.sparkSession.createDataFrame([], "query_id bigint, chunk_id string, cosine double, norm double")
         words = empty.select("query_id", "chunk_id", "norm") if words is None else words
         near = empty.select("query_id", "chunk_id", "cosine") if near is None else near
-        traits = self.chunks.select("chunk_id", "reliability", vector.entity_overlap(F.col("content"), names).alias("entity_overlap"))
-        hits = lexical.top(vector.fused(words, near, traits, "chunk_id", self.weights), limit)
+        own = names if isinstance(names, dict) else {query: names for query, _ in asked}
+        named = self.chunks.sparkSession.createDataFrame([(query, [n.lower() for n in of]) for query, of in own.items() if of], "query_id bigint, names array<string>")
+        parts = vector.candidates(words, near, self.chunks.select("chunk_id", "reliability", F.lower("content").alias("low")), "chunk_id").join(F.broadcast(named), "query_id", "left")
+        share = F.size(F.filter("names", lambda n: F.contains(F.col("low"), n))) / F.size("names")
+        hits = lexical.top(vector.blended(parts.withColumn("entity_overlap", F.when(F.size("names") > 0, share).otherwise(0.0)), "chunk_id", self.weights), limit)
         return hits.join(self.chunks, "chunk_id")
 
 

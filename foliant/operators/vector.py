@@ -223,10 +223,15 @@ def _score(weights) -> Column:
     return part("bm25") + part("vector") + weights["entity"] * F.coalesce("entity_overlap", F.lit(0.0)) + part("reliability")
 
 
+def blended(parts: DataFrame, key: str, weights: dict[str, float] = vocab.FUSION) -> DataFrame:
+    """query_id, key, score, channels of candidates with reliability and entity_overlap."""
+    channels = F.concat_ws("+", F.when(F.col("bm25").isNotNull(), "keyword"), F.when(F.col("vector").isNotNull(), "vector"))
+    return parts.select("query_id", key, "bm25", "vector", _score(weights).alias("score"), channels.alias("channels"))
+
+
 def fused(lexical: DataFrame, vector: DataFrame, traits: DataFrame, key: str, weights: dict[str, float] = vocab.FUSION) -> DataFrame:
     """query_id, key, score, channels of ``candidates``."""
-    channels = F.concat_ws("+", F.when(F.col("bm25").isNotNull(), "keyword"), F.when(F.col("vector").isNotNull(), "vector"))
-    return candidates(lexical, vector, traits, key).select("query_id", key, "bm25", "vector", _score(weights).alias("score"), channels.alias("channels"))
+    return blended(candidates(lexical, vector, traits, key), key, weights)
 
 
 def swept(parts: DataFrame, grid: list[dict[str, float]], key: str, k: int) -> DataFrame:

@@ -1,8 +1,9 @@
 """Answering questions: a question becomes a list of steps, steps become lookups, findings become cited claims.
 
 The control plane is small and runs on the driver: words to attributes and entities, an intent, steps
-with what each needs.  Every step is a DataFrame query over the fact, edge or chunk tables, and the
-loop stops by budget, by standstill or when nothing is left to do, and says which.
+with what each needs.  An investigation yields its needs and goes on with what it is sent, so any number of questions run
+side by side: ``rounds`` answers the needs of all of them with one join a kind.  The loop of a question stops by budget, by
+standstill or when nothing is left to do, and says which.
 """
 
 from __future__ import annotations
@@ -11,19 +12,16 @@ import re
 import time
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from foliant.functions import columns as C
 from foliant.functions import vocab
-from foliant.operators import evidence, facts, figures, graph, prose, retrieval, temporal
+from foliant.operators import figures, retrieval
 from foliant.plans import language as W
+from foliant.plans.rounds import Investigation, Need, Rounds
 from foliant.sources.adapters import NullModel, NullVision
 from foliant.sources.archive import Archive, Settings
 from foliant.sources.gateway import merged
 
-#: Passages that a search step reads, that prose is looked for in, and that a model is shown.
-PASSAGES, PROSE_PASSAGES, SHOWN = 6, 12, 10
+#: Passages that a model is shown.
+SHOWN = 10
 #: Edge predicates that say what an attribute says.
 PREDICATES_OF: dict[str, list[str]] = {}
 for _label, _attribute in vocab.ATTRIBUTES.items():
@@ -188,162 +186,168 @@ class Answer:
     visual_gaps: list[str] = field(default_factory=list)
     trace: list[str] = field(default_factory=list)
     prose: str | None = None
+    #: Recorded values of operands that are no numbers.
+    rejected: list[str] = field(default_factory=list)
 
     def to_dict(self) -> dict:
         return asdict(self)
 
 
 class Investigator:
-    """Asks an archive.  Dimensions that the analysis needs (names) are read once; facts stay on the cluster."""
+    """Asks an archive.  Facts stay on the cluster; what a question needs of them comes by ``Rounds``."""
 
     def __init__(self, archive: Archive, settings: Settings = Settings(), model=None, vision=None):  # noqa: B008
         self.archive, self.settings, self.model, self.vision = archive, settings, model or NullModel(), vision or NullVision()
-        self.facts, self.chunks, self.documents, self.edges, self.entities, self.figures = (archive.table(n) for n in ("facts", "chunks", "documents", "edges", "entities", "figures"))
         self.retriever = retrieval.of(archive, settings.weights)
-        self.queries = 0
-        self._known: dict[str, str] = {}
+        self.rounds = Rounds(archive, self.retriever)
 
     def names_in(self, text: str) -> dict[str, str]:
-        """Names of entities and subjects that a text may hold: those whose every word it has.  Only these reach the driver."""
-        said = re.findall(r"\w+", text.lower())
-        words = sorted({*said, *(w[:-1] for w in said if w.endswith("s"))})
-        names = self.entities.select(F.lower("name").alias("name"), "entity_id").union(self.facts.select(F.lower("subject_name").alias("name"), F.col("subject_id").alias("entity_id")))
-        parts = F.filter(F.split("name", r"(?U)\W+"), lambda w: w != "")
-        held = names.filter((F.size(parts) > 0) & F.forall(parts, lambda w: w.isin(words) if words else F.lit(False))).distinct()
-        found = {r.name: r.entity_id for r in held.collect()}
-        self._known |= {e: n for n, e in found.items()}
-        return found
-
-    def _rows(self, df: DataFrame) -> list[dict]:
+        """Names of entities and subjects that a text may hold: those whose every word it has."""
+        return self.rounds.drive([_Run(self, text).names(text)])[0]
+
+    def ask(self, text: str) -> Answer:
+        return self.ask_many([text])[0]
+
+    def ask_many(self, texts: list[str]) -> list[Answer]:
+        """Answers, in order.  The number of jobs does not grow with that of the questions, up to ``rounds.BLOCK`` of them."""
+        return self.rounds.drive([_Run(self, text).answer() for text in texts])
+
+
+class _Run:
+    """One question's investigation; its methods yield needs."""
+
+    def __init__(self, of: Investigator, text: str):
+        self.text, self.settings, self.model, self.vision = text, of.settings, of.model, of.vision
+        self.queries, self.known = 0, {}
+        self.out: Answer
+
+    def _need(self, kind: str, *args) -> Investigation:
         self.queries += 1
-        return [r.asDict(True) for r in df.collect()]
+        found = yield Need(kind, args)
+        return [dict(r) for r in found] if found and isinstance(found, list) and isinstance(found[0], dict) else found
 
-    def _value(self, *columns):
-        """Column expressions of literals, evaluated."""
-        return tuple(self.archive.spark.range(1).select(*columns).first())
+    def _all(self, needs: list[Need]) -> Investigation:
+        """Several needs at once, which count as one query."""
+        self.queries += bool(needs)
+        return (yield needs) if needs else []
+
+    def names(self, text: str) -> Investigation:
+        said = re.findall(r"\w+", text.lower())
+        words = tuple(sorted({*said, *(w[:-1] for w in said if w.endswith("s"))}))
+        found = (yield Need("names", (words,))) if words else {}
+        self.known |= {e: n for n, e in found.items()}
+        return dict(found)
 
     def _name(self, subject: str | None) -> str:
-        return self._known.get(subject or "", (subject or "").replace("_", " "))
+        return self.known.get(subject or "", (subject or "").replace("_", " "))
 
-    def _best(self, found: DataFrame, number: bool = False) -> tuple[list[dict], list[dict]]:
+    def _best(self, subject: str | None, attribute: str | None) -> Investigation:
         """Facts of the value to believe, and the competing values (value_text, reliability, sources), of facts about one thing."""
-        if number:
-            found = found.filter("value_number IS NOT NULL")
-        of = facts.ranked(found).select(*facts.KEY, "value_key", "rank", "gap", F.col("value_text").alias("shown"), F.col("reliability").alias("best"), "sources")
-        rows = self._rows(found.join(of, [*facts.KEY, "value_key"]).orderBy("rank", "ord").drop("ord"))
+        rows = yield from self._need("ranked", subject or "", attribute or "")
         first = {}
         for r in rows:
             first.setdefault(r["rank"], r)
         positions = [{"subject": r["subject_id"], "attribute": r["attribute"], "value": r["shown"], "reliability": r["best"], "sources": r["sources"], "gap": r["gap"]} for r in first.values()]
         return [r for r in rows if r["rank"] == 1], positions
 
-    def _about(self, subject: str | None, attribute: str | None) -> DataFrame:
-        return self.facts.filter((F.col("subject_id") == (subject or "")) & (F.col("attribute") == (attribute or "")))
-
-    def _lookup(self, step: Step, out: Answer, text: str) -> None:
+    def _lookup(self, step: Step) -> Investigation:
         """The recorded value; else the same relation from its other end, the graph, a plate, a sentence, a passage that a model reads."""
-        subject, attribute, operand = step.subject or "", step.attribute or "", step.action == "operand"
-        number = operand and out.question.intent in ("calculation", "analysis") and attribute in vocab.NUMERIC_ATTRIBUTES
-        best, values = self._best(self._about(subject, attribute), number)
+        out, subject, attribute, operand = self.out, step.subject or "", step.attribute or "", step.action == "operand"
+        best, values = yield from self._best(subject, attribute)
         if len(values) > 1:
             out.conflicts.append({"subject": subject, "attribute": attribute, "positions": values, "gap": values[0]["gap"]})
         stated = [r for r in best if not any(x in r["value_text"].lower() for x in vocab.NOT_RECORDED)]
+        if stated and operand and out.question.intent in ("calculation", "analysis") and attribute in vocab.NUMERIC_ATTRIBUTES:
+            # the value to believe is ranked first and tested then: a weaker source's number does not stand in for it
+            step.rows, step.value = stated, stated[0]["value_text"]
+            if (yield from self._number(step)) is None:
+                out.rejected.append(f'{self._name(subject)} {attribute.replace("_", " ")} is recorded as "{step.value}", which is no number')
+                step.rows, step.value = [], None
+                return
         if stated or (best and not operand and not figures.routed(attribute)):
             step.rows, step.done, step.value = stated or best, True, (stated or best)[0]["value_text"]
-            step.value = self._narrowed(step.value, text) if step.key == "target" else step.value
+            step.value = self._narrowed(step.value) if step.key == "target" else step.value
             return
         ways = [self._plate, self._sentence] if operand or best else [self._other_end, self._neighbour, self._plate, self._sentence, self._read]
         for way in ways:
-            if way(step, out, text):
+            if (yield from way(step)):
                 step.done = True
                 return
         if best and not operand:
             step.rows, step.done, step.value = best, True, best[0]["value_text"]
 
-    def _narrowed(self, value: str, text: str) -> str:
+    def _narrowed(self, value: str) -> str:
         """Of several named things the one of the kind that the question speaks of."""
         parts = [p.strip() for p in value.split(";") if p.strip()]
-        wanted = [w for w in W.EVENT_WORDS if re.search(rf"\b{w}\b", text, re.I)]
+        wanted = [w for w in W.EVENT_WORDS if re.search(rf"\b{w}\b", self.text, re.I)]
         return next((p for p in parts for w in wanted if re.search(rf"\b{w}\b", p, re.I)), value) if len(parts) > 1 else value
 
-    def _other_end(self, step: Step, out: Answer, text: str) -> bool:
+    def _other_end(self, step: Step) -> Investigation:
         """The inverse relation of the subject itself, then who names the subject under the attribute or its inverse."""
         inverse = vocab.INVERSE_ATTRIBUTES.get(step.attribute or "")
         if inverse:
-            best, _ = self._best(self._about(step.subject, inverse))
+            best, _ = yield from self._best(step.subject, inverse)
             if best:
-                step.rows, step.value, step.how = best, self._narrowed(best[0]["value_text"], text), "inverse"
+                step.rows, step.value, step.how = best, self._narrowed(best[0]["value_text"]), "inverse"
                 return True
-        named = facts.naming(self.facts, [a for a in (step.attribute, inverse) if a], step.subject or "")
-        rows = self._rows(named.drop("ord").orderBy(F.desc("reliability"), "subject_id").limit(PASSAGES))
+        rows = yield from self._need("naming", step.subject or "", tuple(a for a in (step.attribute, inverse) if a))
         if not rows:
             return False
-        value = self._narrowed("; ".join(dict.fromkeys(r["subject_name"] for r in rows)), text)
+        value = self._narrowed("; ".join(dict.fromkeys(r["subject_name"] for r in rows)))
         chosen = next((r["subject_name"] for r in rows if r["subject_name"] == value), rows[0]["subject_name"])
         step.rows, step.value, step.how = [r | {"value_text": r["subject_name"]} for r in rows if r["subject_name"] == chosen], chosen, "reverse"
         return True
 
-    def _neighbour(self, step: Step, out: Answer, text: str) -> bool:
+    def _neighbour(self, step: Step) -> Investigation:
         """What an edge of the attribute's predicate leads to."""
-        nodes = self.archive.spark.createDataFrame([(step.subject or "",)], "node string")
-        predicates = [*PREDICATES_OF.get(step.attribute or "", []), step.attribute or ""]
-        kept = self.edges.filter(F.col("predicate").isin(predicates) & (F.col("subject_id") == (step.subject or "")))
-        found = graph.neighbours(kept, nodes, None, self.entities, 4).join(kept.select(F.col("object_id").alias("other"), "predicate", "chunk_id", "document_id", "page"), ["other", "predicate"])
-        about = self.chunks.select("chunk_id", "source_class").withColumn("reliability", C.reliability(F.col("source_class")))
-        rows = self._rows(found.join(about, "chunk_id").orderBy("rank", "chunk_id"))
+        rows = yield from self._need("neighbours", step.subject or "", (*PREDICATES_OF.get(step.attribute or "", []), step.attribute or ""))
         if rows:
             step.rows, step.how = [r | {"value_text": r["name"] or r["other"], "subject_id": step.subject} for r in rows], "graph"
             step.value = ", ".join(dict.fromkeys(r["value_text"] for r in step.rows))
         return bool(rows)
 
-    def _plate(self, step: Step, out: Answer, text: str) -> bool:
+    def _plate(self, step: Step) -> Investigation:
         """What a plate prints, or a vision model sees on it, for attributes that plates carry; else the plate is named as a gap."""
         if not figures.routed(step.attribute or ""):
             return False
-        asked = self.archive.spark.createDataFrame([(self._name(step.subject),)], "name string")
-        hits = self._rows(figures.lookup(self.figures, asked).join(self.chunks.select(F.get("figure_ids", F.lit(0)).alias("figure_id"), "chunk_id", "document_id", F.col("page_start").alias("page"), "source_class"), "figure_id", "left").orderBy(F.desc(F.length("ocr_text")), "figure_id"))
+        hits = yield from self._need("plates", self._name(step.subject))
         for hit in hits[:1]:
             source = {"chunk_id": hit["chunk_id"], "document_id": hit["document_id"], "page": hit["page"], "source_class": hit["source_class"] or "figure_plate", "reliability": vocab.RELIABILITY["figure_plate"], "subject_id": step.subject}
             if hit["readable"]:
                 step.value, step.how = f"see figure: {' '.join(hit['ocr_text'].split())[:80]}", "figure"
             elif self.vision.available:
-                seen, status = self.vision.describe(hit["asset_path"], text)
+                seen, status = self.vision.describe(hit["asset_path"], self.text)
                 if seen:
                     step.value, step.how = seen, "vision"
-                    out.visual_gaps.append(f"{hit['caption']} was read by a vision model, not stated in text")
+                    self.out.visual_gaps.append(f"{hit['caption']} was read by a vision model, not stated in text")
                 else:
-                    out.visual_gaps.append(f"{hit['caption']}: {status}")
+                    self.out.visual_gaps.append(f"{hit['caption']}: {status}")
             if step.value:
                 step.rows = [source | {"value_text": step.value}]
                 return True
-            out.visual_gaps.append(f"{hit['caption']} ({(hit['asset_path'] or '').rsplit('/', 1)[-1]}) may show it, but no label could be read from it")
+            self.out.visual_gaps.append(f"{hit['caption']} ({(hit['asset_path'] or '').rsplit('/', 1)[-1]}) may show it, but no label could be read from it")
         return False
 
-    def _sentence(self, step: Step, out: Answer, text: str) -> bool:
-        rows = self._prose(step.subject or "", step.attribute or "")
+    def _sentence(self, step: Step) -> Investigation:
+        rows = yield from self._prose(step.subject or "", step.attribute or "")
         if rows:
             step.rows, step.value, step.how = rows, rows[0]["value_text"], "prose"
         return bool(rows)
 
-    def _prose(self, subject: str, attribute: str) -> list[dict]:
-        """What a sentence states, of passages that the archive's phrases find; the first phrase that finds a statement counts."""
+    def _prose(self, subject: str, attribute: str) -> Investigation:
         if attribute not in vocab.PROSE:
             return []
         name = self._name(subject)
-        asked = list(enumerate(prose.search_queries(name, attribute)))
-        near = self.retriever.search(asked, PROSE_PASSAGES, [name]).filter(F.col("content_type") == "paragraph").select("query_id", "rank", "chunk_id", "content")
-        passages = near.groupBy("chunk_id", "content").agg(F.min(F.struct("query_id", "rank")).alias("at"))
-        said = prose.stated(prose.about(prose.sentences(passages, "chunk_id", "content"), F.lit(name), "chunk_id"), "chunk_id").filter(F.col("attribute") == attribute)
-        rows = said.join(passages.select("chunk_id", "at"), "chunk_id").join(self.chunks.select("chunk_id", "document_id", F.col("page_start").alias("page"), "source_class"), "chunk_id").withColumn("reliability", C.reliability(F.col("source_class")))
-        return [r | {"subject_id": subject, "subject_name": name, "value_text": r["value"], "value_number": None} for r in self._rows(rows.orderBy("at", "chunk_id").limit(3))]
-
-    def _read(self, step: Step, out: Answer, text: str) -> bool:
+        rows = yield from self._need("sentences", name, attribute)
+        return [r | {"subject_id": subject, "subject_name": name, "value_text": r["value"], "value_number": None} for r in rows]
+
+    def _read(self, step: Step) -> Investigation:
         """Passages are context and no answer; a model's claims from them count if their passage holds them."""
-        hits = self._passages(f"{self._name(step.subject)} {(step.attribute or '').replace('_', ' ')}", [self._name(step.subject)])
+        hits = yield from self._passages(f"{self._name(step.subject)} {(step.attribute or '').replace('_', ' ')}", [self._name(step.subject)])
         step.rows = []
         if not hits or not self.model.available:
             return False
-        told = self.model.claims(text, [{"evidence_id": h["chunk_id"], "content": h["content"]} for h in hits[:SHOWN]])
+        told = self.model.claims(self.text, [{"evidence_id": h["chunk_id"], "content": h["content"]} for h in hits[:SHOWN]])
         by = {h["chunk_id"]: h for h in hits}
         kept = [c for c in told if c.get("evidence_id") in by]
         if kept:
@@ -351,37 +355,37 @@ class Investigator:
             step.value, step.how = str(kept[0]["value"]), "model"
         return bool(kept)
 
-    def _passages(self, text: str, names: list[str]) -> list[dict]:
-        asked = [(0, text), *((k, t) for k, t in enumerate(self.model.queries(text, []) if self.model.available else [], 1))]
-        hits = self.retriever.search(asked, PASSAGES, names).orderBy("query_id", "rank")
-        rows = self._rows(hits.select("chunk_id", "document_id", F.col("page_start").alias("page"), "source_class", "reliability", "content", "channels", "score"))
+    def _passages(self, text: str, names: list[str]) -> Investigation:
+        asked = (text, *(self.model.queries(text, []) if self.model.available else []))
+        rows = yield from self._need("passages", asked, tuple(names))
         return [r | {"value_text": r["content"][: vocab.EXCERPT]} for r in {r["chunk_id"]: r for r in reversed(rows)}.values()][::-1]
 
-    def _search(self, step: Step, text: str) -> None:
-        step.rows, step.how = self._passages(text, [self._name(e) for e in ([step.subject] if step.subject else [])]), "text"
-        step.done = bool(step.rows)
+    def _search(self, step: Step) -> Investigation:
+        step.rows = yield from self._passages(self.text, [self._name(e) for e in ([step.subject] if step.subject else [])])
+        step.how, step.done = "text", bool(step.rows)
 
-    def _scan(self, step: Step, out: Answer, text: str) -> None:
+    def _scan(self, step: Step) -> Investigation:
         """What is recorded about a subject; else passages about it."""
-        recorded = self._rows(facts.attributes_of(self.facts, self.archive.spark.createDataFrame([(step.subject or "",)], "subject_id string")).orderBy("attribute"))
-        self._search(step, text)
+        recorded = yield from self._need("attributes", step.subject or "")
+        yield from self._search(step)
         if recorded:
-            step.done, step.value = True, f"recorded of {self._name(step.subject)}: {', '.join(r['attribute'] for r in recorded[:8])}"
+            step.done, step.value = True, f"recorded of {self._name(step.subject)}: {', '.join(recorded[:8])}"
 
-    def ask(self, text: str) -> Answer:
-        q = analyse(text, self.names_in(text))
+    def answer(self) -> Investigation:
+        text = self.text
+        q = analyse(text, (yield from self.names(text)))
         if self.model.available and q.intent == "open_question":
-            self._advised(q, text)
+            yield from self._advised(q)
         if q.intent == "relation_hop":
-            self._oriented(q)
-        out = Answer(q, plan(q))
+            yield from self._oriented(q)
+        out = self.out = Answer(q, plan(q))
         began, stale, rounds, self.queries = time.monotonic(), 0, 0, 0
         if not q.entities and q.intent not in ("inverse_hop", "analysis"):
-            self._search(out.steps[0], text)
+            yield from self._search(out.steps[0])
             out.stop = "no_entity"
         while not out.stop:
             step = next((s for s in out.steps if not s.done and not s.tried), None)
-            if step is not None and self._settled(step, out):
+            if step is not None and self._settled(step):
                 continue
             if step is None:
                 out.stop = "all_supported" if all(s.done for s in out.steps) else "insufficient_evidence"
@@ -396,30 +400,31 @@ class Investigator:
             else:
                 rounds += 1
                 step.tried = True
-                self._act(step, out, text)
+                yield from self._act(step)
                 out.trace.append(f"{step.key}: {step.action} {step.subject or ''} {step.attribute or ''} -> {step.value if step.done else 'nothing'}")
                 stale = 0 if step.done else stale + 1
-        self._finish(out)
+        yield from self._finish()
         return out
 
-    def _oriented(self, q: Question) -> None:
+    def _oriented(self, q: Question) -> Investigation:
         """Which relation of a hop comes first: the one that the named subject records."""
-        recorded = {r["attribute"] for r in self._rows(facts.attributes_of(self.facts, self.archive.spark.createDataFrame([(q.entities[0],)], "subject_id string")))}
+        recorded = yield from self._need("attributes", q.entities[0])
         if q.bridge not in recorded and q.attributes[0] in recorded:
             q.bridge, q.attributes = q.attributes[0], [q.bridge]
 
-    def _advised(self, q: Question, text: str) -> None:
+    def _advised(self, q: Question) -> Investigation:
         """What a model understood of a question that the grammar did not: names that the archive knows, and attributes."""
-        told = self.model.understand(text) or {}
-        known = self.names_in(" ".join(map(str, told.get("entities") or [])))
+        told = self.model.understand(self.text) or {}
+        known = yield from self.names(" ".join(map(str, told.get("entities") or [])))
         said = {"entities": list(dict.fromkeys(known.values())), "attributes": [a for a in told.get("attributes") or [] if a in vocab.ATTRIBUTES.values()]}
         both = merged({"entities": q.entities, "attributes": q.attributes}, said)
         q.entities, q.attributes = both["entities"], both["attributes"]
         if q.entities and q.attributes:
             q.intent = "attribute_lookup"
 
-    def _settled(self, step: Step, out: Answer) -> bool:
+    def _settled(self, step: Step) -> bool:
         """A conflict step without a conflict costs no query: the one value that was read stands."""
+        out = self.out
         by = {s.key: s for s in out.steps}
         if step.action != "resolve" or "target" not in by or not by["target"].tried or out.conflicts:
             return False
@@ -427,49 +432,43 @@ class Investigator:
         out.trace.append(f"{step.key}: one value is recorded and stands" if step.done else f"{step.key}: no value to rank")
         return True
 
-    def _gap(self, step: Step, out: Answer, operands: list[Step]) -> bool:
+    def _gap(self, step: Step, operands: list[Step]) -> bool:
         """Names the operands that are missing, where a step needs them all."""
         missing = [s for s in operands if not s.done]
         if missing:
-            out.trace.append(f"{step.key}: missing {', '.join(f'{s.subject} {s.attribute}' for s in missing)}")
+            self.out.trace.append(f"{step.key}: missing {', '.join(f'{s.subject} {s.attribute}' for s in missing)}")
         return bool(missing)
 
-    def _act(self, step: Step, out: Answer, text: str) -> None:
-        q, by = out.question, {s.key: s for s in out.steps}
-        operands = [s for s in out.steps if s.key.startswith("operand")]
-        if step.action in ("compute", "assemble", "analyse") and operands and self._gap(step, out, operands) and step.action != "assemble":
+    def _act(self, step: Step) -> Investigation:
+        q, by = self.out.question, {s.key: s for s in self.out.steps}
+        operands = [s for s in self.out.steps if s.key.startswith("operand")]
+        if step.action in ("compute", "assemble", "analyse") and operands and self._gap(step, operands) and step.action != "assemble":
             return
         if step.action in ("lookup", "operand"):
-            self._lookup(step, out, text)
+            yield from self._lookup(step)
         elif step.action == "scan":
-            self._scan(step, out, text)
+            yield from self._scan(step)
         elif step.action == "hop":
-            for target in self._value(C.hop_targets(F.lit(by["bridge"].value)))[0] if by["bridge"].rows else []:
+            for target in (yield from self._need("hop_targets", by["bridge"].value)) if by["bridge"].rows else []:
                 step.subject = target
-                self._lookup(step, out, text)
+                yield from self._lookup(step)
                 if step.done:
                     return
         elif step.action == "resolve":
             step.done, step.rows = by["target"].done, by["target"].rows
             step.value = by["target"].value
         elif step.action == "aggregate":
-            best = self.facts.filter((F.col("attribute") == step.attribute) & F.col("value_number").isNotNull()).groupBy("subject_id").agg(F.max_by(F.struct("subject_name", "value_text", "value_number", "document_id", "chunk_id", "page", "source_class", "reliability"), F.struct("reliability", "value_number")).alias("f"))
-            order = F.asc("f.value_number") if W.said("lowest", text) else F.desc("f.value_number")
-            step.rows = self._rows(best.orderBy(order, "subject_id").select("subject_id", "f.*").limit(5))
+            step.rows = yield from self._need("extremes", step.attribute, bool(W.said("lowest", self.text)))
             step.done = bool(step.rows)
         elif step.action == "origin":
-            own = self.facts.filter((F.col("subject_id") == step.subject) & F.col("attribute").isin(*vocab.ORIGIN_ATTRIBUTES)).withColumn("year", C.parse_year(F.col("value_text"))).filter("year IS NOT NULL")
-            step.rows = self._rows(own.orderBy("year", F.desc("reliability")).drop("ord").limit(1))
-            if not step.rows:
-                said = [r | {"year": int(re.search(r"\d+", r["value_text"])[0])} for a in ("forging_date", "founded") for r in self._prose(step.subject or "", a)]
-                step.rows = said[:1]
+            step.rows = yield from self._need("origins", step.subject or "")
+            for attribute in ("forging_date", "founded"):
+                if not step.rows:
+                    told = yield from self._prose(step.subject or "", attribute)
+                    step.rows = [r | {"year": int(re.search(r"\d+", r["value_text"])[0])} for r in told][:1]
             step.done, step.value = bool(step.rows), str(step.rows[0]["year"]) if step.rows else None
         elif step.action == "events":
-            dated = temporal.events(self.facts).filter(F.col("place_id").contains(step.subject or "\0")).select("subject_id", "attribute", "year").distinct()
-            rows = dated.join(self.facts.drop("ord"), ["subject_id", "attribute"])
-            step.rows = self._rows(rows.orderBy("year", "subject_id"))
-            own = self._rows(self.facts.drop("ord").filter((F.col("subject_id") == step.subject) & F.col("attribute").isin(*vocab.EVENT_ATTRIBUTES)).withColumn("year", C.parse_year(F.col("value_text"))).filter("year IS NOT NULL"))
-            step.rows += [r for r in own if r["year"] not in {x["year"] for x in step.rows}]
+            step.rows = (yield from self._need("dated", step.subject)) if step.subject else []
             step.done, step.value = bool(step.rows), ", ".join(str(r["year"]) for r in step.rows) or None
         elif step.action == "temporal" and by["origin"].done and by["events"].done:
             born = int(by["origin"].value or 0)
@@ -478,25 +477,29 @@ class Investigator:
             step.done = True
             step.value = f"origin {born} AS is later than {', '.join(f'{y} AS' for y in late)}" if late else f"origin {born} AS does not rule out presence"
         elif step.action == "compute" and all(s.done for s in operands):
-            numbers = [self._number(s) for s in operands]
+            numbers = []
+            for s in operands:
+                numbers.append((yield from self._number(s)))
             if None not in numbers:
-                step.value, step.rows = self._computed(q.calculation or "", numbers), [r for s in operands for r in s.rows[:1]]
+                step.value, step.rows = (yield from self._computed(q.calculation or "", numbers)), [r for s in operands for r in s.rows[:1]]
                 step.done = step.value is not None
         elif step.action == "assemble":
             step.done = all(s.done for s in operands)
             step.value = "; ".join(f"{s.subject} {s.attribute}: {s.value}" for s in operands if s.done)
         elif step.action == "analyse":
-            self._analyse(step, out, by, operands)
+            yield from self._analyse(step, by, operands)
         elif step.action == "search":
-            self._search(step, text)
+            yield from self._search(step)
 
-    def _analyse(self, step: Step, out: Answer, by: dict[str, Step], operands: list[Step]) -> None:
-        kind = (out.question.analysis or "").partition(":")[0]
+    def _analyse(self, step: Step, by: dict[str, Step], operands: list[Step]) -> Investigation:
+        kind = (self.out.question.analysis or "").partition(":")[0]
         if kind == "superlative" and by["aggregate"].done:
             step.rows, step.done = by["aggregate"].rows[:1], True
             step.value = f"{step.rows[0]['subject_name']} ({step.rows[0]['value_text']})"
         elif operands and all(s.done for s in operands):
-            found = [(s.subject, self._value(C.parse_year(F.lit(s.value)))[0] if kind != "comparison" else self._number(s)) for s in operands]
+            found = []
+            for s in operands:
+                found.append((s.subject, (yield from self._number(s)) if kind == "comparison" else (yield from self._need("years", s.value))))
             if any(n is None for _, n in found):
                 return
             step.rows, step.done = [r for s in operands for r in s.rows[:1]], True
@@ -508,61 +511,48 @@ class Investigator:
                 (e, high), (_, low) = sorted(found, key=lambda x: -x[1])[:2]
                 step.value = f"{e} by {high - low:g}"
 
-    def _number(self, step: Step) -> float | None:
+    def _number(self, step: Step) -> Investigation:
         """The number of an operand's value: as stored, else as the value reads."""
         held = next((r["value_number"] for r in step.rows if r.get("value_number") is not None), None)
-        return held if held is not None else self._value(C.numeric_value(C.value_key(F.lit(step.value))))[0]
+        return held if held is not None else (yield from self._need("numbers", step.value))
 
-    def _computed(self, kind: str, n: list[float]) -> str | None:
+    def _computed(self, kind: str, n: list[float]) -> Investigation:
         """A result as text; null where it can't be told, as of a quotient by 0."""
         if kind in ("total", "average") and len(n) > 2:
             n = [sum(n), 0.0] if kind == "total" else [2 * sum(n) / len(n), 0.0]
-        result = C.calculation(F.lit(kind), F.lit(float(n[0])), F.lit(float(n[1])))
-        return self._value(C.format_result(F.lit(kind), F.abs(result) if kind == "difference" else result))[0]
+        return (yield from self._need("results", kind, float(n[0]), float(n[1])))
 
-    def _finish(self, out: Answer) -> None:
+    def _finish(self) -> Investigation:
         """Claims with confidence and excerpts, the status and the headline."""
+        out = self.out
         derived = ("compute", "temporal", "analyse", "hop")
         supported = [s for s in out.steps if s.done and s.rows and s.action not in ("assemble", "search", "scan")]
         contested = {(c["subject"], c["attribute"]) for c in out.conflicts}
-        rows, cites = [], []
-        for k, s in enumerate(supported):
+        rows = []
+        for s in supported:
             hops, split = int(s.action in derived or s.how in ("graph", "model", "vision")), (s.subject, s.attribute) in contested
-            rows.append((k, float(max(r["reliability"] for r in s.rows)), len({r["document_id"] for r in s.rows}), hops, split))
-            cites += [(k, j, r["chunk_id"], r["value_text"], self._name(r.get("subject_id"))) for j, r in enumerate(s.rows)]
-        spark = self.archive.spark
-        scores, shown = {}, {}
-        if rows:
-            score = C.confidence(F.col("best"), F.col("documents"), F.col("hops"), F.col("split"))
-            scored = spark.createDataFrame(rows, "k int, best double, documents int, hops int, split boolean").select("k", F.round(score, 6).alias("score"), C.confidence_label(score).alias("label"))
-            scores = {r["k"]: r for r in self._rows(scored)}
-            content = self.chunks.select("chunk_id", "content")
-            excerpt = F.coalesce(F.nullif(evidence.excerpt(F.col("content"), F.col("value"), F.col("subject")), F.lit("")), F.substring("content", 1, vocab.EXCERPT))
-            cited = F.broadcast(spark.createDataFrame(cites, "k int, j int, chunk_id string, value string, subject string"))
-            shown = {(r["k"], r["j"]): r["excerpt"] for r in self._rows(content.join(cited, "chunk_id").select("k", "j", excerpt.alias("excerpt")))}
-        for k, s in enumerate(supported):
-            kind = "inferred" if rows[k][3] else "conflicting" if rows[k][4] else "direct"
-            cited = [{"document_id": r["document_id"], "chunk_id": r["chunk_id"], "page": r.get("page"), "source_class": r["source_class"], "reliability": r["reliability"], "excerpt": shown.get((k, j), "")} for j, r in enumerate(s.rows)]
-            _, best, documents, hops, split = rows[k]
+            rows.append((float(max(r["reliability"] for r in s.rows)), len({r["document_id"] for r in s.rows}), hops, split))
+        cites = [[Need("excerpts", (r["chunk_id"] or "", r["value_text"], self._name(r.get("subject_id")))) for r in s.rows] for s in supported]
+        told = yield from self._all([*(Need("confidences", r) for r in rows), *(n for own in cites for n in own)])
+        scores, shown = told[: len(rows)], iter(told[len(rows) :])
+        for s, (best, documents, hops, split), (score, label) in zip(supported, rows, scores, strict=True):
+            kind = "inferred" if hops else "conflicting" if split else "direct"
+            cited = [{"document_id": r["document_id"], "chunk_id": r["chunk_id"], "page": r.get("page"), "source_class": r["source_class"], "reliability": r["reliability"], "excerpt": next(shown)} for r in s.rows]
             reasons = [f"best source has reliability {best:g}", f"{documents} document{'s' * (documents != 1)}", *["derived, not stated"] * hops, *["sources disagree"] * split]
-            out.claims.append({"step": s.key, "text": f"{s.subject or ''} {s.attribute or s.action}: {s.value}".strip(), "kind": kind, "how": s.how, "confidence": scores[k]["score"], "label": scores[k]["label"], "reasons": reasons, "evidence": cited})
+            out.claims.append({"step": s.key, "text": f"{s.subject or ''} {s.attribute or s.action}: {s.value}".strip(), "kind": kind, "how": s.how, "confidence": score, "label": label, "reasons": reasons, "evidence": cited})
         unmet = sum(not s.done for s in out.steps)
         read = sum(s.action in ("search", "scan") and s.done for s in out.steps)
         unresolved = sum((c["gap"] or 0) < vocab.DECISIVE_GAP for c in out.conflicts)
         bare = sum(not c["evidence"] for c in out.claims)
-        numbers = (len(out.claims) + read, unmet, len(out.visual_gaps) if unmet else 0, 0, unresolved, bare)
-        out.status = self._value(evidence.status(F.lit(out.stop), *map(F.lit, numbers)))[0]
+        out.status = yield from self._need("statuses", out.stop, len(out.claims) + read, unmet, len(out.visual_gaps) if unmet else 0, 0, unresolved, bare)
         last = next((s for s in reversed(out.steps) if s.done and s.value), None)
         missing = [f"{s.subject or ''} {s.attribute or s.key}".strip() for s in out.steps if not s.done and s.action in ("operand", "lookup", "origin", "events")]
-        out.headline = last.value if last and not (missing and out.question.intent == "calculation") else "No recorded value" + (f" for {', '.join(missing)}" if missing else "")
+        out.headline = last.value if last and not (missing and out.question.intent == "calculation") else "; ".join(out.rejected) or "No recorded value" + (f" for {', '.join(missing)}" if missing else "")
         if last is None and out.visual_gaps:
             out.headline += f". {out.visual_gaps[-1]}"
         passages = [r for s in out.steps if s.how == "text" for r in s.rows][:SHOWN]
         if self.model.available and out.question.intent == "open_question" and passages and out.status != "no_entity":
             out.prose = self.model.answer(out.question.text, [{"evidence_id": r["chunk_id"], "content": r["content"]} for r in passages])
 
-    def ask_many(self, texts: list[str]) -> list[Answer]:
-        return [self.ask(t) for t in texts]
-
 
 __all__ = ["Answer", "Investigator", "Question", "Step", "analyse", "plan", "spans"]

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
 from foliant.functions import vocab
-from foliant.operators import charts_data, chunking, evidence, facts, graph, lexical, prose, reasoning, temporal, vector
+from foliant.operators import charts_data, chunking, evidence, facts, graph, inverted, lexical, prose, reasoning, temporal, vector
 from foliant.plans import operations
 from foliant.plans import views as V
 from foliant.session import ship
-from foliant.sources import archive, gateway, parsers
+from foliant.sources import archive, gateway, parsers, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -578,6 +578,13 @@ def bm25_topk(spark, sf):
     return lexical.top(lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id"), 30, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("index_topk", ORACLES["bm25_topk"])
+def index_topk(spark, sf):
+    """As ``bm25_topk``, from an index that is stored first."""
+    index = inverted.build(shared.new_folder(spark, "index"), _documents(spark, sf), "doc_id", "content")
+    return index.top(_queries(spark, sf), 30).select("query_id", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("bm25_all", f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
 def bm25_all(spark, sf):
     return lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
@@ -607,6 +614,13 @@ def phrase_match(spark, sf):
     return lexical.phrase(_documents(spark, sf), ["of", "the"], "doc_id")
 
 
+@query("phrase_accented", f"WITH {DOCS}, t AS (SELECT doc_id, {TOKENS} AS t FROM c) SELECT doc_id, len([i FOR i IN range(1, len(t)) IF t[i] = 'eneina' AND t[i + 1] = 'eneina'])::BIGINT AS hits FROM t WHERE len([i FOR i IN range(1, len(t)) IF t[i] = 'eneina' AND t[i + 1] = 'eneina']) > 0")
+def phrase_accented(spark, sf):
+    """A phrase whose first word has marks in the texts and none in the question, from stored positions."""
+    index = inverted.build(shared.new_folder(spark, "index"), _documents(spark, sf), "doc_id", "content")
+    return index.phrase(["eneina", "eneina"]).withColumnRenamed("key", "doc_id")
+
+
 @query("postings", f"WITH {DOCS}, p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM p GROUP BY term")
 def postings(spark, sf):
     return lexical.postings(_documents(spark, sf), "doc_id", "content").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))

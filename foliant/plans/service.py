@@ -51,7 +51,8 @@ class Service:
 
     def search(self, text: str, limit: int = 8, mode: str = "hybrid") -> list[dict]:
         """The best chunks for a text; mode: hybrid, keyword or vector."""
-        found = retrieval.of(self.archive, self.settings.weights).search([(0, text)], limit, mode=mode)
+        asks = Investigator(self.archive, self.settings)
+        found = asks.retriever.search([(0, text)], limit, list(asks.names_in(text)), mode)
         return [r.asDict(True) for r in found.select("rank", "chunk_id", "document_id", "score", "channels", "bm25", "vector", "content").orderBy("rank").collect()]
 
     def asset(self, figure_id: str, root: str) -> str | None:
@@ -86,8 +87,7 @@ class Service:
             asked = json.load(f)
         asked = [q for q in (asked["questions"] if isinstance(asked, dict) else asked) if q.get("expect")]
         found, rows = Investigator(self.archive, self.settings, self.model), []
-        for q in asked:
-            a = found.ask(q["q"])
+        for q, a in zip(asked, found.ask_many([q["q"] for q in asked]), strict=True):
             if q["expect"].lower() in a.headline.lower():
                 continue
             holds = F.contains(F.lower("content"), F.lit(q["expect"].lower()))
@@ -126,6 +126,6 @@ class Service:
             asked = json.load(f)
         asked = asked["questions"] if isinstance(asked, dict) else asked
         found = Investigator(self.archive, self.settings, self.model)
-        rows = [(q.get("category", "all"), a.status, a.headline, q.get("expect", ""), bool(q.get("expect_none"))) for q in asked for a in (found.ask(q["q"]),)]
+        rows = [(q.get("category", "all"), a.status, a.headline, q.get("expect", ""), bool(q.get("expect_none"))) for q, a in zip(asked, found.ask_many([q["q"] for q in asked]), strict=True)]
         answers = self.archive.spark.createDataFrame(rows, "category string, status string, answer string, expect string, expect_none boolean")
         return evidence.evaluation(evidence.judged(answers))
