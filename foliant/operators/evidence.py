@@ -86,15 +86,20 @@ def matched_cues(questions: DataFrame, cues: list[tuple[str, str]], text: str =
     return questions.select("question_id", F.explode(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))).alias("operation"))
 
 
-def entity_matches(questions: DataFrame, names: DataFrame, longest: int = 5, text: str = "question") -> DataFrame:
-    """question_id, name, at: dictionary names in questions, longest first and without overlap, by word n-grams and an equi-join."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
-    rows = questions.select("question_id", words.alias("w"))
-    grams = rows.select("question_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("name")))))).alias("g")).select("question_id", "g.*")
-    plain = F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " "))
-    hits = grams.join(names.select(plain.alias("name")).distinct(), "name")
-    inside = Window.partitionBy("question_id").orderBy(F.desc("n"), "at")
-    ranked = hits.withColumn("rank", F.row_number().over(inside))
-    a, b = ranked.alias("a"), ranked.alias("b")
-    covered = (F.col("a.question_id") == F.col("b.question_id")) & (F.col("b.rank") < F.col("a.rank")) & (F.col("b.at") <= F.col("a.at")) & (F.col("a.at") + F.col("a.n") <= F.col("b.at") + F.col("b.n"))
-    return a.join(b, covered, "left_anti").select("question_id", "name", "at")
+def entity_matches(questions: DataFrame, names: DataFrame, text: str = "question") -> DataFrame:
+    """question_id, name, at: dictionary names of any length in texts, the longest first, then the leftmost, none over another.
+
+    A name meets a text by its rarest word (counted over all names, so that "the" anchors a name only where it has nothing else) and is
+    then compared where that word puts it."""
+    cut = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    parts = names.select(cut(F.col("name")).alias("parts")).filter(F.size("parts") > 0).distinct()
+    each = parts.select("parts", F.posexplode("parts").alias("off", "word"))
+    anchored = each.join(each.groupBy("word").agg(F.count("*").alias("held")), "word").groupBy("parts").agg(F.min_by(F.struct("word", "off"), F.struct("held", "off")).alias("a")).select("parts", "a.word", "a.off")
+    rows = questions.select("question_id", cut(F.col(text)).alias("w"))
+    met = rows.select("question_id", "w", F.posexplode("w").alias("place", "word")).join(anchored, "word").withColumn("at", F.col("place") - F.col("off") + 1)
+    n = F.size("parts")
+    hits = met.filter((F.col("at") > 0) & (F.slice("w", F.greatest("at", F.lit(1)), n) == F.col("parts")))
+    found = hits.groupBy("question_id").agg(F.array_sort(F.collect_set(F.struct((-n).alias("less"), "at", F.array_join("parts", " ").alias("name")))).alias("found"))
+    over = lambda x, y: (x["at"] < y["at"] - y["less"]) & (y["at"] < x["at"] - x["less"])
+    kept = F.reduce("found", F.slice("found", 1, 0), lambda held, x: F.when(F.exists(held, lambda y: over(x, y)), held).otherwise(F.concat(held, F.array(x))))
+    return found.select("question_id", F.explode(kept).alias("k")).select("question_id", "k.name", F.col("k.at").cast("int").alias("at"))

@@ -93,6 +93,11 @@ class Rounds:
         found = self.spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"rid int, {schema}").coalesce(1).select("rid", *columns).collect()
         return [tuple(r[1:]) for r in sorted(found, key=lambda r: r[0])]
 
+    @staticmethod
+    def _keyed(table: DataFrame, key: str, keys) -> DataFrame:
+        """A clustered table's rows of some keys, named to the scan so that it skips row groups."""
+        return table.filter(F.col(key).isin(sorted({k for k in keys if k is not None})))
+
     # --- needs
 
     def names(self, requests: list[tuple]) -> list[dict[str, str]]:
@@ -107,14 +112,14 @@ class Rounds:
     def ranked(self, requests: list[tuple]) -> list[list[dict]]:
         """Facts about (subject, attribute), by the rank of their value."""
         asked = self._frame([(k, *r) for k, r in enumerate(requests)], "subject_id string, attribute string")
-        own = self.facts.join(F.broadcast(asked.drop("rid")), facts.KEY, "left_semi")
+        own = self._keyed(self.facts, "subject_id", (r[0] for r in requests)).join(F.broadcast(asked.drop("rid")), facts.KEY, "left_semi")
         of = facts.ranked(own).select(*facts.KEY, "value_key", "rank", "gap", F.col("value_text").alias("shown"), F.col("reliability").alias("best"), "sources")
         rows = own.join(of, [*facts.KEY, "value_key"]).join(asked, facts.KEY)
         return self._dealt(len(requests), rows.orderBy("rid", "rank", "ord").drop("ord"))
 
     def attributes(self, requests: list[tuple]) -> list[list[str]]:
         asked = self._frame([(k, *r) for k, r in enumerate(requests)], "subject_id string")
-        rows = facts.attributes_of(self.facts, asked).join(asked, "subject_id").select("rid", "attribute").orderBy("rid", "attribute")
+        rows = facts.attributes_of(self._keyed(self.facts, "subject_id", (r[0] for r in requests)), asked).join(asked, "subject_id").select("rid", "attribute").orderBy("rid", "attribute")
         return [[r["attribute"] for r in found] for found in self._dealt(len(requests), rows)]
 
     def naming(self, requests: list[tuple]) -> list[list[dict]]:
@@ -129,7 +134,7 @@ class Rounds:
         asked = self._frame([(k, p, subject) for k, (subject, predicates) in enumerate(requests) for p in dict.fromkeys(predicates)], "predicate string, subject_id string")
         about = self.chunks.select("chunk_id", "source_class").withColumn("reliability", C.reliability(F.col("source_class")))
         named = self.entities.select(F.col("entity_id").alias("object_id"), "name")
-        rows = self._first(self.edges.join(asked, ["predicate", "subject_id"]).drop("subject_id"), EDGES, F.col("method") != "infobox", F.desc("confidence"), "predicate", "object_id", "chunk_id")
+        rows = self._first(self._keyed(self.edges, "subject_id", (r[0] for r in requests)).join(asked, ["predicate", "subject_id"]).drop("subject_id"), EDGES, F.col("method") != "infobox", F.desc("confidence"), "predicate", "object_id", "chunk_id")
         rows = rows.join(named, "object_id", "left").join(about, "chunk_id").withColumnRenamed("object_id", "other")
         return self._dealt(len(requests), rows.orderBy("rid", F.col("method") != "infobox", F.desc("confidence"), "predicate", "other", "chunk_id"))
 
@@ -172,7 +177,7 @@ class Rounds:
 
     def origins(self, requests: list[tuple]) -> list[list[dict]]:
         asked = self._frame([(k, *r) for k, r in enumerate(requests)], "subject_id string")
-        own = self.facts.filter(F.col("attribute").isin(*vocab.ORIGIN_ATTRIBUTES)).join(asked, "subject_id").withColumn("year", C.parse_year(F.col("value_text"))).filter("year IS NOT NULL")
+        own = self._keyed(self.facts, "subject_id", (r[0] for r in requests)).filter(F.col("attribute").isin(*vocab.ORIGIN_ATTRIBUTES)).join(asked, "subject_id").withColumn("year", C.parse_year(F.col("value_text"))).filter("year IS NOT NULL")
         return self._dealt(len(requests), self._first(own, 1, "year", F.desc("reliability"), "ord").drop("ord"))
 
     def dated(self, requests: list[tuple]) -> list[list[dict]]:
@@ -192,7 +197,7 @@ class Rounds:
         """What a chunk says of a value and a subject."""
         asked = self._frame([(k, *r) for k, r in enumerate(requests)], "chunk_id string, value string, subject string")
         excerpt = F.coalesce(F.nullif(evidence.excerpt(F.col("content"), F.col("value"), F.col("subject")), F.lit("")), F.substring("content", 1, vocab.EXCERPT))
-        found = self._dealt(len(requests), self.chunks.select("chunk_id", "content").join(asked, "chunk_id").select("rid", excerpt.alias("excerpt")))
+        found = self._dealt(len(requests), self._keyed(self.chunks, "chunk_id", (r[0] for r in requests)).select("chunk_id", "content").join(asked, "chunk_id").select("rid", excerpt.alias("excerpt")))
         return [rows[0]["excerpt"] if rows else "" for rows in found]
 
     def confidences(self, requests: list[tuple]) -> list[tuple[float, str]]:

@@ -42,8 +42,8 @@ class Service:
         ids, chunks = sorted({e["document_id"] for e in cited}), sorted({e["chunk_id"] for e in cited})
         documents, shown = {}, {}
         if cited:
-            documents = {r.document_id: r for r in self.archive.table("documents").filter(F.col("document_id").isin(ids)).select("document_id", "relative_path", "title").collect()}
-            held = self.archive.table("chunks").filter(F.col("chunk_id").isin(chunks)).select("chunk_id", F.explode("figure_ids").alias("figure_id"))
+            documents = {r.document_id: r for r in self.archive.points("documents", ids).select("document_id", "relative_path", "title").collect()}
+            held = self.archive.points("chunks", chunks).select("chunk_id", F.explode("figure_ids").alias("figure_id"))
             for r in held.join(self.archive.table("figures"), "figure_id").select("chunk_id", "figure_id", "caption", "asset_path").collect():
                 shown.setdefault(r.chunk_id, []).append({"figure_id": r.figure_id, "caption": r.caption, "asset_path": r.asset_path})
         claims = [c | {"evidence": [e | {"relative_path": documents[e["document_id"]].relative_path, "title": documents[e["document_id"]].title, "figures": shown.get(e["chunk_id"], [])} for e in c["evidence"]]} for c in answer["claims"]]
@@ -96,12 +96,12 @@ class Service:
         missed = self.archive.spark.createDataFrame(rows, "understood boolean, stored boolean, retrieved boolean, cited boolean")
         return evidence.failure_stage(missed).groupBy("stage").agg(F.count("*").alias("n"))
 
-    def _one(self, table: str, key: str, value: str) -> dict | None:
-        rows = self.archive.table(table).filter(F.col(key) == value).limit(1).collect()
+    def _one(self, table: str, value: str) -> dict | None:
+        rows = self.archive.points(table, [value]).limit(1).collect()
         return rows[0].asDict(True) if rows else None
 
     def document(self, document_id: str) -> dict | None:
-        return self._one("documents", "document_id", document_id)
+        return self._one("documents", document_id)
 
     def chunks(self, document_id: str, page: int | None = None) -> list[dict]:
         rows = self.archive.table("chunks").filter(F.col("document_id") == document_id)
@@ -109,10 +109,10 @@ class Service:
         return [r.asDict(True) for r in rows.orderBy("char_start").collect()]  # those of one document
 
     def chunk(self, chunk_id: str) -> dict | None:
-        return self._one("chunks", "chunk_id", chunk_id)
+        return self._one("chunks", chunk_id)
 
     def figure(self, figure_id: str) -> dict | None:
-        return self._one("figures", "figure_id", figure_id)
+        return self._one("figures", figure_id)
 
     def conflicts(self) -> DataFrame:
         return facts.conflict_positions(self.archive.table("facts"))

@@ -8,10 +8,13 @@ new, changed, or no longer superseded; rows of files that are gone or superseded
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ class Settings:
     stale_rounds: int = 2
     dimensions: int = vocab.LSA_DIMENSIONS
     vocabulary: int = vocab.VOCABULARY
+    #: Seconds after which another writer may take over the claim of one that has not finished.
+    claim_seconds: float = 6 * 3600.0
     weights: Mapping[str, float] = field(default_factory=lambda: dict(vocab.FUSION))
 
     @classmethod
@@ -55,7 +60,7 @@ def discover(files: DataFrame, root: str) -> DataFrame:
     path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     relative = F.regexp_replace(path, F.lit("^/*" + _quoted(root.split(":", 1)[-1].strip("/")) + "/*"), F.lit(""))
     name = F.element_at(F.split("relative_path", "/"), -1)
-    rows = files.select(relative.alias("relative_path"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"), "content").withColumn("source_format", C.source_format(F.col("relative_path")))
+    rows = files.select(F.col("path").alias("file_path"), F.lit(root).alias("root"), relative.alias("relative_path"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"), "content").withColumn("source_format", C.source_format(F.col("relative_path")))
     rows = rows.filter(F.col("source_format").isNotNull() & ~name.startswith(".") & ~name.isin(*vocab.SKIP_NAMES))
     rows = rows.withColumns({"document_id": C.document_id(F.col("relative_path"), F.col("file_size"), F.col("file_hash")), "source_class": C.source_class(F.col("relative_path")), "title": C.title(F.col("relative_path"))})
     return rows.withColumn("reliability", C.reliability(F.col("source_class")))
@@ -131,6 +136,21 @@ def report(found: DataFrame, documents: DataFrame, done: DataFrame, stored: Data
 DELTAS = 16
 
 
+#: The columns that rows of a table are looked up by.  Tables are written in ranges of them, sorted, in small row groups with Bloom filters, so
+#: that a lookup reads the row groups whose statistics allow its keys.
+CLUSTERED = {"documents": "document_id", "chunks": "chunk_id", "facts": "subject_id", "edges": "subject_id", "mentions": "entity_id", "entities": "entity_id", "figures": "figure_id", "tables": "table_id"}
+ROW_GROUP = 8 << 20
+
+
+def clustered(df: DataFrame, name: str):
+    """The writer of a table, by what it is looked up by."""
+    key = CLUSTERED.get(name)
+    if key is None or key not in df.columns:
+        return df.write
+    out = df.repartitionByRange(key).sortWithinPartitions(key).write
+    return out.option("parquet.block.size", ROW_GROUP).option(f"parquet.bloom.filter.enabled#{key}", "true")
+
+
 class Conflict(RuntimeError):
     """Another writer has claimed the next version of an archive."""
 
@@ -184,6 +204,11 @@ class Archive:
         except AnalysisException:
             return None
 
+    def points(self, name: str, keys: list[str]) -> DataFrame | None:
+        """The rows of a clustered table with some of its keys, named to the scan."""
+        held = self.table(name)
+        return None if held is None else held.filter(F.col(CLUSTERED[name]).isin(keys))
+
     def views(self, prefix: str = "") -> list[str]:
         """Names every table for ``spark.sql``."""
         found = {n: t for n in (*self.NAMES, *self.VECTORS) if (t := self.table(n)) is not None}
@@ -207,28 +232,102 @@ class Archive:
         return self._write(found, None, settings, force)
 
     def remove(self, prefix: str) -> None:
-        """Takes the documents whose path begins with ``prefix`` out of every table."""
+        """Takes the documents whose path begins with ``prefix`` out of every table.  A twin that one of them superseded counts from now on:
+        its file is read if it still is where it was found; else its document stays without rows, which ``unread`` tells."""
         old = self.table("documents")
-        if old is not None:
-            self._write(None, old.filter(F.col("relative_path").startswith(prefix)).select("document_id"), Settings(), False)
+        if old is None:
+            return
+        self._write(None, old.filter(F.col("relative_path").startswith(prefix)).select("document_id"), Settings(), False)
+        waiting = self.unread()
+        if waiting is None:
+            return
+        for root, paths in sorted((r.root, r.paths) for r in waiting.groupBy("root").agg(F.collect_set("file_path").alias("paths")).collect()):  # of twins of what was removed
+            there = sorted(p for p in paths if self._exists(p))
+            if there:
+                self.update(discover(self.spark.read.format("binaryFile").load(there), root))
+
+    def unread(self) -> DataFrame | None:
+        """Documents that count but whose files have not been read: root, file_path, relative_path, document_id."""
+        held = self.table("documents")
+        if held is None or "file_path" not in held.columns:
+            return None
+        return held.filter("superseded_by IS NULL AND NOT parsed AND file_path IS NOT NULL").select("root", "file_path", "relative_path", "document_id")
 
     def reset(self) -> None:
         """Takes everything out."""
         self.remove("")
 
-    def _claim(self, version: int) -> None:
+    def _file(self, path: str):
+        """Hadoop's path and file system of a path."""
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def _create(self, path: str, text: str) -> bool:
+        """Creates a file that does not exist, as one act of its file system; False where it exists."""
+        target, files = self._file(path)
+        if files.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then; the system's own call does both at once
+            place = target.toUri().getPath()
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            try:
+                with open(place, "x") as f:
+                    f.write(text)
+            except FileExistsError:
+                return False
+            return True
+        files.mkdirs(target.getParent())
         try:
-            self.spark.range(1).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/claims/v{version}")
-        except AnalysisException as e:
-            raise Conflict(f"version {version} of {self.path} is being written by another") from e
+            out = files.create(target, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception.getClass().getName()) or files.exists(target):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def _claimed(self, version: int) -> tuple[str, float] | None:
+        """Who claims a version, and since when."""
+        path = f"{self.path}/claims/v{version}"
+        if not self._exists(path):
+            return None
+        row = self.spark.read.text(path).first()
+        token, _, since = (row.value if row else "").partition(" ")
+        return token, float(since or 0)
+
+    def _claim(self, version: int, settings: Settings = Settings()) -> str:  # noqa: B008
+        """The token of this writer's claim.  A claim is one atomic create; one older than ``claim_seconds`` is moved aside, which only one of
+        several writers can do."""
+        path, token = f"{self.path}/claims/v{version}", uuid.uuid4().hex
+        told = f"{token} {time.time()}"
+        if self._create(path, told):
+            return token
+        held = self._claimed(version)
+        if held is not None and held[1] and time.time() - held[1] > settings.claim_seconds:
+            aside, files = self._file(f"{self.path}/claims/late-{held[0]}")
+            if files.rename(self._file(path)[0], aside) and self._create(path, told):
+                self._delete(f"{self.path}/v{version}")
+                return token
+        raise Conflict(f"version {version} of {self.path} is being written by another")
+
+    def _commit(self, version: int, whole: bool, token: str) -> None:
+        """The pointer to a version, if it is still this writer's."""
+        held = self._claimed(version)
+        if held is None or held[0] != token:
+            raise Conflict(f"the claim of version {version} of {self.path} ran out and was taken over")
+        self.spark.createDataFrame([(f"{version}{'' if whole else '+'}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
 
     def _write(self, found: DataFrame | None, removed: DataFrame | None, settings: Settings, force: bool) -> DataFrame | None:
         held = self._history()
         version = (held[-1][0] if held else 0) + 1
         whole = not held or version - max(v for v, w in held if w) >= DELTAS
-        self._claim(version)
+        token = self._claim(version, settings)
         new = f"{self.path}/v{version}"
-        put = lambda df, name: (df.write.mode("overwrite").parquet(f"{new}/{name}"), self.spark.read.parquet(f"{new}/{name}"))[1]
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            clustered(df, name).mode("overwrite").parquet(f"{new}/{name}")
+            return self.spark.read.parquet(f"{new}/{name}")
+
         old = {n: self._read(n, held) for n in self.NAMES} if held else {}
         stored = old["documents"] if held else None
 
@@ -255,14 +354,15 @@ class Archive:
             leave = leave.unionByName(done.select("document_id"))
             part = {n: put(done.select(F.explode(n).alias("x")).select("x.*"), f"new/{n}") for n in ("chunks", "tables", "figures")}
             part["warnings"] = done.select("document_id", F.explode("warnings").alias("message"))
-            part |= self._derived(part, documents, None if not held else old["entities"])
+            # derived once, written plainly, then by range: finding the ranges reads its rows twice
+            part |= {n: put(df, f"new/{n}") for n, df in self._derived(part, documents, None if not held else old["entities"]).items()}
         leave = put(leave.distinct(), "gone")
         for name in self.BY_DOCUMENT:
             more = part[name] if found is not None else old[name].limit(0)
             put(old[name].join(leave, "document_id", "left_anti").unionByName(more) if whole and held else more, name)
         fresh_chunks = part["chunks"] if found is not None else old["chunks"].limit(0)
         self._index(f"{new}/index", held, whole, fresh_chunks, old["chunks"].join(leave, "document_id", "left_semi") if held else None)
-        self._close(held, version, whole, put, settings)
+        self._close(held, version, whole, put, settings, token)
         return None if found is None else report(found, documents, done, stored)
 
     def _index(self, path: str, held: list[tuple[int, bool]], whole: bool, fresh: DataFrame, leaving: DataFrame | None) -> None:
@@ -294,17 +394,16 @@ class Archive:
         return self._index_of(self._history())
 
     def _exists(self, path: str) -> bool:
-        context = self.spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+        target, files = self._file(path)
+        return files.exists(target)
 
-    def _close(self, held: list[tuple[int, bool]], version: int, whole: bool, put, settings: Settings) -> None:
+    def _close(self, held: list[tuple[int, bool]], version: int, whole: bool, put, settings: Settings, token: str) -> None:
         """What is told from all rows at once, and then the pointer."""
         now = [*held, (version, whole)]
         chunks = self._read("chunks", now)
         put(graph.entities(chunks, self._read("documents", now)), "entities")
         self._embed(chunks, put, settings)
-        self.spark.createDataFrame([(f"{version}{'' if whole else '+'}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
+        self._commit(version, whole, token)
 
     def _derived(self, part: dict[str, DataFrame], documents: DataFrame, entities: DataFrame | None) -> dict[str, DataFrame]:
         """Edges, mentions and facts of newly parsed chunks: each belongs to one chunk, so those of others stay as they are."""
@@ -340,21 +439,20 @@ class Archive:
             self._delete(path)
 
     def _delete(self, path: str) -> None:
-        context = self.spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = self._file(path)
+        files.delete(target, True)
 
     def compact(self) -> None:
         """Writes all tables anew as a whole version, which later ones build upon."""
         held = self._history()
         if held and not held[-1][1]:
             version = held[-1][0] + 1
-            self._claim(version)
+            token = self._claim(version)
             for name in (*self.NAMES, *self.VECTORS):
-                self._read(name, held).write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
+                clustered(self._read(name, held), name).mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
             if (index := self._index_of(held)) is not None:
                 inverted.write(f"{self.path}/v{version}/index", index.entries(), index.whole().select("n", "tokens"))
-            self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
+            self._commit(version, True, token)
 
     def vacuum(self, keep: int = 2) -> list[int]:
         """Compacts, then deletes all versions but the last ``keep`` and those that they build upon; returns those that went."""

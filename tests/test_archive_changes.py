@@ -406,3 +406,46 @@ def test_excerpts(spark, content, value, said):
         assert len(got) <= 220 and got.endswith("…")
     else:
         assert got == said
+
+
+def test_claims_are_atomic_and_run_out(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root, made, _ = store(spark, tmp_path, {"wiki/a.md": "# A\n\na\n"})
+    with ThreadPoolExecutor(8) as pool:
+        won = [f.exception() is None for f in [pool.submit(Archive(spark, made.path)._claim, 2) for _ in range(8)]]
+    assert sum(won) == 1
+    with pytest.raises(Conflict):
+        made.ingest(str(root))
+    (root / "wiki/b.md").write_text("# B\n\nb\n")
+    made.ingest(str(root), Settings(claim_seconds=0.0))  # the dead claim frees itself
+    assert made._versions() == [1, 2] and paths(made) == ["wiki/a.md", "wiki/b.md"]
+    token = made._claim(3)
+    made._claim(3, Settings(claim_seconds=0.0))
+    with pytest.raises(Conflict):
+        made._commit(3, False, token)
+
+
+def test_a_twin_takes_the_place_of_a_removed_winner(spark, tmp_path):
+    root, made, _ = store(spark, tmp_path, {"wiki/a.txt": "one in text\n", "wiki/a.md": "# A\n\none in markdown\n", "wiki/b.txt": "two\n", "wiki/b.md": "# B\n\ntwo\n"})
+    (root / "wiki/b.txt").unlink()
+    made.remove("wiki/a.md")
+    assert paths(made) == ["wiki/a.txt", "wiki/b.md"] and made.unread().count() == 0
+    assert any("one in text" in r.content for r in made.table("chunks").collect())
+    made.remove("wiki/b.md")
+    assert [r.relative_path for r in made.unread().collect()] == ["wiki/b.txt"]
+
+
+def test_lookups_read_the_row_groups_of_their_keys(spark, tmp_path, monkeypatch):
+    from foliant.sources import archive as A
+
+    monkeypatch.setattr(A, "ROW_GROUP", 1 << 12)
+    rows = spark.range(60_000).selectExpr("concat('subject_', lpad(id % 20000, 6, '0')) AS subject_id", "sha2(cast(id AS string), 256) AS value_text", "'x' AS attribute")
+    A.clustered(rows, "facts").parquet(str(tmp_path / "facts"))
+    one = spark.read.parquet(str(tmp_path / "facts")).filter("subject_id IN ('subject_000777')")
+    assert one.count() == 3
+    plan = one._jdf.queryExecution().executedPlan()
+    one._jdf.collectToPython()
+    read = [m for m in str(plan.toString()).split("\n") if "PushedFilters" in m]
+    scan = plan.collectLeaves().apply(0)
+    assert "subject_000777" in read[0] and scan.metrics().apply("numOutputRows").value() < 15_000

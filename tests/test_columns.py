@@ -62,3 +62,33 @@ def test_equal_years_do_not_rule_presence_out(spark):
     found = {r.key: r for r in temporal.verdicts(temporal.anachronisms(subjects, events)).collect()}
     assert not found["a"].any_impossible
     assert found["b"].mixed
+
+
+def test_names_of_any_length_are_matched_without_overlap(spark):
+    import random
+    import re
+
+    from foliant.operators import evidence
+
+    rng = random.Random(3)
+    vocabulary = ["the", "the", "the", "lost", "keep", "of", "northern", "grey", "lance"]
+    name = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    names = [name(rng.choice((1, 2, 3, 7, 9))) for _ in range(40)] + ["The Keep, of the lost northern grey lance of old", ""]
+    texts = [" ".join(rng.choice([*vocabulary, rng.choice(names)]) for _ in range(12)) for _ in range(30)] + ["The keep of the lost northern grey lance, of old!", "", None]
+
+    def brute(text):
+        words = re.findall(r"\w+", (text or "").lower())
+        hits = []
+        for n in {tuple(re.findall(r"\w+", x.lower())) for x in names} - {()}:
+            hits += [(-len(n), i + 1, " ".join(n)) for i in range(len(words)) if tuple(words[i : i + len(n)]) == n]
+        kept = []
+        for less, at, found in sorted(hits):
+            if all(at - less <= b or b - m <= at for m, b, _ in kept):
+                kept.append((less, at, found))
+        return {(found, at) for _, at, found in kept}
+
+    asked = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, question string")
+    got = {}
+    for r in evidence.entity_matches(asked, spark.createDataFrame([(n,) for n in names], "name string")).collect():
+        got.setdefault(r.question_id, set()).add((r.name, r.at))
+    assert got == {k: b for k, t in enumerate(texts) if (b := brute(t))}
