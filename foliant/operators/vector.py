@@ -154,6 +154,45 @@ def lsa(docs: DataFrame, key: str, text: str, dimensions: int = vocab.LSA_DIMENS
     return rows.mapInArrow(project, f"{key} {dict(docs.dtypes)[key]}, embedding array<float>"), index, idf, parts
 
 
+def fold_in(docs: DataFrame, key: str, text: str, space: DataFrame) -> DataFrame:
+    """Rows placed in a space (term, idf, component) that others made: key, embedding, energy (the squared length of the row, terms that the
+    vocabulary lacks counted at its mean weight) and captured (that of its projection).  Each row is handled where it is read.
+
+    The space is broadcast: a vocabulary's cap of rows."""
+    import re
+    from collections import Counter
+
+    held = space.orderBy("term").collect()
+    index, parts = {r.term: k for k, r in enumerate(held)}, np.array([r.component for r in held], np.float64)
+    idf = np.array([r.idf for r in held])
+    wide = parts.shape[1] if len(held) else 0
+    ship(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast((index, idf, parts))
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches):
+        index, idf, parts = shipped.value
+        usual = float(idf.mean()) if len(idf) else 1.0
+        for batch in batches:
+            out, energy = np.zeros((len(batch), wide)), np.zeros(len(batch))
+            for row, value in enumerate(batch[text]):
+                counts = Counter(re.findall(WORD, (value.as_py() or "").lower()))
+                most = max(counts.values(), default=1)
+                at = np.array([index.get(t, -1) for t in counts], np.int64)
+                share = 0.5 + 0.5 * np.array(list(counts.values()), np.float64) / most
+                known = at >= 0
+                weight = np.where(known, idf[at] if len(idf) else usual, usual) * share
+                energy[row] = float((weight**2).sum())
+                if known.any():
+                    out[row] = weight[known] @ parts[at[known]]
+            length = np.linalg.norm(out, axis=1) if wide else np.zeros(len(batch))
+            unit = np.divide(out, length[:, None], out=np.zeros_like(out), where=length[:, None] > 0).astype(np.float32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * wide), pa.array(unit.reshape(-1), pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch[key], flat, pa.array(energy), pa.array(length**2)], names=[key, "embedding", "energy", "captured"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>, energy double, captured double")
+
+
 def embed(texts: list[str], index: dict[str, int], idf: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """Query vectors in the space of ``lsa``."""
     import re

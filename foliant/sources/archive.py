@@ -134,6 +134,10 @@ def report(found: DataFrame, documents: DataFrame, done: DataFrame, stored: Data
 
 #: Versions that may build upon a whole one before the next whole one is written.
 DELTAS = 16
+#: A latent space is made anew once rows that came or went since it was made exceed this share of its rows, or once the rows folded
+#: in keep so much less of their squared length than its own rows do.
+REFIT_ROWS, REFIT_LOSS = 0.25, 0.15
+SPACE_STATE = "fit_version int, fit_rows bigint, fit_energy double, fit_captured double, folded bigint, gone bigint, energy double, captured double"
 
 
 #: The columns that rows of a table are looked up by.  Tables are written in ranges of them, sorted, in small row groups with Bloom filters, so
@@ -142,12 +146,12 @@ CLUSTERED = {"documents": "document_id", "chunks": "chunk_id", "facts": "subject
 ROW_GROUP = 8 << 20
 
 
-def clustered(df: DataFrame, name: str):
-    """The writer of a table, by what it is looked up by."""
+def clustered(df: DataFrame, name: str, whole: bool = True):
+    """The writer of a table, by what it is looked up by; what changed is sorted where it lies, without an exchange."""
     key = CLUSTERED.get(name)
     if key is None or key not in df.columns:
         return df.write
-    out = df.repartitionByRange(key).sortWithinPartitions(key).write
+    out = (df.repartitionByRange(key) if whole else df).sortWithinPartitions(key).write
     return out.option("parquet.block.size", ROW_GROUP).option(f"parquet.bloom.filter.enabled#{key}", "true")
 
 
@@ -188,9 +192,14 @@ class Archive:
         a later one took it out; other tables are whole in every version."""
         read = lambda version, part: self.spark.read.parquet(f"{self.path}/v{version}/{part}")
         try:
-            if name not in self.BY_DOCUMENT:
+            first = max(v for v, whole in held if whole)
+            if name in self.VECTORS and (state := self._space_state(held)) is not None:
+                first = state.fit_version
+                if name == "vector_space":
+                    return read(first, name)
+            elif name not in self.BY_DOCUMENT:
                 return read(held[-1][0], name)
-            since = [version for version, _ in held if version >= max(v for v, whole in held if whole)]
+            since = [version for version, _ in held if version >= first]
             out = read(since[0], name).withColumn("held_at", F.lit(since[0]))
             if not since[1:]:
                 return out.drop("held_at")
@@ -204,6 +213,11 @@ class Archive:
         except AnalysisException:
             return None
 
+    def _space_state(self, held: list[tuple[int, bool]]):
+        """The row of SPACE_STATE of the last of some versions; None where there is none."""
+        path = f"{self.path}/v{held[-1][0]}/space_state" if held else ""
+        return self.spark.read.schema(SPACE_STATE).parquet(path).first() if held and self._exists(path) else None
+
     def points(self, name: str, keys: list[str]) -> DataFrame | None:
         """The rows of a clustered table with some of its keys, named to the scan."""
         held = self.table(name)
@@ -325,7 +339,7 @@ class Archive:
         new = f"{self.path}/v{version}"
 
         def put(df: DataFrame, name: str) -> DataFrame:
-            clustered(df, name).mode("overwrite").parquet(f"{new}/{name}")
+            clustered(df, name, whole).mode("overwrite").parquet(f"{new}/{name}")
             return self.spark.read.parquet(f"{new}/{name}")
 
         old = {n: self._read(n, held) for n in self.NAMES} if held else {}
@@ -354,8 +368,9 @@ class Archive:
             leave = leave.unionByName(done.select("document_id"))
             part = {n: put(done.select(F.explode(n).alias("x")).select("x.*"), f"new/{n}") for n in ("chunks", "tables", "figures")}
             part["warnings"] = done.select("document_id", F.explode("warnings").alias("message"))
-            # derived once, written plainly, then by range: finding the ranges reads its rows twice
-            part |= {n: put(df, f"new/{n}") for n, df in self._derived(part, documents, None if not held else old["entities"]).items()}
+            derived = self._derived(part, documents, None if not held else old["entities"])
+            # what is written by range is read twice, so it is derived and written plainly first
+            part |= {n: put(df, f"new/{n}") for n, df in derived.items()} if whole else derived
         leave = put(leave.distinct(), "gone")
         for name in self.BY_DOCUMENT:
             more = part[name] if found is not None else old[name].limit(0)
@@ -402,7 +417,7 @@ class Archive:
         now = [*held, (version, whole)]
         chunks = self._read("chunks", now)
         put(graph.entities(chunks, self._read("documents", now)), "entities")
-        self._embed(chunks, put, settings)
+        self._embed(chunks, held, version, whole, put, settings)
         self._commit(version, whole, token)
 
     def _derived(self, part: dict[str, DataFrame], documents: DataFrame, entities: DataFrame | None) -> dict[str, DataFrame]:
@@ -414,13 +429,32 @@ class Archive:
         facts = facts_of.extract(part["chunks"], documents).unionByName(prose.plate_facts(part["chunks"], part["figures"], documents, known))
         return {"edges": made["edges"], "mentions": made["mentions"], "facts": facts_of.deduplicated(facts)}
 
-    def _embed(self, chunks: DataFrame, put, settings: Settings) -> None:
-        """Vectors of all chunks that are not blank, by their first 2000 characters, and the space they live in."""
-        texts = chunks.filter("trim(content) != ''").select("chunk_id", "document_id", F.substring("content", 1, 2000).alias("content"))
-        vectors, index, idf, parts = vector.lsa(texts, "chunk_id", "content", settings.dimensions, settings.vocabulary)
-        put(vectors, "vectors")
+    def _embed(self, chunks: DataFrame, held: list[tuple[int, bool]], version: int, whole: bool, put, settings: Settings) -> None:
+        """Vectors of all chunks that are not blank, by their first 2000 characters, and the space they live in.
+
+        Between whole versions only new chunks get vectors, in the space that there is, until it no longer fits (see ``REFIT_ROWS``)."""
+        texts_of = lambda df: df.filter("trim(content) != ''").select("chunk_id", "document_id", F.substring("content", 1, 2000).alias("content"))
+        state = None if whole else self._space_state(held)
+        if state is not None and state.fit_rows:
+            fresh = texts_of(self.spark.read.parquet(f"{self.path}/v{version}/chunks"))
+            left = self._read("vectors", held).join(self.spark.read.parquet(f"{self.path}/v{version}/gone"), "document_id", "left_semi").count()
+            space = self._read("vector_space", held)
+            folded = put(vector.fold_in(fresh, "chunk_id", "content", space).join(fresh.select("chunk_id", "document_id"), "chunk_id"), "folded")
+            more = folded.agg(F.count("*").alias("n"), F.coalesce(F.sum("energy"), F.lit(0.0)).alias("energy"), F.coalesce(F.sum("captured"), F.lit(0.0)).alias("captured")).first()
+            now = (state.fit_version, state.fit_rows, state.fit_energy, state.fit_captured, state.folded + more.n, state.gone + left, state.energy + more.energy, state.captured + more.captured)
+            kept = lambda captured, energy: captured / energy if energy else 1.0
+            if now[4] + now[5] <= REFIT_ROWS * state.fit_rows and kept(now[7], now[6]) >= kept(state.fit_captured, state.fit_energy) - REFIT_LOSS:
+                put(folded.select("chunk_id", "embedding", "document_id"), "vectors")
+                put(self.spark.createDataFrame([now], SPACE_STATE).coalesce(1), "space_state")
+                return
+        texts = texts_of(chunks)
+        _, index, idf, parts = vector.lsa(texts, "chunk_id", "content", settings.dimensions, settings.vocabulary)
         space = [(term, float(idf[k]), [float(x) for x in parts[k]]) for term, k in index.items()]
-        put(self.spark.createDataFrame(space, "term string, idf double, component array<double>").coalesce(1), "vector_space")
+        space = put(self.spark.createDataFrame(space, "term string, idf double, component array<double>").coalesce(1), "vector_space")
+        made = put(vector.fold_in(texts, "chunk_id", "content", space).join(texts.select("chunk_id", "document_id"), "chunk_id"), "folded")
+        put(made.select("chunk_id", "embedding", "document_id"), "vectors")
+        whole_of = made.agg(F.count("*"), F.coalesce(F.sum("energy"), F.lit(0.0)), F.coalesce(F.sum("captured"), F.lit(0.0))).first()
+        put(self.spark.createDataFrame([(version, *whole_of, 0, 0, 0.0, 0.0)], SPACE_STATE).coalesce(1), "space_state")
 
     def statistics(self) -> DataFrame:
         """Rows of each table, and the pages of current documents."""
@@ -450,6 +484,9 @@ class Archive:
             token = self._claim(version)
             for name in (*self.NAMES, *self.VECTORS):
                 clustered(self._read(name, held), name).mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
+            if (state := self._space_state(held)) is not None:
+                now = state.asDict() | {"fit_version": version}
+                self.spark.createDataFrame([tuple(now.values())], SPACE_STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v{version}/space_state")
             if (index := self._index_of(held)) is not None:
                 inverted.write(f"{self.path}/v{version}/index", index.entries(), index.whole().select("n", "tokens"))
             self._commit(version, True, token)

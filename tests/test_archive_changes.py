@@ -449,3 +449,32 @@ def test_lookups_read_the_row_groups_of_their_keys(spark, tmp_path, monkeypatch)
     read = [m for m in str(plan.toString()).split("\n") if "PushedFilters" in m]
     scan = plan.collectLeaves().apply(0)
     assert "subject_000777" in read[0] and scan.metrics().apply("numOutputRows").value() < 15_000
+
+
+def test_new_chunks_are_folded_into_the_space_until_it_no_longer_fits(spark, tmp_path):
+    import random
+
+    import numpy as np
+
+    from foliant.operators import vector
+
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("red", "blue", "green", "old") for b in ("fox", "whale", "frog", "leaf", "stone")]
+    say = lambda k: " ".join(rng.choice(words[5 * (k % 4) : 5 * (k % 4) + 5]) for _ in range(30))
+    root, made, _ = store(spark, tmp_path, {f"wiki/k{k}.txt": say(k) + "\n" for k in range(24)}, settings=Settings(dimensions=6))
+    state = lambda: made._space_state(made._history())
+    assert (state().fit_version, state().folded) == (1, 0) and made.table("vectors").count() == made.table("chunks").count()
+    (root / "wiki/new.txt").write_text(say(1) + "\n")
+    made.ingest(str(root), Settings(dimensions=6))
+    assert (state().fit_version, state().folded, state().gone) == (1, 1, 0)
+    assert made.table("vectors").count() == made.table("chunks").count() == 25
+    held = {r.chunk_id: np.array(r.embedding) for r in made.table("vectors").collect()}
+    space = made.table("vector_space").orderBy("term").collect()
+    chunks = {r.chunk_id: r.content for r in made.table("chunks").collect()}
+    want = vector.embed(list(chunks.values()), {r.term: k for k, r in enumerate(space)}, np.array([r.idf for r in space]), np.array([r.component for r in space]))
+    assert all(np.allclose(held[c], w, atol=1e-5) for c, w in zip(chunks, want, strict=True))
+    (root / "wiki/odd.txt").write_text(" ".join(f"unheard{k} of{k}" for k in range(90)) + "\n")  # no word of the space: too little is kept of it
+    made.ingest(str(root), Settings(dimensions=6))
+    assert state().fit_version == 3 and state().folded == 0 and made.table("vectors").count() == 26
+    made.compact()
+    assert made.table("vectors").count() == 26 and state().fit_version == 4
