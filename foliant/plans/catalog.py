@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
 from foliant.functions import vocab
-from foliant.operators import charts_data, chunking, evidence, facts, graph, inverted, lexical, prose, reasoning, temporal, vector
+from foliant.operators import chunking, evidence, facts, graph, inverted, lexical, prose, reasoning, temporal, vector
 from foliant.plans import operations
 from foliant.plans import views as V
 from foliant.session import ship
@@ -542,15 +542,39 @@ def formatted_results(spark, sf):
     return p.select("p_partkey", C.format_result(F.lit("total"), (F.col("p_partkey") * 1000).cast("double")).alias("total"), C.format_result(F.lit("percentage"), F.col("p_size") / 4.0).alias("percentage"))
 
 
-@query("chart_line_fit", charts_data.FIT_SQL)
+# Charts drawn from parts, six to a chart: four bars print their part's size, one misprints it, and one prints nothing, or a number beside it.
+_LENGTH = "(4.5::DOUBLE * p_size + 3::DOUBLE + (p_partkey % 5)::DOUBLE + (p_partkey % 6)::DOUBLE / 64)"
+_BARS = f"""b AS (SELECT p_partkey // 6 AS figure_id, {_LENGTH} AS length, CASE p_partkey % 6 WHEN 5 THEN 0 WHEN 4 THEN p_size + 40 ELSE p_size END::DOUBLE AS printed,
+  CASE WHEN p_partkey % 6 = 5 THEN CASE p_partkey // 6 % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size + 30 END END::DOUBLE AS seen FROM part)"""
+_FIT = f"""{_BARS}, r AS (SELECT * FROM b WHERE printed > 0),
+l AS (SELECT x.figure_id, x.printed AS pa, y.printed AS pb, (y.length - x.length) / (y.printed - x.printed) AS slope, x.length - (y.length - x.length) / (y.printed - x.printed) * x.printed AS intercept FROM r x JOIN r y ON x.figure_id = y.figure_id AND x.printed < y.printed),
+m AS (SELECT l.* FROM l JOIN (SELECT figure_id, max(length) AS longest FROM b GROUP BY figure_id) USING (figure_id) WHERE slope > 0 AND abs(intercept) <= 0.06::DOUBLE * longest),
+v AS (SELECT m.*, (SELECT count(*) FROM r WHERE r.figure_id = m.figure_id AND abs(r.length - (slope * r.printed + intercept)) <= 12) AS inliers FROM m),
+fit AS (SELECT * FROM v WHERE inliers >= 2 QUALIFY row_number() OVER (PARTITION BY figure_id ORDER BY inliers DESC, abs(intercept), pa, pb) = 1)"""
+_NEAR = "x < 100 AND abs(x - round(x)) <= 0.2::DOUBLE"
+_AGREES = "abs(seen - x) <= greatest(0.5::DOUBLE, 0.03::DOUBLE * abs(x))"
+READ_SQL = f"""WITH {_FIT}, p AS (SELECT figure_id, seen, (length - intercept) / slope AS x FROM b JOIN fit USING (figure_id) WHERE printed <= 0)
+SELECT figure_id, CASE WHEN {_AGREES} THEN seen WHEN {_NEAR} THEN round(x) END AS value, CASE WHEN {_AGREES} THEN 0.93::DOUBLE WHEN {_NEAR} THEN 0.78::DOUBLE END AS confidence FROM p"""
+
+
+def _bars(spark, sf):
+    key, size, at = F.col("p_partkey"), F.col("p_size").cast("double"), F.col("p_partkey") % 6
+    length = F.lit(4.5) * size + F.lit(3.0) + (key % 5).cast("double") + at.cast("double") / 64
+    chart = F.floor(key / 6).cast("bigint")
+    printed = F.when(at == 5, 0.0).when(at == 4, size + 40).otherwise(size)
+    seen = F.when(at == 5, F.when(chart % 3 == 0, size).when(chart % 3 == 1, size + 30))
+    return V.table(spark, sf, "part").select(chart.alias("figure_id"), length.alias("length"), printed.alias("printed"), seen.alias("seen"))
+
+
+@query("chart_line_fit", f"WITH {_FIT} SELECT figure_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept, inliers FROM fit")
 def chart_line_fit(spark, sf):
-    fit = reasoning.line_fit(charts_data.bars(spark))
+    fit = reasoning.line_fit(_bars(spark, sf))
     return fit.select("figure_id", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "inliers")
 
 
-@query("chart_readoff", charts_data.READ_SQL)
+@query("chart_readoff", READ_SQL)
 def chart_readoff(spark, sf):
-    bars = charts_data.bars(spark)
+    bars = _bars(spark, sf)
     met = bars.filter("printed IS NULL OR printed <= 0").join(reasoning.line_fit(bars), "figure_id")
     read = reasoning.read_off(F.col("length"), F.col("seen"), F.col("slope"), F.col("intercept"))
     return met.select("figure_id", read["value"].alias("value"), read["confidence"].alias("confidence"))
@@ -805,10 +829,15 @@ QUESTIONS = ("How long did the war last?", "What percentage of the garrison fell
 CUES = tuple((o.name, pattern) for o in operations.OPERATIONS for pattern in o.patterns)
 
 
-@query("operation_detect", f"WITH q AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))}) t(question_id, question)), k AS (SELECT * FROM (VALUES {', '.join(f"('{o}', '{p.replace(chr(39), chr(39) * 2)}')" for o, p in CUES)}) t(operation, cue)) SELECT DISTINCT question_id, operation FROM q JOIN k ON regexp_matches(question, '(?i)' || cue)")
+_ASKED = f"SELECT p_partkey AS question_id, replace(list_value({', '.join(chr(39) + q.replace(chr(39), chr(39) * 2) + chr(39) for q in QUESTIONS)})[(p_partkey % {len(QUESTIONS)} + 1)::INT], 'the', p_name) AS question FROM part"
+
+
+@query("operation_detect", f"WITH q AS ({_ASKED}), k AS (SELECT * FROM (VALUES {', '.join(f"('{o}', '{p.replace(chr(39), chr(39) * 2)}')" for o, p in CUES)}) t(operation, cue)) SELECT DISTINCT question_id, operation FROM q JOIN k ON regexp_matches(question, '(?i)' || cue)")
 def operation_detect(spark, sf):
-    q = spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, question string")
-    return evidence.matched_cues(q, list(CUES))
+    """Operations of a question about every part: the questions' shapes, with its name in place of an article."""
+    shapes = F.array(*map(F.lit, QUESTIONS))
+    asked = F.replace(F.get(shapes, (F.col("p_partkey") % len(QUESTIONS)).cast("int")), F.lit("the"), F.col("p_name"))
+    return evidence.matched_cues(V.table(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), asked.alias("question")), list(CUES))
 
 
 @query("entity_match", "WITH q AS (SELECT n_nationkey AS question_id, 'Who rules ' || n_name || ' and ' || r_name || '?' AS question FROM nation JOIN region ON n_regionkey = r_regionkey), names AS (SELECT DISTINCT trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS name FROM (SELECT n_name AS x FROM nation UNION SELECT r_name FROM region)) SELECT question_id, name FROM q JOIN names ON contains(' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || name || ' ')")
