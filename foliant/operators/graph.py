@@ -79,15 +79,21 @@ def neighbours(edges: DataFrame, nodes: DataFrame, predicates: list[str] | None
 def walk(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
     """start, node, hops: what is reached along edge directions, at its least distance.
 
-    A hop's new pairs are persisted, so the next one doesn't walk them again; all but what is returned are released.
+    A hop's new pairs are persisted, so the next one doesn't walk them again; what is returned is persisted, and all else released.
     """
     step = edges.select(F.col("subject_id").alias("node"), F.col("object_id").alias("next")).distinct().persist()
     seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)).persist()
-    front = seen
+    front, kept = seen, [step, seen]
     for hop in range(1, hops + 1):
         reached = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
         new = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)).persist()
+        kept.append(new)
         if new.isEmpty():
             break
         front, seen = new, seen.unionByName(new)
-    return seen
+    out = seen.persist() if len(kept) > 2 else seen
+    out.count()
+    for frame in kept:
+        if frame is not out:
+            frame.unpersist()
+    return out
