@@ -163,7 +163,7 @@ def plan(q: Question) -> list[Step]:
     by_intent = {
         "calculation": [*operands, Step("compute", "compute")],
         "analysis": [Step("aggregate", "aggregate", attribute=(q.analysis or "").partition(":")[2]), Step("analyse", "analyse")] if (q.analysis or "").startswith("superlative") else [*operands, Step("analyse", "analyse")],
-        "temporal_check": [Step("origin", "origin", first), Step("events", "events", (q.entities + [None, None])[1]), Step("temporal", "temporal")],
+        "temporal_check": [Step("origin", "origin", first), Step("events", "events", (q.entities + [None, None])[1]), Step("relation", "relation", first), Step("temporal", "temporal")],
         "multi_fact": [*operands, Step("assemble", "assemble")],
         "relation_hop": [Step("bridge", "lookup", first, q.bridge), Step("target", "hop", attribute=attribute)],
         "conflict_resolution": [Step("target", "lookup", first, attribute), Step("resolve", "resolve", first, attribute)],
@@ -470,6 +470,8 @@ class _Run:
         elif step.action == "events":
             step.rows = (yield from self._need("dated", step.subject)) if step.subject else []
             step.done, step.value = bool(step.rows), ", ".join(str(r["year"]) for r in step.rows) or None
+        elif step.action == "relation":
+            yield from self._relation(step)
         elif step.action == "temporal" and by["origin"].done and by["events"].done:
             born = int(by["origin"].value or 0)
             step.rows = by["origin"].rows + by["events"].rows
@@ -491,6 +493,17 @@ class _Run:
         elif step.action == "search":
             yield from self._search(step)
 
+    def _relation(self, step: Step) -> Investigation:
+        """What links a thing to the place of the events today: where it is kept now says nothing of where it was then."""
+        entities = self.out.question.entities
+        if len(entities) < 2:
+            return
+        place = self._name(entities[1])
+        step.rows, step.done = (yield from self._need("relations", step.subject or "", place)), True
+        kept = [r for r in step.rows if r["is_custody"]]
+        told = "; ".join(f"{r['attribute'].replace('_', ' ')}: {r['value_text']}" for r in kept or step.rows)
+        step.value = f"{told}, which is no evidence of then" if kept else told or f"no direct link to {place} is recorded"
+
     def _analyse(self, step: Step, by: dict[str, Step], operands: list[Step]) -> Investigation:
         kind = (self.out.question.analysis or "").partition(":")[0]
         if kind == "superlative" and by["aggregate"].done:
@@ -545,7 +558,7 @@ class _Run:
         unresolved = sum((c["gap"] or 0) < vocab.DECISIVE_GAP for c in out.conflicts)
         bare = sum(not c["evidence"] for c in out.claims)
         out.status = yield from self._need("statuses", out.stop, len(out.claims) + read, unmet, len(out.visual_gaps) if unmet else 0, 0, unresolved, bare)
-        last = next((s for s in reversed(out.steps) if s.done and s.value), None)
+        last = next((s for s in reversed(out.steps) if s.done and s.value and s.action != "relation"), None)
         missing = [f"{s.subject or ''} {s.attribute or s.key}".strip() for s in out.steps if not s.done and s.action in ("operand", "lookup", "origin", "events")]
         out.headline = last.value if last and not (missing and out.question.intent == "calculation") else "; ".join(out.rejected) or "No recorded value" + (f" for {', '.join(missing)}" if missing else "")
         if last is None and out.visual_gaps:

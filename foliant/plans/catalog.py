@@ -536,10 +536,10 @@ for _kind in ("percentage", "ratio", "difference", "total", "average"):
     _calculations(_kind)
 
 
-@query("formatted_results", "SELECT p_partkey, printf('%,d', p_partkey * 1000) AS total, printf('%.2f', p_size / 4.0) || '%' AS percentage FROM part")
+@query("formatted_results", "SELECT p_partkey, printf('%,d', p_partkey * 1000) AS total, printf('%.2f', p_size / 4.0) || '%' AS percentage, regexp_replace(regexp_replace(printf('%.3f', p_size / 3.0), '0+$', ''), '\\.$', '') AS ratio, CASE WHEN (p_size - 25) % 2 = 0 THEN ((p_size - 25) * 3 // 2)::VARCHAR ELSE printf('%.2f', (p_size - 25) * 1.5) END AS difference FROM part")
 def formatted_results(spark, sf):
     p = V.table(spark, sf, "part")
-    return p.select("p_partkey", C.format_result(F.lit("total"), (F.col("p_partkey") * 1000).cast("double")).alias("total"), C.format_result(F.lit("percentage"), F.col("p_size") / 4.0).alias("percentage"))
+    return p.select("p_partkey", C.format_result(F.lit("total"), (F.col("p_partkey") * 1000).cast("double")).alias("total"), C.format_result(F.lit("percentage"), F.col("p_size") / 4.0).alias("percentage"), C.format_result(F.lit("ratio"), F.col("p_size") / 3.0).alias("ratio"), C.format_result(F.lit("difference"), (F.col("p_size") - 25) * 1.5).alias("difference"))
 
 
 # Charts drawn from parts, six to a chart: four bars print their part's size, one misprints it, and one prints nothing, or a number beside it.

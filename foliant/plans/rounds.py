@@ -193,6 +193,13 @@ class Rounds:
             out.append([{k: v for k, v in r.items() if k != "kind"} for r in first + [r for r in rows if r["kind"] and r["year"] not in years]])
         return out
 
+    def relations(self, requests: list[tuple]) -> list[list[dict]]:
+        """Facts about a subject whose value names a place, and whether they say where it is kept."""
+        asked = self._frame([(k, *r) for k, r in enumerate(requests)], "subject_id string, place string")
+        own = self._keyed(self.facts, "subject_id", (r[0] for r in requests)).drop("ord").join(asked, "subject_id")
+        rows = own.filter(C.mentions(F.col("value_text"), F.col("place"))).withColumn("is_custody", F.col("attribute").isin(*vocab.CUSTODY_ATTRIBUTES)).drop("place")
+        return self._dealt(len(requests), rows.orderBy("rid", F.desc("is_custody"), F.desc("reliability"), "attribute", "chunk_id"))
+
     def excerpts(self, requests: list[tuple]) -> list[str]:
         """What a chunk says of a value and a subject."""
         asked = self._frame([(k, *r) for k, r in enumerate(requests)], "chunk_id string, value string, subject string")

@@ -50,3 +50,10 @@ def test_a_batch_answers_as_single_questions_do(spark, found):
 def test_a_best_value_that_is_no_number_is_named_and_not_replaced(found):
     answer = found.ask("What percentage of the garrison of Greyfell Keep is the garrison of Reed Hold?")
     assert "many troops" in answer.headline and "no number" in answer.headline and answer.status != "completed"
+
+
+def test_where_a_thing_is_kept_now_is_told_apart_from_then(found):
+    answer = found.ask(QUESTIONS[2])
+    step = next(s for s in answer.steps if s.action == "relation")
+    assert step.done and step.rows[0]["is_custody"] and "housed in" in step.value and "no evidence of then" in step.value
+    assert "is later than" in answer.headline and any(c["step"] == "relation" and c["evidence"] for c in answer.claims)
