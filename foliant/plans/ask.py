@@ -202,8 +202,13 @@ class Investigator:
         self.rounds = Rounds(archive, self.retriever)
 
     def names_in(self, text: str) -> dict[str, str]:
-        """Names of entities and subjects that a text may hold: those whose every word it has."""
-        return self.rounds.drive([_Run(self, text).names(text)])[0]
+        """Names of entities and subjects that a text may hold: those whose every word it has.  One set on an investigator, or
+        overridden, is asked in place of the archive's dictionary."""
+        return self.rounds.drive([_Run(self, text).recorded(text)])[0]
+
+    @property
+    def own_names(self) -> bool:
+        return "names_in" in vars(self) or type(self).names_in is not Investigator.names_in
 
     def ask(self, text: str) -> Answer:
         return self.ask_many([text])[0]
@@ -217,7 +222,7 @@ class _Run:
     """One question's investigation; its methods yield needs."""
 
     def __init__(self, of: Investigator, text: str):
-        self.text, self.settings, self.model, self.vision = text, of.settings, of.model, of.vision
+        self.of, self.text, self.settings, self.model, self.vision = of, text, of.settings, of.model, of.vision
         self.queries, self.known = 0, {}
         self.out: Answer
 
@@ -232,11 +237,14 @@ class _Run:
         return (yield needs) if needs else []
 
     def names(self, text: str) -> Investigation:
+        found = self.of.names_in(text) if self.of.own_names else (yield from self.recorded(text))
+        self.known |= {e: n for n, e in found.items()}
+        return found
+
+    def recorded(self, text: str) -> Investigation:
         said = re.findall(r"\w+", text.lower())
         words = tuple(sorted({*said, *(w[:-1] for w in said if w.endswith("s"))}))
-        found = (yield Need("names", (words,))) if words else {}
-        self.known |= {e: n for n, e in found.items()}
-        return dict(found)
+        return dict((yield Need("names", (words,)))) if words else {}
 
     def _name(self, subject: str | None) -> str:
         return self.known.get(subject or "", (subject or "").replace("_", " "))
