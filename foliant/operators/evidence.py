@@ -80,12 +80,6 @@ def failure_stage(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stage", stage)
 
 
-def matched_cues(questions: DataFrame, cues: list[tuple[str, str]], text: str = "question") -> DataFrame:
-    """question_id, operation: which operations' cues (operation, pattern) a question shows; the table of cues is fixed."""
-    found = F.array(*[F.when(F.col(text).rlike(f"(?i){pattern}"), F.lit(op)) for op, pattern in cues])
-    return questions.select("question_id", F.explode(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))).alias("operation"))
-
-
 def entity_matches(questions: DataFrame, names: DataFrame, text: str = "question") -> DataFrame:
     """question_id, name, at: dictionary names of any length in texts, the longest first, then the leftmost, none over another.
 

@@ -43,25 +43,15 @@ class Question:
     answer_type: str = "value"
 
 
-def spans(text: str, phrases) -> list[tuple[int, int, str]]:
-    """(start, end, phrase): whole-token matches, longest first, none inside another, in order."""
-    found: list[tuple[int, int, str]] = []
-    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
-        for m in re.finditer(rf"(?<![0-9a-z]){re.escape(phrase)}s?(?![0-9a-z])", text.lower()):
-            if all(m.end() <= a or z <= m.start() for a, z, _ in found):
-                found.append((m.start(), m.end(), phrase))
-    return sorted(found)
-
-
 def analyse(text: str, names: dict[str, str]) -> Question:
     """A typed question; ``names`` maps lower-case surface forms to entity ids."""
     q = Question(text, expects_conflict=W.said("settled", text) is not None)
-    who = spans(text, [n for n in names if len(n) > 2 and n not in W.PHRASES])
+    who = W.spans(text, [n for n in names if len(n) > 2 and n not in W.PHRASES])
     q.entities = list(dict.fromkeys(names[n] for _, _, n in who))
     masked = text
     for a, z, _ in who:
         masked = masked[:a] + "\0" * (z - a) + masked[z:]
-    told = [(at, end, attribute) for at, end, phrase in spans(masked, W.PHRASES) for attribute in _meant(text, W.PHRASES[phrase])]
+    told = [(at, end, attribute) for at, end, phrase in W.spans(masked, W.PHRASES) for attribute in _meant(text, W.PHRASES[phrase])]
     q.attributes = list(dict.fromkeys(a for _, _, a in told))
     numeric = [(at, a) for at, _, a in told if a in vocab.NUMERIC_ATTRIBUTES]
     pairs = _bound(text, [x for x in told if x[2] in vocab.NUMERIC_ATTRIBUTES], [(a, names[n]) for a, _, n in who])

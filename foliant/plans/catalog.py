@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliant.functions import columns as C
 from foliant.functions import vocab
 from foliant.operators import chunking, evidence, facts, graph, inverted, lexical, prose, reasoning, temporal, vector
-from foliant.plans import operations
+from foliant.plans import language, operations
 from foliant.plans import views as V
 from foliant.session import ship
 from foliant.sources import archive, gateway, parsers, shared
@@ -825,19 +825,21 @@ def json_schema_gate(spark, sf):
 
 
 QUESTIONS = ("How long did the war last?", "What percentage of the garrison fell?", "Which came first?", "Which keep has the highest threat rating?", "What is the total of both?", "Do the sources disagree?", "Who ruled it?")
-#: Every pattern of the registry.
-CUES = tuple((o.name, pattern) for o in operations.OPERATIONS for pattern in o.patterns)
+def _meaning_sql(meaning: str) -> str:
+    """A meaning in SQL: its alternatives, each of features that are shown or not."""
+    shows = lambda f: ("NOT " if f.startswith("-") else "") + "regexp_matches(question, '" + language.feature(f.removeprefix("-")).replace("'", "''") + "')"
+    return " OR ".join("(" + " AND ".join(map(shows, features)) + ")" for features in language.MEANINGS[meaning])
 
 
 _ASKED = f"SELECT p_partkey AS question_id, replace(list_value({', '.join(chr(39) + q.replace(chr(39), chr(39) * 2) + chr(39) for q in QUESTIONS)})[(p_partkey % {len(QUESTIONS)} + 1)::INT], 'the', p_name) AS question FROM part"
 
 
-@query("operation_detect", f"WITH q AS ({_ASKED}), k AS (SELECT * FROM (VALUES {', '.join(f"('{o}', '{p.replace(chr(39), chr(39) * 2)}')" for o, p in CUES)}) t(operation, cue)) SELECT DISTINCT question_id, operation FROM q JOIN k ON regexp_matches(question, '(?i)' || cue)")
+@query("operation_detect", f"WITH q AS ({_ASKED}) " + " UNION ALL ".join(f"SELECT question_id, '{o.name}' AS operation FROM q WHERE " + " OR ".join(map(_meaning_sql, o.meanings)) for o in operations.OPERATIONS))
 def operation_detect(spark, sf):
     """Operations of a question about every part: the questions' shapes, with its name in place of an article."""
     shapes = F.array(*map(F.lit, QUESTIONS))
     asked = F.replace(F.get(shapes, (F.col("p_partkey") % len(QUESTIONS)).cast("int")), F.lit("the"), F.col("p_name"))
-    return evidence.matched_cues(V.table(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), asked.alias("question")), list(CUES))
+    return operations.told(V.table(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), asked.alias("question")))
 
 
 @query("entity_match", "WITH q AS (SELECT n_nationkey AS question_id, 'Who rules ' || n_name || ' and ' || r_name || '?' AS question FROM nation JOIN region ON n_regionkey = r_regionkey), names AS (SELECT DISTINCT trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS name FROM (SELECT n_name AS x FROM nation UNION SELECT r_name FROM region)) SELECT question_id, name FROM q JOIN names ON contains(' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || name || ' ')")

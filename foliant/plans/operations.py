@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from foliant.plans import language
 
 
@@ -23,10 +26,6 @@ class Operation:
     needs: tuple[Need, ...]
     after: tuple[str, ...] = ()
 
-    @property
-    def patterns(self) -> tuple[str, ...]:
-        return tuple(language.pattern(cue) for meaning in self.meanings for cue in language.CUES[meaning])
-
 
 _YEARS, _NUMBERS = Need("year", 2, 2), Need("number", 2, 2)
 _ALL_NUMBERS, _RECORDS = Need("number", 1, None), Need("dated record", 1, None)
@@ -43,7 +42,7 @@ OPERATIONS = (
     Operation("ratio", ("ratio",), (_NUMBERS,)),
     Operation("difference", ("difference",), (_NUMBERS,)),
     Operation("total", ("total",), (_ALL_NUMBERS,)),
-    Operation("average", ("average", "norm"), (_ALL_NUMBERS,)),
+    Operation("average", ("average",), (_ALL_NUMBERS,)),
     Operation("sorting", ("ranking",), (_ALL_NUMBERS,)),
     Operation("numeric_comparison", ("comparison",), (_NUMBERS,)),
     Operation("conflict_detection", ("contested",), (_VALUES,)),
@@ -67,3 +66,10 @@ def detect(text: str) -> list[dict]:
         if found[o.name]:
             names += [x for x in (*o.after, o.name) if x not in names]
     return [{"operation": n, "cue": found[n], "needs": [{"kind": x.kind, "least": x.least, "most": x.most} for x in by[n].needs]} for n in names]
+
+
+def told(questions: DataFrame, text: str = "question") -> DataFrame:
+    """question_id, operation: what each question of a table asks for itself, without what must run before."""
+    shows = {o.name: [language.shown(meaning, F.col(text)) for meaning in o.meanings] for o in OPERATIONS}
+    found = F.array(*[F.when(F.greatest(*either) if len(either) > 1 else either[0], F.lit(name)) for name, either in shows.items()])
+    return questions.select("question_id", F.explode(F.array_compact(found)).alias("operation"))
