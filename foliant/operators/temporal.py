@@ -29,16 +29,52 @@ def anachronisms(subjects: DataFrame, dated: DataFrame) -> DataFrame:
     return met.select("key", "event", gap.alias("gap"), (gap > 0).alias("impossible"))
 
 
-def as_of(rows: DataFrame, states: DataFrame, key: str, at: str, keep: list[str]) -> DataFrame:
+#: A key is heavy from this share of all rows and this number of rows on; its rows are then cut into this many spans of time.
+HEAVY_SHARE, HEAVY_ROWS, SPANS = 1 / 1024, 1_000_000, 256
+
+
+def heavy_cuts(rows: DataFrame, key: str, at: str, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS, spans: int = SPANS) -> DataFrame | None:
+    """key, cuts: times that part a heavy key's rows into spans of about equal size, or None where no key is heavy.
+
+    At most ``1 / share`` keys can be heavy, so what is gathered here and broadcast later has that many rows of ``spans`` times."""
+    sizes = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    bound = max(least, int(total * share))
+    if total <= bound:
+        return None
+    heavy = sizes.filter(F.col("n") > bound).select(key)
+    held = heavy.collect()  # fewer than 1 / share rows
+    if not held:
+        return None
+    heavy = rows.sparkSession.createDataFrame(held, heavy.schema)
+    parts = F.array(*[F.lit(k / spans) for k in range(1, spans)])
+    cuts = rows.join(F.broadcast(heavy), key, "left_semi").groupBy(key).agg(F.percentile_approx(at, parts, F.lit(4 * spans)).alias("cuts"))
+    return rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+
+
+def as_of(rows: DataFrame, states: DataFrame, key: str, at: str, keep: list[str], share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> DataFrame:
     """``rows`` with the columns ``keep`` of the last state of their key at or before their time; null where there is none.
 
-    One union and one window by key: no row meets more than its own key's rows.  Of states of one key and time the one
-    that sorts last counts.
+    One union and one window by key: no row meets more than its own key's rows.  A heavy key's rows (``heavy_cuts``) are windowed by
+    span of time, each of which begins with the last state of the spans before it.  Of states of one key and time the one
+    that sorts last counts.  Rows without a key, which have no state, are spread.
     """
     state = F.struct(*[F.col(c) for c in keep])
     both = rows.select(F.col(key).alias("as_key"), F.col(at).alias("as_at"), F.lit(1).alias("as_row"), F.struct("*").alias("as_mine"))
     both = both.unionByName(states.select(F.col(key).alias("as_key"), F.col(at).alias("as_at"), F.lit(0).alias("as_row"), state.alias("as_state")), allowMissingColumns=True)
-    upto = Window.partitionBy("as_key").orderBy("as_at", "as_row", "as_state").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    loose = F.when(F.col("as_key").isNull(), F.pmod(F.xxhash64("as_at"), F.lit(SPANS)).cast("int"))
+    cuts = heavy_cuts(both.select("as_key", "as_at"), "as_key", "as_at", share, least)
+    if cuts is None:
+        both = both.withColumn("as_span", F.coalesce(loose, F.lit(0)))
+    else:
+        both = both.join(F.broadcast(cuts.withColumnRenamed("as_key", "as_heavy")), F.col("as_key") == F.col("as_heavy"), "left")
+        later = F.size(F.filter("cuts", lambda c: c < F.col("as_at")))
+        both = both.withColumn("as_span", F.coalesce(loose, F.when(F.col("cuts").isNotNull(), later), F.lit(0)))
+        ends = both.filter("cuts IS NOT NULL").groupBy("as_key", "as_span").agg(F.max(F.when(F.col("as_row") == 0, F.struct("as_at", "as_state")))["as_state"].alias("as_state"))
+        before = Window.partitionBy("as_key").orderBy("as_span").rowsBetween(Window.unboundedPreceding, -1)
+        begun = ends.select("as_key", "as_span", F.last("as_state", ignorenulls=True).over(before).alias("as_state"), F.lit(0).alias("as_row")).filter("as_state IS NOT NULL")
+        both = both.drop("cuts", "as_heavy").unionByName(begun, allowMissingColumns=True)
+    upto = Window.partitionBy("as_key", "as_span").orderBy("as_at", "as_row", "as_state").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = both.withColumn("as_last", F.when(F.col("as_key").isNotNull(), F.last("as_state", ignorenulls=True).over(upto))).filter("as_row = 1")
     return met.select("as_mine.*", *[F.col(f"as_last.{c}").alias(f"as_of_{c}") for c in keep])
 

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from foliant.functions import vocab
 from foliant.session import ship
+from foliant.sources.shared import new_folder
 
 WORD = r"(?i)[a-z][a-z'-]{1,}"
 #: Queries broadcast at once.
 BLOCK = 4096
-#: Subspace iteration: dimensions beyond those asked for, passes; rows of a partial sum that travel together, cells handled at once.
-SPARE, PASSES, ROWS, CELLS = 16, 4, 256, 40_000
+#: Subspace iteration: dimensions beyond those asked for, passes; rows of a partial sum that travel together, cells handled at once, lanes of tasks.
+SPARE, PASSES, ROWS, CELLS, LANES = 16, 4, 256, 40_000, 64
 #: Cells a row from which rows are multiplied as dense ones.
 DENSE = 40
 
@@ -83,11 +84,15 @@ def _times(q: np.ndarray, row: np.ndarray, i: np.ndarray, w: np.ndarray, rows: i
 
 
 def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """A'(A Q): each task sends a matrix of the basis' size, vocabulary by dimensions, however many documents it read."""
+    """A'(A Q): each task sends a matrix of the basis' size, vocabulary by dimensions, however many documents it read.
+
+    Matrices are cut into parts and added up in two levels, first in ``LANES`` lanes of tasks, so no group holds those of all tasks."""
     shipped = rows.sparkSession.sparkContext.broadcast(basis)
     size, wide = basis.shape
 
     def run(batches):
+        from pyspark import TaskContext
+
         q = shipped.value
         total = np.zeros(q.shape)
         for batch in batches:
@@ -99,13 +104,18 @@ def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
                     total += _added(i, w[:, None] * y[row], len(q))
         if total.any():
             parts = [total[k : k + ROWS] for k in range(0, len(total), ROWS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "data"])
+            lane = np.full(len(parts), TaskContext.get().partitionId() % LANES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(lane), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "lane", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "data": [sum(np.frombuffer(x) for x in pdf["data"]).tobytes()]})
+        total = np.zeros(len(pdf["data"].iloc[0]) // 8)
+        for x in pdf["data"]:
+            total += np.frombuffer(x)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "data": [total.tobytes()]})
 
     out = np.zeros((size, wide))
-    for part, data in rows.select("w").mapInArrow(run, "part bigint, data binary").groupBy("part").applyInPandas(add, "part bigint, data binary").collect():  # a vocabulary by dimensions
+    sent = rows.select("w").mapInArrow(run, "part bigint, lane bigint, data binary").groupBy("part", "lane").applyInPandas(add, "part bigint, data binary")
+    for part, data in sent.groupBy("part").applyInPandas(add, "part bigint, data binary").collect():  # a vocabulary by dimensions
         out[part * ROWS : part * ROWS + ROWS] = np.frombuffer(data).reshape(-1, wide)
     shipped.unpersist()
     return out
@@ -135,9 +145,11 @@ def lsa(docs: DataFrame, key: str, text: str, dimensions: int = vocab.LSA_DIMENS
     if not index:
         return docs.select(key, F.array().cast("array<float>").alias("embedding")), index, idf, np.zeros((0, 0))
     fixed = docs.sparkSession.createDataFrame([(r.term, r.df, r.idf) for r in held], "term string, df bigint, idf double")
-    rows = cells(tfidf(counted, fixed.select("term", "idf"), key), fixed, key).persist()
+    # read once a pass, and by the projection whenever its result is
+    path = new_folder(docs.sparkSession, "latent")
+    cells(tfidf(counted, fixed.select("term", "idf"), key), fixed, key).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
     parts = components(rows, len(index), max(1, min(dimensions, len(index) - 1, n - 1)))
-    rows.unpersist()
     shipped = docs.sparkSession.sparkContext.broadcast(parts)
 
     def project(batches):
