@@ -9,8 +9,10 @@ a text that holds an entity, wherever it stands.  Over the corpus, with counts o
 
 say how much a term tells about an entity, and how much there is to tell; ``S``, ``SMOOTHING``, adds
 texts that hold the entity no more often than all do, so few texts say less than many.  Terms with
-``PMI >= DISCLOSURE * IC`` disclose the entity: they become spans of kind ``term`` wherever they
-stand in texts that hold it.  ``sanitise`` generalises spans to their kind and removes terms.
+``PMI >= DISCLOSURE * IC`` disclose the entity if there is evidence beyond one chance meeting: that more than half of the term's
+texts hold the entity must be sure to ``SURE`` standard errors, which takes two texts at least, or the term must stand beside
+the entity somewhere, among the ``BESIDE`` terms nearest to it on a side and at most ``GAP`` characters away.  They become spans
+of kind ``term`` wherever they stand in texts that hold the entity.  ``sanitise`` generalises spans to their kind and removes terms.
 
 Counts cover all documents.  One scan gathers entities and terms and writes them to the shared folder;
 a second counts all words.  No term over ``most(c(e))`` can pass, whatever it shares with the entity,
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -39,10 +42,15 @@ from foliant.llm.tokens import MARK_BYTES, slices, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 DISCLOSURE, SMOOTHING, SALTS = 0.8, 2.0, 16
+#: Evidence: standard errors, terms on a side of an entity, characters between.
+SURE, BESIDE, GAP = 1.28, 2, 40
 #: Secrets: bits a character, and characters to a change between letters and digits.
 ENTROPY, CHANGES = 3.0, 6
-#: Slots of the bitmap of copied texts, words a task holds before it adds them up, and frequent words that are broadcast.
-SLOTS, HELD, OFTEN = 1 << 24, 1 << 21, 100_000
+#: Bits a copied text in the bitmap of them, the bitmap's least and most bits (128 MB), words a task holds before it adds them up, and frequent
+#: words that are broadcast.
+ROOM, SLOTS, MOST_SLOTS, HELD, OFTEN = 16, 1 << 20, 1 << 30, 1 << 21, 100_000
+#: Bits of one piece of a bitmap that Spark builds.
+PIECE = 8 * 4096
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -126,27 +134,39 @@ def terms_of(text: str, spans) -> list[tuple[str, int, int]]:
     return [(m[0], m.start(), m.end()) for m in _TERM.finditer(text) if before[m.start()] == before[m.end()]]
 
 
+def beside_of(spans, near) -> list[tuple[int, int]]:
+    """(number of a span, number of a term): the terms that stand beside spans, both by start."""
+    starts, ends = [x[1] for x in near], [x[2] for x in near]
+    out = []
+    for k, (_, a, z, _) in enumerate(spans):
+        left, right = bisect_right(ends, a), bisect_left(starts, z)
+        out += [(k, t) for t in range(max(0, left - BESIDE), left) if a - ends[t] <= GAP]
+        out += [(k, t) for t in range(right, min(len(near), right + BESIDE)) if starts[t] - z <= GAP]
+    return out
+
+
 def _hashes(words: list[str]) -> np.ndarray:
     """One hash per word, as the words of whole texts are hashed."""
     data, bounds = text_bytes(pa.array(words, pa.large_string()))
     return word_hashes(data, bounds, MARK_BYTES)[0].view(np.int64)
 
 
-SCANNED = "rid bigint, doc_id {}, h bigint, spans array<struct<kind:string,start:bigint,end:bigint>>, entities array<string>, terms array<struct<term:bigint,start:bigint,end:bigint>>"
+SCANNED = "rid bigint, doc_id {}, h bigint, spans array<struct<kind:string,start:bigint,end:bigint>>, entities array<string>, terms array<struct<term:bigint,start:bigint,end:bigint>>, beside array<struct<entity:string,term:bigint>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, hash of the text, spans, entities, terms that may disclose them, for every row."""
+    """rid, doc_id, hash of the text, spans, entities, terms that may disclose them, and which stand beside which, for every row."""
     kind = dict(docs.dtypes)["doc_id"]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     term_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    pair_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64())]))
 
     def run(batches):
         from pyspark import TaskContext
 
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            hashes, spans, entities, terms = [], [], [], []
+            hashes, spans, entities, terms, beside = [], [], [], [], []
             for text in batch["text"]:
                 text = text.as_py() or ""
                 found = find(text)
@@ -156,10 +176,12 @@ def scan(docs: DataFrame) -> DataFrame:
                 placed = sorted([x[:3] for x in found] + hidden, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
                 spans.append([{"kind": k, "start": a, "end": z} for k, a, z in placed])
                 entities.append(sorted({f"{k}:{value}" for k, _, _, value in found}))
-                terms.append([{"term": t, "start": x[1], "end": x[2]} for x, t in zip(near, _hashes([x[0] for x in near]).tolist() if near else [], strict=True)])
+                hashed = _hashes([x[0] for x in near]).tolist() if near else []
+                terms.append([{"term": t, "start": x[1], "end": x[2]} for x, t in zip(near, hashed, strict=True)])
+                beside.append([{"entity": e, "term": t} for e, t in sorted({(f"{found[k][0]}:{found[k][3]}", hashed[t]) for k, t in beside_of(found, near)})])
             rids = pa.array(np.arange(rid, rid + len(batch)), pa.int64())
             rid += len(batch)
-            yield pa.RecordBatch.from_arrays([rids, batch["doc_id"], pa.array(hashes, pa.int64()), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.string())), pa.array(terms, term_type)], names=["rid", "doc_id", "h", "spans", "entities", "terms"])
+            yield pa.RecordBatch.from_arrays([rids, batch["doc_id"], pa.array(hashes, pa.int64()), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.string())), pa.array(terms, term_type), pa.array(beside, pair_type)], names=["rid", "doc_id", "h", "spans", "entities", "terms", "beside"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCANNED.format(kind))
 
@@ -167,13 +189,18 @@ def scan(docs: DataFrame) -> DataFrame:
 def document_counts(docs: DataFrame, scanned: DataFrame, held: int = HELD) -> DataFrame:
     """term, n: in how many distinct texts of ``docs`` each word occurs.
 
-    Words of texts that have no copy are added up by each task; the others, told by a bitmap of fixed size that may take a few
-    more for copies, go by the hash of their text, which keeps one of each.
+    Words of texts that have no copy are added up by each task; the others, told by a bitmap that may take a few
+    more for copies, go by the hash of their text, which keeps one of each.  The bitmap grows with the copied texts up to ``MOST_SLOTS``;
+    beyond that more texts are taken for copies, which costs a shuffle of their words and changes no count.
     """
-    slots = scanned.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()["slot"]
-    copied = np.zeros(SLOTS, bool)
-    copied[slots.to_numpy()] = True
-    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(copied).tobytes())
+    copies = keep(scanned.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "copied")
+    size = min(MOST_SLOTS, max(SLOTS, 1 << (ROOM * copies.count()).bit_length()))
+    slot = F.pmod("h", F.lit(size).cast("bigint"))
+    pieces = copies.groupBy(F.floor(slot / PIECE).alias("at")).agg(F.bitmap_construct_agg(slot % PIECE).alias("bits")).toArrow()  # size / 8 bytes
+    copied = np.zeros(size // 8, np.uint8)
+    for at, bits in zip(pieces["at"].to_pylist(), pieces["bits"].to_pylist(), strict=True):
+        copied[at * PIECE // 8 : (at + 1) * PIECE // 8] = np.frombuffer(bits, np.uint8)
+    shipped = docs.sparkSession.sparkContext.broadcast(copied.tobytes())
     names, lists = ["h", "terms", "term", "n"], pa.list_(pa.int64())
 
     def run(batches):
@@ -200,8 +227,8 @@ def document_counts(docs: DataFrame, scanned: DataFrame, held: int = HELD) -> Da
                 new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
                 words, row = words[new], row[new]
                 hashes = np.array([text_hash(data[a:z].tobytes()) for a, z in zip(bounds[lo:hi].tolist(), bounds[lo + 1 : hi + 1].tolist(), strict=True)], np.int64)
-                slot = hashes % SLOTS
-                twin = (bits[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
+                slot = hashes % size
+                twin = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
                 waiting.append(np.unique(words[~twin[row]], return_counts=True))
                 if twin.any():
                     ends = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -238,6 +265,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSU
     met = met.join(sizes, "entity").filter(F.col("c_entity") < n)
     # entities of one text alone are told alike: the first stands for them
     single = met.filter("c_entity = 1").groupBy("h").agg(F.min("entity").alias("entity")).withColumn("c_entity", F.lit(1).cast("bigint"))
+    beside = scanned.select("h", F.explode("beside").alias("b")).select("h", "b.*").distinct().join(sizes, "entity")
+    alone = beside.filter("c_entity = 1").select("h", "term").distinct().join(single.select("h", "entity"), "h").select("h", "entity", "term")
+    beside = alone.unionByName(beside.filter("c_entity > 1").select("h", "entity", "term")).withColumn("beside", F.lit(1))
     met = keep(single.unionByName(met.filter("c_entity > 1").select("h", "entity", "c_entity")), "met")
 
     counts = keep(document_counts(docs, scanned).withColumnRenamed("n", "c_term"), "counts")
@@ -245,12 +275,14 @@ def disclosing(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSU
     often = counts.filter(F.col("c_term") > limit).orderBy(F.desc("c_term"), "term").limit(OFTEN).select("term")
     near = scanned.select("h", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
     near = near.join(F.broadcast(often), "term", "left_anti").distinct().join(counts.filter(F.col("c_term") <= limit), "term")
-    pairs = keep(near.join(met, "h").filter(F.col("c_term") <= most(F.col("c_entity"), n, disclosure) + 1e-6), "pairs")
+    pairs = near.join(met, "h").filter(F.col("c_term") <= most(F.col("c_entity"), n, disclosure) + 1e-6)
+    pairs = keep(pairs.join(beside, ["h", "entity", "term"], "left"), "pairs")
 
-    both = pairs.groupBy("entity", "term", "c_entity", "c_term").agg(F.count("*").alias("both"))
+    both = pairs.groupBy("entity", "term", "c_entity", "c_term").agg(F.count("*").alias("both"), F.max("beside").alias("beside"))
     rate = (F.col("both") + SMOOTHING * F.col("c_entity") / n) / (F.col("c_term") + SMOOTHING)
     ic = F.log2(n / F.col("c_entity"))
-    judged = both.select("entity", "term", (F.log2(rate) + ic).alias("pmi"), ic.alias("ic")).filter((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
+    sure = (F.col("both") / F.col("c_term") - 0.5) * F.sqrt("c_term") >= SURE / 2  # the score test of p(e | t) > 1/2
+    judged = both.filter(sure | F.col("beside").isNotNull()).select("entity", "term", (F.log2(rate) + ic).alias("pmi"), ic.alias("ic")).filter((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
     judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return pairs.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).join(judged, ["entity", "term", "salt"]).select("h", "entity", "term", "pmi", "ic")
 
