@@ -14,8 +14,8 @@ from foliant.session import ship
 from foliant.sources.shared import new_folder
 
 WORD = r"(?i)[a-z][a-z'-]{1,}"
-#: Queries broadcast at once.
-BLOCK = 4096
+#: Queries broadcast at once; queries and rows whose cosines a task makes at once.
+BLOCK, TILE = 4096, 512
 #: Subspace iteration: dimensions beyond those asked for, passes; rows of a partial sum that travel together, cells handled at once, lanes of tasks.
 SPARE, PASSES, ROWS, CELLS, LANES = 16, 4, 256, 40_000, 64
 #: Cells a row from which rows are multiplied as dense ones.
@@ -220,11 +220,47 @@ def embed(texts: list[str], index: dict[str, int], idf: np.ndarray, parts: np.nd
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return np.divide(x, (w := np.linalg.norm(x, axis=1, keepdims=True)), out=np.zeros_like(x), where=w > 0)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    sizes = np.unique(pa.compute.list_value_length(column).to_numpy())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {sizes.tolist()} dimensions")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _better(best: np.ndarray, names: np.ndarray, asked: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> None:
+    """Merges rows ``x`` (keys ``own``) into the k best of each query, in place: by rounded cosine, ties by key.
+
+    Cosines are made a tile at a time; only those that may reach a query's k-th go on."""
+    for lo in range(0, len(asked), TILE):
+        score = asked[lo : lo + TILE] @ x.T
+        at, row = np.nonzero(score >= best[lo : lo + TILE, -1:] - 1e-8)
+        if not len(at):
+            continue
+        met = at[np.flatnonzero(np.append(True, np.diff(at) > 0))]  # queries of the tile with candidates
+        value = np.concatenate([best[lo + met].ravel(), score[at, row]])
+        key = np.concatenate([names[lo + met].ravel(), own[row]])
+        of = np.concatenate([np.repeat(met, k), at])
+        held = value > -np.inf
+        value, key, of = value[held], key[held], of[held]
+        order = np.lexsort((key, -value.round(9), of))
+        value, key, of = value[order], key[order], of[order]
+        start = np.flatnonzero(np.append(True, np.diff(of) > 0))
+        place = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
+        kept = place < k
+        best[lo + of[kept], place[kept]], names[lo + of[kept], place[kept]] = value[kept], key[kept]
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """query_id, key, cosine: exact search of a stated set of queries (query_id, embedding) against all rows.
 
     Queries are broadcast in blocks of ``BLOCK``; a task keeps its k best per query, so what is
-    shuffled is bounded by tasks * queries * k.  Vectors of another length than a query raise.
+    shuffled is bounded by tasks * queries * k, and makes cosines in tiles of ``TILE`` by ``TILE``, so its memory is
+    that of a block, however many rows and queries there are.  Vectors of another length than a query raise.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -233,29 +269,27 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     n = -(-total // BLOCK)
     schema = f"query_id bigint, {key} {kind}, cosine double"
     out = spark.createDataFrame([], schema)
-    unit = lambda x: np.divide(x, (w := np.linalg.norm(x, axis=1, keepdims=True)), out=np.zeros_like(x), where=w > 0)
     for b in range(n):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "embedding").collect()
-        if not rows:
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "embedding").toArrow().combine_chunks()
+        if not len(rows):
             continue
-        ids, asked = np.array([r[0] for r in rows]), unit(np.array([r[1] for r in rows], np.float64))
+        ids, asked = rows["query_id"].to_numpy().astype(np.int64), _unit(_matrix(pa.concat_arrays(rows["embedding"].chunks)))
         shipped = spark.sparkContext.broadcast((ids, asked))
 
         def run(batches, shipped=shipped):
             ids, asked = shipped.value
-            best_key, best = None, None
+            best, names = np.full((len(ids), k), -np.inf), None
             for batch in batches:
-                x = unit(np.array(batch["embedding"].to_pylist(), np.float64).reshape(len(batch), -1))
-                if x.shape[1] != asked.shape[1]:
-                    raise ValueError(f"vectors of {x.shape[1]} dimensions, queries of {asked.shape[1]}")
-                score = asked @ x.T
-                names = np.broadcast_to(batch[key].to_numpy(zero_copy_only=False), score.shape)
-                if best is not None:
-                    score, names = np.concatenate([best, score], 1), np.concatenate([best_key, names], 1)
-                order = np.lexsort((names, -score.round(9)), axis=1)[:, :k]
-                best, best_key = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_key.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", key, "cosine"])
+                for lo in range(0, len(batch), TILE):
+                    piece = batch.slice(lo, TILE)
+                    x, own = _unit(_matrix(piece["embedding"])), piece[key].to_numpy(zero_copy_only=False)
+                    if x.shape[1] != asked.shape[1]:
+                        raise ValueError(f"vectors of {x.shape[1]} dimensions, queries of {asked.shape[1]}")
+                    names = np.zeros((len(ids), k), own.dtype) if names is None else names
+                    _better(best, names, asked, x, own, k)
+            if names is not None:
+                held = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[held]), pa.array(names[held]), pa.array(best[held])], names=["query_id", key, "cosine"])
 
         out = out.unionByName(vectors.filter(F.col("embedding").isNotNull()).select(key, "embedding").mapInArrow(run, schema))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key)
@@ -314,7 +348,12 @@ def entity_overlap(content, names: list[str]):
 
 def recall_at(ranked: DataFrame, expected: DataFrame, ks: list[int], key: str, asked: DataFrame | None = None) -> DataFrame:
     """k, recall: the share of queries, those ``asked`` or expected, with an expected (query_id, key) among their first k."""
-    hit = ranked.join(expected.withColumn("ok", F.lit(1)), ["query_id", key], "left").groupBy("query_id").agg(*[F.max(F.when((F.col("rank") <= k) & F.col("ok").isNotNull(), 1).otherwise(0)).alias(f"r{k}") for k in ks])
-    n = (expected if asked is None else asked).select("query_id").distinct()
-    met = n.join(hit, "query_id", "left").agg(*[F.avg(F.coalesce(f"r{k}", F.lit(0))).alias(f"r{k}") for k in ks])
+    marked = ranked.join(expected.withColumn("ok", F.lit(1)), ["query_id", key], "left").withColumn("ok", F.col("ok").isNotNull())
+    return recall_of(marked, ks, expected if asked is None else asked)
+
+
+def recall_of(marked: DataFrame, ks: list[int], asked: DataFrame) -> DataFrame:
+    """As ``recall_at``, of ranked rows (query_id, rank, ok) that say themselves whether they are expected."""
+    hit = marked.groupBy("query_id").agg(*[F.max(F.when((F.col("rank") <= k) & F.col("ok"), 1).otherwise(0)).alias(f"r{k}") for k in ks])
+    met = asked.select("query_id").distinct().join(hit, "query_id", "left").agg(*[F.avg(F.coalesce(f"r{k}", F.lit(0))).alias(f"r{k}") for k in ks])
     return met.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in ks])).alias("x")).select("x.*")

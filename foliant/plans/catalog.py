@@ -725,9 +725,10 @@ def recall_at_k(spark, sf):
     e = V.table(spark, sf, "embeddings")
     asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
     ranked = vector.cosine_topk(e, asked.select("query_id", "embedding"), 5).select("query_id", "vec_id", "rank")
-    met = ranked.join(e.select("vec_id", F.col("label").alias("own")), "vec_id").join(asked.select("query_id", "label"), "query_id").filter("own = label AND vec_id != query_id")
+    labels = ranked.join(e.select("vec_id", F.col("label").alias("own")), "vec_id").join(asked.select("query_id", "label"), "query_id")
+    marked = labels.withColumn("ok", F.coalesce(F.expr("own = label AND vec_id != query_id"), F.lit(False)))
     many = e.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
-    return vector.recall_at(ranked, met.select("query_id", "vec_id"), [1, 3, 5], "vec_id", asked.join(many, "label", "left_semi")).select("k", F.round("recall", 6).alias("recall"))
+    return vector.recall_of(marked, [1, 3, 5], asked.join(many, "label", "left_semi")).select("k", F.round("recall", 6).alias("recall"))
 
 
 @query("lsa_topk")

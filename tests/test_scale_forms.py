@@ -59,3 +59,26 @@ def test_sums_in_lanes_are_whole(spark):
     rows = spark.createDataFrame([([{"i": int(j), "weight": float(x[j])} for j in np.flatnonzero(x)],) for x in dense], "w array<struct<i:int,weight:double>>").repartition(70)
     basis = rng.random((600, 4))
     assert np.allclose(vector.gram_times(rows, basis), dense.T @ (dense @ basis))
+
+
+def test_cosines_in_tiles_are_those_of_all_rows_at_once(spark, monkeypatch):
+    from foliant.operators import vector
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties
+    asked = rng.integers(-2, 3, (23, 4)).astype(float)
+    unit = lambda m: np.divide(m, (w := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=w > 0)
+    full = (unit(asked) @ unit(x).T).round(9)
+    want = {q: sorted(range(300), key=lambda d: (-full[q, d], d))[:7] for q in range(23)}
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)], "query_id bigint, embedding array<double>")
+    made = []
+    monkeypatch.setattr(vector, "TILE", 8)
+    monkeypatch.setattr(vector, "BLOCK", 10)
+    best, names = np.full((23, 7), -np.inf), np.zeros((23, 7), np.int64)
+    for lo in range(0, 300, 8):
+        vector._better(best, names, unit(asked), unit(x[lo : lo + 8]), np.arange(lo, min(300, lo + 8)), 7)
+    assert names.tolist() == [want[q] for q in range(23)]
+    for r in vector.cosine_topk(rows, queries, 7).collect():
+        made.append((r.query_id, r["rank"], r.vec_id))
+    assert sorted(made) == sorted((q, k, d) for q in want for k, d in enumerate(want[q], 1))
