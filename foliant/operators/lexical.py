@@ -5,14 +5,25 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import vocab
+from foliant.operators import ranking
+from foliant.session import ship
 
 TOKEN = r"[\p{L}\p{N}_'-]+"
+#: As ``TOKEN``, with marks that stand alone, which folding takes out.
+MARKED = TOKEN.replace("_", "_\\u0300-\\u036F")
 #: Asked terms that are matched inside the scan's own projection; more meet the tokens in a join.
 TERMS = 10_000
+#: Asked (query, term) pairs that are scored where texts are read; more meet the tokens in a join.
+PAIRS = 100_000
+#: Tokens, and scores, that a task handles at once.
+PIECE = 1 << 18
 
 
 def _folds() -> tuple[str, str]:
@@ -31,7 +42,36 @@ def folded(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0), lambda t: F.length(t) > 1)
+    """The tokens of the folded text; each is folded by itself, since few have letters beyond ASCII."""
+    cut = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(MARKED), 0)
+    plain = F.transform(cut, lambda t: F.when(F.octet_length(t) > F.length(t), F.translate(t, ACCENTED, PLAIN)).otherwise(t))
+    return F.filter(plain, lambda t: F.length(t) > 1)
+
+
+def keyed(rows: DataFrame, key: str) -> bool:
+    """Whether every row has a key of its own."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNull() | (F.col("n") > 1)).isEmpty()
+
+
+def counted(lists: pa.Array, wanted: pa.Array | None = None, rows: int | None = None):
+    """lo, hi, row, code, tf, names: counts of the words in the rows lo to hi of a column of lists (row - lo, ascending), ``PIECE`` words, ``rows`` rows or
+    one row at a time.  Codes are places in ``names``: the words of the column, or those ``wanted``, others being left out."""
+    flat = lists.flatten().dictionary_encode()
+    ends = np.cumsum(np.asarray(lists.value_lengths()))
+    names, code = flat.dictionary, flat.indices.to_numpy()
+    if wanted is not None:
+        at = pa.compute.index_in(names, wanted).fill_null(-1).to_numpy(zero_copy_only=False)
+        names, code = wanted, at[code] if len(at) else code
+    lo = 0
+    while lo < len(ends):
+        begin = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
+        hi = min(hi, lo + rows) if rows else hi
+        own = code[begin : ends[hi - 1]]
+        row = np.repeat(np.arange(hi - lo), np.diff(ends[lo:hi], prepend=begin))
+        held, tf = np.unique((row * (len(names) + 1) + own)[own >= 0], return_counts=True)
+        yield lo, hi, held // (len(names) + 1), held % (len(names) + 1), tf, names
+        lo = hi
 
 
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,8 +99,12 @@ def occurrences(chunks: DataFrame, wanted: DataFrame, key: str, text: str) -> Da
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content", every: bool = False) -> DataFrame:
     """query_id, key, score for a frame of queries (query_id, term); repeated terms count again.
 
-    ``every`` keeps chunks that have all terms of a query.
+    ``every`` keeps chunks that have all terms of a query.  Up to ``PAIRS`` asked pairs are scored where the text is read, so only
+    document frequencies are shuffled; more, and chunks whose keys repeat, meet the queries in joins.
     """
+    few = _few(queries)
+    if few is not None and keyed(chunks, key):
+        return _scored(chunks, few, key, text, every)
     hits = occurrences(chunks, queries.select("term").distinct(), key, text)
     whole = lengths(chunks, key, text).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -74,6 +118,82 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str
     return scored.drop("matched")
 
 
+def _few(queries: DataFrame) -> list | None:
+    """query_id, term, times of queries, if they are few."""
+    asked = queries.filter("term IS NOT NULL AND query_id IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("times")).limit(PAIRS + 1).collect()
+    return asked if len(asked) <= PAIRS else None
+
+
+def _frequencies(words: DataFrame, wanted: pa.Array) -> tuple[int, int, np.ndarray]:
+    """Chunks, tokens and the chunks that hold each of the wanted terms."""
+
+    def run(batches):
+        n, total, df = 0, 0, np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            n, total = n + len(batch), total + len(batch["words"].flatten())
+            for *_, code, _, _ in counted(batch["words"], wanted):
+                df += np.bincount(code, minlength=len(wanted))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], at)), pa.array(np.append([n, total], df[at]))], names=["at", "c"])
+
+    sums = {r["at"]: r["c"] for r in words.select("words").mapInArrow(run, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c")).collect()}  # a row a wanted term
+    return sums.get(-2, 0), sums.get(-1, 0), np.array([sums.get(k, 0) for k in range(len(wanted))], np.int64)
+
+
+def _scored(chunks: DataFrame, few: list, key: str, text: str, every: bool = False, limit: int | None = None) -> DataFrame:
+    """As ``bm25``, of few queries; with ``limit`` no more than a task's best of each query, by rounded score, ties by key."""
+    ship(chunks.sparkSession)
+    kind = dict(chunks.dtypes)[key]
+    wanted = pa.array(sorted({r.term for r in few}), pa.string())
+    place, ids = {t: k for k, t in enumerate(wanted.to_pylist())}, np.array(sorted({r.query_id for r in few}), np.int64)
+    words = chunks.select(key, tokens(F.col(text)).alias("words"))
+    n, total, df = _frequencies(words, wanted)
+    idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+    few = sorted((place[r.term], r.query_id, r.times) for r in few)
+    term = np.array([t for t, _, _ in few], np.int64)
+    query = np.searchsorted(ids, np.array([q for _, q, _ in few], np.int64))
+    weight = idf[term] * np.array([c for *_, c in few], np.float64)
+    start = np.searchsorted(term, np.arange(len(wanted) + 1))
+    shipped = chunks.sparkSession.sparkContext.broadcast((wanted, ids, start, query, weight, np.bincount(query, minlength=len(ids)), total / max(1, n)))
+    piece = PIECE
+
+    def run(batches):
+        wanted, ids, start, query, weight, terms, mean = shipped.value
+        k1, b, best, names = vocab.BM25_K1, vocab.BM25_B, None, None
+        for batch in batches:
+            length = np.asarray(batch["words"].value_lengths())
+            own = batch[key].to_numpy(zero_copy_only=False) if limit else batch[key]
+            for lo, hi, row, code, tf, _ in counted(batch["words"], wanted, max(1, piece // max(1, len(ids)))):
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[lo + row] / mean))
+                many = np.diff(start)[code]
+                pair = np.repeat(start[code] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                cell = query[pair] * (hi - lo) + np.repeat(row, many)
+                score = np.bincount(cell, weight[pair] * np.repeat(part, many), len(ids) * (hi - lo))
+                hit = score > 0
+                if every:
+                    hit &= np.bincount(cell, minlength=len(score)) == np.repeat(terms, hi - lo)
+                at = np.flatnonzero(hit)
+                of, row = at // (hi - lo), lo + at % (hi - lo)
+                if not limit:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[of]), own.take(pa.array(row)), pa.array(score[at], pa.float64())], names=["query_id", key, "score"])
+                    continue
+                best, names = ranking.start(len(ids), limit, own.dtype) if best is None else (best, names)
+                near = score[at] >= best[of, -1] - 1e-8
+                ranking.merge(best, names, of[near], score[at][near], own[row][near])
+        if best is not None:
+            held = best > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[held]), pa.array(names[held]), pa.array(best[held])], names=["query_id", key, "score"])
+
+    return words.mapInArrow(run, f"query_id bigint, {key} {kind}, score double")
+
+
+def best(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """As ``top`` of ``bm25``: a task sends its best only, where queries are few and keys don't repeat."""
+    few = _few(queries)
+    here = few is not None and keyed(chunks, key)
+    return top(_scored(chunks, few, key, text, limit=limit) if here else bm25(chunks, queries, key, text), limit, key)
+
+
 def top(scored: DataFrame, limit: int, key: str = "chunk_id", by: str = "score") -> DataFrame:
     """The best ``limit`` per query: a bounded window that Spark limits before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round(by, 9)), key)

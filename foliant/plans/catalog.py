@@ -599,7 +599,7 @@ def _documents(spark, sf):
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm QUALIFY rank <= 30")
 def bm25_topk(spark, sf):
-    return lexical.top(lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id"), 30, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.best(_documents(spark, sf), _queries(spark, sf), 30, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("index_topk", ORACLES["bm25_topk"])
@@ -618,7 +618,7 @@ POOL = f"{BM25}, pool AS (SELECT query_id, doc_id, score FROM bm QUALIFY row_num
 
 
 def _pool(spark, sf):
-    return lexical.top(lexical.bm25(_documents(spark, sf), _queries(spark, sf), "doc_id"), vocab.POOL * vocab.DEPTH, "doc_id")
+    return lexical.best(_documents(spark, sf), _queries(spark, sf), vocab.POOL * vocab.DEPTH, "doc_id")
 
 
 @query("bm25_quality_rerank", f"WITH {POOL} SELECT query_id, doc_id, blend FROM lx")

@@ -77,8 +77,68 @@ def test_cosines_in_tiles_are_those_of_all_rows_at_once(spark, monkeypatch):
     monkeypatch.setattr(vector, "BLOCK", 10)
     best, names = np.full((23, 7), -np.inf), np.zeros((23, 7), np.int64)
     for lo in range(0, 300, 8):
-        vector._better(best, names, unit(asked), unit(x[lo : lo + 8]), np.arange(lo, min(300, lo + 8)), 7)
+        vector._better(best, names, unit(asked), unit(x[lo : lo + 8]), np.arange(lo, min(300, lo + 8)))
     assert names.tolist() == [want[q] for q in range(23)]
     for r in vector.cosine_topk(rows, queries, 7).collect():
         made.append((r.query_id, r["rank"], r.vec_id))
     assert sorted(made) == sorted((q, k, d) for q in want for k, d in enumerate(want[q], 1))
+
+
+def _odd_documents(spark, repeated=False):
+    texts = ["Der Énéinà e\u0301neina der, DER x", None, "", "a bb a bb cc", "\u0301 \u0301a' b\u0301b- _1 l'été", "cc bb", "bb cc", "İx ẞs ǆ Ⅷa ½½"] + [f"bb w{k % 7} cc{k % 3}" for k in range(60)]
+    rows = [(k if k < 60 or not repeated else k % 60, t) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_scores_made_where_texts_are_read_are_those_of_joins(spark, monkeypatch, repeated):
+    from foliant.operators import lexical
+
+    docs = _odd_documents(spark, repeated)
+    asked = spark.createDataFrame([(1, "bb"), (1, "bb"), (1, "cc"), (2, "der"), (2, "eneina"), (3, "nowhere"), (4, "w3"), (4, "bb")], "query_id bigint, term string")
+    made = lambda every: sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in lexical.bm25(docs, asked, "doc_id", "text", every).collect())
+    best = lambda: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in lexical.best(docs, asked, 5, "doc_id", "text").collect())
+    here = made(False), made(True), best()
+    monkeypatch.setattr(lexical, "PIECE", 3)
+    assert (made(False), made(True), best()) == here
+    monkeypatch.setattr(lexical, "PAIRS", 0)
+    assert (made(False), made(True), best()) == here
+
+
+def test_scores_of_few_terms_shuffle_no_hits(spark):
+    from foliant.operators import lexical
+
+    plan = lexical.bm25(_odd_documents(spark), spark.createDataFrame([(1, "bb")], "query_id bigint, term string"), "doc_id", "text")._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_terms_are_counted_where_texts_are_read(spark, repeated):
+    import re
+    from collections import Counter
+
+    docs = _odd_documents(spark, repeated)
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r.doc_id, Counter()).update(re.findall(r"[a-z][a-z'-]+", (r.text or "").lower()))
+    counted = vector.terms(docs, "doc_id", "text")
+    assert sorted(tuple(r) for r in counted.collect()) == sorted((d, t, c, max(w.values())) for d, w in want.items() for t, c in w.items())
+    assert repeated or "Exchange hashpartitioning" not in counted._jdf.queryExecution().toString()
+
+
+def test_tokens_are_those_of_the_folded_text(spark):
+    from foliant.operators import lexical
+
+    whole = F.filter(F.regexp_extract_all(lexical.folded(F.coalesce("text", F.lit(""))), F.lit(lexical.TOKEN), 0), lambda t: F.length(t) > 1)
+    for r in _odd_documents(spark).select(lexical.tokens(F.col("text")).alias("a"), whole.alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_facts_are_dealt_by_chunk_before_they_are_sorted(spark):
+    from foliant.operators import facts
+
+    chunks = spark.createDataFrame([(f"c{k}", f"d{k % 5}", "table", ["Infobox"], 1, "codex", f"Threat rating | {k}\nThreat rating | {k} .") for k in range(40)], "chunk_id string, document_id string, content_type string, section_path array<string>, page_start int, source_class string, content string")
+    documents = spark.createDataFrame([(f"d{k}", f"Keep {k}", 1.0, None) for k in range(5)], "document_id string, title string, reliability double, superseded_by string")
+    found = facts.extract(chunks, documents)
+    assert sorted((r.chunk_id, r.value_key) for r in found.collect()) == sorted((f"c{k}", str(k)) for k in range(40))
+    assert "RepartitionByExpression [chunk_id" in found._jdf.queryExecution().optimizedPlan().toString()
