@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import vocab
+from foliant.operators import lexical, ranking
 from foliant.session import ship
 from foliant.sources.shared import new_folder
 
@@ -23,10 +24,24 @@ DENSE = 40
 
 
 def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, c, most: counts of a document's terms and of its most frequent one."""
-    each = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0)).alias("term"))
-    counts = each.groupBy(key, "term").agg(F.count("*").alias("c"))
-    return counts.withColumn("most", F.max("c").over(Window.partitionBy(key)))
+    """key, term, c, most: counts of a document's terms and of its most frequent one.
+
+    Where keys don't repeat, a document is counted where it is read and nothing is shuffled."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0)
+    if not lexical.keyed(docs, key):
+        each = docs.select(key, F.explode(words).alias("term"))
+        counts = each.groupBy(key, "term").agg(F.count("*").alias("c"))
+        return counts.withColumn("most", F.max("c").over(Window.partitionBy(key)))
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for lo, _, row, code, tf, names in lexical.counted(batch["words"]):
+                most = np.zeros(row.max(initial=0) + 1, np.int64)
+                np.maximum.at(most, row, tf)
+                yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(lo + row)), names.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(most[row])], names=[key, "term", "c", "most"])
+
+    return docs.select(key, words.alias("words")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, term string, c bigint, most bigint")
 
 
 def vocabulary(counted: DataFrame, n_docs: int, cap: int = vocab.VOCABULARY) -> DataFrame:
@@ -37,7 +52,7 @@ def vocabulary(counted: DataFrame, n_docs: int, cap: int = vocab.VOCABULARY) ->
 
 def tfidf(counted: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """key, term, weight: augmented frequency times idf."""
-    return counted.join(words, "term").select(key, "term", ((0.5 + 0.5 * F.col("c") / F.col("most")) * F.col("idf")).alias("weight"))
+    return counted.join(F.broadcast(words), "term").select(key, "term", ((0.5 + 0.5 * F.col("c") / F.col("most")) * F.col("idf")).alias("weight"))
 
 
 def cells(weights: DataFrame, words: DataFrame, key: str) -> DataFrame:
@@ -232,27 +247,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _better(best: np.ndarray, names: np.ndarray, asked: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> None:
+def _better(best: np.ndarray, names: np.ndarray, asked: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
     """Merges rows ``x`` (keys ``own``) into the k best of each query, in place: by rounded cosine, ties by key.
 
     Cosines are made a tile at a time; only those that may reach a query's k-th go on."""
     for lo in range(0, len(asked), TILE):
         score = asked[lo : lo + TILE] @ x.T
         at, row = np.nonzero(score >= best[lo : lo + TILE, -1:] - 1e-8)
-        if not len(at):
-            continue
-        met = at[np.flatnonzero(np.append(True, np.diff(at) > 0))]  # queries of the tile with candidates
-        value = np.concatenate([best[lo + met].ravel(), score[at, row]])
-        key = np.concatenate([names[lo + met].ravel(), own[row]])
-        of = np.concatenate([np.repeat(met, k), at])
-        held = value > -np.inf
-        value, key, of = value[held], key[held], of[held]
-        order = np.lexsort((key, -value.round(9), of))
-        value, key, of = value[order], key[order], of[order]
-        start = np.flatnonzero(np.append(True, np.diff(of) > 0))
-        place = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
-        kept = place < k
-        best[lo + of[kept], place[kept]], names[lo + of[kept], place[kept]] = value[kept], key[kept]
+        ranking.merge(best, names, lo + at, score[at, row], own[row])
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
@@ -286,7 +288,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                     if x.shape[1] != asked.shape[1]:
                         raise ValueError(f"vectors of {x.shape[1]} dimensions, queries of {asked.shape[1]}")
                     names = np.zeros((len(ids), k), own.dtype) if names is None else names
-                    _better(best, names, asked, x, own, k)
+                    _better(best, names, asked, x, own)
             if names is not None:
                 held = best > -np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[held]), pa.array(names[held]), pa.array(best[held])], names=["query_id", key, "cosine"])
