@@ -32,7 +32,9 @@ def subject_name(section_path: Column, title: Column) -> Column:
 
 
 def extract(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Facts from the table chunks of current documents; the first of equal (subject, attribute, key, chunk) stays."""
+    """Facts from the table chunks of current documents; the first of equal (subject, attribute, key, chunk) stays.
+
+    Equal ones share their chunk, so facts are dealt by it first: what a task sorts is a partition of facts, not all that its chunks hold."""
     current = documents.filter("superseded_by IS NULL").select("document_id", "title", "reliability")
     tables = chunks.filter("content_type = 'table'").join(current, "document_id")
     rows = kv_rows(tables).withColumns({"attribute": C.attribute(F.col("label")), "value_text": C.clean_value(F.col("value"))})
@@ -43,7 +45,7 @@ def extract(chunks: DataFrame, documents: DataFrame) -> DataFrame:
         C.entity_id(F.col("subject_name")).alias("subject_id"), "subject_name", "attribute", "value_text", C.value_key(F.col("value_text")).alias("value_key"),
         C.numeric_value(F.col("value_text")).alias("value_number"), "document_id", "chunk_id", F.col("page_start").alias("page"), "source_class", "reliability", F.struct("document_id", "chunk_id", "line").alias("ord"),
     )
-    return deduplicated(rows)
+    return deduplicated(rows.repartition("chunk_id"))
 
 
 def deduplicated(facts: DataFrame, unique: tuple[str, ...] = ("subject_id", "attribute", "value_key", "chunk_id")) -> DataFrame:
