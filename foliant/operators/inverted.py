@@ -17,18 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import vocab
-from foliant.operators import lexical
+from foliant.operators import lexical, ranking
 from foliant.session import ship
 
 SHARDS, BLOCK, PLACES = 64, 128, 1 << 20
-#: A term is spread over ``PARTS`` tasks from so many chunks on, or a thousandth of all.
-HEAVY, PARTS = 1 << 16, 64
+#: Tokens that a task handles at once; a term that more than a ``DENSE``-th of a piece's chunks hold is spread over ``PARTS`` ranges of places.
+PIECE, DENSE, PARTS = 1 << 19, 16, 64
 #: Chunks a cell, cells at most, and cells that a query scores before it skips.
 CELL_CHUNKS, CELLS, FIRST = 1024, 4096, 4
+#: Asked (query, term) pairs from which all cells are scored at once: one of so many queries would want each of them anyway.
+MANY = 500
 #: Asked terms that are named to the scan; more meet it in a join.
 TERMS = lexical.TERMS
 ROW_GROUP = 1 << 20
@@ -46,66 +49,130 @@ def _place(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PLACES)).cast("int")
 
 
+#: A piece of chunks and one of its terms: the chunks that hold it, ordered by place, their spots one after another.
+_PACKED = "term string, part int, n int, ids array<{kind}>, places array<int>, tfs array<int>, lens array<int>, spots array<int>"
+
+
+def _lists(cuts: np.ndarray, values) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, pa.int32()))
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs (start, size), one run after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _pack(names: pa.Array, code: np.ndarray, key: pa.Array, place: np.ndarray, tf: np.ndarray, length: np.ndarray, spots: np.ndarray, chunks: int) -> pa.RecordBatch:
+    """Entries of a piece, spots in their order, as ``_PACKED``; terms that a ``DENSE``-th of the piece holds are cut into ``PARTS`` ranges of places."""
+    often = np.bincount(code, minlength=len(names)) > max(PARTS, chunks // DENSE)
+    part = np.where(often[code], place // (PLACES // PARTS) + 1, 0)
+    order = np.lexsort((place, part, code))
+    code, part = code[order], part[order]
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (part[1:] != part[:-1])))), len(code))
+    spots = spots[_spread((np.cumsum(tf) - tf)[order], tf[order])]
+    tf, head = tf[order], cuts[:-1]
+    return pa.RecordBatch.from_arrays([
+        names.take(pa.array(code[head])), pa.array(part[head], pa.int32()), pa.array(np.diff(cuts), pa.int32()),
+        _lists(cuts, key.take(pa.array(order))), _lists(cuts, place[order]), _lists(cuts, tf), _lists(cuts, length[order]), _lists(np.append(0, np.cumsum(tf))[cuts], spots),
+    ], names=["term", "part", "n", "ids", "places", "tfs", "lens", "spots"])
+
+
 def entries(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place, term, tf, len, spots: a row for each chunk and term, grouped where the chunk is read."""
+    """term, part, n, ids, places, tfs, lens, spots: a row for each term of a piece of chunks, made where the piece is read, ``PIECE`` tokens at a time."""
     ship(chunks.sparkSession)
-    kind = dict(chunks.dtypes)[key]
     rows = chunks.select(F.col(key).alias("key"), _place(F.col(key)).alias("place"), lexical.tokens(F.col(text)).alias("tokens"))
-    names = ["key", "place", "term", "tf", "len", "spots"]
 
     def run(batches):
         for batch in batches:
-            lists = batch["tokens"]
-            flat = lists.flatten().dictionary_encode()
-            if not len(flat):
-                continue
-            sizes = np.diff(lists.offsets.to_numpy())
-            row, at = np.repeat(np.arange(len(batch)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            code = flat.indices.to_numpy()
-            order = np.lexsort((at, code, row))
-            row, code, at = row[order], code[order], at[order]
-            first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1]))))
-            tf = np.diff(np.concatenate((first, [len(row)])))
-            spots = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(row)])), pa.int32()), pa.array(at, pa.int32()))
-            own = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([batch["key"].take(own), batch["place"].take(own), flat.dictionary.take(pa.array(code[first])), pa.array(tf, pa.int32()), pa.array(sizes[row[first]], pa.int32()), spots], names=names)
+            ends = np.cumsum(np.asarray(batch["tokens"].value_lengths()))
+            lo = 0
+            while lo < len(ends):
+                begin = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
+                sizes, piece = np.diff(ends[lo:hi], prepend=begin), batch.slice(lo, hi - lo)
+                flat, lo = piece["tokens"].flatten().dictionary_encode(), hi
+                if not len(flat):
+                    continue
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                mixed = row * len(flat.dictionary) + flat.indices.to_numpy()
+                at = np.argsort(mixed, kind="stable")
+                mixed = mixed[at]
+                first = np.flatnonzero(np.append(True, mixed[1:] != mixed[:-1]))
+                tf, own, code = np.diff(np.append(first, len(mixed))), mixed[first] // len(flat.dictionary), mixed[first] % len(flat.dictionary)
+                spots = at - (np.cumsum(sizes) - sizes)[row[at]]
+                yield _pack(flat.dictionary, code, piece["key"].take(pa.array(own)), piece["place"].to_numpy()[own], tf, sizes[own], spots, len(sizes))
+
+    return rows.mapInArrow(run, _PACKED.format(kind=dict(chunks.dtypes)[key]))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Entries (key, place, term, tf, len, spots) of an index as those of ``entries``."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                terms = batch["term"].dictionary_encode()
+                place, tf, length = (batch[c].to_numpy() for c in ("place", "tf", "len"))
+                yield _pack(terms.dictionary, terms.indices.to_numpy(), batch["key"], place, tf, length, batch["spots"].flatten().to_numpy(), len(batch))
 
-    return rows.mapInArrow(run, f"key {kind}, place int, term string, tf int, len int, spots array<int>")
+    return rows.select("key", "place", "term", "tf", "len", "spots").mapInArrow(run, _PACKED.format(kind=dict(rows.dtypes)["key"]))
 
 
 def _blocks(kind: pa.DataType):
-    """Sorted entries to blocks; a block ends with its term, its part, or when it is full."""
+    """Packed entries, sorted by term and part, to blocks; a block ends with its term, its part, or when it is full.
+
+    What a task holds is a batch, and the entries of the one term and part that goes on."""
     schema = pa.schema([("shard", pa.int32()), ("term", pa.string()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32()), ("max_tf", pa.int32()), ("min_len", pa.int32()), ("ids", pa.list_(kind)), ("places", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32())), ("spots", pa.list_(pa.list_(pa.int32())))])
 
-    def packed(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
-        own = table.slice(bounds[0], bounds[-1] - bounds[0]).combine_chunks()
-        cuts = np.array(bounds) - bounds[0]
-        starts = pa.array(cuts, pa.int32())
-        column = {c: own[c].combine_chunks() if isinstance(own[c], pa.ChunkedArray) else own[c] for c in own.column_names}
-        head = pa.array(cuts[:-1])
-        lists = {c: pa.ListArray.from_arrays(starts, column[c]) for c in ("key", "place", "tf", "len", "spots")}
-        place, tf, length = (column[c].to_numpy() for c in ("place", "tf", "len"))
-        return pa.RecordBatch.from_arrays([
-            column["shard"].take(head), column["term"].take(head), pa.array(place[cuts[:-1]], pa.int32()), pa.array(place[cuts[1:] - 1], pa.int32()), pa.array(np.diff(cuts), pa.int32()),
-            pa.array(np.maximum.reduceat(tf, cuts[:-1]), pa.int32()), pa.array(np.minimum.reduceat(length, cuts[:-1]), pa.int32()), lists["key"], lists["place"], lists["tf"], lists["len"], lists["spots"],
+    def changes(term: pa.Array, part: np.ndarray) -> np.ndarray:
+        code = term.dictionary_encode().indices.to_numpy()
+        return np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1
+
+    def made(rows: list[pa.RecordBatch]):
+        """Blocks of whole runs of a term and part."""
+        own = (pa.Table.from_batches(rows).combine_chunks().to_batches() if len(rows) > 1 else rows)[0]
+        n = own["n"].to_numpy()
+        runs = np.zeros(len(own), np.int64)
+        runs[changes(own["term"], own["part"].to_numpy())] = 1
+        run = np.repeat(np.cumsum(runs), n)
+        place, tf, length, spots = (own[c].flatten().to_numpy() for c in ("places", "tfs", "lens", "spots"))
+        order = np.lexsort((place, run))
+        spots = spots[_spread((np.cumsum(tf) - tf)[order], tf[order])]
+        size = np.bincount(run)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        cuts = np.append(np.flatnonzero(at % BLOCK == 0), len(run))
+        head = pa.array(np.repeat(np.arange(len(own)), n)[order][cuts[:-1]])
+        place, tf, length = place[order], tf[order], length[order]
+        each = _lists(np.append(0, np.cumsum(tf)), spots)
+        yield pa.RecordBatch.from_arrays([
+            own["shard"].take(head), own["term"].take(head), pa.array(place[cuts[:-1]], pa.int32()), pa.array(place[cuts[1:] - 1], pa.int32()), pa.array(np.diff(cuts), pa.int32()),
+            pa.array(np.maximum.reduceat(tf, cuts[:-1]), pa.int32()), pa.array(np.minimum.reduceat(length, cuts[:-1]), pa.int32()),
+            _lists(cuts, own["ids"].flatten().take(pa.array(order))), _lists(cuts, place), _lists(cuts, tf), _lists(cuts, length), _lists(cuts, each),
         ], schema=schema)
 
     def run(batches):
-        held = None
+        held, last = [], None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            term = held["term"].combine_chunks().dictionary_encode()
-            code, part = term.indices.to_numpy(), held["part"].to_numpy()
-            change = np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1
-            runs = [0, *change.tolist(), len(held)]
-            bounds = [x for a, z in zip(runs, runs[1:], strict=False) for x in range(a, z, BLOCK)]
-            # the last run goes on in the next batch, from its last full block
-            if len(bounds) > 1:
-                yield packed(held, bounds)
-                held = held.slice(bounds[-1])
-        if held is not None and len(held):
-            yield packed(held, [*range(0, len(held), BLOCK), len(held)])
+            if not len(batch):
+                continue
+            term, part = batch["term"], batch["part"].to_numpy()
+            ends = np.cumsum(np.asarray(batch["spots"].value_lengths()))
+            bounds = [0, *changes(term, part).tolist()]
+            if held and last != (term[0].as_py(), part[0]):
+                yield from made(held)
+                held = []
+            # whole runs go on together, up to a piece of spots; the last run of the batch is held
+            lo = 0
+            for k, z in enumerate(bounds[1:], 1):
+                after = bounds[k + 1] if k + 1 < len(bounds) else None
+                if after is None or held or ends[after - 1] - (ends[lo - 1] if lo else 0) > PIECE:
+                    yield from made([*held, batch.slice(lo, z - lo)])
+                    held, lo = [], z
+            held.append(batch.slice(lo))
+            last = (term[len(batch) - 1].as_py(), part[-1])
+        if held:
+            yield from made(held)
 
     return run
 
@@ -116,22 +183,29 @@ def _written(df: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write(path: str, found: DataFrame, totals: DataFrame, lexicon: DataFrame | None = None, dead: DataFrame | None = None, shards: int = SHARDS) -> None:
-    """A segment of entries (see ``entries``; read twice); ``totals`` (n, tokens) and ``lexicon`` (term, df) are differences to earlier segments,
+    """A segment of entries (see ``entries``; read once); ``totals`` (n, tokens) and ``lexicon`` (term, df) are differences to earlier segments,
     the lexicon in addition to what the entries tell; ``dead`` are keys whose entries in earlier segments no longer count."""
-    spark = found.sparkSession
-    own = found.groupBy("term").agg(F.count("*").alias("df"))
+    _store(path, found, shards)
+    _tell(path, found, totals, lexicon, dead, shards)
+
+
+def _store(path: str, found: DataFrame, shards: int) -> None:
+    """The postings of a segment."""
+    kind = dict(found.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    ordered = found.withColumn("shard", shard_of(F.col("term"), shards)).repartition("shard", "part").sortWithinPartitions("shard", "term", "part")
+    arrow = pa.string() if kind == "string" else pa.int64()
+    _written(ordered.mapInArrow(_blocks(arrow), _POSTINGS.format(kind=kind)), f"{path}/postings", "shard")
+
+
+def _tell(path: str, found: DataFrame, totals: DataFrame, lexicon: DataFrame | None, dead: DataFrame | None, shards: int) -> None:
+    """The other tables of a segment whose postings are stored."""
+    own = found.sparkSession.read.schema("shard int, term string, n int").parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df"))
     told = own if lexicon is None else own.unionByName(lexicon).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
     counted = told.withColumn("shard", shard_of(F.col("term"), shards)).repartition("shard").sortWithinPartitions("shard", "term")
     _written(counted, f"{path}/lexicon", "shard")
     _written(totals.select(F.col("n").cast("bigint").alias("n"), F.col("tokens").cast("bigint").alias("tokens")).coalesce(1), f"{path}/totals")
-    kind = dict(found.dtypes)["key"]
-    _written(found.select("key").limit(0) if dead is None else dead.select("key"), f"{path}/dead")
-    n = totals.agg(F.sum("n")).first()[0] or 0
-    heavy = spark.read.schema("shard int, term string, df bigint").parquet(f"{path}/lexicon").filter(F.col("df") > max(HEAVY, n // 1000)).select("term", F.lit(True).alias("heavy"))  # at most a chunk's distinct terms times a thousand
-    parted = found.join(F.broadcast(heavy), "term", "left").withColumn("part", F.when(F.col("heavy"), (F.col("place") / (PLACES // PARTS)).cast("int")).otherwise(0))
-    ordered = parted.withColumn("shard", shard_of(F.col("term"), shards)).select("shard", "part", "term", "place", "key", "tf", "len", "spots").repartition("shard", "part").sortWithinPartitions("shard", "term", "part", "place", "key")
-    arrow = pa.string() if kind == "string" else pa.int64()
-    _written(ordered.mapInArrow(_blocks(arrow), _POSTINGS.format(kind=kind)), f"{path}/postings", "shard")
+    none = found.select(F.col("ids")[0].alias("key")).limit(0)
+    _written(none if dead is None else dead.select("key"), f"{path}/dead")
 
 
 def totals_of(chunks: DataFrame, text: str) -> DataFrame:
@@ -139,8 +213,12 @@ def totals_of(chunks: DataFrame, text: str) -> DataFrame:
 
 
 def build(path: str, chunks: DataFrame, key: str, text: str, shards: int = SHARDS) -> Index:
-    """The index of a table of chunks, as one segment at ``path``."""
-    write(path, entries(chunks, key, text), totals_of(chunks, text), shards=shards)
+    """The index of a table of chunks, as one segment at ``path``; texts are cut once, tokens are counted from the postings."""
+    found = entries(chunks, key, text)
+    _store(path, found, shards)
+    tokens = F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    stored = chunks.sparkSession.read.schema("shard int, tfs array<int>").parquet(f"{path}/postings").agg(F.coalesce(tokens, F.lit(0)).alias("tokens"))
+    _tell(path, found, chunks.agg(F.count("*").alias("n")).crossJoin(stored), None, None, shards)
     return Index(chunks.sparkSession, [(0, path)], shards)
 
 
@@ -195,7 +273,7 @@ class Index:
         return self._live(each.select("segment", "term", *extra, *(F.col(f"x.{c}").alias(names[c]) for c in lists)))
 
     def entries(self) -> DataFrame:
-        """All live entries, as ``write`` takes them: what a merge of the segments holds."""
+        """All live entries, as ``packed`` takes them: what a merge of the segments holds."""
         return self.rows(self._union("postings")).select("key", "place", "term", "tf", "len", "spots")
 
     def whole(self) -> DataFrame:
@@ -243,6 +321,9 @@ class Index:
     def top(self, queries: DataFrame, k: int, kept=None) -> DataFrame:
         """query_id, key, score, rank of each query's best ``k``, ties by key.  ``kept`` stores a frame that is read again; caching by default."""
         kept = kept or (lambda df: df.persist())
+        few = lexical.few(queries)
+        if few is not None and len(few) >= MANY:
+            return self._together(queries, k)
         cells = self.cells()
         if cells <= FIRST:
             return _best(self.scores(queries), k)
@@ -266,6 +347,78 @@ class Index:
         rest = ranked.filter(F.col("turn") > FIRST).join(least, "query_id", "left").filter("bound >= coalesce(least, 0) - 1e-9").select("query_id", "cell")
         return _best(first.unionByName(chosen(rest)), k)
 
+    def _together(self, queries: DataFrame, k: int) -> DataFrame:
+        """``top`` of many queries (``lexical.PAIRS`` pairs at most): asked postings are dealt by cell, a task scores a cell's chunks and keeps its best."""
+        ship(self.spark)
+        named = self.asked(queries)
+        postings = self._named(self._union("postings"), queries, named).drop("spots")
+        kind = dict(postings.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+        weights = self.weights(queries, named).collect()
+        if not weights:
+            return _best(self.scores(queries), k)
+        wanted = pa.array(sorted({r.term for r in weights}), pa.string())
+        place = {t: j for j, t in enumerate(wanted.to_pylist())}
+        shipped = self.spark.sparkContext.broadcast((wanted, lexical.asked([(place[r.term], r.query_id, r.weight) for r in weights], len(wanted)), weights[0].avg_len))
+        width, size = PLACES // self.cells(), PIECE
+        if len(self.segments) > 1:
+            live = self.rows(postings)
+            postings = live.select("term", *(F.array(c).alias(a) for c, a in (("key", "ids"), ("place", "places"), ("tf", "tfs"), ("len", "lens"))))
+        postings = postings.select("term", "ids", "places", "tfs", "lens")
+
+        def deal(batches):
+            wanted = shipped.value[0]
+            for whole in batches:
+                for lo in range(0, len(whole), size // BLOCK):
+                    batch = whole.slice(lo, size // BLOCK)
+                    code = np.repeat(pa.compute.index_in(batch["term"], wanted).fill_null(-1).to_numpy(), np.asarray(batch["ids"].value_lengths()))
+                    cell = batch["places"].flatten().to_numpy() // width
+                    order = np.flatnonzero(code >= 0)  # a term without weight is in no live chunk
+                    order = order[np.argsort(cell[order], kind="stable")]
+                    cell = cell[order]
+                    cuts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)) if len(cell) else np.zeros(1, np.int64)
+                    flat = lambda c: batch[c].flatten().take(pa.array(order))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]], pa.int32()), _lists(cuts, flat("ids")), _lists(cuts, code[order]), _lists(cuts, flat("tfs")), _lists(cuts, flat("lens"))], names=["cell", "ids", "codes", "tfs", "lens"])
+
+        def score(batches):
+            _, asked, mean = shipped.value
+            k1, b, found = vocab.BM25_K1, vocab.BM25_B, None
+
+            def add(rows, found):
+                """The chunks of one cell."""
+                key = pa.concat_arrays([r["ids"].flatten() for r in rows]).to_numpy(zero_copy_only=False)
+                code, tf, length = (np.concatenate([r[c].flatten().to_numpy() for r in rows]) for c in ("codes", "tfs", "lens"))
+                keys, row = np.unique(key, return_inverse=True)
+                found = found or ranking.start(len(asked.ids), k, keys.dtype)
+                order = np.argsort(row, kind="stable")
+                row, code, part = row[order], code[order], (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)))[order]
+                step = max(1, size // len(asked.ids))
+                for lo in range(0, len(keys), step):
+                    a, z = np.searchsorted(row, (lo, lo + step))
+                    of, at, value, _ = asked.summed(row[a:z] - lo, code[a:z], part[a:z], min(step, len(keys) - lo))
+                    near = value >= found[0][of, -1] - 1e-8
+                    ranking.merge(*found, of[near], value[near], keys[lo + at[near]])
+                return found
+
+            held, last = [], None
+            for batch in batches:
+                cell = batch["cell"].to_numpy()
+                cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if hi > lo:
+                        if held and cell[lo] != last:
+                            found, held = add(held, found), []
+                        held.append(batch.slice(lo, hi - lo))
+                        last = cell[lo]
+            if held:
+                found = add(held, found)
+            if found is not None:
+                best, names = found
+                kept = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(asked.ids[:, None], best.shape)[kept]), pa.array(names[kept]), pa.array(best[kept])], names=["query_id", "key", "score"])
+
+        dealt = postings.mapInArrow(deal, f"cell int, ids array<{kind}>, codes array<int>, tfs array<int>, lens array<int>")
+        return _best(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(score, f"query_id bigint, key {kind}, score double"), k)
+
     def phrase(self, terms: list[str]) -> DataFrame:
         """key, hits: where the terms stand side by side, from positions alone."""
         wanted = list(dict.fromkeys(terms))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +103,9 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str
     ``every`` keeps chunks that have all terms of a query.  Up to ``PAIRS`` asked pairs are scored where the text is read, so only
     document frequencies are shuffled; more, and chunks whose keys repeat, meet the queries in joins.
     """
-    few = _few(queries)
-    if few is not None and keyed(chunks, key):
-        return _scored(chunks, few, key, text, every)
+    pairs = few(queries)
+    if pairs is not None and keyed(chunks, key):
+        return _scored(chunks, pairs, key, text, every)
     hits = occurrences(chunks, queries.select("term").distinct(), key, text)
     whole = lengths(chunks, key, text).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -118,12 +119,38 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str
     return scored.drop("matched")
 
 
-def _few(queries: DataFrame) -> list | None:
+def few(queries: DataFrame) -> list | None:
     """query_id, term, times of queries, if they are few."""
     asked = queries.filter("term IS NOT NULL AND query_id IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("times")).limit(PAIRS + 1).collect()
     return asked if len(asked) <= PAIRS else None
 
 
+class Asked(NamedTuple):
+    """Queries as arrays: their ids, and for each term, by number, the queries that ask it with its weight there."""
+
+    ids: np.ndarray
+    start: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+
+    def summed(self, row: np.ndarray, code: np.ndarray, part: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """query, row, score (above 0) and asked terms met, by query, of ``rows`` rows whose terms ``code`` give ``part``."""
+        many = np.diff(self.start)[code]
+        pair = np.repeat(self.start[code] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cell = self.query[pair] * rows + np.repeat(row, many)
+        score = np.bincount(cell, self.weight[pair] * np.repeat(part, many), len(self.ids) * rows)
+        at = np.flatnonzero(score > 0)
+        return at // rows, at % rows, score[at], np.bincount(cell, minlength=len(score))[at]
+
+
+def asked(pairs: list[tuple[int, int, float]], terms: int) -> Asked:
+    """Of (term number, query_id, weight)."""
+    pairs = sorted(pairs)
+    term, query = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    ids = np.unique(query)
+    return Asked(ids, np.searchsorted(term, np.arange(terms + 1)), np.searchsorted(ids, query), np.array([p[2] for p in pairs], np.float64))
+
+
 def _frequencies(words: DataFrame, wanted: pa.Array) -> tuple[int, int, np.ndarray]:
     """Chunks, tokens and the chunks that hold each of the wanted terms."""
 
@@ -145,41 +172,32 @@ def _scored(chunks: DataFrame, few: list, key: str, text: str, every: bool = Fal
     ship(chunks.sparkSession)
     kind = dict(chunks.dtypes)[key]
     wanted = pa.array(sorted({r.term for r in few}), pa.string())
-    place, ids = {t: k for k, t in enumerate(wanted.to_pylist())}, np.array(sorted({r.query_id for r in few}), np.int64)
+    place = {t: k for k, t in enumerate(wanted.to_pylist())}
     words = chunks.select(key, tokens(F.col(text)).alias("words"))
     n, total, df = _frequencies(words, wanted)
     idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6)
-    few = sorted((place[r.term], r.query_id, r.times) for r in few)
-    term = np.array([t for t, _, _ in few], np.int64)
-    query = np.searchsorted(ids, np.array([q for _, q, _ in few], np.int64))
-    weight = idf[term] * np.array([c for *_, c in few], np.float64)
-    start = np.searchsorted(term, np.arange(len(wanted) + 1))
-    shipped = chunks.sparkSession.sparkContext.broadcast((wanted, ids, start, query, weight, np.bincount(query, minlength=len(ids)), total / max(1, n)))
+    own = asked([(place[r.term], r.query_id, idf[place[r.term]] * r.times) for r in few], len(wanted))
+    shipped = chunks.sparkSession.sparkContext.broadcast((wanted, own, np.bincount(own.query, minlength=len(own.ids)), total / max(1, n)))
     piece = PIECE
 
     def run(batches):
-        wanted, ids, start, query, weight, terms, mean = shipped.value
-        k1, b, best, names = vocab.BM25_K1, vocab.BM25_B, None, None
+        wanted, asked, terms, mean = shipped.value
+        ids, k1, b, best, names = asked.ids, vocab.BM25_K1, vocab.BM25_B, None, None
         for batch in batches:
             length = np.asarray(batch["words"].value_lengths())
             own = batch[key].to_numpy(zero_copy_only=False) if limit else batch[key]
             for lo, hi, row, code, tf, _ in counted(batch["words"], wanted, max(1, piece // max(1, len(ids)))):
                 part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[lo + row] / mean))
-                many = np.diff(start)[code]
-                pair = np.repeat(start[code] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                cell = query[pair] * (hi - lo) + np.repeat(row, many)
-                score = np.bincount(cell, weight[pair] * np.repeat(part, many), len(ids) * (hi - lo))
-                hit = score > 0
+                of, row, score, met = asked.summed(row, code, part, hi - lo)
+                row = lo + row
                 if every:
-                    hit &= np.bincount(cell, minlength=len(score)) == np.repeat(terms, hi - lo)
-                at = np.flatnonzero(hit)
-                of, row = at // (hi - lo), lo + at % (hi - lo)
+                    of, row, score = (x[met == terms[of]] for x in (of, row, score))
                 if not limit:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[of]), own.take(pa.array(row)), pa.array(score[at], pa.float64())], names=["query_id", key, "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[of]), own.take(pa.array(row)), pa.array(score, pa.float64())], names=["query_id", key, "score"])
                     continue
                 best, names = ranking.start(len(ids), limit, own.dtype) if best is None else (best, names)
-                near = score[at] >= best[of, -1] - 1e-8
-                ranking.merge(best, names, of[near], score[at][near], own[row][near])
+                near = score >= best[of, -1] - 1e-8
+                ranking.merge(best, names, of[near], score[near], own[row][near])
         if best is not None:
             held = best > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[held]), pa.array(names[held]), pa.array(best[held])], names=["query_id", key, "score"])
@@ -189,9 +207,9 @@ def _scored(chunks: DataFrame, few: list, key: str, text: str, every: bool = Fal
 
 def best(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """As ``top`` of ``bm25``: a task sends its best only, where queries are few and keys don't repeat."""
-    few = _few(queries)
-    here = few is not None and keyed(chunks, key)
-    return top(_scored(chunks, few, key, text, limit=limit) if here else bm25(chunks, queries, key, text), limit, key)
+    pairs = few(queries)
+    here = pairs is not None and keyed(chunks, key)
+    return top(_scored(chunks, pairs, key, text, limit=limit) if here else bm25(chunks, queries, key, text), limit, key)
 
 
 def top(scored: DataFrame, limit: int, key: str = "chunk_id", by: str = "score") -> DataFrame:

@@ -390,10 +390,10 @@ class Archive:
         gone = leaving.select(F.col("chunk_id").alias("key"))
         less = inverted.totals_of(leaving, "content").select((-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens"))
         if whole:
-            kept = before.entries().join(gone, "key", "left_anti")
+            kept = inverted.packed(before.entries().join(gone, "key", "left_anti"))
             inverted.write(path, kept.unionByName(found), before.whole().select("n", "tokens").unionByName(totals).unionByName(less).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")))
         else:
-            fewer = inverted.entries(leaving, "chunk_id", "content").groupBy("term").agg((-F.count("*")).alias("df"))
+            fewer = inverted.entries(leaving, "chunk_id", "content").groupBy("term").agg((-F.sum("n")).alias("df"))
             inverted.write(path, found, totals.unionByName(less), fewer, gone)
 
     def _index_of(self, held: list[tuple[int, bool]]) -> inverted.Index | None:
@@ -488,7 +488,7 @@ class Archive:
                 now = state.asDict() | {"fit_version": version}
                 self.spark.createDataFrame([tuple(now.values())], SPACE_STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v{version}/space_state")
             if (index := self._index_of(held)) is not None:
-                inverted.write(f"{self.path}/v{version}/index", index.entries(), index.whole().select("n", "tokens"))
+                inverted.write(f"{self.path}/v{version}/index", inverted.packed(index.entries()), index.whole().select("n", "tokens"))
             self._commit(version, True, token)
 
     def vacuum(self, keep: int = 2) -> list[int]:

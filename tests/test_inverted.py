@@ -105,3 +105,48 @@ def test_an_empty_index(spark, tmp_path):
     index = inverted.build(str(tmp_path / "i"), spark.createDataFrame([], "chunk_id string, content string"), "chunk_id", "content")
     asked = spark.createDataFrame([(0, "the")], "query_id bigint, term string")
     assert index.top(asked, 3).count() == 0 and index.phrase(["a", "b"]).count() == 0 and index.whole().first().tokens in (0, None)
+
+
+def test_texts_are_cut_once_and_entries_travel_by_piece_and_term(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    cut = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(k, "the of w1 w2") for k in range(300)], "chunk_id bigint, content string")
+
+    @F.udf("string")
+    def counted(text):
+        cut.add(1)
+        return text
+
+    index = inverted.build(str(tmp_path / "i"), rows.withColumn("content", counted.asNondeterministic()("content")), "chunk_id", "content", 3)
+    assert cut.value == 300 and index.whole().first().tokens == 1200
+    assert inverted.entries(rows.coalesce(1), "chunk_id", "content").groupBy("part").count().count() == inverted.PARTS  # frequent terms, by ranges of places
+    rarer = rows.selectExpr("chunk_id", "concat('x', chunk_id % 20) AS content").coalesce(1)
+    assert inverted.entries(rarer, "chunk_id", "content").count() == 20
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 19])
+def test_pieces_of_any_size_give_the_same_postings(chunks, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(inverted, "PIECE", piece)
+    monkeypatch.setattr(inverted, "BLOCK", 8)
+    index = inverted.build(str(tmp_path / "i"), chunks, "chunk_id", "content", 3)
+    got = sorted((r.key, r.term, r.tf, r.len, tuple(r.spots)) for r in index.entries().collect())
+    size = {r.chunk_id: r.len for r in lexical.lengths(chunks, "chunk_id", "content").collect()}
+    assert got == sorted((r.chunk_id, r.term, r.tf, size[r.chunk_id], tuple(r.positions)) for r in lexical.postings(chunks, "chunk_id", "content").collect())
+    blocks = index._union("postings").collect()
+    assert all(b.n == len(b.ids) <= 8 and list(b.places) == sorted(b.places) and (b.low, b.high) == (b.places[0], b.places[-1]) for b in blocks)
+    merged = str(tmp_path / "m")
+    inverted.write(merged, inverted.packed(index.entries()), index.whole().select("n", "tokens"), shards=3)
+    again = inverted.Index(index.spark, [(0, merged)], 3)
+    assert sorted((r.key, r.term, r.tf, r.len, tuple(r.spots)) for r in again.entries().collect()) == got
+
+
+def test_many_queries_are_scored_by_cell(spark, chunks, queries, tmp_path, monkeypatch):
+    index = inverted.build(str(tmp_path / "i"), chunks, "chunk_id", "content", 5)
+    want = ranked(lexical.top(lexical.bm25(chunks, queries), 7), "chunk_id")
+    monkeypatch.setattr(inverted, "MANY", 1)
+    monkeypatch.setattr(inverted, "CELL_CHUNKS", 8)
+    monkeypatch.setattr(inverted.Index, "scores", None)  # no join of postings and queries
+    assert ranked(index.top(queries, 7), "key") == want
+    monkeypatch.setattr(inverted, "PIECE", 200)
+    assert ranked(index.top(queries, 7), "key") == want
