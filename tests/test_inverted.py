@@ -150,3 +150,11 @@ def test_many_queries_are_scored_by_cell(spark, chunks, queries, tmp_path, monke
     assert ranked(index.top(queries, 7), "key") == want
     monkeypatch.setattr(inverted, "PIECE", 200)
     assert ranked(index.top(queries, 7), "key") == want
+
+
+def test_a_task_holds_a_piece_of_tokens(chunks, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(inverted, "PIECE", 64)  # more than any text has
+    held = inverted.entries(chunks.coalesce(1), "chunk_id", "content").agg(F.max(F.size("spots")), F.sum(F.size("spots"))).first()
+    assert held[0] <= 64 and held[1] == inverted.totals_of(chunks, "content").first().tokens
