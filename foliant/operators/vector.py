@@ -27,9 +27,9 @@ def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, c, most: counts of a document's terms and of its most frequent one.
 
     Where keys don't repeat, a document is counted where it is read and nothing is shuffled."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0)
+    words = _words(docs, key, text)
     if not lexical.keyed(docs, key):
-        each = docs.select(key, F.explode(words).alias("term"))
+        each = words.select(key, F.explode("words").alias("term"))
         counts = each.groupBy(key, "term").agg(F.count("*").alias("c"))
         return counts.withColumn("most", F.max("c").over(Window.partitionBy(key)))
     ship(docs.sparkSession)
@@ -41,15 +41,61 @@ def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
                 np.maximum.at(most, row, tf)
                 yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(lo + row)), names.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(most[row])], names=[key, "term", "c", "most"])
 
-    return docs.select(key, words.alias("words")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, term string, c bigint, most bigint")
+    return words.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, term string, c bigint, most bigint")
 
 
 def vocabulary(counted: DataFrame, n_docs: int, cap: int = vocab.VOCABULARY) -> DataFrame:
     """term, df, idf of the ``cap`` most frequent terms within the bounds of document frequency."""
-    df = counted.groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= vocab.MIN_DF) & (F.col("df") <= vocab.MAX_DF * n_docs))
+    return _frequent(counted.groupBy("term").agg(F.count("*").alias("df")), n_docs, cap)
+
+
+def _frequent(held: DataFrame, n_docs: int, cap: int) -> DataFrame:
+    df = held.filter((F.col("df") >= vocab.MIN_DF) & (F.col("df") <= vocab.MAX_DF * n_docs))
     return df.orderBy(F.desc("df"), "term").limit(cap).withColumn("idf", F.ln(F.lit(float(n_docs)) / (1 + F.col("df"))) + 1)
 
 
+def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Documents' words; texts are dealt first, since a file of few row groups would be cut by as few tasks."""
+    return docs.select(key, text).repartition(key).select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0).alias("words"))
+
+
+def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, df of documents with a key each: a piece of documents sends a row a term."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for *_, code, _, names in lexical.counted(batch["words"]):
+                df = np.bincount(code, minlength=len(names))
+                at = np.flatnonzero(df)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(df[at], pa.int64())], names=["term", "df"])
+
+    return _words(docs, key, text).mapInArrow(run, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def weighted(docs: DataFrame, key: str, text: str, terms: list[str], idf: np.ndarray) -> DataFrame:
+    """As ``cells``, of documents with a key each: rows are made where texts are read, and nothing is shuffled."""
+    ship(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast((terms, idf))
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches):
+        wanted, idf = pa.array(shipped.value[0], pa.string()), shipped.value[1]
+        for batch in batches:
+            for lo, hi, row, code, tf, names in lexical.counted(batch["words"]):
+                most = np.zeros(hi - lo, np.int64)
+                np.maximum.at(most, row, tf)
+                place = pa.compute.index_in(names, wanted).fill_null(-1).to_numpy(zero_copy_only=False)
+                at = place[code] if len(place) else code
+                row, i, tf = row[at >= 0], at[at >= 0], tf[at >= 0]
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                if len(first):
+                    cell = pa.StructArray.from_arrays([pa.array(i, pa.int32()), pa.array((0.5 + 0.5 * tf / most[row]) * idf[i])], names=["i", "weight"])
+                    yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(lo + row[first])), pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), cell)], names=[key, "w"])
+
+    return _words(docs, key, text).mapInArrow(run, f"{key} {kind}, w array<struct<i:int,weight:double>>")
+
+
 def tfidf(counted: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """key, term, weight: augmented frequency times idf."""
     return counted.join(F.broadcast(words), "term").select(key, "term", ((0.5 + 0.5 * F.col("c") / F.col("most")) * F.col("idf")).alias("weight"))
@@ -108,15 +154,15 @@ def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     def run(batches):
         from pyspark import TaskContext
 
-        q = shipped.value
+        q, short = shipped.value, shipped.value.astype(np.float32)
         total = np.zeros(q.shape)
         for batch in batches:
             for lo, hi, row, i, w in _sparse(batch["w"]):
-                y = _times(q, row, i, w, hi - lo)
                 if len(i) >= DENSE * (hi - lo):
-                    total += _dense(row, i, w, hi - lo, len(q)).T @ y.astype(np.float32)
+                    x = _dense(row, i, w, hi - lo, len(q))
+                    total += x.T @ (x @ short)
                 else:
-                    total += _added(i, w[:, None] * y[row], len(q))
+                    total += _added(i, w[:, None] * _times(q, row, i, w, hi - lo)[row], len(q))
         if total.any():
             parts = [total[k : k + ROWS] for k in range(0, len(total), ROWS)]
             lane = np.full(len(parts), TaskContext.get().partitionId() % LANES)
@@ -151,18 +197,22 @@ def components(rows: DataFrame, size: int, k: int) -> np.ndarray:
 def lsa(docs: DataFrame, key: str, text: str, dimensions: int = vocab.LSA_DIMENSIONS, cap: int = vocab.VOCABULARY) -> tuple[DataFrame, dict[str, int], np.ndarray, np.ndarray]:
     """Unit vectors (key, embedding), the vocabulary, its idf and the components: right singular vectors of the TF-IDF matrix."""
     ship(docs.sparkSession)
-    counted = terms(docs, key, text)
-    n = docs.count()
-    words = vocabulary(counted, n, cap)
+    alone, n = lexical.keyed(docs, key), docs.count()
+    counted = None if alone else terms(docs, key, text)
+    words = _frequent(frequencies(docs, key, text), n, cap) if alone else vocabulary(counted, n, cap)
     held = words.orderBy(F.desc("df"), "term").collect()  # at most ``cap`` rows
     index = {r.term: k for k, r in enumerate(held)}
     idf = np.array([r.idf for r in held])
     if not index:
         return docs.select(key, F.array().cast("array<float>").alias("embedding")), index, idf, np.zeros((0, 0))
-    fixed = docs.sparkSession.createDataFrame([(r.term, r.df, r.idf) for r in held], "term string, df bigint, idf double")
+    if alone:
+        made = weighted(docs, key, text, list(index), idf)
+    else:
+        fixed = docs.sparkSession.createDataFrame([(r.term, r.df, r.idf) for r in held], "term string, df bigint, idf double")
+        made = cells(tfidf(counted, fixed.select("term", "idf"), key), fixed, key)
     # read once a pass, and by the projection whenever its result is
     path = new_folder(docs.sparkSession, "latent")
-    cells(tfidf(counted, fixed.select("term", "idf"), key), fixed, key).write.parquet(path)
+    made.write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
     parts = components(rows, len(index), max(1, min(dimensions, len(index) - 1, n - 1)))
     shipped = docs.sparkSession.sparkContext.broadcast(parts)

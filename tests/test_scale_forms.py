@@ -142,3 +142,43 @@ def test_facts_are_dealt_by_chunk_before_they_are_sorted(spark):
     found = facts.extract(chunks, documents)
     assert sorted((r.chunk_id, r.value_key) for r in found.collect()) == sorted((f"c{k}", str(k)) for k in range(40))
     assert "RepartitionByExpression [chunk_id" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_latent_rows_are_made_where_texts_are_read(spark, monkeypatch):
+    import numpy as np
+    from foliant.operators import vector
+
+    rng = random.Random(4)
+    texts = [None, "", "?"] + [" ".join(f"w{rng.choice('abcdefgh')}{rng.choice('abc')}" for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    counted = vector.terms(docs, "doc_id", "text")
+    words = vector.vocabulary(counted, docs.count(), 15)
+    want = {r.doc_id: {c.i: round(c.weight, 9) for c in r.w} for r in vector.cells(vector.tfidf(counted, words, "doc_id"), words, "doc_id").collect()}
+    assert {(r.term, r.df) for r in vector.frequencies(docs, "doc_id", "text").collect()} == {(r.term, r["count"]) for r in counted.groupBy("term").count().collect()}
+    held = words.orderBy(F.desc("df"), "term").collect()
+    made = vector.weighted(docs, "doc_id", "text", [r.term for r in held], np.array([r.idf for r in held]))
+    assert {r.doc_id: {c.i: round(c.weight, 9) for c in r.w} for r in made.collect()} == want
+    monkeypatch.setattr(vector, "cells", None)  # no shuffle of a row a document and term
+    assert vector.lsa(docs, "doc_id", "text", 4, 15)[0].count() == len(want)
+
+
+@pytest.mark.parametrize("near", [0, 1000])
+def test_walks_keep_least_distances_without_joining_what_was_seen(spark, monkeypatch, near):
+    from foliant.operators import graph
+
+    monkeypatch.setattr(graph, "NEAR", near)
+    rng = random.Random(6)
+    edges = [(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 40)}") for _ in range(60)] * 2 + [("n1", "n1"), ("n1", None), (None, "n2")]
+    starts = ["n0", "n1", "n1", "n30", "absent"]
+    want = {}
+    for start in set(starts):
+        front, want[start, start] = {start}, 0
+        for hop in (1, 2, 3):
+            front = {b for a, b in edges if a in front and a is not None}
+            for node in front:
+                want.setdefault((start, node), hop)
+    out = graph.walk(spark.createDataFrame(edges, "subject_id string, object_id string"), spark.createDataFrame([(s,) for s in starts], "node string"), 3)
+    rows = out.collect()
+    assert {(r.start, r.node): r.hops for r in rows} == want and len(rows) == len(want)
+    assert "left_anti" not in out._jdf.queryExecution().toString().lower().replace("leftanti", "left_anti")
+    out.unpersist()
