@@ -78,9 +78,10 @@ def _pack(names: pa.Array, code: np.ndarray, key: pa.Array, place: np.ndarray, t
 
 
 def entries(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """term, part, n, ids, places, tfs, lens, spots: a row for each term of a piece of chunks, made where the piece is read, ``PIECE`` tokens at a time."""
+    """term, part, n, ids, places, tfs, lens, spots: a row for each term of a piece of chunks, ``PIECE`` tokens at a time."""
     ship(chunks.sparkSession)
-    rows = chunks.select(F.col(key).alias("key"), _place(F.col(key)).alias("place"), lexical.tokens(F.col(text)).alias("tokens"))
+    # dealt first, since a file of few row groups would be cut by as few tasks
+    rows = chunks.select(key, text).repartition(key).select(F.col(key).alias("key"), _place(F.col(key)).alias("place"), lexical.tokens(F.col(text)).alias("tokens"))
 
     def run(batches):
         for batch in batches:
