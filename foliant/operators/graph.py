@@ -9,6 +9,8 @@ from foliant.functions import columns as C
 from foliant.functions import vocab
 from foliant.operators.facts import kv_rows, subject_name
 
+#: Edges, and nodes, that are broadcast.
+NEAR = 1_000_000
 PLAIN_NAME = r"^(?:The\s+)?(?:[A-Z][\w'-]*)(?:\s+(?:of|the|and|[A-Z][\w'-]*))*$"
 
 
@@ -79,21 +81,35 @@ def neighbours(edges: DataFrame, nodes: DataFrame, predicates: list[str] | None
 def walk(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
     """start, node, hops: what is reached along edge directions, at its least distance.
 
-    A hop's new pairs are persisted, so the next one doesn't walk them again; what is returned is persisted, and all else released.
+    The first hop deals edges by start.  Later ones follow only edges that leave an edge's end; where these are ``NEAR`` or fewer
+    they are broadcast, so pairs stay where they are.  Least distances are taken once, at the end.  What is returned is persisted, and all else released.
     """
-    step = edges.select(F.col("subject_id").alias("node"), F.col("object_id").alias("next")).distinct().persist()
-    seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)).persist()
-    front, kept = seen, [step, seen]
+
+    def near(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return F.broadcast(df) if df.count() <= NEAR else df
+
+    step = edges.select(F.col("subject_id").alias("node"), F.col("object_id").alias("next")).persist()
+    kept, first = [step], starts.select("node").distinct()
+    levels = [first.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"))]
+    front = onward = None
     for hop in range(1, hops + 1):
-        reached = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        new = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)).persist()
-        kept.append(new)
-        if new.isEmpty():
+        if front is None:
+            reached = step.join(first, "node", "left_semi").select(F.col("node").alias("start"), F.col("next").alias("node"))
+        else:
+            if onward is None:
+                onward = near(step.join(near(step.select(F.col("next").alias("node")).distinct()), "node", "left_semi").distinct())
+            reached = front.join(onward, "node").select("start", F.col("next").alias("node"))
+        front = reached.distinct().persist()
+        kept.append(front)
+        if front.isEmpty():
             break
-        front, seen = new, seen.unionByName(new)
-    out = seen.persist() if len(kept) > 2 else seen
+        levels.append(front.withColumn("hops", F.lit(hop)))
+    pairs = levels[0]
+    for level in levels[1:]:
+        pairs = pairs.unionByName(level)
+    out = pairs.groupBy("start", "node").agg(F.min("hops").alias("hops")).persist()
     out.count()
     for frame in kept:
-        if frame is not out:
-            frame.unpersist()
+        frame.unpersist()
     return out

@@ -46,7 +46,7 @@ def edges(spark, sf_dir) -> DataFrame:
     nation = n.select("n_nationkey", "n_regionkey", C.entity_id(F.col("n_name")).alias("nation_id"))
     place = lambda t, key, at, prefix: table(spark, sf_dir, t).join(nation, F.col(at) == F.col("n_nationkey")).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("subject_id"), F.lit("located_in").alias("predicate"), F.col("nation_id").alias("object_id"), F.lit("infobox").alias("method"), F.lit(0.9).alias("confidence"))
     region = nation.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("nation_id").alias("subject_id"), F.lit("located_in").alias("predicate"), C.entity_id(F.col("r_name")).alias("object_id"), F.lit("infobox").alias("method"), F.lit(0.9).alias("confidence"))
-    made = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("subject_id"), F.lit("related_to").alias("predicate"), F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("object_id"), F.lit("wikilink").alias("method"), F.lit(0.6).alias("confidence")).distinct()
+    made = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().select(F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("subject_id"), F.lit("related_to").alias("predicate"), F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("object_id"), F.lit("wikilink").alias("method"), F.lit(0.6).alias("confidence"))
     return place("customer", "c_custkey", "c_nationkey", "customer_").unionByName(place("supplier", "s_suppkey", "s_nationkey", "supplier_")).unionByName(region).unionByName(made)
 
 
